@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.exact_dedup import exact_dedup
+from sievework.llm.mixing import mix_sources
 from sievework.llm.packing import pack_power_of_two
 from sievework.llm.repair import read_token_shards, write_token_shards
 
@@ -20,6 +22,31 @@ def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS packed
+  FROM documents),
+r AS (
+  SELECT doc_id, packed,
+         first_value(doc_id) OVER (PARTITION BY packed ORDER BY chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY packed) AS group_size
+  FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(packed) AS text_sha256
+FROM r
+"""
+
+
+def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op8_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_power_of_two(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -27,7 +54,9 @@ def op8_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_token_files": op1_repair_token_files,
+    "op6_grace_exact_dedup": op6_grace_exact_dedup,
     "op8_pack_power_of_two": op8_pack_power_of_two,
+    "op10_subset_sum_mix": op10_subset_sum_mix,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_grace_exact_dedup": OP6_SQL}
