@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.mixing import mix_sources
+from sievework.llm.ngram_join import ngram_jaccard_join
 from sievework.llm.packing import pack_power_of_two
 from sievework.llm.repair import read_token_shards, write_token_shards
 
@@ -22,6 +23,10 @@ def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op6_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -54,6 +59,7 @@ def op8_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_token_files": op1_repair_token_files,
+    "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op6_grace_exact_dedup": op6_grace_exact_dedup,
     "op8_pack_power_of_two": op8_pack_power_of_two,
     "op10_subset_sum_mix": op10_subset_sum_mix,
