@@ -11,7 +11,9 @@ from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.mixing import mix_sources
 from sievework.llm.ngram_join import ngram_jaccard_join
 from sievework.llm.packing import pack_power_of_two
+from sievework.llm.quality import fold, score_quality, train_quality
 from sievework.llm.repair import read_token_shards, write_token_shards
+from sievework.llm.secrets import find_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,22 @@ def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op3_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    listed = lambda which: f"array_join(transform({which}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    count = lambda kind: F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(F.expr(listed("filter(spans, s -> s.kind <> 'random')")), 256).alias("base_sha256"), F.expr(listed("spans")).alias("spans"), count("random"),
+    )
+
+
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
@@ -59,6 +77,8 @@ def op8_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_token_files": op1_repair_token_files,
+    "op2_gbt_quality": op2_gbt_quality,
+    "op3_token_efficiency_secrets": op3_token_efficiency_secrets,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op6_grace_exact_dedup": op6_grace_exact_dedup,
     "op8_pack_power_of_two": op8_pack_power_of_two,
