@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.exact_dedup import exact_dedup
+from sievework.llm.langid import predict_languages, train_languages
+from sievework.llm.media import media_facts, resolve, store_texts
 from sievework.llm.mixing import mix_sources
 from sievework.llm.ngram_join import ngram_jaccard_join
 from sievework.llm.packing import pack_power_of_two
@@ -70,6 +72,18 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences, media, _ = store_texts(table(spark, sf_dir, "documents"))
+    refs = resolve(sequences.select(F.struct("doc_id", "n_bytes").alias("doc"), "items"), media_facts(media), "doc")
+    return refs.select("doc.doc_id", "doc.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+
+
+def op9_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_languages(docs, train_languages(docs))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_power_of_two(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -81,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_efficiency_secrets": op3_token_efficiency_secrets,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op6_grace_exact_dedup": op6_grace_exact_dedup,
+    "op7_interleaved_media": op7_interleaved_media,
     "op8_pack_power_of_two": op8_pack_power_of_two,
+    "op9_hierarchical_language": op9_hierarchical_language,
     "op10_subset_sum_mix": op10_subset_sum_mix,
 }
 

@@ -125,9 +125,9 @@ def write_token_shards(
     vocabulary: str | None = None,
     cut: str = "space",
     end_id: int = 2,
-    shard_ids: int = 1 << 20,
-    rounds: int = 5,
-    per_round: int = 3000,
+    shard_ids: int = 1 << 21,
+    rounds: int = 3,
+    per_round: int = 5000,
     least: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -159,7 +159,7 @@ def write_token_shards(
 
         n = 0
         for big in batches:
-            for batch in small_batches(big, text_col, 2 << 20):
+            for batch in small_batches(big, text_col):
                 ids, at = with_end(*encode(batch.column(text_col)), end_id)
                 held.append((batch.column(id_col).to_pylist(), ids, np.diff(at)))
                 n += len(ids)

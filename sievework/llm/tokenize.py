@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from sievework.llm.common import ragged, text_bytes
 
 #: Chunks kept from batch to batch in a worker (about 170 bytes each).
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 1_000_000
 #: Stands between chunks that are encoded in one call; no vocabulary entry joins it with another byte.
 MARK = "\x01"
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -43,6 +43,7 @@ class ChunkEncoder:
         name = self.lib.id_to_token(int(mark[0])).removesuffix("</w>")
         alone = len(mark) == 1 and sum(name in t for t in self.lib.get_vocab(with_added_tokens=False)) <= 2
         self.mark = int(mark[0]) if alone else None
+        self.tails = {c: self._ids([c])[0].tobytes() for c in ",."}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,10 +98,18 @@ class ChunkEncoder:
             keys = words
         cache = self.cache
         got = [cache.get(k) for k in keys]
-        missing = [i for i, g in enumerate(got) if g is None]
-        for i, ids in zip(missing, self._encode([keys[i] for i in missing]), strict=True):
-            got[i] = ids
-        cache.update((keys[i], got[i]) for i in missing[: max(0, CACHE_CHUNKS - len(cache))])
+        cores: list[tuple[int, str, bytes]] = []  # a comma or full stop after a letter is a word of its own to both patterns
+        for i, g in enumerate(got):
+            if g is None:
+                k = keys[i]
+                tail = self.tails.get(k[-1:], b"") if k[-2:-1].isalpha() else b""
+                cores.append((i, k[:-1] if tail else k, tail))
+        new = list(dict.fromkeys(c for _, c, _ in cores if c not in cache))
+        done = dict(zip(new, self._encode(new), strict=True))
+        for i, c, tail in cores:
+            got[i] = (done[c] if c in done else cache[c]) + tail
+        if len(cache) < CACHE_CHUNKS:
+            cache.update(done)
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         pool, pool_at = np.frombuffer(b"".join(got), np.uint32), np.cumsum(sizes) - sizes
         ids = pool[ragged(pool_at[index], sizes[index])]
