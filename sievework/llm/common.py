@@ -212,7 +212,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     out[ragged(out_at[:-1][long], n_out[long])] = full[ragged(at[:-1][long], n_out[long])]
     for d in np.flatnonzero(~long & (counts > 0)):
         part = hashes[at[d] : at[d + 1]]
-        out[out_at[d]] = np.add.reduce(part * np.array(_STEP[: len(part)], np.uint64)) + np.uint64(len(part)) * _STEP[9]
+        out[out_at[d]] = np.add.reduce(np.append(part * np.array(_STEP[: len(part)], np.uint64), np.uint64(len(part) * int(_STEP[9]) % 2**64)))
     out = mix(out)
     for a, b in zip(out_at[:-1].tolist(), out_at[1:].tolist(), strict=True):
         if b - a > 1:

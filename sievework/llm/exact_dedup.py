@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import _IS_SPACE, arrow_schema, partitions, small_batches, stored, text_bytes
 
-LOCAL = "is_class boolean, deal long, id long, part int, class long, row long, n_chars long, n long, hash long, content binary"
-VERDICT = "is_class boolean, id long, part int, class long, row long, n_chars long, keep_id long, keep_part int, keep_row long, group_size long, sha string"
+LOCAL = "is_class boolean, deal long, id long, part int, class long, row long, n_chars long, n long, hash long, content binary, tag long"
+VERDICT = "is_class boolean, id long, part int, class long, row long, n_chars long, keep_id long, keep_part int, keep_row long, group_size long, sha string, tag long"
 _FAN_BITS = 4
 
 
@@ -129,13 +129,13 @@ def without_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return data[stay], np.concatenate(([0], np.cumsum(stay)))[offsets]
 
 
-def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256, n_chars.
+def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256, n_chars, tag.
 
     Texts are equal when identical after white space [\\x20\\x09-\\x0D] is deleted; null counts as empty, and
     empty texts equal each other. Of equal texts the one with most code points stays, then the smallest id
-    (null after all others), then the earliest row: repeated rows keep one. Other columns are ignored; an
-    empty table gives an empty one.
+    (null after all others), then the earliest row: repeated rows keep one. tag_col, a long, comes back as tag, so
+    that rows with one id can be told apart. Other columns are ignored; an empty table gives an empty one.
     """
     local, verdict = arrow_schema(LOCAL), arrow_schema(VERDICT)
 
@@ -154,7 +154,7 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id",
                     [
                         pa.array([True] * (b - a)), pa.array(keys), pa.array([x[1] for x in best[a:b]], pa.int64()), pa.array([part] * (b - a), pa.int32()),
                         pa.array(np.arange(first + a, first + b)), pa.array([x[3] for x in best[a:b]], pa.int64()), pa.array([x[0] for x in best[a:b]], pa.int64()),
-                        pa.array(counts[a:b], pa.int64()), pa.array(keys) if b > a else none, pa.array(table.contents[a:b], pa.binary()),
+                        pa.array(counts[a:b], pa.int64()), pa.array(keys), pa.array(table.contents[a:b], pa.binary()), none,
                     ],
                     schema=local,
                 )
@@ -182,7 +182,7 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id",
                 empty = pa.nulls(n, pa.int64())
                 deal = (rows + (part << 32)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 yield pa.record_batch(
-                    [pa.array([False] * n), pa.array(deal.astype(np.int64)), batch.column(id_col).cast(pa.int64()), pa.array([part] * n, pa.int32()), pa.array(cls, pa.int64()), pa.array(rows), pa.array(chars, pa.int64()), empty, empty, pa.nulls(n, pa.binary())],
+                    [pa.array([False] * n), pa.array(deal.astype(np.int64)), batch.column(id_col).cast(pa.int64()), pa.array([part] * n, pa.int32()), pa.array(cls, pa.int64()), pa.array(rows), pa.array(chars, pa.int64()), empty, empty, pa.nulls(n, pa.binary()), batch.column("tag")],
                     schema=local,
                 )
                 row0 += n
@@ -213,28 +213,28 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id",
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, verdict, strict=True)], schema=verdict)
             for b in passed:
                 void = lambda kind, n=len(b): pa.nulls(n, kind)
-                yield pa.record_batch([b.column(x) for x in ("is_class", "id", "part", "class", "row", "n_chars")] + [void(pa.int64()), void(pa.int32()), void(pa.int64()), void(pa.int64()), void(pa.string())], schema=verdict)
+                yield pa.record_batch([b.column(x) for x in ("is_class", "id", "part", "class", "row", "n_chars")] + [void(pa.int64()), void(pa.int32()), void(pa.int64()), void(pa.int64()), void(pa.string()), b.column("tag")], schema=verdict)
             passed.clear()
 
         with tempfile.TemporaryDirectory(prefix="grace-") as scratch:
             for content, tags, n, best in grace(records(), budget, Path(scratch)):
                 sha = hashlib.sha256(content).hexdigest()
-                out += [(True, None, part, cls, None, None, best[1], best[2], best[3], n, sha) for part, cls in tags]
+                out += [(True, None, part, cls, None, None, best[1], best[2], best[3], n, sha, None) for part, cls in tags]
                 if len(out) >= 5_000:
                     yield from flush()
             yield from flush()
 
-    small = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    small = docs.select(F.col(id_col).cast("long").alias(id_col), text_col, (F.col(tag_col) if tag_col else F.lit(None)).cast("long").alias("tag"))
     dealt = small.mapInArrow(collapse, LOCAL).repartition(partitions(docs.sparkSession), "deal")
     table, _ = stored(dealt.mapInArrow(deduplicate, VERDICT), "grace-dedup")
     classes = table.where("is_class").select("part", "class", "keep_id", "keep_part", "keep_row", "group_size", "sha")
     return (
-        table.where("not is_class").select("id", "part", "class", "row", "n_chars")
+        table.where("not is_class").select("id", "part", "class", "row", "n_chars", "tag")
         .join(classes, ["part", "class"])
         .select(
             F.col("id").alias(id_col), "keep_id", "group_size",
             ((F.col("part") == F.col("keep_part")) & (F.col("row") == F.col("keep_row"))).alias("kept"),
-            F.col("sha").alias("text_sha256"), "n_chars", "part", "row",
+            F.col("sha").alias("text_sha256"), "n_chars", "part", "row", "tag",
         )
     )
 

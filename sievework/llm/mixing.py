@@ -23,17 +23,17 @@ from sievework.llm.common import arrow_schema, partitions, small_batches, stored
 KNAPSACK = 1 << 16
 
 
-def with_sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """id, source and the number of words [^\\x20\\x09-\\x0D]+ of the whole text (null: 0)."""
-    ddl = "id long, source string, size long"
+def with_sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str, tag_col: str | None) -> DataFrame:
+    """id, source, tag and the number of words [^\\x20\\x09-\\x0D]+ of the whole text (null: 0)."""
+    ddl = "id long, source string, size long, tag long"
     schema = arrow_schema(ddl)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in small_batches(big, "text"):
-                yield pa.record_batch([batch.column("id"), batch.column("source"), pa.array(np.diff(word_spans(*text_bytes(batch.column("text")))[2]).astype(np.int64))], schema=schema)
+                yield pa.record_batch([batch.column("id"), batch.column("source"), pa.array(np.diff(word_spans(*text_bytes(batch.column("text")))[2]).astype(np.int64)), batch.column("tag")], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).mapInArrow(count, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), (F.col(tag_col) if tag_col else F.lit(None)).cast("long").alias("tag")).mapInArrow(count, ddl)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -112,16 +112,17 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    tag_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken (words, repeats counted), copies.
+    """One row per document: id, source, size, source_size, target, taken (words, repeats counted), copies, tag.
 
     A document's size is its number of words; null and empty texts have none and are never taken in the rest. A
     null source is a source of its own, last in order; a null id is an id like any other. Rows that agree in id,
-    source and size are interchangeable. The same rows and seed give the same mix. Other columns are ignored; an
+    source and size are interchangeable. tag_col, a long, comes back as tag, so that rows can be told apart. The same rows and seed give the same mix. Other columns are ignored; an
     empty table gives an empty one. most must be a whole number: no document is taken more often.
     """
     spark = docs.sparkSession
-    sized, _ = stored(with_sizes(docs, id_col, source_col, text_col), "mix-sizes")
+    sized, _ = stored(with_sizes(docs, id_col, source_col, text_col, tag_col), "mix-sizes")
     histogram = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     goal = targets(sized, weights, share, most)
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
@@ -140,10 +141,10 @@ def mix_sources(
     plan, _ = stored(fitted, "mix-plan")
     # documents of one source and size in about as many buckets of the hash as a bucket has documents
     chance = F.xxhash64(F.lit(seed), F.col("id"))
-    joined = sized.join(plan, same(sized, plan, "source", "size")).select(sized["id"], sized["source"], sized["size"], "n", "source_size", "target", "epochs", "extra").withColumn("chance", chance)
+    joined = sized.join(plan, same(sized, plan, "source", "size")).select(sized["id"], sized["source"], sized["size"], sized["tag"], "n", "source_size", "target", "epochs", "extra").withColumn("chance", chance)
     buckets = F.when(F.col("n") > 64, F.ceil(F.sqrt("n"))).otherwise(1).cast("long")
     spread = joined.withColumn("bucket", F.pmod(F.shiftrightunsigned("chance", 11), buckets)).repartition(partitions(spark), "source", "size", "bucket")
-    in_bucket = Window.partitionBy("source", "size", "bucket").orderBy("chance", F.col("id").asc_nulls_last())
+    in_bucket = Window.partitionBy("source", "size", "bucket").orderBy("chance", F.col("id").asc_nulls_last(), "tag")
     ranked = spread.withColumn("rank", F.row_number().over(in_bucket))
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = spread.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("here"))
@@ -151,6 +152,6 @@ def mix_sources(
     copies = F.col("epochs") + F.when(F.col("rank") + F.col("before") <= F.col("extra"), 1).otherwise(0)
     return (
         ranked.join(counts, same(ranked, counts, "source", "size", "bucket"))
-        .select(ranked["id"].alias(id_col), ranked["source"].alias(source_col), ranked["size"], "source_size", "target", copies.cast("int").alias("copies"))
+        .select(ranked["id"].alias(id_col), ranked["source"].alias(source_col), ranked["size"], "source_size", "target", copies.cast("int").alias("copies"), "tag")
         .withColumn("taken", F.col("size") * F.col("copies"))
     )

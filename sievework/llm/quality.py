@@ -129,17 +129,17 @@ def score_quality(docs: DataFrame, trees: Trees, bar: float = 0.3, id_col: str =
     Scores depend on the whole text alone; null counts as empty and is scored like any text. Ids may be null or
     repeat; an empty table gives an empty one. One narrow pass.
     """
-    kept = docs.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).alias("__text"))
-    fields = [f for f in kept.schema.fields if f.name != "__text"]
-    names = [f.name for f in fields]
+    names = list(dict.fromkeys((id_col, *keep)))
+    kept = docs.select(*dict.fromkeys((*names, text_col)))
+    fields = [f for f in kept.schema.fields if f.name in names]
     out = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     known = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         for big in batches:
-            for batch in small_batches(big, "__text", 4 << 20):
-                s = model.score(document_statistics(*text_bytes(batch.column("__text"))))
+            for batch in small_batches(big, text_col, 4 << 20):
+                s = model.score(document_statistics(*text_bytes(batch.column(text_col))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s), pa.array((s >= bar).astype(np.int32))], [*names, "score", "predicted"])
 
     return kept.mapInArrow(score, out)

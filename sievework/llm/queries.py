@@ -16,6 +16,8 @@ from sievework.llm.packing import pack_power_of_two
 from sievework.llm.quality import fold, score_quality, train_quality
 from sievework.llm.repair import read_token_shards, write_token_shards
 from sievework.llm.secrets import find_secrets
+from sievework.llm.warc import ORACLE_SQL as OP4_SQL
+from sievework.llm.warc import captures_of, resolve_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,12 @@ def op3_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures_of(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform("headers", lambda e: F.concat(e["name"], F.lit(": "), e["value"])), "\n")
+    return found.withColumn("headers", lines)
+
+
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_gbt_quality": op2_gbt_quality,
     "op3_token_efficiency_secrets": op3_token_efficiency_secrets,
+    "op4_revisit_resolution": op4_revisit_resolution,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op6_grace_exact_dedup": op6_grace_exact_dedup,
     "op7_interleaved_media": op7_interleaved_media,
@@ -101,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_subset_sum_mix": op10_subset_sum_mix,
 }
 
-ORACLE: dict[str, str] = {"op6_grace_exact_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_revisit_resolution": OP4_SQL, "op6_grace_exact_dedup": OP6_SQL}
