@@ -4,11 +4,10 @@ Sets of shingles that reach the threshold share a shingle in their prefixes, wha
 the one order is in which all sets are sorted; here shingles known to be frequent come
 last, by their counts, and all others by hash. Documents with one set are one node.
 Nodes with identical prefixes and sizes are one group, and only groups go into the
-inverted lists. Groups that meet in a list are linked to one hub of that list first;
-their nodes are expanded and verified on complete sets. Lists that then still hold
-nodes of several components give all their pairs across components, which are
-verified too. So no link between different components is lost, while a group of
-near copies costs links to hubs, not all pairs.
+inverted lists. Lists with the same least group are one bundle. A bundle's groups are
+expanded to nodes; those without a partner whose size and sketch allow a link leave, and
+the others are verified on complete sets. A bundle reports links that join its nodes'
+components, never all its pairs, and no link between different components is lost.
 
 Numbers of shingles travel as packed arrays: a row for each range of hashes that a
 batch of documents has, never a row for each shingle.
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_schema, binary_rows, mix, partitions, shingle_sets, small_batches, stored, text_bytes
+from sievework.llm.common import arrow_schema, binary_rows, mix, partitions, ragged, shingle_sets, small_batches, stored, text_bytes
 from sievework.llm.components import connected_components
 
 #: Shingles in at least this many documents may count as frequent.
@@ -37,6 +36,9 @@ BLOCK = 8192
 #: 64-bit words of the filter that tells which nodes' sets are wanted.
 FILTER_WORDS = 1 << 20
 
+#: Bytes of text that are hashed at once.
+SLICE = 2 << 20
+
 _ENTRY = np.dtype([("fp", "<u4"), ("n", "<u4"), ("group", "<u8")])
 _U = np.uint64
 
@@ -100,7 +102,7 @@ def frequent_shingles(texts: DataFrame, size: int, least: int = HOT_FROM, most:
 
         n = 0
         for big in batches:
-            for batch in small_batches(big, "text"):
+            for batch in small_batches(big, "text", SLICE):
                 sets, _ = shingle_sets(*text_bytes(batch.column("text")), size)
                 held.append(sets)
                 n += len(sets)
@@ -173,14 +175,36 @@ class Order:
         return sets[pick], ends, often[pick]
 
 
+# --- bounds on overlaps ------------------------------------------------------
+
+
+def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set, how many elements fall into each of 2^k buckets by their low bits, about two to four a bucket.
+
+    The sum of the lesser counts bounds the overlap of two sets from above. A set with a count that a byte can't
+    hold has an empty sketch, which bounds nothing.
+    """
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        size = max(16, 1 << max(0, (b - a).bit_length() - 2))
+        c = np.bincount((sets[a:b] & _U(size - 1)).astype(np.int64), minlength=size)
+        out.append(c.astype(np.uint8).tobytes() if c.max() < 256 else b"")
+    return out
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch, or rows of them, with `size` buckets."""
+    return sketch.reshape(*sketch.shape[:-1], -1, size).sum(-2, dtype=np.uint16)
+
+
 # --- inverted lists of groups ------------------------------------------------
 
-NODES = "is_list boolean, bucket long, id long, n int, node binary, grp long, entries binary"
-LISTS = "kind int, id long, n int, node binary, grp long, other long, members binary"
+NODES = "is_list boolean, bucket long, id long, n int, node binary, grp long, packed binary"
+LISTS = "is_entry boolean, id long, n int, node binary, grp long, bundle long, packed binary"
 
 
 def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """kind 0: a document (id, n, node, grp); 1: a list of two or more groups (grp its key, members); 2: two groups to compare."""
+    """Documents (id, n, node, grp, its sketch) and, where is_entry, groups of bundles (grp, bundle)."""
     spark = texts.sparkSession
     bits = _bits(spark)
     keys, counts = frequent_shingles(texts, size)
@@ -220,7 +244,7 @@ def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame
 
         waiting = 0
         for big in batches:
-            for batch in small_batches(big, "text"):
+            for batch in small_batches(big, "text", SLICE):
                 sets, at = shingle_sets(*text_bytes(batch.column("text")), size)
                 n = np.diff(at)
                 tokens, ends, often = order.prefixes(sets, at, num, den)
@@ -228,7 +252,7 @@ def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame
                 yield pa.record_batch(
                     [
                         pa.array([False] * len(n)), pa.array((mix(np.arange(row, row + len(n), dtype=np.uint64) + (_U(part) << _U(32))) >> _U(1)).astype(np.int64)),
-                        batch.column("id"), pa.array(n.astype(np.int32)), _key_column(set_keys(sets, at), n == 0), pa.array(group.astype(np.int64)), pa.nulls(len(n), pa.binary()),
+                        batch.column("id"), pa.array(n.astype(np.int32)), _key_column(set_keys(sets, at), n == 0), pa.array(group.astype(np.int64)), pa.array(sketches(sets, at), pa.binary()),
                     ],
                     schema=nodes_schema,
                 )
@@ -250,62 +274,39 @@ def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame
             one = batch.column("is_list").to_numpy(zero_copy_only=False)
             docs = batch.filter(pa.array(~one))
             k = len(docs)
-            yield pa.record_batch([pa.array([0] * k, pa.int32()), docs.column("id"), docs.column("n"), docs.column("node"), docs.column("grp"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=lists_schema)
+            yield pa.record_batch([pa.array([False] * k), docs.column("id"), docs.column("n"), docs.column("node"), docs.column("grp"), pa.nulls(k, pa.int64()), docs.column("packed")], schema=lists_schema)
             lists = batch.filter(pa.array(one))
-            for b, e in zip(lists.column("bucket").to_pylist(), lists.column("entries").to_pylist(), strict=True):
+            for b, e in zip(lists.column("bucket").to_pylist(), lists.column("packed").to_pylist(), strict=True):
                 buckets.setdefault(b, []).append(e)
-        seen: set[int] = set()
-        pairs: list[np.ndarray] = []
+        found: list[np.ndarray] = []
         while buckets:
-            entries = np.frombuffer(b"".join(buckets.popitem()[1]), _ENTRY)
-            keys, members, hubs = lists_of(entries, num, den, seen)
-            if keys:
-                k = len(keys)
-                yield pa.record_batch([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(keys, pa.int64()), pa.nulls(k, pa.int64()), pa.array(members, pa.binary())], schema=lists_schema)
-            pairs.append(hubs)
-        if pairs:
-            both = np.unique(np.concatenate(pairs), axis=0)
-            k = len(both)
-            yield pa.record_batch([pa.array([2] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64)), pa.nulls(k, pa.binary())], schema=lists_schema)
+            found.append(bundles_of(np.frombuffer(b"".join(buckets.popitem()[1]), _ENTRY)))
+        if found:
+            both = _distinct(np.concatenate(found))
+            for a in range(0, len(both), 100_000):
+                some = both[a : a + 100_000].astype(np.int64)
+                k = len(some)
+                yield pa.record_batch([pa.array([True] * k), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(some[:, 1]), pa.array(some[:, 0]), pa.nulls(k, pa.binary())], schema=lists_schema)
 
     dealt = texts.mapInArrow(enter, NODES).repartition(partitions(spark), "bucket")
     return stored(dealt.mapInArrow(meet, LISTS), "inverted-lists")[0]
 
 
-def lists_of(entries: np.ndarray, num: int, den: int, seen: set[int]) -> tuple[list[int], list[bytes], np.ndarray]:
-    """Of one bucket: keys and members (n and group) of lists not seen yet, and pairs of a hub and a group of like size.
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    return np.unique(np.ascontiguousarray(pairs).view([("a", "<u8"), ("b", "<u8")])).view(np.uint64).reshape(-1, 2)
 
-    In a list by size, a hub is the least of a run of groups whose sizes don't forbid a link of any two of them.
-    """
+
+def bundles_of(entries: np.ndarray) -> np.ndarray:
+    """Of one bucket: rows of a bundle (the least group of a list of two or more) and a group of that list."""
     by = np.lexsort((entries["group"], entries["fp"]))
     e = entries[by]
     fresh = np.ones(len(e), bool)
     fresh[1:] = (e["fp"][1:] != e["fp"][:-1]) | (e["group"][1:] != e["group"][:-1])
-    e = e[fresh]
-    heads = np.flatnonzero(np.concatenate(([True], e["fp"][1:] != e["fp"][:-1])))
-    ends = np.concatenate((heads[1:], [len(e)]))
-    many = ends - heads > 1
-    heads, ends = heads[many], ends[many]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(e["group"]))))
-    key = mix(sums[ends] - sums[heads] + (ends - heads).astype(np.uint64))
-    _, first = np.unique(key, return_index=True)
-    keys, members, hubs = [], [], []
-    for i in first.tolist():
-        k = int(key[i].astype(np.int64))
-        if k in seen:
-            continue
-        seen.add(k)
-        own = e[heads[i] : ends[i]][["n", "group"]]
-        keys.append(k)
-        members.append(own.tobytes())
-        own = own[np.argsort(own["n"], kind="stable")]
-        n, at = own["n"].astype(np.int64), 0
-        while at < len(own):
-            to = int(np.searchsorted(n, n[at] * den // num, "right"))
-            run = np.sort(own["group"][at:to])
-            hubs.append(np.stack((np.full(len(run) - 1, run[0]), run[1:]), 1))
-            at = to
-    return keys, members, np.concatenate(hubs) if hubs else np.zeros((0, 2), np.uint64)
+    fp, group = e["fp"][fresh], e["group"][fresh]
+    heads = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+    size = np.diff(np.concatenate((heads, [len(fp)])))
+    heads, size = heads[size > 1], size[size > 1]
+    return _distinct(np.stack((np.repeat(group[heads], size), group[ragged(heads, size)]), 1)) if len(heads) else np.zeros((0, 2), np.uint64)
 
 
 # --- verification ------------------------------------------------------------
@@ -322,19 +323,15 @@ def _wanted(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those pairs of nodes (a, b) whose complete sets reach the threshold."""
-    spark = texts.sparkSession
-    both = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    wanted = spark.sparkContext.broadcast(_wanted(both))
+def complete_sets(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """node and its elements (sorted uint64), of all given nodes and perhaps a few others."""
+    wanted = texts.sparkSession.sparkContext.broadcast(_wanted(nodes))
     schema = arrow_schema("node binary, elements binary")
-    ddl = "a binary, b binary"
-    out_schema = arrow_schema(ddl)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, given = wanted.value, set()
         for big in batches:
-            for batch in small_batches(big, "text"):
+            for batch in small_batches(big, "text", SLICE):
                 sets, at = shingle_sets(*text_bytes(batch.column("text")), size)
                 keys = set_keys(sets, at)
                 h = spark_xxhash64_of_16(keys)
@@ -349,22 +346,72 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
                 if rows:
                     yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], schema=schema)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                every = np.concatenate((p, q))
-                every.sort(kind="stable")
-                common = int((every[1:] == every[:-1]).sum())
-                keep.append(den * common >= num * (len(every) - common))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], schema=out_schema).filter(pa.array(keep, pa.bool_()))
-
-    sets = texts.mapInArrow(sets_of, "node binary, elements binary").dropDuplicates(["node"])
-    sets, _ = stored(sets.repartition(partitions(spark), "node"), "shingle-sets", "lz4")
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b")), "b")
-    with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a")), "a")
-    return with_a.select("a", "b", "of_a", "of_b").mapInArrow(compare, ddl)
+    return texts.mapInArrow(sets_of, "node binary, elements binary").dropDuplicates(["node"])
+
+
+def _promising(num: int, den: int):
+    def nodes(table: pa.Table) -> pa.Table:
+        """Of one bundle: the nodes with a partner whose size and sketch allow a link."""
+        n = table["n"].to_numpy().astype(np.int64)
+        by = np.argsort(n, kind="stable")
+        n = n[by]
+        marks = [table["sketch"][i].as_py() for i in by.tolist()]
+        to = np.searchsorted(n, n * den // num, "right")
+        width = np.array([len(m) for m in marks])
+        stay = np.zeros(len(n), bool)
+        for w in np.unique(width).tolist():  # the smaller of a pair sets the width, and the larger one's is that or twice that
+            first = np.flatnonzero(width == w)
+            near = np.flatnonzero((width == w) | (width == 2 * w)) if w else np.arange(len(n))
+            rows = np.stack([folded(np.frombuffer(marks[j], np.uint8), w) for j in near.tolist()]) if w else None
+            for i, k in zip(first.tolist(), np.searchsorted(near, first).tolist(), strict=True):
+                last = int(np.searchsorted(near, to[i]))
+                if rows is None:  # an empty sketch bounds nothing
+                    stay[i] |= to[i] > i + 1
+                    stay[i + 1 : to[i]] = True
+                    stay[np.flatnonzero((to > i) & (np.arange(len(n)) < i))] = True
+                elif last > k + 1:
+                    common = np.minimum(rows[k], rows[k + 1 : last]).sum(1, dtype=np.int64)
+                    hit = near[k + 1 : last][(num + den) * common >= num * (n[i] + n[near[k + 1 : last]])]
+                    if len(hit):
+                        stay[i] = True
+                        stay[hit] = True
+        if (width == 0).any():
+            stay[width == 0] = True
+        return table.select(["bundle", "node"]).take(pa.array(by[stay]))
+
+    return nodes
+
+
+def _linked(num: int, den: int):
+    def links(table: pa.Table) -> pa.Table:
+        """Of one bundle: verified links, each of which joins two of its components."""
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"]]
+        n = np.array([len(x) for x in sets], np.int64)
+        by = np.argsort(n, kind="stable")
+        n = n[by]
+        at = np.concatenate(([0], np.cumsum(n)))
+        values, codes = np.unique(np.concatenate([sets[i] for i in by.tolist()]), return_inverse=True)
+        to = np.searchsorted(n, n * den // num, "right")
+        root = np.arange(len(n))
+        has = np.zeros(len(values), bool)
+        a, b = [], []
+        for i in range(len(n)):
+            last = int(to[i])
+            if last <= i + 1 or (root[i + 1 : last] == root[i]).all():
+                continue
+            mine = codes[at[i] : at[i + 1]]
+            has[mine] = True
+            common = np.add.reduceat(has[codes[at[i + 1] : at[last]]], at[i + 1 : last] - at[i + 1], dtype=np.int64)
+            has[mine] = False
+            for j in (i + 1 + np.flatnonzero(den * common >= num * (n[i] + n[i + 1 : last] - common))).tolist():
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    a.append(i)
+                    b.append(j)
+        node = table["node"]
+        return pa.table([node.take(pa.array(by[x].astype(np.int64))) if len(x) else pa.array([], pa.binary()) for x in (np.array(a, np.int64), np.array(b, np.int64))], names=["a", "b"])
+
+    return links
 
 
 def spark_xxhash64_of_16(keys: np.ndarray) -> np.ndarray:
@@ -394,65 +441,16 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = inverted_lists(texts.select("id", "text"), size, num, den)
-    rows = table.where("kind = 0").select("id", "n", "node", "grp")
-    nodes, _ = stored(rows.where("node is not null").groupBy("node").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("id").alias("least_id")), "nodes")
-    lists = table.where("kind = 1").select(F.col("grp").alias("list"), "members").dropDuplicates(["list"])
-    groups = nodes.groupBy("grp").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("nodes"))
-    # first pass: every list's hub with the others, and every group's first node with the others
-    met = table.where("kind = 2").select("grp", "other").distinct()
-    other = groups.select(F.col("grp").alias("other"), F.col("hub").alias("b"))
-    between = met.join(groups.select("grp", F.col("hub").alias("a")), "grp").join(other, "other").select("a", "b")
-    within = nodes.join(groups.where("nodes > 1").select("grp", F.col("hub").alias("a")), "grp").select("a", F.col("node").alias("b")).where("a <> b")
-    tried, _ = stored(between.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "hub-pairs")
-    links, _ = stored(verified(tried, texts, size, num, den), "links")
-    labelled, _ = stored(nodes.join(connected_components(links), "node", "left").select("node", "grp", "n", F.coalesce("root", "node").alias("root")), "labels")
-    # second pass: lists and groups that still hold nodes of several components
-    members = lists.mapInArrow(_members, "list long, grp long").join(labelled, "grp").select("list", "node", "n", "root")
-    own = labelled.join(groups.where("nodes > 1").select("grp"), "grp").select(F.col("grp").alias("list"), "node", "n", "root")
-    entries, _ = stored(members.union(own), "list-members")
-    mixed = entries.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
-    crossing = entries.join(mixed, "list").groupBy("list").applyInArrow(_crossing(num, den), "a binary, b binary")
-    untried, _ = stored(crossing.distinct().join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
-    if not untried.isEmpty():
-        more, _ = stored(verified(untried, texts, size, num, den), "links")
-        roots = connected_components(links.union(more))
-        labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    least = labelled.select("node", "root").join(nodes.select("node", "least_id"), "node")
+    rows = table.where("not is_entry").select("id", "n", "node", "grp")
+    named = table.where("not is_entry and node is not null")
+    nodes, _ = stored(named.groupBy("node").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("id").alias("least_id"), F.min("packed").alias("sketch")), "nodes")
+    several = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("grp", F.col("grp").alias("bundle"))
+    entries = table.where("is_entry").select("grp", "bundle").union(several).distinct()
+    expanded = entries.join(nodes.select("grp", "node", "n", "sketch"), "grp").select("bundle", "node", "n", "sketch")
+    promising, _ = stored(expanded.groupBy("bundle").applyInArrow(_promising(num, den), "bundle long, node binary"), "promising")
+    sets = complete_sets(promising.select("node"), texts, size)
+    links, _ = stored(promising.join(sets, "node").groupBy("bundle").applyInArrow(_linked(num, den), "a binary, b binary"), "links")
+    least = nodes.join(connected_components(links), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node, _ = stored(least.select("node", "root").join(of_root, "root").select("node", "component_id"), "components")
     return rows.join(by_node, "node", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-_MEMBER = np.dtype({"names": ["n", "group"], "formats": ["<u4", "<u8"], "offsets": [4, 8], "itemsize": 16})
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema_of_members
-    for batch in batches:
-        for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            group = np.frombuffer(packed, _MEMBER)["group"].astype(np.int64)
-            yield pa.record_batch([pa.array(np.full(len(group), key, np.int64)), pa.array(group)], schema=schema)
-
-
-arrow_schema_of_members = pa.schema([("list", pa.int64()), ("grp", pa.int64())])
-
-
-def _crossing(num: int, den: int):
-    def pairs(table: pa.Table) -> pa.Table:
-        """Pairs of one list's nodes that have different roots and sizes that allow a link, the smaller node first."""
-        n = table["n"].to_numpy().astype(np.int64)
-        by = np.argsort(n, kind="stable")
-        n = n[by]
-        names = table["node"].to_pylist()
-        roots = np.unique(np.array([x.hex() for x in table["root"].to_pylist()]), return_inverse=True)[1][by]
-        a: list[bytes] = []
-        b: list[bytes] = []
-        to = np.searchsorted(n, n * den // num, "right")
-        for i in range(len(n)):
-            for j in (i + 1 + np.flatnonzero(roots[i + 1 : to[i]] != roots[i])).tolist():
-                x, y = names[by[i]], names[by[j]]
-                a.append(min(x, y))
-                b.append(max(x, y))
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return pairs
