@@ -78,6 +78,7 @@ def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_at = np.flatnonzero(breaks)
     first = np.unique(np.concatenate((offsets[:-1][size > 0], line_at[line_at + 1 < len(data)] + 1)))
     stop = np.concatenate((first[1:], [len(data)]))
+    stop = stop - (data[stop - 1] == 10)
     whole = word_hashes(data, first, stop)
     line_of = np.searchsorted(first, offsets)
     distinct, _ = _distinct(whole, line_of)
