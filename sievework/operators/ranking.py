@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queries that are compared with a vector at once.
+QUERY_BLOCK = 4_096
+
+
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """rank 1 to k within each group; limited before the shuffle by the planner."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
@@ -46,14 +50,22 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, rank of the k vectors nearest to each query by cosine, ties by id; a vector isn't its own neighbour.
 
-    queries is a stated, small set that is compared with all vectors in blocks; both sides carry unit vectors, so a
-    pair costs one dot product.
+    queries is a stated set that is compared with all vectors, in blocks of QUERY_BLOCK: a block is what a task
+    of the join holds of it, broadcast if there is just one. Both sides carry unit vectors, so a pair costs one dot
+    product, and each side of the join by block is dealt by vector too.
     """
     unit = lambda c: F.transform(c, lambda v: v.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
+    n_blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
+    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"), block.alias("block"))
     v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", dot.alias("score"))
+    if n_blocks == 1:
+        both = v.join(F.broadcast(q.drop("block")), F.col("query_id") != F.col("vec_id"))
+    else:
+        every = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
+        both = every.join(q.hint("shuffle_hash"), "block").where("query_id <> vec_id")
+    pairs = both.select("query_id", "vec_id", dot.alias("score"))
     return top_k(pairs, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
@@ -82,7 +94,13 @@ def cut_to_budget(blocks: DataFrame, by: list[str], order: list[Column], text: s
 
 
 def search_fallback(queries: DataFrame, hits: DataFrame, names: DataFrame, k: int) -> DataFrame:
-    """For queries (query_id, term) without hits: the first k names (name, pos) that contain one of their terms."""
-    open_ = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    found = open_.join(names, F.contains(F.lower("name"), F.lower("term"))).select("query_id", "name", "pos").distinct()
+    """For queries (query_id, term) without hits: the first k names (name, pos) that contain one of their terms, in any case.
+
+    The join is by the first three characters of a term, or all of a shorter one, among all such pieces of a name.
+    """
+    open_ = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").where("term <> ''").withColumn("piece", F.lower(F.substring("term", 1, 3)))
+    at = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
+    grams = [F.transform(at, lambda i, n=n: F.substring(F.lower("name"), i, F.lit(n))) for n in (1, 2, 3)]
+    pieces = names.select("name", "pos", F.explode(F.array_distinct(F.concat(*grams))).alias("piece"))
+    found = open_.join(pieces, "piece").where(F.contains(F.lower("name"), F.lower("term"))).select("query_id", "name", "pos").distinct()
     return top_k(found, ["query_id"], [F.col("pos")], k)
