@@ -19,11 +19,16 @@ from sievework.llm.packing import pack_power_of_two
 from sievework.llm.quality import score_quality, train_quality
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with the place of each row; docs are read from files, so that reading them again gives the same places."""
-    name = "_row"
+def _free(name: str, docs: DataFrame) -> str:
+    """name, made longer until docs has no such column."""
     while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the place of each row; docs are read from files, so that reading them again gives the same places."""
+    name = _free("_row", docs)
     return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
@@ -53,9 +58,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: not at all, once or twice."""
     rows, row = _numbered(docs)
-    copies = mix_sources(rows, tag_col=row).where("copies > 0").select(F.col("tag").alias(row), F.sequence(F.lit(1), "copies").alias("_copies_"))
-    taken = rows.join(copies, row).withColumn("_copies_", F.explode("_copies_"))
-    return taken.select(*docs.columns)
+    often = _free("_copies", rows)
+    copies = mix_sources(rows, tag_col=row).where("copies > 0").select(F.col("tag").alias(row), F.sequence(F.lit(1), "copies").alias(often))
+    return rows.join(copies, row).withColumn(often, F.explode(often)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
