@@ -100,7 +100,8 @@ def search_fallback(queries: DataFrame, hits: DataFrame, names: DataFrame, k: in
     """
     open_ = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").where("term <> ''").withColumn("piece", F.lower(F.substring("term", 1, 3)))
     at = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
-    grams = [F.transform(at, lambda i, n=n: F.substring(F.lower("name"), i, F.lit(n))) for n in (1, 2, 3)]
+    grams = [F.expr(f"transform(_at, i -> substring(lower(name), i, {n}))") for n in (1, 2, 3)]
+    names = names.withColumn("_at", at)
     pieces = names.select("name", "pos", F.explode(F.array_distinct(F.concat(*grams))).alias("piece"))
     found = open_.join(pieces, "piece").where(F.contains(F.lower("name"), F.lower("term"))).select("query_id", "name", "pos").distinct()
     return top_k(found, ["query_id"], [F.col("pos")], k)
