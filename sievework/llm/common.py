@@ -7,8 +7,11 @@ cluster shares, view Arrow string columns as numpy bytes, and hash words.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,29 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, st
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_owner: list[str] = []
+_held: list[Callable[[], None]] = []
+
+
+def release_with_owner(release: Callable[[], None]) -> None:
+    """Has release called in a Python worker when it turns from one operator to another."""
+    _held.append(release)
+
+
+def take_over(owner: str) -> None:
+    """Called as an operator starts in a Python worker, which Spark uses again and again: what another operator has kept there goes."""
+    if _owner == [owner]:
+        return
+    if _owner:
+        for release in _held:
+            release()
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _owner[:] = [owner]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -118,8 +144,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, np.int64)
-    before = np.cumsum(lengths) - lengths
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
+    shift = starts - (np.cumsum(lengths) - lengths)
+    narrow = total < 2**31 and -(2**31) < int(shift.min()) and int(shift.max()) + total < 2**31
+    kind = np.int32 if narrow else np.int64
+    out = np.repeat(shift.astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 # --- words and shingles as 64-bit hashes -----------------------------------
@@ -129,6 +159,8 @@ _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _STEP = [np.uint64(int(x) | 1) for x in np.random.RandomState(11).randint(1, 2**62, 16)]
 _powers: dict[str, np.ndarray] = {}
+#: Bytes whose words are hashed at once; only a longer word takes more.
+WINDOW = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,7 +182,7 @@ _IS_SPACE[list(SPACE_BYTES)] = True
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(2 * WINDOW, 1 << (n - 1).bit_length())
         for key, base in (("up", _R), ("down", _R_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -181,14 +213,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the words, A-Z folded to a-z, mixed with their lengths."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP[8])
+    """Polynomial hashes of the words, A-Z folded to a-z, mixed with their lengths; in windows of about WINDOW bytes."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + WINDOW, "right")))
+        high = int(ends[j - 1])
+        up, down = _power_tables(high - low + 1)
+        sums = np.empty(high - low + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTES[data[low:high]] * up[: high - low], out=sums[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _STEP[8])
+        i = j
+    return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import _IS_SPACE, arrow_schema, partitions, small_batches, stored, text_bytes
+from sievework.llm.common import _IS_SPACE, arrow_schema, partitions, small_batches, stored, take_over, text_bytes
 
 LOCAL = "is_class boolean, deal long, id long, part int, class long, row long, n_chars long, n long, hash long, content binary, tag long"
 VERDICT = "is_class boolean, id long, part int, class long, row long, n_chars long, keep_id long, keep_part int, keep_row long, group_size long, sha string, tag long"
@@ -140,6 +140,7 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id",
     local, verdict = arrow_schema(LOCAL), arrow_schema(VERDICT)
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         part, table, first, row0, size = TaskContext.get().partitionId(), ContentTable(), 0, 0, 0
         counts: list[int] = []
         best: list[tuple] = []
@@ -194,6 +195,7 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id",
         yield from classes()
 
     def deduplicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         passed: list[pa.RecordBatch] = []
 
         def records() -> Iterator[tuple]:

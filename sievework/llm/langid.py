@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import _BYTES, arrow_schema, mix, small_batches, text_bytes
+from sievework.llm.common import _BYTES, arrow_schema, mix, small_batches, take_over, text_bytes
 from sievework.llm.quality import fold
 
 #: Families of common ISO 639-1 codes; any other code is a family of its own.
@@ -177,6 +177,7 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = arrow_schema(ddl)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         for big in batches:
             for batch in small_batches(big, "text", 4 << 20):
                 data, at = text_bytes(batch.column("text"))
@@ -200,6 +201,7 @@ def predict_languages(docs: DataFrame, model: Hierarchy, id_col: str = "doc_id",
     schema = arrow_schema(ddl)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         for big in batches:
             for batch in small_batches(big, text_col, 2 << 20):
                 data, at = text_bytes(batch.column(text_col))

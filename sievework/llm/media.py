@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_schema, small_batches, stored, text_bytes
+from sievework.llm.common import arrow_schema, small_batches, stored, take_over, text_bytes
 
 #: Samples of a row: 64 pixels of 3.
 ROW = 192
@@ -150,6 +150,7 @@ def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         for big in batches:
             for batch in small_batches(big, html_col, 4 << 20):
                 yield pa.record_batch([batch.column(id_col).cast(pa.int64()), pa.array([items_of(h) for h in batch.column(html_col).to_pylist()], schema.field("items").type)], schema=schema)
@@ -182,6 +183,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = arrow_schema(ddl)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         given: set[bytes] = set()
         for big in batches:
             for batch in small_batches(big, text_col, 4 << 20):
@@ -217,6 +219,7 @@ def media_facts(media: DataFrame) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         for batch in batches:
             rows = []
             for digest, png in zip(batch.column("digest").to_pylist(), batch.column("png"), strict=True):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_schema, partitions, small_batches, stored, text_bytes, word_spans
+from sievework.llm.common import arrow_schema, partitions, small_batches, stored, take_over, text_bytes, word_spans
 
 #: The dynamic programme's largest budget, in words.
 KNAPSACK = 1 << 16
@@ -29,6 +29,7 @@ def with_sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str, tag
     schema = arrow_schema(ddl)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         for big in batches:
             for batch in small_batches(big, "text"):
                 yield pa.record_batch([batch.column("id"), batch.column("source"), pa.array(np.diff(word_spans(*text_bytes(batch.column("text")))[2]).astype(np.int64)), batch.column("tag")], schema=schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_schema, binary_rows, mix, partitions, ragged, shingle_sets, small_batches, stored, text_bytes
+from sievework.llm.common import arrow_schema, binary_rows, mix, partitions, ragged, shingle_sets, small_batches, stored, take_over, text_bytes
 from sievework.llm.components import connected_components
 
 #: Shingles in at least this many documents may count as frequent.
@@ -79,6 +79,7 @@ def frequent_shingles(texts: DataFrame, size: int, least: int = HOT_FROM, most:
     found = arrow_schema("shingle long, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -113,6 +114,7 @@ def frequent_shingles(texts: DataFrame, size: int, least: int = HOT_FROM, most:
             yield flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for b, fps, more in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -212,6 +214,7 @@ def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame
     nodes_schema, lists_schema = arrow_schema(NODES), arrow_schema(LISTS)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         order, part, row = Order(*known.value, bits), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -269,6 +272,7 @@ def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         buckets: dict[int, list[bytes]] = {}
         for batch in batches:
             one = batch.column("is_list").to_numpy(zero_copy_only=False)
@@ -329,6 +333,7 @@ def complete_sets(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     schema = arrow_schema("node binary, elements binary")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         filter_, given = wanted.value, set()
         for big in batches:
             for batch in small_batches(big, "text", SLICE):
@@ -352,6 +357,7 @@ def complete_sets(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 def _promising(num: int, den: int):
     def nodes(table: pa.Table) -> pa.Table:
         """Of one bundle: the nodes with a partner whose size and sketch allow a link."""
+        take_over(__name__)
         n = table["n"].to_numpy().astype(np.int64)
         by = np.argsort(n, kind="stable")
         n = n[by]
@@ -385,6 +391,7 @@ def _promising(num: int, den: int):
 def _linked(num: int, den: int):
     def links(table: pa.Table) -> pa.Table:
         """Of one bundle: verified links, each of which joins two of its components."""
+        take_over(__name__)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"]]
         n = np.array([len(x) for x in sets], np.int64)
         by = np.argsort(n, kind="stable")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import arrow_schema, binary_rows, small_batches
+from sievework.llm.common import arrow_schema, binary_rows, small_batches, take_over
 from sievework.llm.tokenize import encoder, with_end
 
 #: Bits of a sequence_id: partition, then bucket, then place in that bucket.
@@ -61,6 +61,7 @@ def pack_power_of_two(
     schema = arrow_schema(ddl)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         encode, part = encoder(path, cut), TaskContext.get().partitionId()
         used, rows = np.zeros(longest.bit_length(), np.int64), 0
         for big in batches:

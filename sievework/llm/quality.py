@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import arrow_schema, small_batches, text_bytes
+from sievework.llm.common import arrow_schema, small_batches, take_over, text_bytes
 from sievework.llm.textstats import FEATURES, document_statistics
 
 #: No more labelled rows than this are fitted, chosen by a hash of their id.
@@ -98,8 +98,9 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         for big in batches:
-            for batch in small_batches(big, "text", 4 << 20):
+            for batch in small_batches(big, "text", 2 << 20):
                 x = document_statistics(*text_bytes(batch.column("text")))
                 yield pa.record_batch([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], schema=schema)
 
@@ -136,9 +137,10 @@ def score_quality(docs: DataFrame, trees: Trees, bar: float = 0.3, id_col: str =
     known = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         model = known.value
         for big in batches:
-            for batch in small_batches(big, text_col, 4 << 20):
+            for batch in small_batches(big, text_col, 2 << 20):
                 s = model.score(document_statistics(*text_bytes(batch.column(text_col))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s), pa.array((s >= bar).astype(np.int32))], [*names, "score", "predicted"])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_schema, small_batches, text_bytes
+from sievework.llm.common import arrow_schema, release_with_owner, small_batches, take_over, text_bytes
 
 #: In this order spans with one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -37,6 +37,7 @@ _LOWER[65:91] += 32
 #: Longer runs are encoded in pieces of so many characters; a piece's edge costs a token at most.
 PIECE = 2_000
 _vocabularies: dict[str, object] = {}
+release_with_owner(_vocabularies.clear)
 
 
 def _vocabulary(path: str):
@@ -85,6 +86,7 @@ def find_secrets(
     schema = arrow_schema(ddl)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         vocab = _vocabulary(path)
 
         def in_run(run: bytes, at: int) -> Iterator[tuple[int, int, int, float | None]]:
