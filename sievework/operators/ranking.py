@@ -12,7 +12,7 @@ QUERY_BLOCK = 4_096
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """rank 1 to k within each group; limited before the shuffle by the planner."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def terms_of(df: DataFrame, id_col: str, text_col: str, pattern: str = "[a-z]{4,}") -> DataFrame:

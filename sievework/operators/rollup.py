@@ -34,7 +34,7 @@ def mode_rollup(cells: DataFrame) -> DataFrame:
     evaluated, right = F.count("correct"), F.count_if(F.col("correct"))
     return cells.groupBy("mode").agg(
         n.alias("cells"), evaluated.alias("evaluated"), right.alias("correct"), F.when(evaluated > 0, F.round(right / evaluated, 4)).alias("correct_rate"),
-        F.sum("tokens").alias("total_tokens"), F.round(F.sum("tokens") / n, 1).alias("avg_tokens"), F.round(F.sum("cost") / n, 6).alias("avg_cost"),
+        F.sum("tokens").alias("total_tokens"), F.round(F.sum("tokens") / n, 1).alias("avg_tokens"), F.round(F.sum("cost") / n, 6).cast("double").alias("avg_cost"),
         F.round(F.avg("latency"), 2).alias("avg_latency"), cost_status(F.col("cost_status")).alias("cost_status"),
     )
 

@@ -214,7 +214,7 @@ def contract_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.detection_summary(gates.findings(gates.mutants(cases)))
 
 
-CONTRACT_DETECTION = "SELECT * FROM (VALUES ('clean', 2, 0, 0, 0, 0), ('hard', 12, 4, 12, 4, 12), ('soft', 2, 0, 2, 0, 2), ('residual', 2, 0, 0, 0, 0)) t(category, mutants, detected_before, detected_after, flagged_before, flagged_after)"
+CONTRACT_DETECTION = "SELECT category, mutants::BIGINT AS mutants, detected_before::BIGINT AS detected_before, detected_after::BIGINT AS detected_after, flagged_before::BIGINT AS flagged_before, flagged_after::BIGINT AS flagged_after FROM (VALUES ('clean', 2, 0, 0, 0, 0), ('hard', 12, 4, 12, 4, 12), ('soft', 2, 0, 2, 0, 2), ('residual', 2, 0, 0, 0, 0)) t(category, mutants, detected_before, detected_after, flagged_before, flagged_after)"
 
 
 def backend_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +293,7 @@ def scalar_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", typed_scalar(F.col("v")).alias("t")).select("id", "t.*")
 
 
-SCALAR_TYPES = "SELECT * FROM (VALUES (1, 'null', NULL, NULL, NULL, NULL), (2, 'null', NULL, NULL, NULL, NULL), (3, 'bool', true, NULL, NULL, NULL), (4, 'int', NULL, 12, NULL, NULL), (5, 'float', NULL, NULL, 1.5::DOUBLE, NULL), (6, 'str', NULL, NULL, NULL, 'abc'), (7, 'null', NULL, NULL, NULL, NULL)) t(id, kind, b, i, d, s)"
+SCALAR_TYPES = "SELECT id, kind, b, i::BIGINT AS i, d, s FROM (VALUES (1, 'null', NULL, NULL, NULL, NULL), (2, 'null', NULL, NULL, NULL, NULL), (3, 'bool', true, NULL, NULL, NULL), (4, 'int', NULL, 12, NULL, NULL), (5, 'float', NULL, NULL, 1.5::DOUBLE, NULL), (6, 'str', NULL, NULL, NULL, 'abc'), (7, 'null', NULL, NULL, NULL, NULL)) t(id, kind, b, i, d, s)"
 
 
 def event_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
