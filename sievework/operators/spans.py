@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,18 @@ _GAP = jvm_regex(TOKEN).replace("[^", "[", 1)
 SPAN = "struct<pattern_id: string, action: string, first: int, last: int>"
 
 
-def _match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<first, last, piece>> of all leftmost matches, in code points, ends exclusive.
+def worth_searching(text: Column, low: Column, d: Detector) -> Column:
+    """Whether a text may have a match: one of the rule's hints, or a letter that folds to ASCII and that lower() leaves alone."""
+    if not d.hints:
+        return F.lit(True)
+    out = F.contains(text, F.lit("\u017f")) | F.contains(text, F.lit("\u212a"))
+    for h in d.hints:
+        out = F.contains(low, F.lit(h)) | out
+    return out
+
+
+def _match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<first, last, piece>> of all leftmost matches (that keep holds for), in code points, ends exclusive.
 
     Matches are set off by two control characters and the text is split there, so that every second piece is a
     match; lookarounds see the whole text. Those characters in a text are read as blanks.
@@ -26,29 +38,36 @@ def _match_spans(text: Column, pattern: str) -> Column:
     step = lambda acc, p: F.struct(
         (acc["at"] + F.length(p)).alias("at"),
         (~acc["inside"]).alias("inside"),
-        F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("first"), (acc["at"] + F.length(p)).alias("last"), p.alias("piece"))))).otherwise(acc["out"]).alias("out"),
+        F.when(acc["inside"] & keep(p) if keep else acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("first"), (acc["at"] + F.length(p)).alias("last"), p.alias("piece"))))).otherwise(acc["out"]).alias("out"),
     )
     return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.expr("cast(array() as array<struct<first: int, last: int, piece: string>>)"))
 
 
-def _rule_spans(text: Column, d: Detector) -> Column:
+def _rule_spans(text: Column, low: Column, d: Detector) -> Column:
     if d.type == "entropy":
         # every byte length within bounds needs a quarter as many code points at least; maximal runs stay maximal
         pattern = jvm_regex(TOKEN).removesuffix("+") + f"{{{-(-d.min_length // 4)},{d.max_length}}}+(?!{jvm_regex(TOKEN).removesuffix('+')})"
-        plain = lambda t: ~F.exists(F.array(*map(F.lit, map(jvm_regex, d.exclude_patterns))), lambda x: F.rlike(t, x)) if d.exclude_patterns else F.lit(True)
-        secret = lambda t: F.octet_length(t).between(d.min_length, d.max_length) & plain(t) & (shannon_entropy(t) >= d.threshold)
+
+        def secret(t: Column) -> Column:
+            fits = F.octet_length(t).between(d.min_length, d.max_length)
+            for x in d.exclude_patterns:
+                fits = fits & ~F.rlike(t, F.lit(jvm_regex(x)))
+            return fits & (shannon_entropy(t) >= d.threshold)
+
         long = F.filter(F.split(text, _GAP), lambda t: F.octet_length(t) >= d.min_length)
         none = F.expr("cast(array() as array<struct<first: int, last: int, piece: string>>)")
         # positions are worked out only where some token is a finding
-        found = F.when(F.exists(long, secret), F.filter(_match_spans(text, pattern), lambda m: secret(m["piece"]))).otherwise(none)
+        found = F.when(F.exists(long, secret), _match_spans(text, pattern, secret)).otherwise(none)
     else:
-        found = _match_spans(text, jvm_regex(d.regex))
+        none = F.expr("cast(array() as array<struct<first: int, last: int, piece: string>>)")
+        found = F.when(worth_searching(text, low, d), _match_spans(text, jvm_regex(d.regex))).otherwise(none)
     return F.transform(found, lambda m: F.struct(F.lit(d.id).alias("pattern_id"), F.lit(d.action).alias("action"), m["first"].alias("first"), m["last"].alias("last")))
 
 
-def scan(text: Column, policy: Policy) -> Column:
-    """array<SPAN>: of each rule in order, all its matches in order."""
-    return F.concat(*(_rule_spans(text, d) for d in policy.detectors))
+def scan(text: Column, policy: Policy, low: Column | None = None) -> Column:
+    """array<SPAN>: of each rule in order, all its matches in order. low: the text in lower case, where it is at hand."""
+    low = F.lower(text) if low is None else low
+    return F.concat(*(_rule_spans(text, low, d) for d in policy.detectors))
 
 
 def outer_wins(spans: Column) -> Column:
@@ -80,9 +99,9 @@ def scan_and_filter(df: DataFrame, text_col: str, policy: Policy | None = None)
     size = F.octet_length(text)
     none = F.expr("cast(array() as array<string>)")
     over = size > policy.max_scan_bytes
-    spans = F.when(over, F.expr(f"cast(array() as array<{SPAN}>)")).otherwise(scan(text, policy))
+    spans = F.when(over, F.expr(f"cast(array() as array<{SPAN}>)")).otherwise(scan(text, policy, F.col("_low")))
     ids = lambda action: F.array_distinct(F.transform(F.filter("_spans", lambda s: s["action"] == action), lambda s: s["pattern_id"]))
-    step = df.withColumn("_spans", spans).withColumn("_blocked", F.when(over, F.array(F.concat(F.lit("payload_too_large:"), size.cast("string")))).otherwise(ids("block")))
+    step = df.withColumn("_low", F.lower(text)).withColumn("_spans", spans).withColumn("_blocked", F.when(over, F.array(F.concat(F.lit("payload_too_large:"), size.cast("string")))).otherwise(ids("block")))
     step = step.withColumn("_redact", F.filter("_spans", lambda s: s["action"] == "redact"))
     blocked = F.size("_blocked") > 0
     return step.select(

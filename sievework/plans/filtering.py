@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.detectors import DETECTORS, MAX_SCAN_BYTES, TOKEN, Detector, Policy, jvm_regex
 from sievework.functions.text import shannon_entropy
 from sievework.operators.integrity import upsert
-from sievework.operators.spans import drop_blocked, merge_metadata, scan, scan_and_filter
+from sievework.operators.spans import drop_blocked, merge_metadata, scan, scan_and_filter, worth_searching
 from sievework.plans.common import INJECTED_SQL, injected, quoted, rows, table
 
 RULES = tuple(d for d in DETECTORS if d.type != "entropy")
@@ -57,8 +57,8 @@ def _joined(df: DataFrame) -> DataFrame:
 
 
 def filter_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = injected(table(spark, sf_dir, "documents"))
-    counted = docs.select(F.explode(F.array(*(F.struct(F.lit(d.id).alias("pattern_id"), F.regexp_count("text", F.lit(jvm_regex(d.regex))).alias("n")) for d in RULES))).alias("x"))
+    docs = injected(table(spark, sf_dir, "documents")).select("text", F.lower("text").alias("low"))
+    counted = docs.select(F.explode(F.array(*(F.struct(F.lit(d.id).alias("pattern_id"), F.when(worth_searching(F.col("text"), F.col("low"), d), F.regexp_count("text", F.lit(jvm_regex(d.regex)))).otherwise(0).alias("n")) for d in RULES))).alias("x"))
     return counted.groupBy(F.col("x.pattern_id").alias("pattern_id")).agg(F.sum("x.n").cast("long").alias("matches"), F.count_if(F.col("x.n") > 0).alias("texts"))
 
 
