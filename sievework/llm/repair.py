@@ -20,14 +20,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_schema, binary_rows, partitions, ragged, small_batches, stored
+from sievework.llm.common import arrow_schema, binary_rows, doc_slices, partitions, ragged, small_batches, stored, take_over
 from sievework.llm.tokenize import encoder, with_end
 
 SHARDS = (
     "part int, shard int, first long, n_ids long, base_ids int, doc_ids array<bigint>, doc_sizes binary, doc_symbols binary,"
     " rules binary, rule_sizes binary, symbols binary"
 )
+#: Bytes of text; the more, the fewer chunks are looked up again.
+ENCODED_AT_ONCE = 16 << 20
 _SLOTS = 18
+_NO_PAIR = np.uint32(0xFFFFFFFF)
 
 
 @dataclass
@@ -38,14 +41,21 @@ class Grammar:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all expansions, and of each symbol its first place and its length there."""
-        made: list[np.ndarray] = []
-        for a, b in self.rules.tolist():
-            left = made[a - self.base] if a >= self.base else np.array([a], np.uint32)
-            right = made[b - self.base] if b >= self.base else np.array([b], np.uint32)
-            made.append(np.concatenate((left, right)))
-        pool = np.concatenate((np.arange(self.base, dtype=np.uint32), *made))
         sizes = np.concatenate((np.ones(self.base, np.int64), self.sizes.astype(np.int64)))
-        return pool, np.cumsum(sizes) - sizes, sizes
+        first = np.cumsum(sizes) - sizes
+        pool = np.empty(int(sizes.sum()), np.uint16)
+        pool[: self.base] = np.arange(self.base)
+        newest = self.rules.max(1).astype(np.int64) - self.base if len(self.rules) else np.zeros(0, np.int64)
+        done = 0
+        while done < len(self.rules):  # a run of rules of symbols that are expanded already
+            later = np.flatnonzero(newest[done:] >= done)
+            end = done + (int(later[0]) if len(later) else len(newest) - done)
+            left, right = self.rules[done:end, 0].astype(np.int64), self.rules[done:end, 1].astype(np.int64)
+            at = first[self.base + done : self.base + end]
+            pool[ragged(at, sizes[left])] = pool[ragged(first[left], sizes[left])]
+            pool[ragged(at + sizes[left], sizes[right])] = pool[ragged(first[right], sizes[right])]
+            done = end
+        return pool, first, sizes
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int, per_round: int, least: int) -> tuple[Grammar, np.ndarray, np.ndarray]:
@@ -54,7 +64,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int, per_roun
 
     Returns the grammar, the symbols, and how many symbols each document has.
     """
-    most = 65536 - base  # symbols stay in 16 bits
+    most = 65535 - base  # symbols stay in 16 bits, and the last is none
     seq, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
@@ -64,8 +74,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int, per_roun
         if room <= 0 or len(seq) < 2:
             break
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-        inner = ~last[:-1]
-        found = np.sort(keys[inner])
+        keys[last[:-1]] = _NO_PAIR
+        found = np.sort(keys)
+        found = found[: np.searchsorted(found, _NO_PAIR)]
         if not len(found):
             break
         heads = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
@@ -79,7 +90,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int, per_roun
         table = np.full(1 << _SLOTS, -1, np.int32)
         table[slot_of(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]  # of two in a slot the more frequent stays
         rule = table[slot_of(keys)]
-        hit = np.flatnonzero(inner & (rule >= 0))
+        hit = np.flatnonzero(rule >= 0)
         hit = hit[chosen[rule[hit]] == keys[hit]]
         new_run = np.concatenate(([True], np.diff(hit) != 1)) if len(hit) else np.zeros(0, bool)
         order = np.arange(len(hit))
@@ -117,7 +128,7 @@ def expand(grammar: Grammar, symbols: np.ndarray) -> np.ndarray:
     """The ids of a run of symbols."""
     pool, first, size = grammar.tables()
     s = symbols.astype(np.int64)
-    return pool[ragged(first[s], size[s])]
+    return pool[ragged(first[s], size[s])].astype(np.uint32)
 
 
 def write_token_shards(
@@ -135,13 +146,14 @@ def write_token_shards(
     """Encodes docs, in ascending order of id, into shards of about shard_ids ids; returns the table and its path.
 
     Null and empty texts are the end id alone. Null ids come first; rows with equal ids are all kept, ordered by
-    a hash of their text. Other columns are ignored; an empty table gives an empty one. A shard holds whole
+    their texts. Other columns are ignored; an empty table gives an empty one. A shard holds whole
     documents, so one longer than shard_ids is a shard of its own.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     schema = arrow_schema(SHARDS)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         encode, part = encoder(path, cut), TaskContext.get().partitionId()
         base = encode.lib.get_vocab_size()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
@@ -159,22 +171,40 @@ def write_token_shards(
 
         n = 0
         for big in batches:
-            for batch in small_batches(big, text_col):
+            for batch in small_batches(big, text_col, ENCODED_AT_ONCE):
                 ids, at = with_end(*encode(batch.column(text_col)), end_id)
-                held.append((batch.column(id_col).to_pylist(), ids, np.diff(at)))
-                n += len(ids)
-                if n >= shard_ids:
-                    yield flush()
-                    n = 0
+                names, sizes = batch.column(id_col).to_pylist(), np.diff(at)
+                for a, b in doc_slices(at, shard_ids):
+                    held.append((names[a:b], ids[at[a] : at[b]], sizes[a:b]))
+                    n += int(at[b] - at[a])
+                    if n >= shard_ids:
+                        yield flush()
+                        n = 0
         if held:
             yield flush()
 
     small = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    order = [F.col(id_col), F.xxhash64(text_col)]
-    dealt = small.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = in_order(small, id_col, text_col, partitions(docs.sparkSession))
     return stored(dealt.mapInArrow(shards, SHARDS), "token-shards")
 
 
+def in_order(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """docs in n partitions of ascending ids (null first) with about as many rows each, and sorted inside.
+
+    The bounds come from a scan of the ids alone. An id with more rows than a partition takes is dealt out over as
+    many as it fills, by a hash of the text.
+    """
+    key = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("long"))
+    shares = [k / n for k in range(1, n)]
+    found = docs.select(F.percentile_approx(key, shares, 20 * n).alias("b")).first()["b"] if shares else None  # n - 1 numbers
+    bounds = F.array(*map(F.lit, found or [])).cast("array<bigint>")
+    below = F.size(F.filter(bounds, lambda b: b < F.col("_key")))
+    upto = F.size(F.filter(bounds, lambda b: b <= F.col("_key")))
+    part = F.when(upto - below < 2, below).otherwise(below + F.pmod(F.xxhash64(text_col), upto - below).cast("int"))
+    placed = docs.withColumn("_key", key).withColumn("_part", part).drop("_key").repartitionById(n, "_part").drop("_part")
+    return placed.sortWithinPartitions(id_col, F.octet_length(text_col), text_col)
+
+
 def read_token_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Decodes a table of shards: doc_id, start (ids before the document), n_tokens, ids (little-endian uint32)."""
     table = spark.read.schema(SHARDS).parquet(path)
@@ -182,6 +212,7 @@ def read_token_shards(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     schema = arrow_schema(ddl)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         for batch in batches:
             for row in (batch.slice(i, 1) for i in range(len(batch))):
                 x = {f.name: row.column(i)[0] for i, f in enumerate(batch.schema)}

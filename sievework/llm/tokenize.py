@@ -10,19 +10,22 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from sievework.llm.common import ragged, text_bytes
+from sievework.llm.common import ragged, release_with_owner, text_bytes
 
 #: Chunks kept from batch to batch in a worker (about 170 bytes each).
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
+_MET_MASK = (1 << 24) - 1
 #: Stands between chunks that are encoded in one call; no vocabulary entry joins it with another byte.
 MARK = "\x01"
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
+release_with_owner(_encoders.clear)
 
 
 class ChunkEncoder:
@@ -37,27 +40,35 @@ class ChunkEncoder:
         self.lib.encode_special_tokens = True
         self.cut = cut
         self.cache: dict[str, bytes] = {}
+        self.met = bytearray(_MET_MASK + 1)
 
         self.joint = MARK if cut == "space" else f" {MARK} "
         mark = self._ids([MARK])[0]
         name = self.lib.id_to_token(int(mark[0])).removesuffix("</w>")
         alone = len(mark) == 1 and sum(name in t for t in self.lib.get_vocab(with_added_tokens=False)) <= 2
         self.mark = int(mark[0]) if alone else None
-        self.tails = {c: self._ids([c])[0].tobytes() for c in ",."}
+
+    def _keep(self, found: Iterable[tuple[str, bytes]]) -> None:
+        """Keeps what was met in an earlier batch too: most rare words never come again."""
+        cache, met = self.cache, self.met
+        room = CACHE_CHUNKS - len(cache)
+        for chunk, ids in found:
+            slot = hash(chunk) & _MET_MASK
+            if not met[slot]:
+                met[slot] = 1
+            elif room > 0:
+                cache[chunk] = ids
+                room -= 1
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _apart(self, chunk: str) -> bool:
-        """Whether a mark beside the chunk could change its ids."""
-        return not chunk or chunk[0] == "'" or chunk[-1].isspace() or MARK in chunk
-
     def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Most are joined by marks and encoded together; a mark beside the others could change their ids."""
         out: list[bytes] = [b""] * len(chunks)
-        joint, apart = [], []
-        for i, c in enumerate(chunks):
-            (apart if self.mark is None or self._apart(c) else joint).append(i)
-        if apart:
+        joint = [i for i, c in enumerate(chunks) if c and c[0] != "'" and not c[-1].isspace() and MARK not in c] if self.mark is not None else []
+        if len(joint) < len(chunks):
+            apart = sorted(set(range(len(chunks))).difference(joint))
             for i, ids in zip(apart, self._ids([chunks[i] for i in apart]), strict=True):
                 out[i] = ids.tobytes()
         for a in range(0, len(joint), 4_000):
@@ -87,29 +98,34 @@ class ChunkEncoder:
         parts = pc.split_pattern(col, " ")
         flat, at = parts.values, np.asarray(parts.offsets)
         coded = flat.dictionary_encode()
-        index, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = strings(coded.dictionary, " " if self.cut == "space" else "")
         first = np.zeros(len(flat), bool)
         first[at[:-1][np.diff(at) > 0]] = True
         if self.cut == "space":  # the first chunk of a text has no space before it: coded apart
             heads = np.flatnonzero(first)
-            index[heads] = len(words) + np.arange(len(heads))
-            keys = [" " + w for w in words] + flat.take(pa.array(heads)).to_pylist()
-        else:
-            keys = words
+            index[heads] = len(keys) + np.arange(len(heads))
+            keys += flat.take(pa.array(heads)).to_pylist()
         cache = self.cache
-        got = [cache.get(k) for k in keys]
-        cores: list[tuple[int, str, bytes]] = []  # a comma or full stop after a letter is a word of its own to both patterns
+        got = list(map(cache.get, keys))
+        plain: list[int] = []
+        split: dict[int, list[str]] = {}
         for i, g in enumerate(got):
             if g is None:
                 k = keys[i]
-                tail = self.tails.get(k[-1:], b"") if k[-2:-1].isalpha() else b""
-                cores.append((i, k[:-1] if tail else k, tail))
-        new = list(dict.fromkeys(c for _, c, _ in cores if c not in cache))
+                if k[-1:].isalpha() and "\n" not in k:
+                    plain.append(i)
+                else:
+                    split[i] = parts_of(k)
+        new = [keys[i] for i in plain]
+        new += set(p for ps in split.values() for p in ps if p not in cache).difference(new)
         done = dict(zip(new, self._encode(new), strict=True))
-        for i, c, tail in cores:
-            got[i] = (done[c] if c in done else cache[c]) + tail
-        if len(cache) < CACHE_CHUNKS:
-            cache.update(done)
+        for i in plain:
+            got[i] = done[keys[i]]
+        for i, ps in split.items():
+            got[i] = b"".join([done[p] if p in done else cache[p] for p in ps])
+        self._keep(done.items())
+        self._keep((keys[i], got[i]) for i, ps in split.items() if len(ps) > 1)
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         pool, pool_at = np.frombuffer(b"".join(got), np.uint32), np.cumsum(sizes) - sizes
         ids = pool[ragged(pool_at[index], sizes[index])]
@@ -125,6 +141,37 @@ class ChunkEncoder:
         return ids, offsets
 
 
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def parts_of(chunk: str) -> list[str]:
+    """Parts of a chunk that both patterns keep apart: at single line feeds, and before marks that follow a Latin letter."""
+    lines = chunk.split("\n")
+    if len(lines) > 1 and any(not x or x[-1].isspace() or (i and x[0].isspace()) for i, x in enumerate(lines)):
+        return [chunk]
+    out = []
+    for i, x in enumerate(lines):
+        if i:
+            out.append("\n")
+        core = x.rstrip(_MARKS)
+        if len(core) < len(x) and core and core[-1] < "\u0250" and core[-1].isalpha():
+            out += (core, x[len(core) :])
+        else:
+            out.append(x)
+    return out
+
+
+def strings(words: pa.Array, before: str) -> list[str]:
+    """The words, each with `before` in front; one split of one string where that is possible."""
+    if len(words):
+        one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+        joint = pc.binary_join(one, "\x02" + before)[0].as_py()
+        out = (before + joint).split("\x02")
+        if len(out) == len(words):
+            return out
+    return [before + w for w in words.to_pylist()]
+
+
 def encoder(path: str, cut: str) -> ChunkEncoder:
     """One per worker and vocabulary."""
     if (path, cut) not in _encoders:
