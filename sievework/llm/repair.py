@@ -28,7 +28,9 @@ SHARDS = (
     " rules binary, rule_sizes binary, symbols binary"
 )
 #: Bytes of text; the more, the fewer chunks are looked up again.
-ENCODED_AT_ONCE = 16 << 20
+ENCODED_AT_ONCE = 24 << 20
+#: Chunks that a worker keeps, about 170 bytes each.
+KEPT_CHUNKS = 1_000_000
 _SLOTS = 18
 _NO_PAIR = np.uint32(0xFFFFFFFF)
 
@@ -154,7 +156,7 @@ def write_token_shards(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over(__name__)
-        encode, part = encoder(path, cut), TaskContext.get().partitionId()
+        encode, part = encoder(path, cut, KEPT_CHUNKS), TaskContext.get().partitionId()
         base = encode.lib.get_vocab_size()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         shard = first = 0

@@ -32,13 +32,13 @@ class ChunkEncoder:
     """cut "space": chunks start at each single space, which stays with the word after it (byte-level, GPT-2 pattern).
     cut "words": chunks are what white space separates, which the vocabulary drops (word-end BPE)."""
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, room: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.cut = cut
+        self.cut, self.room = cut, room
         self.cache: dict[str, bytes] = {}
         self.met = bytearray(_MET_MASK + 1)
 
@@ -51,7 +51,7 @@ class ChunkEncoder:
     def _keep(self, found: Iterable[tuple[str, bytes]]) -> None:
         """Keeps what was met in an earlier batch too: most rare words never come again."""
         cache, met = self.cache, self.met
-        room = CACHE_CHUNKS - len(cache)
+        room = self.room - len(cache)
         for chunk, ids in found:
             slot = hash(chunk) & _MET_MASK
             if not met[slot]:
@@ -172,10 +172,10 @@ def strings(words: pa.Array, before: str) -> list[str]:
     return [before + w for w in words.to_pylist()]
 
 
-def encoder(path: str, cut: str) -> ChunkEncoder:
-    """One per worker and vocabulary."""
+def encoder(path: str, cut: str, room: int = CACHE_CHUNKS) -> ChunkEncoder:
+    """One per worker and vocabulary; room: chunks that it may keep."""
     if (path, cut) not in _encoders:
-        _encoders[path, cut] = ChunkEncoder(path, cut)
+        _encoders[path, cut] = ChunkEncoder(path, cut, room)
     return _encoders[path, cut]
 
 
