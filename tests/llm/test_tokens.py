@@ -46,6 +46,17 @@ def test_token_shards_round_trip(spark):
     assert [r.n_tokens for r in got] == list(map(len, want))
 
 
+def test_hot_ids_spread_and_stay_in_order(spark):
+    rows = [(5, f"t{i}", None, None) for i in range(400)] + [(None, f"n{i}", None, None) for i in range(300)] + [(i, "x", None, None) for i in range(300)]
+    dealt = repair.in_order(documents(spark, rows).select("doc_id", "text"), "doc_id", "text", 8)
+    parts = dealt.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("low"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("high")).orderBy("p").collect()
+    assert sum(r.n for r in parts) == 1000 and max(r.n for r in parts) < 350
+    assert all(a.high <= b.low for a, b in zip(parts[:-1], parts[1:], strict=True))
+    _, path = repair.write_token_shards(documents(spark, rows))
+    got = [r.doc_id for r in repair.read_token_shards(spark, path).orderBy("start").collect()]
+    assert got == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+
+
 def test_random_access(spark):
     table, _ = repair.write_token_shards(documents(spark), shard_ids=10**6, least=2)
     encode = library("byte_bpe_50k.json")
