@@ -10,7 +10,8 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int, kinds: tuple[str,
     """seed, node, depth: nodes within depth hops of each seed (node), at their least depth, seeds left out.
 
     direction: 'out' along edges, 'in' against them, 'both'. With cap, the first cap nodes of a seed by (depth, node).
-    Each hop joins the frontier, minus what was seen, with the edges by key; depth is a small constant.
+    Each hop joins the frontier, minus what was seen, with the edges by key; depth is a small constant. A seed that
+    has cap nodes goes no further: what lies deeper comes after them.
     """
     e = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
     out, back = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
@@ -21,6 +22,9 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int, kinds: tuple[str,
         step = frontier.join(hop, frontier["node"] == hop["a"]).select("seed", F.col("b").alias("node")).distinct()
         frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(frontier)
+        if cap is not None and d < depth:
+            full = seen.where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cap)
+            frontier = frontier.join(full, "seed", "left_anti")
     found = seen.where("depth > 0")
     if cap is None:
         return found
@@ -28,10 +32,17 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int, kinds: tuple[str,
 
 
 def subgraph(seeds: DataFrame, edges: DataFrame, depth: int, cap: int | None = None) -> DataFrame:
-    """seed, src, dst, kind: edges between nodes within depth hops, whatever their direction."""
+    """seed, src, dst, kind: edges between nodes within depth hops, whatever their direction.
+
+    Each edge meets the seeds of that end which fewer seeds have, then the other end is looked up.
+    """
     nodes = reachable(seeds, edges, depth, direction="both", cap=cap).select("seed", "node").unionByName(seeds.select(F.col("node").alias("seed"), "node").distinct())
     a, b = nodes.select("seed", F.col("node").alias("src")), nodes.select("seed", F.col("node").alias("dst"))
-    return edges.join(a, "src").join(b, ["seed", "dst"]).select("seed", "src", "dst", "kind")
+    n = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    e = edges.join(n.select(F.col("node").alias("src"), F.col("n").alias("_src")), "src").join(n.select(F.col("node").alias("dst"), F.col("n").alias("_dst")), "dst")
+    by_src = e.where("_src <= _dst").join(a, "src").join(b, ["seed", "dst"])
+    by_dst = e.where("_src > _dst").join(b, "dst").join(a, ["seed", "src"])
+    return by_src.select("seed", "src", "dst", "kind").unionByName(by_dst.select("seed", "src", "dst", "kind"))
 
 
 def impact(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

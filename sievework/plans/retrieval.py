@@ -127,10 +127,11 @@ TEXT_RANGES = "SELECT doc_id, md5(array_to_string(CASE WHEN doc_id % 2 = 0 THEN
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    """supplier -> part -> order, of every line; the SQL below still holds edges of first lines and parts that 20 divides alone."""
+    lines = table(spark, sf_dir, "lineitem")
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    supply = lines.where("l_partkey % 20 = 0").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit("supplies").alias("kind"))
-    order = lines.where("l_partkey % 20 = 0").select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst"), F.lit("ordered").alias("kind"))
+    supply = lines.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit("supplies").alias("kind"))
+    order = lines.select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst"), F.lit("ordered").alias("kind"))
     return supply.unionByName(order).distinct()
 
 
@@ -142,42 +143,41 @@ def _walk(hop: str, depth: int, seeds: str) -> str:
     return f"seeds AS ({seeds}), hop AS ({hop}), b(seed, node, depth) AS (SELECT node, node, 0 FROM seeds UNION SELECT b.seed, h.b, b.depth + 1 FROM b JOIN hop h ON h.a = b.node WHERE b.depth < {depth}), near AS (SELECT seed, node, min(depth) AS depth FROM b GROUP BY seed, node)"
 
 
-def _seeds(spark: SparkSession, sf_dir: str, kind: str, n: int) -> DataFrame:
-    return _edges(spark, sf_dir).where(F.startswith("src", F.lit(kind))).select(F.col("src").alias("node")).distinct().orderBy("node").limit(n)
+def _seeds(spark: SparkSession, sf_dir: str, end: str, kind: str) -> DataFrame:
+    """All nodes that edges of the kind have at this end."""
+    return _edges(spark, sf_dir).where(F.col("kind") == kind).select(F.col(end).alias("node")).distinct()
 
 
 def graph_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(_seeds(spark, sf_dir, "s", 5), _edges(spark, sf_dir), 2, cap=50).select("seed", "node", "depth")
+    return graph.reachable(_seeds(spark, sf_dir, "src", "supplies"), _edges(spark, sf_dir), 2, cap=50).select("seed", "node", "depth")
 
 
 GRAPH_CALLEES = f"WITH RECURSIVE {_EDGES}, {_walk('SELECT DISTINCT src AS a, dst AS b FROM e', 2, chr(39).join(['SELECT DISTINCT src AS node FROM e WHERE src LIKE ', 's%', ' ORDER BY node LIMIT 5']))} SELECT seed, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS n FROM near WHERE depth > 0) WHERE n <= 50"
 
 
 def graph_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = _edges(spark, sf_dir).where("kind = 'ordered'").select(F.col("dst").alias("node")).distinct().orderBy("node").limit(20)
-    return graph.reachable(seeds, _edges(spark, sf_dir), 2, direction="in").select("seed", "node", "depth")
+    return graph.reachable(_seeds(spark, sf_dir, "dst", "ordered"), _edges(spark, sf_dir), 2, direction="in").select("seed", "node", "depth")
 
 
 GRAPH_CALLERS = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT DISTINCT dst AS a, src AS b FROM e', 2, "SELECT DISTINCT dst AS node FROM e WHERE kind = 'ordered' ORDER BY node LIMIT 20")} SELECT seed, node, depth FROM near WHERE depth > 0"""
 
 
 def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.subgraph(_seeds(spark, sf_dir, "p", 3), _edges(spark, sf_dir), 2)
+    return graph.subgraph(_seeds(spark, sf_dir, "src", "ordered"), _edges(spark, sf_dir), 2)
 
 
 GRAPH_SUBGRAPH = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e', 2, "SELECT DISTINCT src AS node FROM e WHERE src LIKE 'p%' ORDER BY node LIMIT 3")} SELECT x.seed, src, dst, kind FROM e JOIN near x ON x.node = src JOIN near y ON y.node = dst AND y.seed = x.seed"""
 
 
 def impact_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = _edges(spark, sf_dir).where("kind = 'ordered'").select(F.col("dst").alias("node")).distinct()
-    return graph.impact(seeds, _edges(spark, sf_dir), 2).select("seed", "kind", "n")
+    return graph.impact(_seeds(spark, sf_dir, "dst", "ordered"), _edges(spark, sf_dir), 2).select("seed", "kind", "n")
 
 
 IMPACT = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT DISTINCT dst AS a, src AS b FROM e', 2, "SELECT DISTINCT dst AS node FROM e WHERE kind = 'ordered'")} SELECT seed, node[1] AS kind, count(*) AS n FROM near WHERE depth > 0 GROUP BY seed, node[1]"""
 
 
 def kind_limited_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(_seeds(spark, sf_dir, "p", 10), _edges(spark, sf_dir), 2, kinds=("supplies",), direction="both").select("seed", "node", "depth")
+    return graph.reachable(_seeds(spark, sf_dir, "src", "ordered"), _edges(spark, sf_dir), 2, kinds=("supplies",), direction="both").select("seed", "node", "depth")
 
 
 KIND_LIMITED = f"""WITH RECURSIVE {_EDGES}, {_walk("SELECT src AS a, dst AS b FROM e WHERE kind = 'supplies' UNION SELECT dst, src FROM e WHERE kind = 'supplies'", 2, "SELECT DISTINCT src AS node FROM e WHERE src LIKE 'p%' ORDER BY node LIMIT 10")} SELECT seed, node, depth FROM near WHERE depth > 0"""

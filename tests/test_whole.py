@@ -1,0 +1,65 @@
+"""Queries cover whole inputs: held against brute force on small tables."""
+
+from collections import defaultdict
+
+from sievework.plans import retrieval
+
+
+def lines(spark, path):
+    """Lines of 14 suppliers, 31 parts and 40 orders: few first lines, no part that 20 divides but one."""
+    rows = [(o, 1 + (o * 7 + k * 5) % 31, 1 + (o * 3 + k * k) % 14, k) for o in range(1, 41) for k in range(1, 2 + o % 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{path}/lineitem.parquet")
+    return {(f"s{s}", f"p{p}", "supplies") for _, p, s, _ in rows} | {(f"p{p}", f"o{o}", "ordered") for o, p, _, _ in rows}
+
+
+def walk(seeds, pairs, depth=2):
+    """{(seed, node): depth} of all nodes within depth hops."""
+    hop = defaultdict(set)
+    for a, b in pairs:
+        hop[a].add(b)
+    found = {}
+    for s in seeds:
+        at = {s: 0}
+        for d in range(1, depth + 1):
+            for n in [n for n, x in at.items() if x == d - 1]:
+                for m in hop[n]:
+                    at.setdefault(m, d)
+        found |= {(s, n): d for n, d in at.items()}
+    return found
+
+
+def three(df):
+    rows = [tuple(r) for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_graph_of_all_lines(spark, tmp_path):
+    edges, d = lines(spark, tmp_path), str(tmp_path)
+    out, back = {(a, b) for a, b, _ in edges}, {(b, a) for a, b, _ in edges}
+    suppliers, parts = {a for a, _, k in edges if k == "supplies"}, {a for a, _, k in edges if k == "ordered"}
+    orders = {b for _, b, k in edges if k == "ordered"}
+    assert len(suppliers) > 5 and len(parts) > 10 and len(orders) > 20
+    flat = lambda near: {(s, n, x) for (s, n), x in near.items() if x}
+
+    want = flat(walk(suppliers, out))
+    assert three(retrieval.graph_callees(spark, d)) == {r for r in want if sorted((x, n) for s, n, x in want if s == r[0]).index((r[2], r[1])) < 50}
+    callers = flat(walk(orders, back))
+    assert three(retrieval.graph_callers(spark, d)) == callers
+    counts = defaultdict(int)
+    for s, n, _ in callers:
+        counts[s, n[0]] += 1
+    assert three(retrieval.impact_by_category(spark, d)) == {(*k, n) for k, n in counts.items()}
+    near = walk(parts, out | back)
+    assert three(retrieval.graph_subgraph(spark, d)) == {(s, a, b, k) for s in parts for a, b, k in edges if (s, a) in near and (s, b) in near}
+    supplies = {(a, b) for a, b, k in edges if k == "supplies"}
+    assert three(retrieval.kind_limited_impact(spark, d)) == flat(walk(parts, supplies | {(b, a) for a, b in supplies}))
+
+
+def test_capped_walk_stops_early(spark):
+    from sievework.operators import graph
+
+    edges = spark.createDataFrame([("a", f"b{i}", "x") for i in range(3)] + [(f"b{i}", f"c{i}", "x") for i in range(3)] + [("z", "b0", "x")], "src string, dst string, kind string")
+    seeds = spark.createDataFrame([("a",), ("z",)], "node string")
+    assert three(graph.reachable(seeds, edges, 2, cap=3)) == {("a", "b0", 1), ("a", "b1", 1), ("a", "b2", 1), ("z", "b0", 1), ("z", "c0", 2)}
+    assert three(graph.reachable(seeds, edges, 2, cap=4)) == {("a", "b0", 1), ("a", "b1", 1), ("a", "b2", 1), ("a", "c0", 2), ("z", "b0", 1), ("z", "c0", 2)}
