@@ -29,6 +29,8 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _IDENTIFIER = re.compile(rb"[_./=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_./=+-]+|\Z))+|(?:[A-Z]{0,4}+[a-z]{3,}+)+|[0-9_./=+-]+")
+#: What a run is taken apart into: UUIDs, stretches without separators, separators.
+_PART = re.compile(rb"(?<![0-9a-fA-F])" + _UUID.pattern + rb"(?![0-9a-fA-F])|[A-Za-z0-9]+|[+/_.=-]+")
 
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
@@ -50,11 +52,52 @@ def _vocabulary(path: str):
     return _vocabularies[path]
 
 
+def _digest(body: bytes) -> bool:
+    hexed = re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", body)
+    return bool((hexed and len(body) in _DIGEST_LENGTHS) or _UUID.fullmatch(body))
+
+
 def known(run: bytes) -> bool:
     """Whether a run is a digest of a known length, a UUID, or an identifier of words and short numbers."""
     body = run.strip(b"=+/._-")
-    hexed = re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", body)
-    return bool((hexed and len(body) in _DIGEST_LENGTHS) or _UUID.fullmatch(body) or _IDENTIFIER.fullmatch(body))
+    return _digest(body) or bool(_IDENTIFIER.fullmatch(body))
+
+
+def _tokens(vocab, run: bytes) -> int:
+    text = run.decode("ascii")
+    return sum(len(vocab.encode_ordinary(text[k : k + PIECE])) for k in range(0, len(text), PIECE))
+
+
+def _stretches(vocab, run: bytes, least: int, most: float) -> Iterator[tuple[int, int]]:
+    """Start and end of what may be random in a run: parts that cost more than a token for `most` characters, together with their like.
+
+    A digest, a UUID or a part that saves three characters or more, as a word does, ends a stretch; of what is between two
+    such parts, the stretch of the largest cost counts, and any other part of `least` characters.
+    """
+    between: list[tuple[int, int, float]] = []
+
+    def best() -> Iterator[tuple[int, int]]:
+        total = top = 0.0
+        start = lo = hi = 0
+        for a, b, cost in between:
+            if total <= 0:
+                start, total = a, 0.0
+            total += cost
+            if total > top:
+                lo, hi, top = start, b, total
+        found = [(lo, hi)] if hi - lo >= least else []
+        found += [(a, b) for a, b, cost in between if b - a >= least and cost > 0 and not (found and lo <= a < hi)]
+        return iter(sorted(found))
+
+    for m in _PART.finditer(run):
+        part = m[0]
+        cost = most * _tokens(vocab, part) - len(part) if part[:1].isalnum() else 0.0
+        if cost <= -3 or _digest(part):
+            yield from best()
+            between = []
+        else:
+            between.append((*m.span(), cost))
+    yield from best()
 
 
 def _find(text: bytes, word: bytes) -> Iterator[int]:
@@ -76,8 +119,9 @@ def find_secrets(
     """One row per document: id, spans array<struct<kind, start, end, chars_per_token>> in order of start, then kind.
 
     Offsets are code points, ends exclusive. kinds: assign, access, hex by pattern; random: a run of at least
-    least_run of [A-Za-z0-9+/_.=-] with fewer characters per token than most_chars_per_token, that isn't known()
-    or in `allowed` (digests and identifiers of one's own). A null or empty text has no spans; ids may be null or
+    least_run of [A-Za-z0-9+/_.=-] with fewer characters per token than most_chars_per_token, or else a stretch of its
+    parts between separators with so few (a key behind a path or a name), that isn't known() or in `allowed` (digests
+    and identifiers of one's own). A null or empty text has no spans; ids may be null or
     repeat; other columns are ignored; an empty table gives an empty one. One narrow pass over whole texts.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -97,10 +141,15 @@ def find_secrets(
                 if m.end() - m.start() >= 16:
                     yield at + m.start(), 2, at + m.end(), None
             if len(run) >= least_run and run not in spared and not known(run):
-                text = run.decode("ascii")
-                ratio = len(text) / sum(len(vocab.encode_ordinary(text[k : k + PIECE])) for k in range(0, len(text), PIECE))
+                ratio = len(run) / _tokens(vocab, run)
                 if ratio < most_chars_per_token:
                     yield at, 3, at + len(run), ratio
+                    return
+                for a, b in _stretches(vocab, run, least_run, most_chars_per_token):
+                    part = run[a:b]
+                    ratio = len(part) / _tokens(vocab, part)
+                    if ratio < most_chars_per_token and part not in spared and not known(part):
+                        yield at + a, 3, at + b, ratio
 
         for big in batches:
             for batch in small_batches(big, text_col):

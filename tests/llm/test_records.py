@@ -51,6 +51,27 @@ def test_token_efficiency(spark):
     assert all(not r.spans for r in find_secrets(docs, allowed=(RANDOM,)).collect())
 
 
+def random_spans(spark, texts):
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in find_secrets(docs).collect()}
+    return [[t[a:b] for a, b in got[i]] for i, t in enumerate(texts)]
+
+
+def test_random_part_of_a_run(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    before = ["//storage.googleapis.com/company-backups/production/", "services.payment.gateway.production.credentials=", "src/main/resources/application-production/"]
+    keys = ["".join(rng.choices(letters, k=n)) for n in (20, 24, 32, 40) for _ in range(10)]
+    got = random_spans(spark, [f"é {p}{k} end" for p in before for k in keys])
+    assert all(x in ([k], [p + k]) for x, (p, k) in zip(got, [(p, k) for p in before for k in keys], strict=True))  # the key alone, or a run of few characters a token
+    assert got[0] == [keys[0]]
+    path = "production/application/resources/credentials/" * 3
+    two = f"{path}{keys[0]}/{path}{keys[-1]}/production"
+    base64 = "aZ3k+Q9vX/1pL7mB5n/R2tY8w+C4dF6gH0jK=="
+    uuid = "production/resources/123e4567-e89b-12d3-a456-426614174000/application/d41d8cd98f00b204e9800998ecf8427e"
+    assert random_spans(spark, [two, path + base64, uuid, before[0] + "application"]) == [[keys[0], keys[-1]], [base64.rstrip("=")], [], []]
+
+
 def test_known_runs():
     yes = ["d41d8cd98f00b204e9800998ecf8427e", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "123e4567-e89b-12d3-a456-426614174000", "some_long_identifier_name", "camelCaseIdentifierName", "2024-01-01.12345"]
     assert all(known(x.encode()) for x in yes)
