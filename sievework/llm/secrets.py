@@ -29,6 +29,7 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _IDENTIFIER = re.compile(rb"[_./=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_./=+-]+|\Z))+|(?:[A-Z]{0,4}+[a-z]{3,}+)+|[0-9_./=+-]+")
+_WORD = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
 #: What a run is taken apart into: UUIDs, stretches without separators, separators.
 _PART = re.compile(rb"(?<![0-9a-fA-F])" + _UUID.pattern + rb"(?![0-9a-fA-F])|[A-Za-z0-9]+|[+/_.=-]+")
 
@@ -57,10 +58,18 @@ def _digest(body: bytes) -> bool:
     return bool((hexed and len(body) in _DIGEST_LENGTHS) or _UUID.fullmatch(body))
 
 
-def known(run: bytes) -> bool:
-    """Whether a run is a digest of a known length, a UUID, or an identifier of words and short numbers."""
+def known(run: bytes, vocabulary: str | None = None, most: float = 2.0) -> bool:
+    """Whether a run is a digest of a known length, a UUID, or an identifier of words and short numbers.
+
+    A word of an identifier has at most three letters, or at least `most` characters a token.
+    """
     body = run.strip(b"=+/._-")
-    return _digest(body) or bool(_IDENTIFIER.fullmatch(body))
+    if _digest(body):
+        return True
+    if not _IDENTIFIER.fullmatch(body):
+        return False
+    vocab = _vocabulary(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return all(len(w) <= 3 or len(w) >= most * _tokens(vocab, w) for w in _WORD.findall(body))
 
 
 def _tokens(vocab, run: bytes) -> int:
@@ -140,7 +149,7 @@ def find_secrets(
             for m in _HEX.finditer(run):
                 if m.end() - m.start() >= 16:
                     yield at + m.start(), 2, at + m.end(), None
-            if len(run) >= least_run and run not in spared and not known(run):
+            if len(run) >= least_run and run not in spared and not known(run, path, most_chars_per_token):
                 ratio = len(run) / _tokens(vocab, run)
                 if ratio < most_chars_per_token:
                     yield at, 3, at + len(run), ratio
@@ -148,7 +157,7 @@ def find_secrets(
                 for a, b in _stretches(vocab, run, least_run, most_chars_per_token):
                     part = run[a:b]
                     ratio = len(part) / _tokens(vocab, part)
-                    if ratio < most_chars_per_token and part not in spared and not known(part):
+                    if ratio < most_chars_per_token and part not in spared and not known(part, path, most_chars_per_token):
                         yield at + a, 3, at + b, ratio
 
         for big in batches:

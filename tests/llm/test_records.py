@@ -72,6 +72,18 @@ def test_random_part_of_a_run(spark):
     assert random_spans(spark, [two, path + base64, uuid, before[0] + "application"]) == [[keys[0], keys[-1]], [base64.rstrip("=")], [], []]
 
 
+def test_random_letters_of_one_case(spark):
+    rng = random.Random(6)
+    strings = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=32)) for _ in range(100)]
+    groups = ["qxzvk-wjpbt-hgfmr-ndzcx", "QXZVK.WJPBT.HGFMR.NDZCX"]
+    got = random_spans(spark, strings + [s.upper() for s in strings] + groups)
+    assert sum(x == [s] for x, s in zip(got, strings, strict=False)) >= 90
+    assert sum(x == [s.upper()] for x, s in zip(got[100:], strings, strict=False)) >= 98
+    assert got[200:] == [[g] for g in groups]
+    words = ["thequickbrownfoxjumpsover", "INTERNATIONALIZATION_ERROR_CODE", "Rechtsschutzversicherungsgesellschaften", "desafortunadamente-lamentablemente", "a_b_c_d_e_f_g_h_i_j_k_l", "usr/lib/x/y/z/src/etc/bin"]
+    assert random_spans(spark, words) == [[] for _ in words]
+
+
 def test_known_runs():
     yes = ["d41d8cd98f00b204e9800998ecf8427e", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "123e4567-e89b-12d3-a456-426614174000", "some_long_identifier_name", "camelCaseIdentifierName", "2024-01-01.12345"]
     assert all(known(x.encode()) for x in yes)
