@@ -66,7 +66,7 @@ REMEDIES = "SELECT event_type AS kind, min(event_id) AS pos, count(*) AS n, CASE
 
 
 def unregistered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("source <> 'src3'").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
     return integrity.missing(docs, table(spark, sf_dir, "labels").select("doc_id").distinct(), ["doc_id"])
 
 

@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from sievework.plans import retrieval
+from sievework.plans import checks, retrieval
 
 
 def lines(spark, path):
@@ -63,3 +63,10 @@ def test_capped_walk_stops_early(spark):
     seeds = spark.createDataFrame([("a",), ("z",)], "node string")
     assert three(graph.reachable(seeds, edges, 2, cap=3)) == {("a", "b0", 1), ("a", "b1", 1), ("a", "b2", 1), ("z", "b0", 1), ("z", "c0", 2)}
     assert three(graph.reachable(seeds, edges, 2, cap=4)) == {("a", "b0", 1), ("a", "b1", 1), ("a", "b2", 1), ("a", "c0", 2), ("z", "b0", 1), ("z", "c0", 2)}
+
+
+def test_unregistered_of_all_sources(spark, tmp_path):
+    rows = [(1, "src3"), (2, "src3"), (3, None), (4, "src1"), (5, "src1"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2,), (2,), (5,), (6,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r.doc_id for r in checks.unregistered_documents(spark, str(tmp_path)).collect()) == [1, 3, 4]
