@@ -157,7 +157,7 @@ PIN_DRIFT = "SELECT * FROM (VALUES ('solver', 'differs'), ('writer', 'differs'),
 
 def tool_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = rows(spark, "tool string", *((f"mcp__srv__t{i}",) for i in range(5)))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a\nuse mcp__srv__t"), F.col("doc_id") % 7, F.lit(" now\n"), F.substring("text", 1, 50)).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a\nuse mcp__srv__t"), F.col("doc_id") % 7, F.lit(" now\n"), F.coalesce("text", F.lit(""))).alias("t"))
     lines = docs.select("doc_id", F.posexplode(F.split("t", "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), F.explode(F.regexp_extract_all("line", F.lit("(mcp__[a-z]+__[a-z0-9_]+)"), F.lit(1))).alias("tool"))
     return integrity.missing(lines, known, ["tool"]).select("doc_id", "line_no", "tool")
 

@@ -101,9 +101,9 @@ KEYWORD_FALLBACK = "SELECT query_id, name, rank FROM (SELECT n_nationkey AS quer
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompt = F.concat(F.lit("Where does `poolSize` use "), F.substring_index(F.col("text"), " ", 3), F.lit(" getX? Cite the exact file."))
+    prompt = F.concat(F.lit("Where does `poolSize` use "), F.coalesce("text", F.lit("")), F.lit(" getX? Cite the exact file."))
     b = table(spark, sf_dir, "benchmark").select("item_id", prompt.alias("p"))
-    return b.select("item_id", F.array_join(F.filter(search_terms(F.col("p"), ("where", "does", "cite")), lambda w: F.lower(w).isin("poolsize", "getx", "cite", "exact", "where")), ",").alias("terms"), F.length(fts_safe(F.col("p"))).cast("long").alias("safe_chars"))
+    return b.select("item_id", F.array_join(search_terms(F.col("p"), ("where", "does", "cite")), ",").alias("terms"), F.length(fts_safe(F.col("p"))).cast("long").alias("safe_chars"))
 
 
 QUERY_TERMS = "SELECT item_id, 'poolSize,getX' AS terms, length('Where does `poolSize` use ' || array_to_string(string_split(text, ' ')[1:3], ' ') || ' getX? Cite the exact file.') AS safe_chars FROM benchmark"

@@ -39,7 +39,7 @@ SELECT page_id, rtrim(ltrim(replace(path, '\\', '/'), './'), '/') AS path, regex
 
 
 def citation_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see core/f"), F.col("doc_id") % 7, F.lit(".go:"), F.col("doc_id") + 1, F.lit("-"), F.col("doc_id") + 9, F.lit(" and pkg/m.py line "), F.col("doc_id") % 5, F.lit(", notes.md:4. "), F.substring("text", 1, 100)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see core/f"), F.col("doc_id") % 7, F.lit(".go:"), F.col("doc_id") + 1, F.lit("-"), F.col("doc_id") + 9, F.lit(" and pkg/m.py line "), F.col("doc_id") % 5, F.lit(", notes.md:4. "), F.coalesce("text", F.lit(""))).alias("text"))
     return docs.select("doc_id", F.explode(prose_citations(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 

@@ -1,8 +1,9 @@
 """Queries cover whole inputs: held against brute force on small tables."""
 
+import re
 from collections import defaultdict
 
-from sievework.plans import checks, retrieval
+from sievework.plans import checks, lifecycle, retrieval, scoring
 
 
 def lines(spark, path):
@@ -65,6 +66,36 @@ def test_capped_walk_stops_early(spark):
     assert three(graph.reachable(seeds, edges, 2, cap=4)) == {("a", "b0", 1), ("a", "b1", 1), ("a", "b2", 1), ("a", "c0", 2), ("z", "b0", 1), ("z", "c0", 2)}
 
 
+def documents(spark, path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+
+
+def test_tool_references_of_whole_texts(spark, tmp_path):
+    texts = ["x" * 300 + " mcp__far__tool\nlast mcp__srv__t1 mcp__srv__t9", "word " * 400 + "\n\nmcp__a__b, mcp__a__b", None, "", "none", "mcp__srv__t0"]
+    documents(spark, tmp_path, texts)
+    want = []
+    for i, t in enumerate(texts):
+        for k, line in enumerate(f"a\nuse mcp__srv__t{i % 7} now\n{t or ''}".split("\n"), 1):
+            want += [(i, k, x) for x in re.findall("mcp__[a-z]+__[a-z0-9_]+", line) if x not in {f"mcp__srv__t{n}" for n in range(5)}]
+    assert (0, 3, "mcp__far__tool") in want and (1, 5, "mcp__a__b") in want
+    assert sorted(map(tuple, lifecycle.tool_references(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_citations_of_whole_texts(spark, tmp_path):
+    documents(spark, tmp_path, ["filler " * 200 + "eth/deep.go:45-67 and lib/x.py line 3, flat.go:9", None, "none"])
+    got = sorted(map(tuple, scoring.citation_prose(spark, str(tmp_path)).collect()), key=str)
+    planted = [x for i in range(3) for x in ((i, f"core/f{i}.go", i + 1, i + 9), (i, "pkg/m.py", i or None, i or None))]
+    assert got == sorted([*planted, (0, "eth/deep.go", 45, 67), (0, "lib/x.py", 3, 3)], key=str)
+
+
+def test_terms_of_whole_texts(spark, tmp_path):
+    texts = ["one two three theWriter of four `a.b` and Buffer buffer aB", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: (r.terms, r.safe_chars) for r in retrieval.query_terms(spark, str(tmp_path)).collect()}
+    size = len("Where does `poolSize` use  getX? Cite the exact file.")
+    assert got == {0: ("poolSize,a.b,three,theWriter,four,Buffer,aB,getX", size + len(texts[0])), 1: ("poolSize,getX", size), 2: ("poolSize,getX", size)}
+
+
 def test_unregistered_of_all_sources(spark, tmp_path):
     rows = [(1, "src3"), (2, "src3"), (3, None), (4, "src1"), (5, "src1"), (6, None)]
     spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
