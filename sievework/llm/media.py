@@ -86,6 +86,26 @@ class _Items(HTMLParser):
         self._skip = 0
         self._caption: list[str] | None = None
         self._figure: list[dict] | None = None
+        self._captions: list[tuple[int, str]] = []
+
+    def end_caption(self) -> None:
+        if self._caption is not None:
+            words = " ".join("".join(self._caption).split())
+            if words:
+                self._captions.append((len(self.items), words))
+            self._caption = None
+
+    def end_figure(self) -> None:
+        """The last caption is that of all media of the figure; other captions, and all of a figure without media, are texts."""
+        self.end_caption()
+        if self._figure and self._captions:
+            _, words = self._captions.pop()
+            for item in self._figure:
+                item["caption"] = words
+        for at, words in reversed(self._captions):
+            self.items.insert(at, {"kind": "text", "text": words})
+        self._captions.clear()
+        self._figure = None
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
@@ -109,22 +129,21 @@ class _Items(HTMLParser):
         elif tag in self._BREAK:
             self._flush()
             if tag == "figure":
+                self.end_figure()
                 self._figure = []
             elif tag == "figcaption":
+                self.end_caption()
                 self._caption = []
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self._SKIP:
             self._skip = max(0, self._skip - 1)
         elif tag == "figcaption" and self._caption is not None:
-            words = " ".join("".join(self._caption).split())
-            for item in self._figure or ():
-                item["caption"] = words or item["caption"]
-            self._caption = None
+            self.end_caption()
         elif tag in self._BREAK:
             self._flush()
             if tag == "figure":
-                self._figure = None
+                self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self._skip:
@@ -134,13 +153,14 @@ class _Items(HTMLParser):
 def items_of(html: str | None) -> list[dict]:
     """[{pos, kind, text, digest, url, caption}] of a page; none for null or empty HTML.
 
-    A figure's caption is that of all media in it; without one, the alt text is. Text of scripts, styles and
-    captions is no item.
+    A figure's last caption is that of all media in it; without one, the alt text is. Any other caption is a text of
+    its own; an open one ends with its figure or the page. Text of scripts and styles is no item.
     """
     parser = _Items()
     parser.feed(html or "")
     parser.close()
     parser._flush()
+    parser.end_figure()
     return [{"pos": i, "text": None, "digest": None, "url": None, "caption": None} | x for i, x in enumerate(parser.items)]
 
 

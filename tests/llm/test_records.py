@@ -164,6 +164,16 @@ def test_images_are_lossless(data):
         media.payload_of(png[:30] + bytes([png[30] ^ 1]) + png[31:])
 
 
+def test_captions_without_media_or_end():
+    plain = lambda html: [i["text"] or (i["url"], i["caption"]) for i in media.items_of(html)]
+    assert plain("a<figure><table><td>1</table><figcaption>cap <b>t</b></figcaption></figure>b") == ["a", "1", "cap t", "b"]
+    assert plain("<figure><img src=u alt=x><figcaption>open</figure>b<p>c") == [("u", "open"), "b", "c"]
+    assert plain("<figure><code>k</code><figcaption>open</figure>b") == ["k", "open", "b"]
+    assert plain("a<figcaption>open to the end") == ["a", "open to the end"]
+    assert plain("<figure><figcaption>first</figcaption><img src=u></figure><figure><img src=v><figcaption></figcaption></figure>z") == [("u", "first"), ("v", None), "z"]
+    assert plain("<figure><figcaption>above</figcaption>x<pre>y</pre></figure>") == ["above", "x", "y"]
+
+
 def test_interleaved_items():
     html = "<p>a &amp; b<img src='sha256:ff' alt='x'>c</p><script>no</script><figure><img src=u.png><figcaption>cap <b>t</b></figcaption></figure><p></p>d"
     got = [(i["pos"], i["kind"], i["text"], i["digest"], i["url"], i["caption"]) for i in media.items_of(html)]
