@@ -355,6 +355,10 @@ def complete_sets(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def _promising(num: int, den: int):
+    span = 2  # sizes of a link differ by den / num at most, so widths by the next power of two
+    while span * num < den:
+        span *= 2
+
     def nodes(table: pa.Table) -> pa.Table:
         """Of one bundle: the nodes with a partner whose size and sketch allow a link."""
         take_over(__name__)
@@ -365,9 +369,9 @@ def _promising(num: int, den: int):
         to = np.searchsorted(n, n * den // num, "right")
         width = np.array([len(m) for m in marks])
         stay = np.zeros(len(n), bool)
-        for w in np.unique(width).tolist():  # the smaller of a pair sets the width, and the larger one's is that or twice that
+        for w in np.unique(width).tolist():  # the smaller of a pair sets the width, and the larger one's is up to `span` times that
             first = np.flatnonzero(width == w)
-            near = np.flatnonzero((width == w) | (width == 2 * w)) if w else np.arange(len(n))
+            near = np.flatnonzero((width >= w) & (width <= span * w)) if w else np.arange(len(n))
             rows = np.stack([folded(np.frombuffer(marks[j], np.uint8), w) for j in near.tolist()]) if w else None
             for i, k in zip(first.tolist(), np.searchsorted(near, first).tolist(), strict=True):
                 last = int(np.searchsorted(near, to[i]))

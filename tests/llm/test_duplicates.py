@@ -155,3 +155,14 @@ def test_components(spark):
     want = {**dict.fromkeys((1, 2, 3, 4), 1), **dict.fromkeys((7, 8, 9), 7), **dict.fromkeys((19, 20), 19), **dict.fromkeys(range(30, 61), 30)}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("num", [48, 30])
+def test_links_of_sizes_far_apart(spark, num):
+    """Below a threshold of a half, sizes of a link, and widths of sketches, differ by more than twice."""
+    long = [f"w{i}" for i in range(128)]
+    rows = [(1, " ".join(long[:63])), (2, " ".join(long)), (3, " ".join(f"v{i}" for i in range(40))), (4, " ".join(f"v{i}" for i in range(130)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_jaccard_join(docs, size=1, num=num).collect())
+    assert got == sorted(components(rows, 1, num, 100))
+    assert [r[2] for r in got] == ([1, 1, 3, 3] if num == 30 else [1, 1, 3, 4])
