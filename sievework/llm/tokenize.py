@@ -2,8 +2,9 @@
 
 Byte-level and word-end vocabularies never merge across the place where a text is
 cut here, so a column is cut into chunks, the library encodes the distinct chunks,
-and the ids are gathered back. Texts for which a cut isn't provably neutral are
-encoded whole.
+and the ids are gathered back. Texts for which a cut isn't provably neutral, and those
+that hold the string of an added token, are encoded whole. The library is used as it
+is: the string of an added token in a text is that token.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.cut, self.room = cut, room
         self.cache: dict[str, bytes] = {}
         self.met = bytearray(_MET_MASK + 1)
@@ -83,17 +84,19 @@ class ChunkEncoder:
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and len + 1 offsets; null counts as empty."""
         col = pc.fill_null(col, "").cast(pa.large_string())
-        whole: dict[int, np.ndarray] = {}
+        apart = np.zeros(len(col), bool)
+        for token in self.added:
+            apart |= pc.match_substring(col, token).to_numpy(zero_copy_only=False)
         if self.cut == "space":
             odd = pc.match_substring_regex(col, r"\s[ ](?:\s|\z)|[^\x00-\x7f\pL\pN\pP\pS] ?")
-            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-                if _UNSAFE.search(text := col[i].as_py()):
-                    whole[i] = np.frombuffer(self._encode([text])[0], np.uint32)
-            if whole:
-                mask = np.zeros(len(col), bool)
-                mask[list(whole)] = True
-                col = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), col)
-        else:
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False) & ~apart).tolist():
+                apart[i] = bool(_UNSAFE.search(col[i].as_py()))
+        whole: dict[int, np.ndarray] = {}
+        if apart.any():
+            at = np.flatnonzero(apart).tolist()
+            whole = dict(zip(at, self._ids([col[i].as_py() for i in at]), strict=True))
+            col = pc.if_else(pa.array(apart), pa.scalar("", pa.large_string()), col)
+        if self.cut == "words":
             col = pc.replace_substring(col, "\n", " ")
         parts = pc.split_pattern(col, " ")
         flat, at = parts.values, np.asarray(parts.offsets)
@@ -145,7 +148,10 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def parts_of(chunk: str) -> list[str]:
-    """Parts of a chunk that both patterns keep apart: at single line feeds, and before marks that follow a Latin letter."""
+    """Parts of a chunk that both patterns keep apart: at single line feeds, and before marks that follow a Latin letter.
+
+    A letter whose lower case has more than one character (a dotted capital I) ends in a mark there, which joins those after it.
+    """
     lines = chunk.split("\n")
     if len(lines) > 1 and any(not x or x[-1].isspace() or (i and x[0].isspace()) for i, x in enumerate(lines)):
         return [chunk]
@@ -154,7 +160,7 @@ def parts_of(chunk: str) -> list[str]:
         if i:
             out.append("\n")
         core = x.rstrip(_MARKS)
-        if len(core) < len(x) and core and core[-1] < "\u0250" and core[-1].isalpha():
+        if len(core) < len(x) and core and core[-1] < "\u0250" and core[-1].lower().isalpha():
             out += (core, x[len(core) :])
         else:
             out.append(x)
