@@ -2,9 +2,9 @@
 
 A source's target is whole epochs plus a rest. The rest is fitted on the histogram of
 its documents' lengths alone: a proportional number of documents of each length, then
-longer ones until a bounded budget is left, which bounded-knapsack dynamic programming
-fills as exactly as the lengths allow. Which documents of a length are taken is
-decided by a seeded hash.
+longer ones until a bounded budget is left, to which bounded-knapsack dynamic
+programming finds the nearest sum, below or above. Which documents of a length are
+taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import arrow_schema, partitions, small_batches, stored, take_over, text_bytes, word_spans
 
-#: The dynamic programme's largest budget, in words.
+#: The dynamic programme's largest gap, in words.
 KNAPSACK = 1 << 16
 
 
@@ -59,7 +59,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
-    """How many documents of each size to take so that their sizes sum to rest, or as near below as can be found."""
+    """How many documents of each size to take so that their sizes sum to rest, or as near to it as can be found.
+
+    A proportional number of each size and then longer ones first leave a gap. If it is over KNAPSACK, every document
+    left is longer than the gap, and the nearest is none or one of the shortest. Else all sums of the others up to
+    twice the gap are known to the dynamic programme; no sum beyond that is nearer than none. Of two sums as near,
+    the smaller is taken.
+    """
     taken = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
     if rest <= 0 or total <= 0:
@@ -69,8 +75,9 @@ def fit(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
     taken = counts * rest // total if total < 2**31 else np.array([int(c) * rest // total for c in counts.tolist()], np.int64)
     taken[sizes == 0] = 0
     left = rest - int((sizes * taken).sum())
-    spare = counts - taken
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    spare = np.where(sizes > 0, counts - taken, 0)
+    longest_first = np.argsort(-sizes, kind="stable").tolist()
+    for i in longest_first:
         s = int(sizes[i])
         if left <= KNAPSACK or not s:
             break
@@ -78,25 +85,31 @@ def fit(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
         taken[i] += k
         spare[i] -= k
         left -= k * s
-    budget = min(left, KNAPSACK)
-    by = np.full(budget + 1, -1, np.int32)  # the item that first reached a sum
-    reach = np.zeros(budget + 1, bool)
+    if left > KNAPSACK:
+        shortest = int(np.flatnonzero(spare > 0)[np.argmin(sizes[spare > 0])])  # rest < total: some are left
+        taken[shortest] += int(sizes[shortest]) - left < left
+        return taken
+    most = 2 * left
+    by = np.full(most + 1, -1, np.int32)  # the item that first reached a sum
+    reach = np.zeros(most + 1, bool)
     reach[0] = True
     items: list[tuple[int, int]] = []
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    for i in longest_first:
         s, k = int(sizes[i]), int(spare[i])
-        if not s or s > budget or reach[budget]:
+        if not k or s > most:
             continue
-        k, step = min(k, budget // s), 1
+        if reach[left]:
+            break
+        k, step = min(k, most // s), 1
         while k > 0:  # 1, 2, 4, ... copies: any number up to k is a sum of these
             n = min(step, k)
             k, step, w = k - n, 2 * step, n * s
-            if w <= budget:
-                new = np.flatnonzero(reach[: budget + 1 - w] & ~reach[w:]) + w
-                by[new] = len(items)
-                reach[new] = True
+            new = np.flatnonzero(reach[: most + 1 - w] & ~reach[w:]) + w
+            by[new] = len(items)
+            reach[new] = True
             items.append((i, n))
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - left))])
     while at:
         i, n = items[by[at]]
         taken[i] += n

@@ -252,6 +252,17 @@ def test_mix_of_equal_lengths_and_nothing(spark):
     assert mixing.mix_sources(with_extra(spark)).count() == len(ROWS)
 
 
+def nearest(sizes, counts, rest):
+    """Distance to rest of the best sum: a proportional start, then all subset sums of the others."""
+    total = int((sizes * counts).sum())
+    start = counts * rest // total
+    start[sizes == 0] = 0
+    reach = {int((sizes * start).sum())}
+    for s, c in zip(sizes.tolist(), (counts - start).tolist(), strict=True):
+        reach = {r + k * s for r in reach for k in range(c + 1)}
+    return min(abs(r - rest) for r in reach)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(0, 60), st.integers(1, 9), min_size=1, max_size=8), st.integers(0, 100))
 def test_fit_is_a_best_subset_sum(histogram, share):
@@ -260,10 +271,11 @@ def test_fit_is_a_best_subset_sum(histogram, share):
     rest = total * share // 100
     taken = mixing.fit(sizes, counts, rest)
     assert (taken >= 0).all() and (taken <= counts).all()
-    reach = {0}
-    start = counts * rest // total if total else counts * 0  # a proportional start, then the best that the others allow
-    start[sizes == 0] = 0
-    base = int((sizes * start).sum())
-    for s, c in zip(sizes.tolist(), (counts - start).tolist(), strict=True):
-        reach = {r + k * s for r in reach for k in range(c + 1) if r + k * s <= rest - base}
-    assert int((sizes * taken).sum()) == (base + max(reach) if rest < total else total)
+    assert abs(int((sizes * taken).sum()) - rest) == (nearest(sizes, counts, rest) if rest else 0)
+
+
+def test_fit_passes_a_target_that_is_nearer_above():
+    fit = lambda sizes, counts, rest: int((np.array(sizes) * mixing.fit(np.array(sizes), np.array(counts), rest)).sum())
+    assert fit([1000], [1], 999) == 1000 and fit([1000], [1], 499) == 0 and fit([1000], [1], 500) == 0
+    assert fit([70_000], [3], 139_999) == 140_000 and abs(fit([1, 70_000], [1, 3], 139_999) - 139_999) <= 2
+    assert fit([70_000], [3], 100_000) == 70_000 and fit([3, 10**6], [5, 2], 10**6 + 2) == 10**6 + 3
