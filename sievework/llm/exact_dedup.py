@@ -1,11 +1,13 @@
 """Exact deduplication by Grace hashing.
 
 Each task of the scan collapses its own rows in open-addressing tables, so that a
-text copied a billion times leaves one record per table. Records with complete
-content are then dealt by hash. Each receiving task partitions what it gets into
-spill files, again and again by further bits of the hash, until a bucket fits its
-memory budget, and collapses the bucket in one open-addressing table that compares
-complete content. Small rows carry the verdicts back to the documents.
+text copied a billion times leaves one record per table. These records, with complete
+content, are a table of their own. Those of hashes that very many tables hold are
+collapsed once more, dealt by hash and salt. Then all are dealt by hash. Each receiving
+task probes an open-addressing table, which compares complete content, while it reads;
+once that is as large as its budget, new content goes to spill files by further bits of
+the hash, and each file is treated likewise. Small rows carry the verdicts back to the
+documents.
 
 Spill files are scratch of a running task: they lie in the task's own temporary
 folder and go with the task; a task that is run again writes its own.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -28,9 +30,12 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import _IS_SPACE, arrow_schema, partitions, small_batches, stored, take_over, text_bytes
 
-LOCAL = "is_class boolean, deal long, id long, part int, class long, row long, n_chars long, n long, hash long, content binary, tag long"
-VERDICT = "is_class boolean, id long, part int, class long, row long, n_chars long, keep_id long, keep_part int, keep_row long, group_size long, sha string, tag long"
+LOCAL = "is_class boolean, id long, part int, class long, row long, n_chars long, n long, hash long, content binary, tag long"
+MERGED = "hash long, content binary, n long, n_chars long, id long, part int, row long, tags array<struct<part: int, class: long>>"
+VERDICT = "part int, class long, keep_id long, keep_part int, keep_row long, group_size long, sha string"
 _FAN_BITS = 4
+#: A hash with more than this share of a task's records is hot: there are at most 1 / HOT of them a task.
+HOT = 1 / 4
 
 
 class ContentTable:
@@ -44,6 +49,15 @@ class ContentTable:
         self.hashes: list[int] = []
         self.contents: list[bytes] = []
 
+    def find(self, key: int, content: bytes) -> int | None:
+        """The entry that holds the content, if any."""
+        at = key & self.mask
+        while (e := self.slots[at]) >= 0:
+            if self.hashes[e] == key and self.contents[e] == content:
+                return e
+            at = (at + 1) & self.mask
+        return None
+
     def add(self, key: int, content: bytes) -> tuple[int, bool]:
         """The entry that holds the content, and whether it is new."""
         at = key & self.mask
@@ -75,52 +89,76 @@ def better(a: tuple, b: tuple) -> tuple:
 
 
 def grace(records: Iterable[tuple], budget: int, scratch: Path, level: int = 0) -> Iterator[tuple[bytes, list[tuple], int, tuple]]:
-    """Classes of equal content among records (hash, content, n, best, tag): content, tags, number of rows, best row.
+    """Classes of equal content among records (hash, content, n, best, tags): content, tags, number of rows, best row.
 
-    Records are held up to budget bytes of content; beyond that all go to spill files by the next bits of
-    their hash, and each file is treated likewise. Where no bits are left, a bucket holds texts of one hash only.
+    The first budget bytes of different contents stay in a table, and what equals them is added there as it comes.
+    Records of other contents go to spill files by the next bits of their hash, and each file is treated likewise. In
+    front of a file one recent content is remembered for each of a few slots: its copies are written without it.
+    Where no bits are left, a bucket holds texts of one hash only and stays in memory.
     """
-    held: list[tuple] = []
-    size, files = 0, None
-    for r in records:
-        if files is None:
-            held.append(r)
-            size += len(r[1]) + 200
-            if size > budget and level * _FAN_BITS < 64:
-                files = [open(scratch / f"{level}-{k}-{id(held):x}", "wb+") for k in range(1 << _FAN_BITS)]  # noqa: SIM115
-                for x in held:
-                    pickle.dump(x, files[(x[0] >> (64 - _FAN_BITS * (level + 1))) & 15], 5)
-                held = []
-        else:
-            pickle.dump(r, files[(r[0] >> (64 - _FAN_BITS * (level + 1))) & 15], 5)
-    if files is not None:
-        for f in files:
-            f.seek(0)
-            yield from grace(_read(f), budget, scratch, level + 1)
-            f.close()
-            Path(f.name).unlink()
-        return
     table = ContentTable()
     found: list[list] = []
-    for key, content, n, best, tag in held:
-        e, new = table.add(key, content)
-        if new:
-            found.append([[tag], n, best])
+    size, files = 0, None
+    recent: list[tuple[bytes, int] | None] = [None] * 256
+    kept = 0  # bytes of recent contents
+    written = [0] * (1 << _FAN_BITS)
+    for key, content, n, best, tags in records:
+        e = table.find(key, content) if files is not None else table.add(key, content)[0]
+        if e is None:
+            k = (key >> (64 - _FAN_BITS * (level + 1))) & 15
+            slot = key & 255
+            last = recent[slot]
+            if last is not None and last[0] == content:
+                pickle.dump((key, last[1], n, best, tags), files[k], 5)
+                continue
+            kept += len(content) - (len(last[0]) if last else 0)
+            recent[slot] = (content, written[k])
+            if kept > budget:
+                recent, kept = [None] * 256, 0
+            written[k] += 1
+            pickle.dump((key, content, n, best, tags), files[k], 5)
+        elif e == len(found):
+            found.append([list(tags), n, best])
+            size += len(content) + 200
+            if size > budget and files is None and level * _FAN_BITS < 64:
+                files = [open(scratch / f"{level}-{k}-{id(found):x}", "wb+") for k in range(1 << _FAN_BITS)]  # noqa: SIM115
         else:
             c = found[e]
-            c[0].append(tag)
+            c[0] += tags
             c[1] += n
             c[2] = better(c[2], best)
     for content, (tags, n, best) in zip(table.contents, found, strict=True):
         yield content, tags, n, best
+    table.clear()
+    found.clear()
+    recent.clear()
+    for f in files or ():
+        f.seek(0)
+        yield from grace(_read(f), budget, scratch, level + 1)
+        f.close()
+        Path(f.name).unlink()
 
 
 def _read(f) -> Iterator[tuple]:
+    """Records of a spill file; one written without its content gets that of the record it names."""
+    at: list[int] = []
+    last = -1, b""
     while True:
+        place = f.tell()
         try:
-            yield pickle.load(f)
+            key, content, n, best, tags = pickle.load(f)
         except EOFError:
             return
+        if isinstance(content, int):
+            if last[0] != content:
+                after = f.tell()
+                f.seek(at[content])
+                last = content, pickle.load(f)[1]
+                f.seek(after)
+            content = last[1]
+        else:
+            at.append(place)
+        yield key, content, n, best, tags
 
 
 def without_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +167,16 @@ def without_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return data[stay], np.concatenate(([0], np.cumsum(stay)))[offsets]
 
 
-def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None, hot_from: int | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, n_chars, tag.
 
     Texts are equal when identical after white space [\\x20\\x09-\\x0D] is deleted; null counts as empty, and
     empty texts equal each other. Of equal texts the one with most code points stays, then the smallest id
     (null after all others), then the earliest row: repeated rows keep one. tag_col, a long, comes back as tag, so
-    that rows with one id can be told apart. Other columns are ignored; an empty table gives an empty one.
+    that rows with one id can be told apart. Very long texts are compared whole. hot_from sets how many records of a
+    hash make it hot. Other columns are ignored; an empty table gives an empty one.
     """
-    local, verdict = arrow_schema(LOCAL), arrow_schema(VERDICT)
+    local, merged, verdict = arrow_schema(LOCAL), arrow_schema(MERGED), arrow_schema(VERDICT)
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over(__name__)
@@ -149,13 +188,11 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id",
             n, step = len(counts), 2_000
             for a in range(0, n, step):
                 b = min(n, a + step)
-                keys = np.array(table.hashes[a:b], np.uint64).astype(np.int64)
-                none = pa.nulls(b - a, pa.int64())
                 yield pa.record_batch(
                     [
-                        pa.array([True] * (b - a)), pa.array(keys), pa.array([x[1] for x in best[a:b]], pa.int64()), pa.array([part] * (b - a), pa.int32()),
+                        pa.array([True] * (b - a)), pa.array([x[1] for x in best[a:b]], pa.int64()), pa.array([part] * (b - a), pa.int32()),
                         pa.array(np.arange(first + a, first + b)), pa.array([x[3] for x in best[a:b]], pa.int64()), pa.array([x[0] for x in best[a:b]], pa.int64()),
-                        pa.array(counts[a:b], pa.int64()), pa.array(keys), pa.array(table.contents[a:b], pa.binary()), none,
+                        pa.array(counts[a:b], pa.int64()), pa.array(np.array(table.hashes[a:b], np.uint64).astype(np.int64)), pa.array(table.contents[a:b], pa.binary()), pa.nulls(b - a, pa.int64()),
                     ],
                     schema=local,
                 )
@@ -179,11 +216,8 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id",
                         best[e] = better(best[e], mine)
                     cls.append(first + e)
                 n = len(batch)
-                rows = row0 + np.arange(n)
-                empty = pa.nulls(n, pa.int64())
-                deal = (rows + (part << 32)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 yield pa.record_batch(
-                    [pa.array([False] * n), pa.array(deal.astype(np.int64)), batch.column(id_col).cast(pa.int64()), pa.array([part] * n, pa.int32()), pa.array(cls, pa.int64()), pa.array(rows), pa.array(chars, pa.int64()), empty, empty, pa.nulls(n, pa.binary()), batch.column("tag")],
+                    [pa.array([False] * n), batch.column(id_col).cast(pa.int64()), pa.array([part] * n, pa.int32()), pa.array(cls, pa.int64()), pa.array(row0 + np.arange(n)), pa.array(chars, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), batch.column("tag")],
                     schema=local,
                 )
                 row0 += n
@@ -194,42 +228,53 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20, id_col: str = "doc_id",
                     table.clear()
         yield from classes()
 
-    def deduplicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield r["hash"] & (2**64 - 1), r["content"], r["n"], (r["n_chars"], r["id"], r["part"], r["row"]), [(t["part"], t["class"]) for t in r["tags"]]
+
+    def collapsed(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows_of: Callable, at_once: int) -> Iterator[pa.RecordBatch]:
         take_over(__name__)
-        passed: list[pa.RecordBatch] = []
+        out: list[tuple] = []
+        size = 0
+        with tempfile.TemporaryDirectory(prefix="grace-") as scratch:
+            for content, tags, n, best in grace(records(batches), budget, Path(scratch)):
+                rows = rows_of(content, tags, n, best)
+                out += rows
+                size += len(rows) * at_once
+                if size > 8 << 20:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        def records() -> Iterator[tuple]:
-            for batch in batches:
-                one = batch.column("is_class").to_numpy(zero_copy_only=False)
-                if not one.all():
-                    passed.append(batch.filter(pa.array(~one)))
-                for r in batch.filter(pa.array(one)).select(["hash", "content", "n", "n_chars", "id", "part", "row", "class"]).to_pylist():
-                    yield r["hash"] & (2**64 - 1), r["content"], r["n"], (r["n_chars"], r["id"], r["part"], r["row"]), (r["part"], r["class"])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(content: bytes, tags: list, n: int, best: tuple) -> list[tuple]:
+            key = int(np.uint64(xxhash.xxh3_64_intdigest(content)).astype(np.int64))
+            return [(key, content, n, *best, [{"part": p, "class": c} for p, c in tags])]
 
-        out: list[tuple] = []
+        return collapsed(batches, merged, rows_of, 1 << 16)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                columns = list(zip(*out, strict=True))
-                out.clear()
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, verdict, strict=True)], schema=verdict)
-            for b in passed:
-                void = lambda kind, n=len(b): pa.nulls(n, kind)
-                yield pa.record_batch([b.column(x) for x in ("is_class", "id", "part", "class", "row", "n_chars")] + [void(pa.int64()), void(pa.int32()), void(pa.int64()), void(pa.int64()), void(pa.string()), b.column("tag")], schema=verdict)
-            passed.clear()
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(content: bytes, tags: list, n: int, best: tuple) -> list[tuple]:
+            sha = hashlib.sha256(content).hexdigest()
+            return [(part, cls, best[1], best[2], best[3], n, sha) for part, cls in tags]
 
-        with tempfile.TemporaryDirectory(prefix="grace-") as scratch:
-            for content, tags, n, best in grace(records(), budget, Path(scratch)):
-                sha = hashlib.sha256(content).hexdigest()
-                out += [(True, None, part, cls, None, None, best[1], best[2], best[3], n, sha, None) for part, cls in tags]
-                if len(out) >= 5_000:
-                    yield from flush()
-            yield from flush()
+        return collapsed(batches, verdict, rows_of, 256)
 
+    spark = docs.sparkSession
+    parts = partitions(spark)
     small = docs.select(F.col(id_col).cast("long").alias(id_col), text_col, (F.col(tag_col) if tag_col else F.lit(None)).cast("long").alias("tag"))
-    dealt = small.mapInArrow(collapse, LOCAL).repartition(partitions(docs.sparkSession), "deal")
-    table, _ = stored(dealt.mapInArrow(deduplicate, VERDICT), "grace-dedup")
-    classes = table.where("is_class").select("part", "class", "keep_id", "keep_part", "keep_row", "group_size", "sha")
+    table, _ = stored(small.mapInArrow(collapse, LOCAL), "grace-records")
+    found = table.where("is_class").select("hash", "content", "n", "n_chars", "id", "part", "row", F.array(F.struct("part", "class")).alias("tags"))
+    bar = max(64, int(HOT * found.count() / parts)) if hot_from is None else hot_from
+    hot = found.groupBy("hash").agg(F.count(F.lit(1)).alias("tables")).where(F.col("tables") > bar).collect()  # at most parts / HOT rows
+    if hot:
+        known = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], "hash long, tables long"))  # as many
+        salted = found.join(known, "hash").withColumn("salt", F.pmod("part", F.ceil(F.sqrt("tables"))))
+        once = salted.repartition(parts, "hash", "salt").select([f.name for f in merged]).mapInArrow(merge, MERGED)
+        found = found.join(known, "hash", "left_anti").unionByName(once)
+    classes, _ = stored(found.select([f.name for f in merged]).repartition(parts, "hash").mapInArrow(judge, VERDICT), "grace-verdicts")
     return (
         table.where("not is_class").select("id", "part", "class", "row", "n_chars", "tag")
         .join(classes, ["part", "class"])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -11,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sievework.llm import exact_dedup as exact_dedup_module
 from sievework.llm import ngram_join as nj
 from sievework.llm.common import shingle_sets, text_bytes
 from sievework.llm.components import connected_components
@@ -51,7 +53,7 @@ def test_grace_spills_until_it_fits(tmp_path, budget):
     rng = random.Random(3)
     contents = [bytes([rng.randrange(4) for _ in range(rng.randrange(1, 5))]) for _ in range(500)]
     key = lambda c: int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "big") if c[0] else 7  # noqa: E731  many share a hash
-    found = list(grace(((key(c), c, 1, (len(c), i, 0, i), i) for i, c in enumerate(contents)), budget, Path(tmp_path)))
+    found = list(grace(((key(c), c, 1, (len(c), i, 0, i), [i]) for i, c in enumerate(contents)), budget, Path(tmp_path)))
     assert sorted(f[0] for f in found) == sorted(set(contents))
     for content, tags, n, best in found:
         mine = [i for i, c in enumerate(contents) if c == content]
@@ -59,6 +61,42 @@ def test_grace_spills_until_it_fits(tmp_path, budget):
     assert not list(tmp_path.iterdir())
 
 
+class Spill(list):
+    """Counts what is written to spill files."""
+
+    def watch(self, monkeypatch):
+        dump = exact_dedup_module.pickle.dump
+        monkeypatch.setattr(exact_dedup_module.pickle, "dump", lambda x, f, p: (self.append(len(x[1]) if isinstance(x[1], bytes) else 0), dump(x, f, p))[1])
+        return self
+
+
+@pytest.mark.parametrize("others", [0, 300])
+def test_copies_of_one_text_stay_small(tmp_path, monkeypatch, others):
+    """1,000 copies of a text a tenth of the budget: neither spilled again and again nor held, though other texts fill the table first."""
+    spill = Spill().watch(monkeypatch)
+    rng = random.Random(2)
+    filler = [rng.randbytes(4_000) for _ in range(others)]
+    hot = rng.randbytes(100_000)
+    every = [*filler, *[bytes(hot) for _ in range(1000)]]
+    key = lambda c: int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "big")
+    tracemalloc.start()
+    found = list(grace(((key(c), bytes(bytearray(c)), 1, (len(c), i, 0, i), [i]) for i, c in enumerate(every)), 10**6, Path(tmp_path)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(len(f[1]) for f in found) == [1] * others + [1000]
+    assert sum(spill) <= (0 if not others else 2 * len(filler) * 4_000 + 2 * len(hot))
+    assert peak < 6 * 10**6
+
+
+def test_hot_hashes_collapse_first(spark):
+    rows = [(i, "one text" if i % 3 else f"text {i}", None, None) for i in range(300)]
+    docs = documents(spark, rows).repartition(9)
+    strip = lambda df: sorted(tuple(r) for r in df.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+    got = strip(exact_dedup(docs, hot_from=2, budget=300))
+    assert got == strip(exact_dedup(docs))
+    assert {r[1] for r in got if r[0] % 3} == {1} and sum(r[3] for r in got) == 101
+
+
 def test_content_table_compares_content():
     t = ContentTable()
     assert [t.add(5, b"a"), t.add(5, b"b"), t.add(5, b"a")] == [(0, True), (1, True), (0, False)]
