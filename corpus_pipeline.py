@@ -1,9 +1,10 @@
 """From raw documents to packed training sequences: five stages, each a table.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs. Stages but the
-last return rows with the columns of docs. Rows are told apart by a number of their own
-(their place in docs as read), so null and repeated ids make no difference. Extra
-columns pass through; an empty table stays empty.
+last return rows with the columns of docs. Rows are told apart by a number of their own,
+so null and repeated ids make no difference. Numbers depend on how files are packed into
+partitions, hence on the executors there are, so numbered rows are stored once a stage and
+all its jobs read that table. Extra columns pass through; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ def _free(name: str, docs: DataFrame) -> str:
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with the place of each row; docs are read from files, so that reading them again gives the same places."""
+    """docs with a number of each row, as a stored table; and the number's name."""
     name = _free("_row", docs)
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows")[0], name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
