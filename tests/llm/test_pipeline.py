@@ -1,6 +1,7 @@
 """The pipeline: every stage's decisions against plain versions, on its own input."""
 
 import random
+import sys
 import zlib
 
 import corpus_pipeline as cp
@@ -87,6 +88,48 @@ def test_extra_columns_and_empty_tables(spark, tmp_path):
         assert stage(spark, none, sf).count() == 0, name
 
 
+class Crowd:
+    """A session whose parallelism, and so the packing of files, grows from job to job, as if executors came."""
+
+    def __init__(self, spark, monkeypatch):
+        self.n = 1
+        import sievework.llm.common as common
+
+        def changing(df, name, codec="zstd"):
+            out = plain(df, name, codec)
+            self.n = 1 + 3 * self.n % 7
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(self.n))
+            return out
+
+        plain = common.stored
+        for module in (cp, sys.modules["sievework.llm.exact_dedup"], sys.modules["sievework.llm.ngram_join"], sys.modules["sievework.llm.mixing"]):
+            monkeypatch.setattr(module, "stored", changing)
+
+
+def test_rows_stay_themselves_when_executors_change(spark, tmp_path, monkeypatch):
+    rows = [(i // 2, f"text number {i // 2} of this corpus" + " a b c d e f g h" * (i // 2 % 5), "en", "ab"[i % 2]) for i in range(320)]
+    docs = documents(spark, rows).repartition(16)
+    docs.write.parquet(f"{tmp_path}/d")
+    want = {name: sorted(map(tuple, stage(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect())) for name, stage in cp.STAGES[1:4]}
+    assert len(want["exact_dedup"]) == 160
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        Crowd(spark, monkeypatch)
+        for name, stage in cp.STAGES[1:4]:
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+            out = stage(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path))
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "8")
+            got = sorted(map(tuple, out.collect()))
+            if name == "mix":  # which of two equal rows is doubled is open
+                assert sorted(r[1] for r in got) == sorted(r[1] for r in want[name])
+            else:
+                assert {r[1] for r in got} == {r[1] for r in want[name]} and len(got) == len(want[name])
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+
+
 def test_clean_documents_stay(spark, tmp_path):
     sf = str(tmp_path)
     write(spark, sf)
