@@ -4,10 +4,13 @@ Sets of shingles that reach the threshold share a shingle in their prefixes, wha
 the one order is in which all sets are sorted; here shingles known to be frequent come
 last, by their counts, and all others by hash. Documents with one set are one node.
 Nodes with identical prefixes and sizes are one group, and only groups go into the
-inverted lists. Lists with the same least group are one bundle. A bundle's groups are
-expanded to nodes; those without a partner whose size and sketch allow a link leave, and
-the others are verified on complete sets. A bundle reports links that join its nodes'
-components, never all its pairs, and no link between different components is lost.
+inverted lists; a list that is known to be long is dealt out in pairs of blocks. Lists, or
+pairs of one place, with the same least group are one bundle. A bundle's groups are
+expanded to nodes, and a bundle with many is dealt out in pairs of blocks of nodes, so
+that no task gets more than two blocks of one. Nodes without a partner whose size and
+sketch allow a link leave, and the others are verified on complete sets. A part of a
+bundle reports links that join its nodes' components, never all its pairs, and no link
+between different components is lost.
 
 Numbers of shingles travel as packed arrays: a row for each range of hashes that a
 batch of documents has, never a row for each shingle.
@@ -29,17 +32,22 @@ from sievework.llm.components import connected_components
 
 #: Shingles in at least this many documents may count as frequent.
 HOT_FROM = 32
-#: No more than this many are kept for ordering (16 bytes each); beyond that the bar is doubled.
+#: No more than this many are kept for ordering (16 bytes each); beyond that the bar is doubled. Shingles under the
+#: bar have lists shorter than the bar, and bundles are dealt by their nodes whether or not a list is known to be long.
 HOT_MOST = 1 << 20
 #: An inverted list that may be longer than this is dealt out in pairs of blocks.
 BLOCK = 8192
+#: Least and most nodes in a block of a bundle: a sixteenth of the bundle between these.
+NODE_BLOCK = (512, 8192)
+#: Elements of the sets of a block, 8 bytes each; only one larger set takes more.
+BLOCK_ELEMENTS = 1 << 22
 #: 64-bit words of the filter that tells which nodes' sets are wanted.
 FILTER_WORDS = 1 << 20
 
 #: Bytes of text that are hashed at once.
 SLICE = 2 << 20
 
-_ENTRY = np.dtype([("fp", "<u4"), ("n", "<u4"), ("group", "<u8")])
+_ENTRY = np.dtype([("fp", "<u4"), ("pair", "<u4"), ("group", "<u8")])  # pair: 0, or the pair of blocks of a long list
 _U = np.uint64
 
 
@@ -205,7 +213,7 @@ NODES = "is_list boolean, bucket long, id long, n int, node binary, grp long, pa
 LISTS = "is_entry boolean, id long, n int, node binary, grp long, bundle long, packed binary"
 
 
-def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def inverted_lists(texts: DataFrame, size: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Documents (id, n, node, grp, its sketch) and, where is_entry, groups of bundles (grp, bundle)."""
     spark = texts.sparkSession
     bits = _bits(spark)
@@ -219,26 +227,26 @@ def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            tokens, n, group, often = (np.concatenate(x) for x in zip(*held, strict=True))
+            tokens, group, often = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            fp = tokens
-            if (long := often > BLOCK).any():  # lists that may be long: each pair of blocks is a list of its own
-                more = [np.flatnonzero(~long)]
-                salted = [tokens[~long]]
+            fp, pair = tokens, np.zeros(len(tokens), np.uint32)
+            if (long := often > block).any():  # lists that may be long: each pair of blocks is a list of its own
+                more, salted, pairs = [np.flatnonzero(~long)], [tokens[~long]], [pair[~long]]
                 for t in np.unique(tokens[long]):
                     mine = np.flatnonzero(tokens == t)
-                    blocks = -(-int(often[mine[0]]) // BLOCK)
+                    blocks = 1 << (-(-int(often[mine[0]]) // block) - 1).bit_length()  # lists of like length have the same pairs
                     own = (mix(group[mine]) % _U(blocks)).astype(np.int64)
                     for other in range(blocks):
-                        lo, hi = np.minimum(own, other), np.maximum(own, other)
+                        lo, hi = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+                        name = mix(mix(mix(np.full(len(mine), blocks, np.uint64)) + lo) + hi)
                         more.append(mine)
-                        salted.append(mix(t + (lo * blocks + hi + 1).astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
-                pick, fp = np.concatenate(more), np.concatenate(salted)
-                n, group = n[pick], group[pick]
+                        salted.append(mix(t + name))
+                        pairs.append((name >> _U(32)).astype(np.uint32) | np.uint32(1))
+                fp, pair, group = np.concatenate(salted), np.concatenate(pairs), group[np.concatenate(more)]
             by = np.argsort(fp, kind="stable")
-            fp, n, group = fp[by], n[by], group[by]
+            fp, pair, group = fp[by], pair[by], group[by]
             entries = np.empty(len(fp), _ENTRY)
-            entries["fp"], entries["n"], entries["group"] = (fp >> _U(32 - bits)).astype(np.uint32), n, group
+            entries["fp"], entries["pair"], entries["group"] = (fp >> _U(32 - bits)).astype(np.uint32), pair, group
             at = np.searchsorted(fp >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             rows = np.flatnonzero(np.diff(at))
             k = len(rows)
@@ -263,7 +271,7 @@ def inverted_lists(texts: DataFrame, size: int, num: int, den: int) -> DataFrame
                 first = np.zeros(len(n), bool)
                 first[np.unique(group, return_index=True)[1]] = True
                 once = np.repeat(first, np.diff(ends))
-                held.append((tokens[once], np.repeat(n, np.diff(ends))[once].astype(np.uint32), np.repeat(group, np.diff(ends))[once], often[once]))
+                held.append((tokens[once], np.repeat(group, np.diff(ends))[once], often[once]))
                 waiting += int(once.sum())
                 if waiting > 1 << 20:
                     yield flush()
@@ -301,18 +309,49 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
 
 
 def bundles_of(entries: np.ndarray) -> np.ndarray:
-    """Of one bucket: rows of a bundle (the least group of a list of two or more) and a group of that list."""
-    by = np.lexsort((entries["group"], entries["fp"]))
+    """Of one bucket: rows of a bundle and a group of a list of two or more. A bundle is named by the least group of the
+    list, and for a pair of blocks by that pair too."""
+    by = np.lexsort((entries["group"], entries["pair"], entries["fp"]))
     e = entries[by]
-    fresh = np.ones(len(e), bool)
-    fresh[1:] = (e["fp"][1:] != e["fp"][:-1]) | (e["group"][1:] != e["group"][:-1])
-    fp, group = e["fp"][fresh], e["group"][fresh]
-    heads = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
-    size = np.diff(np.concatenate((heads, [len(fp)])))
+    other = np.ones(len(e), bool)
+    other[1:] = (e["fp"][1:] != e["fp"][:-1]) | (e["pair"][1:] != e["pair"][:-1])
+    fresh = other.copy()
+    fresh[1:] |= e["group"][1:] != e["group"][:-1]
+    heads = np.flatnonzero(other[fresh])
+    pair, group = e["pair"][fresh], e["group"][fresh]
+    size = np.diff(np.concatenate((heads, [len(group)])))
     heads, size = heads[size > 1], size[size > 1]
-    return _distinct(np.stack((np.repeat(group[heads], size), group[ragged(heads, size)]), 1)) if len(heads) else np.zeros((0, 2), np.uint64)
+    if not len(heads):
+        return np.zeros((0, 2), np.uint64)
+    name = np.where(pair[heads] > 0, mix(group[heads] + pair[heads].astype(np.uint64) * _U(0x9E3779B97F4A7C15)), group[heads])
+    return _distinct(np.stack((np.repeat(name, size), group[ragged(heads, size)]), 1))
 
 
+# --- parts of bundles --------------------------------------------------------
+
+
+def parts_of_bundles(entries: DataFrame, nodes: DataFrame, node_block: tuple[int, int] = NODE_BLOCK) -> DataFrame:
+    """bundle, part and the nodes in it (node, n, sketch) of entries (grp, bundle) and nodes (grp, node, n, sketch).
+
+    A bundle of many nodes, or of large sets, is dealt out in blocks, and each pair of blocks is a part: nodes of one
+    bundle meet in some part. Of the large bundles there are at most rows / node_block[0].
+    """
+    least, most = node_block
+    weights = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("elements"))
+    size = entries.join(weights, "grp").groupBy("bundle").agg(F.sum("k").alias("k"), F.sum("elements").alias("elements"))
+    rows = F.least(F.greatest(F.ceil(F.col("k") / 16), F.lit(least)), F.lit(most))
+    blocks = F.greatest(F.ceil(F.col("k") / rows), F.ceil(F.col("elements") / F.lit(BLOCK_ELEMENTS))).cast("long")
+    large = size.where((F.col("k") > 2 * least) | (F.col("elements") > 2 * BLOCK_ELEMENTS)).select("bundle", F.greatest(blocks, F.lit(2)).alias("blocks"))
+    expanded = entries.join(nodes.select("grp", "node", "n", "sketch"), "grp").join(large, "bundle", "left")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>"), lambda o: o != own))
+    dealt = expanded.withColumn("own", own).select("bundle", "node", "n", "sketch", "own", F.explode(others).alias("other"))
+    part = F.when(F.col("other").isNotNull(), F.struct(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
+    return dealt.select("bundle", part.alias("part"), "node", "n", "sketch")
+
+
+PART = "struct<lo: bigint, hi: bigint>"
+
 # --- verification ------------------------------------------------------------
 
 
@@ -387,7 +426,7 @@ def _promising(num: int, den: int):
                         stay[hit] = True
         if (width == 0).any():
             stay[width == 0] = True
-        return table.select(["bundle", "node"]).take(pa.array(by[stay]))
+        return table.select(["bundle", "part", "node"]).take(pa.array(by[stay]))
 
     return nodes
 
@@ -440,27 +479,30 @@ def spark_xxhash64_of_16(keys: np.ndarray) -> np.ndarray:
 # --- the join ----------------------------------------------------------------
 
 
-def ngram_jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_join(
+    docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, node_block: tuple[int, int] = NODE_BLOCK
+) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links).
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set holds the distinct shingles of `size` words, or with
     fewer words the whole sequence as one; documents without words, null texts included, link with nothing and are
     their own component. Sets link when den * common >= num * union. Ids may repeat or be null: a component's id is
     its smallest, null only if it has no other. Extra columns are ignored; an empty table gives an empty one.
-    Shingles are compared by 64-bit hashes, whole sets are known by 128-bit keys.
+    Very long texts are compared whole, by one set each. Shingles are compared by 64-bit hashes, whole sets are
+    known by 128-bit keys. block and node_block bound lists and bundles before they are dealt out; results don't
+    depend on them.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = inverted_lists(texts.select("id", "text"), size, num, den)
+    table = inverted_lists(texts.select("id", "text"), size, num, den, block)
     rows = table.where("not is_entry").select("id", "n", "node", "grp")
     named = table.where("not is_entry and node is not null")
     nodes, _ = stored(named.groupBy("node").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("id").alias("least_id"), F.min("packed").alias("sketch")), "nodes")
     several = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("grp", F.col("grp").alias("bundle"))
     entries = table.where("is_entry").select("grp", "bundle").union(several).distinct()
-    expanded = entries.join(nodes.select("grp", "node", "n", "sketch"), "grp").select("bundle", "node", "n", "sketch")
-    promising, _ = stored(expanded.groupBy("bundle").applyInArrow(_promising(num, den), "bundle long, node binary"), "promising")
+    parts = parts_of_bundles(stored(entries, "bundles")[0], nodes, node_block)
+    promising, _ = stored(parts.groupBy("bundle", "part").applyInArrow(_promising(num, den), f"bundle long, part {PART}, node binary"), "promising")
     sets = complete_sets(promising.select("node"), texts, size)
-    links, _ = stored(promising.join(sets, "node").groupBy("bundle").applyInArrow(_linked(num, den), "a binary, b binary"), "links")
+    links, _ = stored(promising.join(sets, "node").groupBy("bundle", "part").applyInArrow(_linked(num, den), "a binary, b binary"), "links")
     least = nodes.join(connected_components(links), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node, _ = stored(least.select("node", "root").join(of_root, "root").select("node", "component_id"), "components")

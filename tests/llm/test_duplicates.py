@@ -3,6 +3,7 @@
 import hashlib
 import random
 import tracemalloc
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -128,19 +129,42 @@ def test_near_duplicates(spark, size, num):
     assert got == sorted((str(k), n, str(c)) for k, n, c in components(rows, size, num, 100))
 
 
-def test_frequent_shingles_go_last_and_lists_split(spark, monkeypatch):
-    """With every shingle frequent and lists cut into small blocks the links are the same."""
-    monkeypatch.setattr(nj, "HOT_FROM", 2)
+def test_frequent_shingles_are_counted(spark):
     rows = near_rows(80, 4)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    keys, counts = nj.frequent_shingles(docs.select(F.col("doc_id").alias("id"), "text"), 4, least=2)
-    all_sets = [shingles(t, 4) for _, t in rows]
-    every = [s for x in all_sets for s in x]
-    assert len(keys) == sum(every.count(s) > 1 for s in set(every)) and counts.min() >= 2
-    few, _ = nj.frequent_shingles(docs.select(F.col("doc_id").alias("id"), "text"), 4, least=2, most=10)
-    assert len(few) <= len(keys)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_jaccard_join(docs, size=4, num=85).collect())
-    assert got == sorted(components(rows, 4, 85, 100))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    keys, counts = nj.frequent_shingles(texts, 4, least=2)
+    every = Counter(s for _, t in rows for s in shingles(t, 4))
+    assert sorted(counts.tolist()) == sorted(n for n in every.values() if n > 1)
+    some, least = nj.frequent_shingles(texts, 4, least=2, most=len(keys) // 2)
+    assert 0 < len(some) < len(keys) and len(some) == sum(n >= 2 ** int(np.log2(least.min())) for n in every.values())
+
+
+def test_long_lists_and_bundles_are_dealt_out(spark):
+    """With lists of over 8 entries and bundles of over 8 nodes cut, no part is large and the links are the same."""
+    rows = near_rows(200, 4) + [(1000 + i, f"{BASE} x{i} y") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    want = sorted(components(rows, 2, 80, 100))
+    for block, node_block in ((8, (4, 8)), (8, (4, 10**6)), (nj.BLOCK, (4, 8))):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_jaccard_join(docs, size=2, num=80, block=block, node_block=node_block).collect())
+        assert got == want
+    largest = {}
+    for block in (8, nj.BLOCK):
+        entries = nj.inverted_lists(texts, 2, 80, 100, block).where("is_entry").select("grp", "bundle")
+        largest[block] = entries.groupBy("bundle").count().agg(F.max("count")).first()[0]
+    assert largest[8] < largest[nj.BLOCK] / 2  # lists with one least group are one bundle still; its nodes are dealt out next
+    entries = spark.createDataFrame([(g, b) for g in range(100) for b in (1, 2 + g // 2)], "grp long, bundle long")
+    nodes = spark.createDataFrame([(g, bytearray(f"{g}-{i}", "ascii"), 5, bytearray(16)) for g in range(100) for i in range(3)], "grp long, node binary, n int, sketch binary")
+    parts = nj.parts_of_bundles(entries, nodes, (10, 20)).collect()
+    sizes, met, of = Counter((r.bundle, r.part) for r in parts), set(), defaultdict(list)
+    assert max(sizes.values()) <= 80  # two blocks of about 20, by hash
+    for r in parts:
+        of[r.bundle, r.part].append(bytes(r.node))
+    for (bundle, _), names in of.items():
+        met |= {(bundle, a, b) for a in names for b in names}
+    every = [f"{g}-{i}".encode() for g in range(100) for i in range(3)]
+    assert met >= {(1, a, b) for a in every for b in every}
+    assert sum(v for (b, _), v in sizes.items() if b != 1) == 300
 
 
 def test_large_group_of_near_copies(spark):
