@@ -342,7 +342,8 @@ def parts_of_bundles(entries: DataFrame, nodes: DataFrame, node_block: tuple[int
     rows = F.least(F.greatest(F.ceil(F.col("k") / 16), F.lit(least)), F.lit(most))
     blocks = F.greatest(F.ceil(F.col("k") / rows), F.ceil(F.col("elements") / F.lit(BLOCK_ELEMENTS))).cast("long")
     large = size.where((F.col("k") > 2 * least) | (F.col("elements") > 2 * BLOCK_ELEMENTS)).select("bundle", F.greatest(blocks, F.lit(2)).alias("blocks"))
-    expanded = entries.join(nodes.select("grp", "node", "n", "sketch"), "grp").join(large, "bundle", "left")
+    # nodes last: joined by bundle, they would stay together by bundle, parts and all
+    expanded = entries.join(large, "bundle", "left").join(nodes.select("grp", "node", "n", "sketch"), "grp")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>"), lambda o: o != own))
     dealt = expanded.withColumn("own", own).select("bundle", "node", "n", "sketch", "own", F.explode(others).alias("other"))
