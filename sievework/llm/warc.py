@@ -24,13 +24,16 @@ SLICES = 200
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www. and default port, path without trailing slashes, sorted query without tracking; no scheme or fragment."""
+    """Host in lower case without www. and default port, path without trailing slashes, sorted query without tracking; no scheme or fragment.
+
+    Null for what has no scheme and host: such URLs are no page's.
+    """
     bare = F.regexp_replace(url, "#.*$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[A-Za-z]+://([^/?]*)", 1)), "^www[.]|:(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(bare, "^[A-Za-z]+://[^/?]*([^?]*)", 1), "/+$", "")
     parts = F.filter(F.split(F.regexp_extract(bare, "[?](.*)$", 1), "&"), lambda p: (p != "") & ~F.rlike(p, F.lit(TRACKING)))
     query = F.array_join(F.array_sort(parts), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def _headers(headers: Column) -> Column:
@@ -51,7 +54,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     """One row per revisit of captures (record_id long, url, ts long, kind, etag, last_modified, digest, length, headers map).
 
     kind is 'response' for a full response and 'revisit' for a not-modified record; other kinds, and rows without
-    url or ts, are neither, but a revisit without them is 'missing'. The response is the latest with a smaller ts,
+    ts or a URL with scheme and host, are neither, but such a revisit is 'missing'. Very long URLs and headers are
+    compared whole. The response is the latest with a smaller ts,
     of equal ones the largest record_id. status: 'missing' without such a response; else 'resolved' or 'mismatch' as
     the etags agree (weak comparison), or without two etags the modification times, or without two of those the
     digests; 'unverified' where nothing can be compared. Only a resolved revisit has merged headers. Repeated rows
@@ -61,23 +65,25 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
         "record_id", "kind", F.col("ts").cast("long").alias("ts"), canonical_url(F.col("url")).alias("page"),
         F.regexp_replace("etag", "^W/", "").alias("etag"), "last_modified", "digest", F.col("length").cast("long").alias("length"), _headers(F.col("headers")).alias("entries"),
     ).where("kind in ('response', 'revisit')")
+    placed = F.col("page").isNotNull() & F.col("ts").isNotNull()
+    lost = rows.where(~placed & (F.col("kind") == "revisit"))  # no page to look for: they meet nobody, however many
+    rows = rows.where(placed)
     quantiles = [k / SLICES for k in range(1, SLICES)]
     bounds = captures.select(F.percentile_approx(F.col("ts").cast("long"), quantiles, 10_000).alias("b")).first()["b"]  # SLICES numbers
     edges = F.array(*map(F.lit, sorted(set(bounds or [0]))))
     sliced = rows.withColumn("slice", F.size(F.filter(edges, lambda b: b < F.col("ts"))))
-    full = F.when((F.col("kind") == "response") & F.col("page").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "length", "entries"))
+    full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", "length", "entries"))
     per_slice = sliced.groupBy("page", "slice").agg(F.max(full).alias("latest"))
     earlier = Window.partitionBy("page").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.select("page", "slice", F.last("latest", ignorenulls=True).over(earlier).alias("carried"))
     before = Window.partitionBy("page", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     within = sliced.withColumn("within", F.max(full).over(before)).where("kind = 'revisit'")
-    null_safe = [within["page"].eqNullSafe(carried["page"]), within["slice"].eqNullSafe(carried["slice"])]
-    found = within.join(carried, null_safe, "left").drop(carried["page"]).drop(carried["slice"])
-    r = F.when(F.col("page").isNotNull() & F.col("ts").isNotNull(), F.coalesce("within", "carried"))
+    found = within.join(carried, ["page", "slice"], "left").withColumn("r", F.coalesce("within", "carried")).drop("slice", "within", "carried")
+    found = found.unionByName(lost.withColumn("r", F.lit(None).cast(found.schema["r"].dataType)))
     both = lambda c: F.col(c).isNotNull() & F.col("r")[c].isNotNull()
     agree = F.coalesce(*(F.when(both(c), F.col(c) == F.col("r")[c]) for c in ("etag", "last_modified", "digest")))
     status = F.when(F.col("r").isNull(), "missing").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
-    joined = found.withColumn("r", r).withColumn("status", status)
+    joined = found.withColumn("status", status)
     good = F.col("status") == "resolved"
     return joined.select(
         "record_id", F.col("page").alias("canonical_url"), "status", F.col("r.record_id").alias("response_id"),
@@ -121,12 +127,12 @@ WITH p AS (
   FROM pages),
 u AS (
   SELECT *,
-    regexp_replace(lower(regexp_extract(bare, '^[A-Za-z]+://([^/?]*)', 1)), '^www[.]|:(80|443)$', '', 'g')
-    || regexp_replace(regexp_extract(bare, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    regexp_replace(lower(regexp_extract(bare, '^[A-Za-z]+://([^/?]*)', 1)), '^www[.]|:(80|443)$', '', 'g') AS host,
+    regexp_replace(regexp_extract(bare, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=.*)?$'))), '&') AS query
   FROM p),
-c AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS page FROM u),
+c AS (SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS page FROM u),
 responses AS (
   SELECT page, page_id AS ts, page_id * 4 AS record_id, tag AS etag, day, tag AS digest, size AS length FROM c
   UNION ALL

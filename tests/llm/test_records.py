@@ -130,6 +130,15 @@ def test_revisits(spark):
     assert (third.digest, third.length, third.canonical_url) == ("x", 5, "ex.com/a?a=1&b=2")
 
 
+def test_urls_without_a_host_meet_nobody(spark):
+    urls = ["example.org/a", "urn:x:1", "/a", "", "http://", "http:///a", "www.ex.com", None]
+    rows = [capture(i, u, 1, "response", "e", digest="d") for i, u in enumerate(urls)] + [capture(10 + i, u, 2, "revisit", "e") for i, u in enumerate(urls)]
+    rows += [capture(20, "http://h/" + "x" * 100_000, 1, "response", "e", digest="d"), capture(21, "http://h/" + "x" * 100_000, 2, "revisit", "e")]
+    got = {r.record_id: (r.canonical_url, r.status, r.response_id) for r in resolve_revisits(spark.createDataFrame(rows, CAPTURES)).collect()}
+    assert [got.pop(10 + i) for i in range(len(urls))] == [(None, "missing", None)] * len(urls)
+    assert got == {21: ("h/" + "x" * 100_000, "resolved", 20)}
+
+
 def test_revisits_against_all_pairs(spark):
     rng = random.Random(4)
     rows = [capture(i, f"http://h/{rng.choice('aaab')}", rng.randrange(40), rng.choice(["response", "revisit"]), rng.choice([None, "e", "f"])) for i in range(300)]
