@@ -168,7 +168,11 @@ def fit_hierarchy(x: np.ndarray, langs: list[str]) -> Hierarchy:
 
 
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, most: int = TRAIN_ROWS) -> Hierarchy:
-    """Learns from texts with a lang whose fold isn't `held`: at most `most` of them, the first by a hash of their id."""
+    """Learns from texts with a lang whose fold isn't `held`: at most `most` of them, the first by a hash of their id.
+
+    The bound holds for rows, however many share an id; equal rows count once. Null texts and langs teach nothing,
+    nor do texts without a letter; very long texts are measured whole.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, folds) != held))
     ids = usable.select(F.col(id_col).cast("long").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(most)
     texts = usable.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -184,7 +188,8 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 x = ngram_features(data, at).astype(np.float16)
                 yield pa.record_batch([batch.column("id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], schema=schema).filter(pa.array(has_letter(data, at)))
 
-    got = chosen.select("id", "text", "lang").mapInArrow(measure, ddl).toArrow()
+    measured = chosen.select("id", "text", "lang").mapInArrow(measure, ddl).distinct()
+    got = measured.orderBy(F.xxhash64("id"), "id", F.xxhash64("lang", "packed"), "lang").limit(most).toArrow()
     rows = sorted(set(zip(got["id"].to_pylist(), got["lang"].to_pylist(), got["packed"].to_pylist(), strict=True)))
     x = np.stack([np.frombuffer(p, np.float16) for _, _, p in rows]).astype(np.float32) if rows else np.zeros((0, DIMS), np.float32)
     return fit_hierarchy(x, [c for _, c, _ in rows])
@@ -193,6 +198,8 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def predict_languages(docs: DataFrame, model: Hierarchy, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score (0 to 1; the family's probability times the share of the votes).
 
+    A text's family is the likeliest, of equal ones the first by name; its language the member with most votes, of
+    equal ones that with the larger margins, then the first by name. Very long texts are read whole.
     A null text, or one without a letter of any script, is `und` with score 0; with nothing learned, every text is.
     Only the text is looked at. Ids may be null or repeat; an empty table gives an empty one. One narrow pass.
     """

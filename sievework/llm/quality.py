@@ -110,14 +110,16 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, most: int = TRAIN_ROWS, **options) -> Trees:
     """Learns from labelled documents whose fold isn't 0: at most `most` of them, the first by a hash of their id.
 
-    Null labels and ids teach nothing; repeated labels of an id count once, the largest.
+    Null labels and ids teach nothing; repeated labels of an id count once, the largest. The bound holds for rows,
+    however many texts share an id; equal rows count once. Very long texts are measured whole.
     """
     usable = labels.where(F.col(label_col).isNotNull() & (fold(id_col, folds) != 0))
     chosen = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
     sample = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     here = texts.join(F.broadcast(sample), "id").select("id", "text", "label")  # `most` rows bound the broadcast
-    got = with_statistics(here, "id", "text").distinct().toArrow()
+    measured = with_statistics(here, "id", "text").distinct()
+    got = measured.orderBy(F.xxhash64("id"), "id", F.xxhash64("packed")).limit(most).toArrow()
     known = dict(zip(*(c.to_pylist() for c in sample.select("id", "label").toArrow().columns), strict=True))
     rows = sorted(zip(got["id"].to_pylist(), got["packed"].to_pylist(), strict=True))
     x = np.stack([np.frombuffer(p, float) for _, p in rows]) if rows else np.zeros((0, len(FEATURES)))

@@ -1,14 +1,18 @@
 """Quality and language: held-out accuracy, folds, and the awkward rows."""
 
+import math
 import random
+import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from sievework.llm.langid import UNKNOWN, Hierarchy, family_of, fit_hierarchy, has_letter, ngram_features, predict_languages, train_languages
-from sievework.llm.common import text_bytes
+from sievework.llm.common import _BYTES, mix, text_bytes
+from sievework.llm.langid import DIMS, UNKNOWN, Hierarchy, family_of, fit_hierarchy, fit_svm, has_letter, ngram_features, predict_languages, train_languages
 from sievework.llm.quality import Trees, fit_trees, fold, score_quality, train_quality
+from sievework.llm.queries import op2_gbt_quality
 from sievework.llm.textstats import FEATURES, document_statistics
 from tests.llm.helpers import ROWS, documents, with_extra
 
@@ -111,6 +115,142 @@ def test_quality_bound_and_edges(spark):
     assert score_quality(with_extra(spark), trees).count() == len(ROWS)
 
 
+def test_bounds_hold_for_rows(spark, monkeypatch):
+    """An id with many texts doesn't bring more rows to the driver than the bound."""
+    fitted = []
+    monkeypatch.setattr(sys.modules["sievework.llm.quality"], "fit_trees", lambda x, y, **_: fitted.append(len(x)))
+    monkeypatch.setattr(sys.modules["sievework.llm.langid"], "fit_hierarchy", lambda x, langs: fitted.append(len(x)))
+    rows = [(1, text_of(random.Random(i), "en", 9), "en", None) for i in range(90)]
+    docs = documents(spark, rows)
+    train_quality(docs, spark.createDataFrame([(1, 1, 0)] * 5, "doc_id long, quality int, toxic int"), most=7)
+    train_languages(docs, most=3)
+    assert fitted == [7, 3]
+
+
+def plain_trees(x, y, trees, depth, rate, bins, least, l2):
+    """Boosting as a recursion over lists of rows: every cut of every feature is tried by summing gradients of its rows."""
+    n = len(y)
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for c in x.T]
+    prior = math.log(y.mean() / (1 - y.mean()))
+    margin = [prior] * n
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [y[i] - p[i] for i in range(n)], [max(p[i] * (1 - p[i]), 1e-9) for i in range(n)]
+
+        def grow(rows, level, g=g, h=h):
+            total, weight = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            best = (1e-6, None, None)
+            if level < depth:
+                for f in range(x.shape[1]):
+                    for t in cuts[f]:
+                        low = [i for i in rows if x[i, f] <= t]
+                        a, b = sum(g[i] for i in low), sum(h[i] for i in low)
+                        if b < least or weight - b < least:
+                            continue
+                        gain = a**2 / (b + l2) + (total - a) ** 2 / (weight - b + l2) - total**2 / (weight + l2)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, f, t)
+            if best[1] is None:
+                for i in rows:
+                    margin[i] += rate * total / (weight + l2)
+                return
+            grow([i for i in rows if x[i, best[1]] <= best[2]], level + 1)
+            grow([i for i in rows if x[i, best[1]] > best[2]], level + 1)
+
+        grow(list(range(n)), 0)
+    return margin
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_trees_are_those_of_a_plain_search(seed):
+    rng = np.random.RandomState(seed)
+    x = np.concatenate((rng.rand(310, 3), rng.randint(0, 3, (310, 1))), 1)
+    y = ((x[:, 0] + x[:, 1] * (x[:, 3] > 0) + 0.3 * rng.rand(310)) > 0.9).astype(float)
+    options = {"trees": 4, "depth": 3, "rate": 0.3, "bins": 8, "least": 1.0, "l2": 1.0}
+    assert fit_trees(x, y, **options).margin(x) == pytest.approx(plain_trees(x, y, **options), abs=1e-9)
+
+
+def test_query_scores_are_those_of_single_documents(spark, tmp_path):
+    """op2's rows against statistics, trees and bar worked out a document at a time."""
+    rows, labels = quality_rows(150)
+    documents(spark, [*rows, *ROWS]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op2_gbt_quality(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + len(ROWS)
+    stats = lambda t: document_statistics(*text_bytes(pa.array([t or ""])))[0]
+    learn = [(stats(t), q) for (i, t, _, _), (_, q, _) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    learn += [(stats(t), labels[k][1]) for k, t, _, _ in {r[:1] + r[1:]: r for r in ROWS}.values() if k is not None and zlib.crc32(str(k).encode()) % 5]
+    trees = fit_trees(np.stack([s for s, _ in learn]), np.array([float(q) for _, q in learn]))
+    texts = Counter()
+    for i, t, _, _ in [*rows, *ROWS]:
+        margin = trees.prior
+        for f, cut, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(stats(t)[f[node]] > cut[node])
+            margin += leaf[node - len(f)]
+        texts[i, round(1 / (1 + math.exp(-margin)), 6)] += 1
+    assert texts == Counter((r.doc_id, round(r.score, 6)) for r in got)
+    assert all(r.predicted == (r.score >= 0.3) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def plain_features(text):
+    """Byte n-grams of 2 to 4 that hold a letter, each hashed by itself."""
+    data = (text or "").encode()
+    letter = [chr(b).isalpha() if b < 128 else True for b in data]
+    value = [int(_BYTES[b]) if w else 1 for b, w in zip(data, letter, strict=True)]
+    row = np.zeros(DIMS)
+    for k in (2, 3, 4):
+        for i in range(len(data) - k + 1):
+            if any(letter[i : i + k]):
+                h = value[i]
+                for v in value[i + 1 : i + k]:
+                    h = (h * 0x9E3779B97F4A7C15 + v) % 2**64
+                row[int(mix(np.array([h], np.uint64))[0]) >> 52] += 1
+    row = np.sqrt(row)
+    return row / np.linalg.norm(row) if row.any() else row
+
+
+def test_language_votes_are_those_of_single_texts(spark):
+    """Predictions against features, family and duels worked out one text at a time."""
+    docs = [*language_rows(120), (900, "1 2", None, None), (901, "a", None, None), (902, "Über den le eau" * 300, None, None)]
+    model = train_languages(documents(spark, docs))
+    got = {r.doc_id: r for r in predict_languages(documents(spark, docs), model).collect()}
+    for i, t, _, _ in docs:
+        x = np.append(plain_features(t), 1.0)
+        assert x[:-1] == pytest.approx(ngram_features(*text_bytes(pa.array([t])))[0], abs=1e-6)
+        z = [float(w @ x) for w in model.weights]
+        family = z.index(max(z))
+        share = math.exp(max(z)) / sum(map(math.exp, z))
+        wins, belief = Counter(), Counter()
+        for a, b, w in model.machines[family]:
+            m = float(w @ x)
+            wins[a if m > 0 else b] += 1
+            q = 1 / (1 + math.exp(-4 * m))
+            belief[a] += q
+            belief[b] += 1 - q
+        names = model.members[family]
+        best = max(range(len(names)), key=lambda k: (wins[k], belief[k]))
+        if any(c.isalpha() for c in t):
+            assert got[i].lang_pred == names[best]
+            assert got[i].score == pytest.approx(share * (belief[best] / (len(names) - 1) if len(names) > 1 else 1), abs=1e-4)
+        else:
+            assert (got[i].lang_pred, got[i].score) == (UNKNOWN, 0)
+
+
+def test_duels_minimise_the_squared_hinge():
+    """A machine loses no more than a slow plain descent."""
+    rng = np.random.RandomState(4)
+    x1 = np.concatenate((rng.rand(60, 5), np.ones((60, 1))), 1).astype(np.float32)
+    side = np.where(x1[:, 0] > x1[:, 1], 1.0, -1.0).astype(np.float32)
+    loss = lambda w: float(np.mean(np.maximum(0, 1 - side * (x1 @ w)) ** 2) + 5e-5 * w @ w)
+    w = np.zeros(6)
+    for _ in range(5000):
+        gap = np.maximum(0, 1 - side * (x1 @ w))
+        w -= 0.1 * (-2 * (x1.T @ (gap * side)) / 60 + 1e-4 * w)
+    assert loss(fit_svm(x1, side, steps=2000)) <= 1.001 * loss(w)
+
+
 def test_trees_find_an_interaction():
     rng = np.random.RandomState(0)
     x = rng.rand(2000, 3)
