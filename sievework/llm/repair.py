@@ -62,11 +62,15 @@ class Grammar:
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int, per_round: int, least: int) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: each counts all pairs of neighbours, gives up to per_round of the most frequent a new
-    symbol, and replaces their occurrences from left to right. ends: places after each document's last id.
+    symbol, and replaces their occurrences from left to right. ends: places after each document's last id. A rule
+    expands to at most 2^rounds ids. Of two pairs that share a slot of the table of chosen pairs the more frequent is
+    replaced in this round, the other in a later one. Symbols take 16 bits: a larger base raises ValueError.
 
     Returns the grammar, the symbols, and how many symbols each document has.
     """
     most = 65535 - base  # symbols stay in 16 bits, and the last is none
+    if most < 0 or (len(ids) and int(ids.max()) >= base):
+        raise ValueError(f"ids from {base} on don't fit into 16-bit symbols")
     seq, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
@@ -139,17 +143,18 @@ def write_token_shards(
     cut: str = "space",
     end_id: int = 2,
     shard_ids: int = 1 << 21,
-    rounds: int = 3,
-    per_round: int = 5000,
+    rounds: int = 8,
+    per_round: int = 1900,
     least: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[DataFrame, str]:
     """Encodes docs, in ascending order of id, into shards of about shard_ids ids; returns the table and its path.
 
-    Null and empty texts are the end id alone. Null ids come first; rows with equal ids are all kept, ordered by
-    their texts. Other columns are ignored; an empty table gives an empty one. A shard holds whole
-    documents, so one longer than shard_ids is a shard of its own.
+    Null and empty texts are the end id alone. Null ids come first; rows with equal ids are all kept, one after the
+    other: by length and text, or where an id fills several partitions by a hash of the text first. Other columns are
+    ignored; an empty table gives an empty one. A shard holds whole documents, so a very long one is a shard of its
+    own. A vocabulary of 65,536 ids or more raises ValueError: symbols have 16 bits.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     schema = arrow_schema(SHARDS)
@@ -158,6 +163,8 @@ def write_token_shards(
         take_over(__name__)
         encode, part = encoder(path, cut, KEPT_CHUNKS), TaskContext.get().partitionId()
         base = encode.lib.get_vocab_size()
+        if max(base - 1, end_id) > 65534:
+            raise ValueError("a vocabulary of 65,536 ids or more doesn't fit into 16-bit symbols")
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         shard = first = 0
 

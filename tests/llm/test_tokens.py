@@ -112,6 +112,21 @@ def test_repair_is_lossless(docs):
     assert g.sizes.tolist() == [len(repair.expand(g, np.array([4 + k]))) for k in range(len(g.rules))]
 
 
+def test_ids_that_16_bits_cannot_hold_raise():
+    with pytest.raises(ValueError, match="16-bit"):
+        repair.compress(np.array([70_000, 99_999], np.uint32), np.array([2]), 100_000, 3, 10, 2)
+    with pytest.raises(ValueError, match="16-bit"):
+        repair.compress(np.array([70_000], np.uint32), np.array([1]), 50_000, 3, 10, 2)
+
+
+def test_repeated_passages_shrink_by_more_than_a_round():
+    """Copies of a long text take a few symbols each."""
+    text = np.random.RandomState(5).randint(0, 500, 400)
+    g, symbols, counts = repair.compress(np.tile(text, 50).astype(np.uint32), np.arange(400, 20_001, 400), 500, 8, 1900, 4)
+    assert max(counts) <= 4 and g.sizes.max() >= 128
+    assert repair.expand(g, symbols[: counts[0]]).tolist() == text.tolist()
+
+
 def test_packing(spark):
     got = pack_power_of_two(documents(spark)).collect()
     encode = library("word_bpe_49k.json")
