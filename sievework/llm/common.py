@@ -25,11 +25,13 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in this process (tests), one of our own."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(sc, "_sievework_dir", None):
         sc._sievework_dir = tempfile.mkdtemp(prefix="sievework-")
         sc.setCheckpointDir(sc._sievework_dir)

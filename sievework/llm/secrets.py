@@ -81,7 +81,7 @@ def _stretches(vocab, run: bytes, least: int, most: float) -> Iterator[tuple[int
     """Start and end of what may be random in a run: parts that cost more than a token for `most` characters, together with their like.
 
     A digest, a UUID or a part that saves three characters or more, as a word does, ends a stretch; of what is between two
-    such parts, the stretch of the largest cost counts, and any other part of `least` characters.
+    such parts, the stretch of the largest cost counts (of equal ones the first to end, then the shortest), and any other part of `least` characters.
     """
     between: list[tuple[int, int, float]] = []
 

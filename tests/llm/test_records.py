@@ -7,11 +7,12 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sievework.llm import media, mixing, queries
+from sievework.llm import media, mixing, queries, secrets
 from sievework.llm.secrets import find_secrets, known
 from sievework.llm.warc import ORACLE_SQL, captures_of, resolve_revisits
 from sievework.plans.oracle import connect, differences
@@ -51,6 +52,50 @@ def test_token_efficiency(spark):
     assert all(not r.spans for r in find_secrets(docs, allowed=(RANDOM,)).collect())
 
 
+def plain_random_spans(text, least=20, most=2.0):
+    """Random spans of a text by trying all runs, and of each run's parts all stretches."""
+    vocab = secrets._vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = lambda s: len(vocab.encode_ordinary(s))
+    found = []
+    for m in re.finditer("[A-Za-z0-9+/_.=-]+", text):
+        run = m[0]
+        if len(run) < least or known(run.encode()):
+            continue
+        if len(run) < most * tokens(run):
+            found.append(m.span())
+            continue
+        parts = [(p.start(), p.end(), most * tokens(p[0]) - len(p[0]) if p[0][0].isalnum() else 0.0) for p in re.finditer(secrets._PART.pattern.decode(), run)]
+        ends = [k for k, (a, b, cost) in enumerate(parts) if cost <= -3 or secrets._digest(run[a:b].encode())]
+        for lo, hi in zip([-1, *ends], [*ends, len(parts)], strict=True):
+            here = parts[lo + 1 : hi]
+            spans = [(sum(c for *_, c in here[i : j + 1]), -i, j) for i in range(len(here)) for j in range(i, len(here))]
+            picked = []
+            if spans and max(spans)[0] > 0:
+                top = max(s[0] for s in spans)
+                j, i = min((j, i) for cost, i, j in spans if cost == top)  # of equal ones the earliest end, then the shortest
+                i = -i
+                if here[j][1] - here[i][0] >= least:
+                    picked.append((here[i][0], here[j][1]))
+            picked += [(a, b) for a, b, cost in here if b - a >= least and cost > 0 and not any(x <= a < y for x, y in picked)]
+            found += [(m.start() + a, m.start() + b) for a, b in sorted(picked) if b - a < most * tokens(run[a:b]) and not known(run[a:b].encode())]
+    return sorted(found)
+
+
+def test_random_spans_against_all_stretches(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pieces = ["production", "config", "a1", "123e4567-e89b-12d3-a456-426614174000", "d41d8cd98f00b204e9800998ecf8427e", "x", "é", " ", "_", "==", "international"]
+    texts = []
+    for _ in range(300):
+        parts = [rng.choice(pieces) if rng.random() < 0.6 else "".join(rng.choices(letters, k=rng.choice([3, 7, 12, 22, 33]))) for _ in range(rng.randrange(1, 9))]
+        texts.append("".join(p + rng.choice(["", "/", ".", "-", " ", "="]) for p in parts))
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in find_secrets(docs).collect()}
+    odd = [(t, got[i], plain_random_spans(t)) for i, t in enumerate(texts) if got[i] != plain_random_spans(t)]
+    assert not odd, odd[:2]
+    assert sum(map(len, got.values())) > 100
+
+
 def random_spans(spark, texts):
     docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
     got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in find_secrets(docs).collect()}
