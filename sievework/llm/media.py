@@ -197,7 +197,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A payload is the text in UTF-8 with bytes 32 up to a positive multiple of ROW; null is the empty text. Each
     task stores a digest once; the table may hold it again from other tasks. Sequences: id, n_bytes and items of
-    a page whose figure refers to the payload by digest, with the text's first line as its caption.
+    a page whose figure refers to the payload by digest, with the text's size and digest as a caption of bounded length.
+    Very long texts are stored whole; repeated rows and ids each have their sequence.
     """
     ddl = f"{id_col} long, n_bytes long, items array<{ITEM}>, digest string, png binary"
     schema = arrow_schema(ddl)
@@ -212,7 +213,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     payload = raw[a:b] + b" " * (-(b - a) % ROW if b > a else ROW)
                     digest = hashlib.sha256(payload)
-                    items.append(items_of(page_of(digest.hexdigest(), f"{b - a} bytes", raw[a:b].split(b"\n", 1)[0].decode("utf-8", "replace"))))
+                    items.append(items_of(page_of(digest.hexdigest(), f"{b - a} bytes", f"{b - a} bytes & {digest.hexdigest()[:12]}")))
                     if digest.digest() in given:
                         digests.append(None)
                         pngs.append(None)

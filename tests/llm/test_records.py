@@ -245,6 +245,7 @@ def test_media_query(spark, tmp_path):
         p = raw + b" " * (-len(raw) % 192 if raw else 192)
         want[k] = (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
     assert all((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want[r.doc_id] for r in got)
+    assert all(r.caption == f"{r.n_bytes} bytes & {r.payload_sha256[:12]}" and r.pos == 1 for r in got)  # captions stay with their payloads
     same = {r.doc_id: (r.media_sha256, r.media_bytes, r.feature) for r in got}
     assert same[5] == same[6] and same[1] != same[2]
 
