@@ -64,10 +64,36 @@ def squash_lines(steps: Column, most: int = 10) -> Column:
     return F.when(F.size(steps) <= most, F.array_join(steps, "; ")).otherwise(F.concat(F.array_join(F.slice(steps, 1, 3), "; "), F.lit("; and "), F.size(steps) - 3, F.lit(" more")))
 
 
-def command_rule(command: Column) -> Column:
-    """deny, ask or allow of a shell command: the first rule that matches."""
+#: A git command at the start or after a separator, and the rules for one, the first that matches wins (fixed values):
+#: verdict, whether it holds for pushes only, pattern.
+GIT = r"(^|[;&|])\s*git(\s|$)"
+PUSH = r"\bgit\b[^;&|]*\bpush\b"
+COMMIT, ELSEWHERE = r"\bgit\b[^;&|]*\bcommit\b", r"\bgit\s+-C\b"
+GIT_RULES = (
+    ("deny", True, r"(--force(?!-with-lease)\b|(^|\s)-f(\s|$))"),
+    ("deny", True, r"\bpush\b[^;&|]*(?:\s|:)(?:main|master)(?:\s|:|$)"),
+    ("ask", False, r"\breset\b[^;&|]*--hard"),
+    ("ask", False, r"\bclean\b\s+-[a-z]*f"),
+    ("ask", False, r"\bbranch\b[^;&|]*\s-D\b"),
+    ("ask", True, r"(--tags\b|\btag\b)"),
+)
+
+
+def command_rule(command: Column, branch: Column | None = None, auto_merge: Column | None = None) -> Column:
+    """deny, ask or allow of a shell command: the first rule that matches.
+
+    branch: the one checked out, null if unknown; commits on main or master are denied, unless -C names another folder.
+    auto_merge: whether tags may be pushed unasked. Commands without git, and null, are allowed.
+    """
     has = lambda p: F.rlike(command, F.lit(p))
-    return F.when(has(r"\bgit\s+push\b.*(--force\b|\s-f\b)"), "deny").when(has(r"\bgit\s+(reset\s+--hard|clean\s+-[a-z]*f)"), "deny").when(has(r"\bgit\s+(push|merge|rebase)\b"), "ask").otherwise("allow")
+    on_protected = F.coalesce(F.lit(None) if branch is None else branch, F.lit("")).isin("main", "master") & has(COMMIT) & ~has(ELSEWHERE)
+    out = F.when(~has(GIT), "allow")
+    for k, (answer, push_only, pattern) in enumerate(GIT_RULES):
+        if k == 2:
+            out = out.when(on_protected, "deny")
+        hit = has(pattern) & has(PUSH) if push_only else has(pattern)
+        out = out.when(hit & ~F.coalesce(auto_merge, F.lit(False)) if k == len(GIT_RULES) - 1 and auto_merge is not None else hit, answer)
+    return out.otherwise("allow")
 
 
 def refresh(indexed: DataFrame, current: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import checkpointed
+
 
 def reachable(seeds: DataFrame, edges: DataFrame, depth: int, kinds: tuple[str, ...] | None = None, direction: str = "out", cap: int | None = None) -> DataFrame:
     """seed, node, depth: nodes within depth hops of each seed (node), at their least depth, seeds left out.
@@ -45,23 +47,46 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int, cap: int | None = N
     return by_src.select("seed", "src", "dst", "kind").unionByName(by_dst.select("seed", "src", "dst", "kind"))
 
 
-def impact(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """seed, kind, n: how many nodes depend on each seed within depth hops, by the kind of node."""
-    return reachable(seeds, edges, depth, direction="in").groupBy("seed", F.substring("node", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+#: What couples a dependent to what it depends on, the closest first (fixed values).
+COUPLINGS = ("callers", "interface", "type_users", "distributed", "concurrent", "other")
+
+
+def impact(seeds: DataFrame, edges: DataFrame, depth: int, couplings: dict[str, str] | None = None) -> DataFrame:
+    """seed, category, n: how many nodes depend on each seed within depth hops, by how they are coupled.
+
+    couplings: category of an edge's kind, 'other' without one. A node counts once for each seed, by the closest coupling
+    among the edges that lead it one hop nearer.
+    """
+    found = reachable(seeds, edges, depth, direction="in")
+    near = found.unionByName(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
+    rank = F.lit(len(COUPLINGS))
+    for kind, category in (couplings or {}).items():
+        rank = F.when(F.col("kind") == kind, COUPLINGS.index(category) + 1).otherwise(rank)
+    hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), rank.alias("rank")).distinct()
+    back = near.select("seed", F.col("node").alias("to"), (F.col("depth") + 1).alias("depth"))
+    by = found.join(hop, "node").join(back, ["seed", "to", "depth"]).groupBy("seed", "node").agg(F.min("rank").alias("rank"))
+    name = F.element_at(F.array(*map(F.lit, COUPLINGS)), F.col("rank"))
+    return by.groupBy("seed", name.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def step_order(steps: DataFrame, needs: DataFrame, most: int = 16) -> DataFrame:
-    """step, level: the longest chain of needs (step, needed) below each step; null where chains are longer than most, as in a cycle.
+def step_order(steps: DataFrame, needs: DataFrame) -> DataFrame:
+    """step, level: the longest chain of needs (step, needed) below each step; null for steps that lie on or behind a cycle.
 
-    A plan's steps are few: the recursion walks their chains.
+    Each round takes the steps whose needs all have levels, one level a round, until none is left to take; a plan's levels are
+    few. Lineage is cut by checkpoints, so chains may be long. Needs that are no step count as done before.
     """
-    spark = steps.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE chain(step, level) AS (
-          SELECT DISTINCT step, 0 FROM {steps}
-          UNION ALL
-          SELECT n.step, c.level + 1 FROM chain c JOIN {needs} n ON n.needed = c.step WHERE c.level < {most})
-        SELECT step, CASE WHEN max(level) < {most} THEN max(level) END AS level FROM chain GROUP BY step""",
-        steps=steps, needs=needs.select("step", "needed").distinct(), most=most,
-    )
+    every = steps.select("step").distinct()
+    pending = needs.select("step", "needed").distinct().join(every.withColumnRenamed("step", "needed"), "needed", "left_semi").join(every, "step", "left_semi").select("step", "needed")
+    open_ = every
+    done = None
+    level = 0
+    while True:
+        ready = checkpointed(open_.join(pending.select("step").distinct(), "step", "left_anti").withColumn("level", F.lit(level)))
+        if ready.isEmpty():
+            break
+        done = ready if done is None else done.unionByName(ready)
+        open_ = checkpointed(open_.join(ready, "step", "left_anti"))
+        pending = checkpointed(pending.join(ready.select(F.col("step").alias("needed")), "needed", "left_anti").select("step", "needed"))
+        level += 1
+    stuck = open_.withColumn("level", F.lit(None).cast("int"))
+    return stuck if done is None else done.unionByName(stuck)

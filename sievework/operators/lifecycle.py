@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +28,57 @@ def progress(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(n("done").alias("done"), n("failed").alias("failed"), n("pending", "running").alias("open"), (n("pending", "running") == 0).alias("complete"))
 
 
-def guarded(events: DataFrame, keys: list[str], order: list[Column], allowed: dict[str, tuple[str, ...]], start: str) -> DataFrame:
-    """Each event (to_state) with from_state, the state asked for just before, and whether that transition is allowed."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.coalesce(F.lag("to_state").over(w), F.lit(start))
-    pairs = F.array(*(F.lit(f"{a}>{b}") for a, bs in allowed.items() for b in bs))
-    return events.withColumn("from_state", before).withColumn("allowed", F.array_contains(pairs, F.concat_ws(">", "from_state", "to_state")))
+#: Events of one key that are folded at once.
+FOLD = 4096
+
+
+def guarded(events: DataFrame, keys: list[str], order: list[Column], allowed: dict[str, tuple[str, ...]], start: str, missing: Column | None = None) -> DataFrame:
+    """Each event (to_state) with from_state, the state that the key is in, missing, and whether the transition is allowed.
+
+    missing lists the preconditions that fail (none by default), in order. A transition is allowed if its pair is and nothing
+    is missing; a refused one leaves the state as it is. Keys may have any number of events: runs of FOLD of them are folded
+    for every state that could come before, and the runs of a key are chained by what each makes of each state.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    states = sorted({start, *allowed, *(b for bs in allowed.values() for b in bs)})
+    pairs = {(a, b) for a, bs in allowed.items() for b in bs}
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rows = events.withColumn("missing", none if missing is None else F.coalesce(missing, none)).withColumn("_n", turn).withColumn("_run", F.floor((F.col("_n") - 1) / FOLD))
+
+    def after(state: str, targets: list, clear: list) -> list[str]:
+        """States before each event and after the last."""
+        out = [state]
+        for to, ok in zip(targets, clear, strict=True):
+            out.append(to if ok and (out[-1], to) in pairs else out[-1])
+        return out
+
+    def ends_of(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("_n")
+        ends = [after(s, run["to_state"].tolist(), run["_clear"].tolist())[-1] for s in states]
+        return run[[*keys, "_run"]].head(1).assign(_ends=[ends])
+
+    def starts_of(runs: pd.DataFrame) -> pd.DataFrame:
+        runs, state, out = runs.sort_values("_run"), start, []
+        for ends in runs["_ends"]:
+            out.append(state)
+            state = ends[states.index(state)]
+        return runs[[*keys, "_run"]].assign(_state=out)
+
+    def judged(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("_n")
+        return run[[*keys, "_n"]].assign(from_state=after(run["_state"].iloc[0], run["to_state"].tolist(), run["_clear"].tolist())[:-1])
+
+    types = {f.name: f.dataType.simpleString() for f in events.schema}
+    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    slim = rows.select(*keys, "_run", "_n", "to_state", (F.size("missing") == 0).alias("_clear"))
+    ends = slim.groupBy(*keys, "_run").applyInPandas(ends_of, f"{ddl}, _run long, _ends array<string>")
+    starts = ends.groupBy(*keys).applyInPandas(starts_of, f"{ddl}, _run long, _state string")
+    begun = slim.join(starts.select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), F.col("_run").alias("_r"), "_state"), [F.col("_run") == F.col("_r"), *(F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys))])
+    found = begun.groupBy(*keys, "_run").applyInPandas(judged, f"{ddl}, _n int, from_state string")
+    ok = F.array_contains(F.array(*(F.lit(f"{a}>{b}") for a, b in sorted(pairs))), F.concat_ws(">", "from_state", "to_state")) & (F.size("missing") == 0)
+    told = found.select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), F.col("_n").alias("_m"), "from_state")
+    judged_rows = rows.join(told, [F.col("_n") == F.col("_m"), *(F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys))])
+    return judged_rows.select(*events.columns, "missing", "from_state", ok.alias("allowed"))
 
 
 def cycles(events: DataFrame, keys: list[str], failed: Column, side_effect: Column, most: int) -> DataFrame:
@@ -46,8 +92,9 @@ def resume_points(steps: DataFrame, keys: list[str], step: str, status: str) ->
 
 
 def numbered(failures: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """failures with fail_id: fail-001, fail-002, ... by keys."""
-    return failures.withColumn("fail_id", F.concat(F.lit("fail-"), F.lpad(F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("string"), 3, "0")))
+    """failures with fail_id: fail-001, fail-002, ... by keys; from 1000 on numbers have as many digits as they need."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("string")
+    return failures.withColumn("fail_id", F.concat(F.lit("fail-"), F.lpad(n, F.greatest(F.length(n), F.lit(3)), F.lit("0"))))
 
 
 def latency(events: DataFrame, keys: list[str], ts: str) -> DataFrame:

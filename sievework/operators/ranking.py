@@ -22,18 +22,25 @@ def terms_of(df: DataFrame, id_col: str, text_col: str, pattern: str = "[a-z]{4,
 
 
 def keyword_scores(queries: DataFrame, index: DataFrame, sizes: DataFrame) -> DataFrame:
-    """query_id, id, score: ten times the distinct terms that query (query_id, term) and document share; sizes break ties."""
-    hits = queries.select("query_id", "term").distinct().join(index.select("id", "term"), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.join(sizes, "id").select("query_id", "id", (F.col("hits") * 10).alias("score"), "size")
+    """query_id, id, score, size: ten times the distinct terms that query (query_id, term) and document share, and one more
+    if such a term is part of the document's name (sizes: id, size, and where there are names, name); sizes break ties."""
+    shared = queries.select("query_id", "term").distinct().join(index.select("id", "term"), "term")
+    if "name" not in sizes.columns:
+        hits = shared.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
+        return hits.join(sizes, "id").select("query_id", "id", (F.col("hits") * 10).alias("score"), "size")
+    named = shared.join(sizes, "id").withColumn("in_name", F.contains(F.lower("name"), F.lower("term")))
+    scored = named.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"), F.max("in_name").alias("bonus"), F.first("size").alias("size"))
+    return scored.select("query_id", "id", (F.col("hits") * 10 + F.coalesce(F.col("bonus"), F.lit(False)).cast("int")).alias("score"), "size")
 
 
 def bm25(queries: DataFrame, index: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score by Okapi BM25 over an index of (id, term, tf, dl); idf is log(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only terms that some query has are weighed; statistics are those of all documents.
+    Only terms that some query has are weighed; statistics are those of all documents with terms: sums over the index, in
+    which a document's frequencies add up to its length.
     """
     wanted = queries.select("term").distinct()
-    stats = index.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    stats = index.agg(F.sum(F.col("tf") / F.col("dl")).alias("n"), F.sum("tf").alias("terms")).select(F.round("n").cast("long").alias("n_docs"), (F.col("terms") / F.round("n")).alias("avg_dl"))
     some = index.join(wanted, "term", "left_semi")
     df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = some.join(df, "term").join(F.broadcast(stats), F.lit(True))  # one row of statistics

@@ -29,11 +29,12 @@ def worth_searching(text: Column, low: Column, d: Detector) -> Column:
 def _match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<first, last, piece>> of all leftmost matches (that keep holds for), in code points, ends exclusive.
 
-    Matches are set off by two control characters and the text is split there, so that every second piece is a
-    match; lookarounds see the whole text. Those characters in a text are read as blanks.
+    Matches are set off by a mark that the text lacks and the text is split there, so that every second piece is a
+    match; lookarounds see the whole text. The mark is a run of a control character, longer than any in the text.
     """
-    clean = F.translate(text, _OPEN + _SHUT, "  ")
-    pieces = F.split(F.regexp_replace(clean, pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]")
+    longest = F.aggregate(F.regexp_extract_all(text, F.lit(f"({_OPEN}+)"), F.lit(1)), F.lit(0), lambda n, x: F.greatest(n, F.length(x)))
+    mark = F.when(F.contains(text, F.lit(_OPEN)), F.concat(F.lit(_SHUT), F.repeat(F.lit(_OPEN), longest + 1), F.lit(_SHUT))).otherwise(F.lit(_OPEN))
+    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.expr("cast(array() as array<struct<first: int, last: int, piece: string>>)").alias("out"))
     step = lambda acc, p: F.struct(
         (acc["at"] + F.length(p)).alias("at"),
@@ -71,11 +72,18 @@ def scan(text: Column, policy: Policy, low: Column | None = None) -> Column:
 
 
 def outer_wins(spans: Column) -> Column:
-    """Longest first, then leftmost; those that overlap one already kept are left out. Ordered by start."""
+    """Longest first, then leftmost; those that overlap one already kept are left out. Ordered by start.
+
+    Spans that don't overlap at all, the usual case, are just sorted.
+    """
     ranked = F.array_sort(F.transform(spans, lambda s: F.struct((s["first"] - s["last"]).alias("neg"), s["first"].alias("first"), s["last"].alias("last"), s["pattern_id"].alias("pattern_id"))))
     empty = F.expr("cast(array() as array<struct<neg: int, first: int, last: int, pattern_id: string>>)")
     kept = F.aggregate(ranked, empty, lambda acc, s: F.when(F.exists(acc, lambda k: (s["first"] < k["last"]) & (s["last"] > k["first"])), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.array_sort(F.transform(kept, lambda k: F.struct(k["first"].alias("first"), k["last"].alias("last"), k["pattern_id"].alias("pattern_id"))))
+    plain = lambda a: F.array_sort(F.transform(a, lambda k: F.struct(k["first"].alias("first"), k["last"].alias("last"), k["pattern_id"].alias("pattern_id"))))
+    by_start = plain(spans)
+    more = F.greatest(F.size(spans) - 1, F.lit(0))
+    meet = F.exists(F.zip_with(F.slice(by_start, F.lit(1), more), F.slice(by_start, F.lit(2), more), lambda a, b: b["first"] < a["last"]), lambda x: x)
+    return F.when((F.size(spans) > 1) & meet, plain(kept)).otherwise(by_start)
 
 
 def redact(text: Column, spans: Column, policy: Policy) -> Column:
@@ -115,15 +123,25 @@ def scan_and_filter(df: DataFrame, text_col: str, policy: Policy | None = None)
     )
 
 
-def merge_metadata(filtered: DataFrame, *keys: str) -> DataFrame:
-    """Worst result, sum of counts, and sorted unions of the pattern lists, by keys."""
+def merge_metadata(filtered: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """Worst result, sum of counts, and unions of the pattern lists in order of first appearance, by keys.
+
+    order: what rows of a key are ordered by; without it lists are sorted.
+    """
     rank = F.when(F.col("scan_result") == "BLOCKED", 2).when(F.col("scan_result") == "REDACTED", 1).otherwise(0)
-    # distinct names only: rules are few, so sets stay small however many rows a key has
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-    return filtered.groupBy(*keys).agg(
-        F.element_at(F.array(*map(F.lit, ("CLEAN", "REDACTED", "BLOCKED"))), F.max(rank) + 1).alias("scan_result"),
-        F.sum("redacted_count").alias("redacted_count"), union("redacted_patterns"), union("blocked_patterns"), union("warnings"),
-    )
+    lists = ("redacted_patterns", "blocked_patterns", "warnings")
+    worst = filtered.groupBy(*keys).agg(F.element_at(F.array(*map(F.lit, ("CLEAN", "REDACTED", "BLOCKED"))), F.max(rank) + 1).alias("scan_result"), F.sum("redacted_count").alias("redacted_count"))
+    placed = lambda c: F.transform(c, lambda x, i: F.struct(F.lit(c).alias("list"), x.alias("name"), i.alias("pos")))
+    each = F.explode_outer(F.flatten(F.array(*map(placed, lists))))
+    at = (F.lit(0) if order is None else order).alias("_at")
+    # a name's first place is kept of each, so rows shrink to the rules, which are few, before they are shuffled
+    named = filtered.select(*keys, at, each.alias("_e")).where("_e is not null").select(*keys, "_at", "_e.*")
+    first = named.groupBy(*keys, "list", "name").agg(F.min(F.struct("_at", F.col("pos") if order is not None else F.lit(0).alias("pos"))).alias("first"))
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == c, F.struct("first", "name")))), lambda s: s["name"]).alias(c)
+    names = first.groupBy(*keys).agg(*map(of, lists))
+    empty = F.expr("cast(array() as array<string>)")
+    same = [worst[k].eqNullSafe(names[k]) for k in keys]
+    return worst.join(names, same, "left").select(*(worst[k] for k in keys), "scan_result", "redacted_count", *(F.coalesce(c, empty).alias(c) for c in lists))
 
 
 def drop_blocked(filtered: DataFrame) -> DataFrame:

@@ -115,12 +115,23 @@ def squash_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQUASH = """WITH c AS (SELECT c_custkey, list_transform(range(1, c_custkey % 14 + 2), lambda i: 's' || i) AS s FROM customer) SELECT c_custkey, CASE WHEN len(s) <= 10 THEN array_to_string(s, '; ') ELSE array_to_string(s[1:3], '; ') || '; and ' || (len(s) - 3) || ' more' END AS body FROM c"""
 
 
+#: Commands and their verdicts by the guard's rules (fixed values): command, branch checked out, whether tags go unasked, verdict.
+COMMANDS = (
+    ("git push --force origin x", "x", False, "deny"), ("git push --force-with-lease origin x", "x", False, "allow"), ("git push -f", "x", False, "deny"), ("git push origin x", "x", False, "allow"), ("git push origin main", "x", False, "deny"),
+    ("git push origin HEAD:master", "x", False, "deny"), ("git push origin mainline", "x", False, "allow"), ("git commit -m a", "main", False, "deny"), ("git -C sub commit -m a", "main", False, "allow"), ("git commit -m a", "x", False, "allow"),
+    ("git reset --hard", "x", False, "ask"), ("git clean -xfd", "x", False, "ask"), ("git branch -D y", "x", False, "ask"), ("git push --tags", "x", False, "ask"), ("git push --tags", "x", True, "allow"), ("git push origin tag v1", None, False, "ask"),
+    ("git rebase main", "x", False, "allow"), ("ls && git reset --hard; git push -f", "x", False, "deny"), ("echo git push -f", "main", False, "allow"), (None, "main", False, "allow"),
+)
+
+
 def command_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "id int, command string", (1, "git push --force origin x"), (2, "git push origin x"), (3, "git reset --hard"), (4, "git clean -xfd"), (5, "ls && git status"), (6, "git push -f"), (7, "git rebase main"), (8, None))
-    return t.select("id", checks.command_rule(F.col("command")).alias("rule"))
+    """A command of each kind for every order."""
+    c = F.element_at(F.array(*(F.struct(*(F.lit(x).cast(t).alias(n) for x, t, n in zip(c[:3], ("string", "string", "boolean"), "cbt", strict=True))) for c in COMMANDS)), (F.col("o_orderkey") % len(COMMANDS) + 1).cast("int"))
+    t = table(spark, sf_dir, "orders").select("o_orderkey", c.alias("x"))
+    return t.select("o_orderkey", checks.command_rule(F.col("x.c"), F.col("x.b"), F.col("x.t")).alias("rule"))
 
 
-COMMAND_RULES = "SELECT * FROM (VALUES (1, 'deny'), (2, 'ask'), (3, 'deny'), (4, 'deny'), (5, 'allow'), (6, 'deny'), (7, 'ask'), (8, 'allow')) t(id, rule)"
+COMMAND_RULES = f"SELECT o_orderkey, {[c[3] for c in COMMANDS]}[o_orderkey % {len(COMMANDS)} + 1] AS rule FROM orders"
 
 
 def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,15 +97,19 @@ FILTER_METADATA = "WITH " + INJECTED_SQL + ", " + _scanned_sql("doc_inj", "doc_i
 def filter_drop_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_and_filter(injected(table(spark, sf_dir, "documents")), "text", POLICY)
     kept = drop_blocked(found).groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("filtered_text")).alias("kept_chars"))
-    merged = merge_metadata(found, "source").select("source", "scan_result", "redacted_count", F.array_join("blocked_patterns", ",").alias("blocked_patterns"))
+    names = ("redacted_patterns", "blocked_patterns", "warnings")
+    merged = merge_metadata(found, "source", order=F.col("doc_id")).select("source", "scan_result", "redacted_count", *(F.array_join(c, ",").alias(c) for c in names))
     return merged.join(kept, "source", "left")
 
 
 FILTER_DROP = "WITH " + INJECTED_SQL + ", " + _scanned_sql("doc_inj", "doc_id, source") + f""",
 m AS (SELECT source, CASE max(CASE scan_result WHEN 'BLOCKED' THEN 2 WHEN 'REDACTED' THEN 1 ELSE 0 END) WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REDACTED' ELSE 'CLEAN' END AS scan_result,
-             sum(redacted_count)::BIGINT AS redacted_count, coalesce(string_agg(DISTINCT nullif(blocked_patterns, ''), ','), '') AS blocked_patterns FROM filtered GROUP BY source),
+             sum(redacted_count)::BIGINT AS redacted_count FROM filtered GROUP BY source),
+u AS (SELECT source, 'r' AS list, doc_id, string_split(redacted_patterns, ',') AS l FROM filtered UNION ALL SELECT source, 'b', doc_id, string_split(blocked_patterns, ',') FROM filtered UNION ALL SELECT source, 'w', doc_id, string_split(warnings, ',') FROM filtered),
+n AS (SELECT source, list, doc_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM u), f AS (SELECT source, list, name, min((doc_id, pos)) AS spot FROM n WHERE name <> '' GROUP BY ALL),
+p AS (SELECT source, coalesce(string_agg(name, ',' ORDER BY spot) FILTER (list = 'r'), '') AS redacted_patterns, coalesce(string_agg(name, ',' ORDER BY spot) FILTER (list = 'b'), '') AS blocked_patterns, coalesce(string_agg(name, ',' ORDER BY spot) FILTER (list = 'w'), '') AS warnings FROM f GROUP BY source),
 k AS (SELECT source, count(*) AS kept, sum(length({_redacted('text')}))::BIGINT AS kept_chars FROM filtered WHERE blocks = 0 GROUP BY source)
-SELECT m.source, scan_result, redacted_count, blocked_patterns, kept, kept_chars FROM m LEFT JOIN k USING (source)"""
+SELECT m.source, scan_result, redacted_count, coalesce(redacted_patterns, '') AS redacted_patterns, coalesce(blocked_patterns, '') AS blocked_patterns, coalesce(warnings, '') AS warnings, kept, kept_chars FROM m LEFT JOIN k USING (source) LEFT JOIN p USING (source)"""
 
 
 def filter_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:

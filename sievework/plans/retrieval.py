@@ -25,7 +25,7 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, index = _index(spark, sf_dir)
-    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("size"))
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("size"), F.substring_index(F.trim("text"), " ", 1).alias("name"))  # a text's first word stands in for a file's name
     return ranking.top_k(ranking.keyword_scores(queries, index, sizes), ["query_id"], [F.col("score").desc(), F.col("size"), F.col("id")], K)
 
 
@@ -33,8 +33,8 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir).select("query_id", "id", F.col("score").cast("long").alias("score"), "rank")
 
 
-_KEYWORD = f"""kw AS (SELECT query_id, id, score, rank FROM (SELECT query_id, id, 10 * count(*) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 10 * count(*) DESC, any_value(length(d.text)), id) AS rank
- FROM q JOIN ix USING (term) JOIN documents d ON d.doc_id = id GROUP BY query_id, id) WHERE rank <= {K})"""
+_KEYWORD = f"""kw AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, size, id) AS rank FROM (SELECT query_id, id, 10 * count(*) + max(contains(lower(string_split(trim(d.text, ' '), ' ')[1]), term)::INT) AS score, any_value(length(d.text)) AS size
+ FROM q JOIN ix USING (term) JOIN documents d ON d.doc_id = id GROUP BY query_id, id)) WHERE rank <= {K})"""
 KEYWORD_TOPK = f"WITH {_INDEX}, {_KEYWORD} SELECT * FROM kw"
 
 
@@ -127,16 +127,18 @@ TEXT_RANGES = "SELECT doc_id, md5(array_to_string(CASE WHEN doc_id % 2 = 0 THEN
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier -> part -> order, of every line; the SQL below still holds edges of first lines and parts that 20 divides alone."""
+    """customer -> order -> line, and line -> next line of its order: of all orders and lines."""
+    name = lambda kind, *cs: F.concat(F.lit(kind), F.concat_ws(".", *(F.col(c).cast("string") for c in cs)))
+    placed = table(spark, sf_dir, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), F.lit("placed").alias("kind"))
     lines = table(spark, sf_dir, "lineitem")
-    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    supply = lines.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit("supplies").alias("kind"))
-    order = lines.select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst"), F.lit("ordered").alias("kind"))
-    return supply.unionByName(order).distinct()
+    line = name("l", "l_orderkey", "l_linenumber")
+    holds = lines.select(name("o", "l_orderkey").alias("src"), line.alias("dst"), F.lit("holds").alias("kind"))
+    follows = lines.where("l_linenumber > 1").select(F.concat(F.lit("l"), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber") - 1).alias("src"), line.alias("dst"), F.lit("follows").alias("kind"))
+    return placed.unionByName(holds).unionByName(follows).distinct()
 
 
-_EDGES = """e AS (SELECT DISTINCT * FROM (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'supplies' AS kind FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 20 = 0
- UNION ALL SELECT 'p' || l_partkey, 'o' || l_orderkey, 'ordered' FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 20 = 0))"""
+_EDGES = """e AS (SELECT DISTINCT * FROM (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'placed' AS kind FROM orders UNION ALL SELECT 'o' || l_orderkey, 'l' || l_orderkey || '.' || l_linenumber, 'holds' FROM lineitem
+ UNION ALL SELECT 'l' || l_orderkey || '.' || (l_linenumber - 1), 'l' || l_orderkey || '.' || l_linenumber, 'follows' FROM lineitem WHERE l_linenumber > 1))"""
 
 
 def _walk(hop: str, depth: int, seeds: str) -> str:
@@ -149,46 +151,60 @@ def _seeds(spark: SparkSession, sf_dir: str, end: str, kind: str) -> DataFrame:
 
 
 def graph_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(_seeds(spark, sf_dir, "src", "supplies"), _edges(spark, sf_dir), 2, cap=50).select("seed", "node", "depth")
+    return graph.reachable(_seeds(spark, sf_dir, "src", "placed"), _edges(spark, sf_dir), 2, cap=50).select("seed", "node", "depth")
 
 
-GRAPH_CALLEES = f"WITH RECURSIVE {_EDGES}, {_walk('SELECT DISTINCT src AS a, dst AS b FROM e', 2, chr(39).join(['SELECT DISTINCT src AS node FROM e WHERE src LIKE ', 's%', ' ORDER BY node LIMIT 5']))} SELECT seed, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS n FROM near WHERE depth > 0) WHERE n <= 50"
+GRAPH_CALLEES = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT DISTINCT src AS a, dst AS b FROM e', 2, "SELECT DISTINCT src AS node FROM e WHERE kind = 'placed'")} SELECT seed, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS n FROM near WHERE depth > 0) WHERE n <= 50"""
 
 
 def graph_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(_seeds(spark, sf_dir, "dst", "ordered"), _edges(spark, sf_dir), 2, direction="in").select("seed", "node", "depth")
+    return graph.reachable(_seeds(spark, sf_dir, "dst", "holds"), _edges(spark, sf_dir), 2, direction="in").select("seed", "node", "depth")
 
 
-GRAPH_CALLERS = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT DISTINCT dst AS a, src AS b FROM e', 2, "SELECT DISTINCT dst AS node FROM e WHERE kind = 'ordered' ORDER BY node LIMIT 20")} SELECT seed, node, depth FROM near WHERE depth > 0"""
+_INTO_LINES = _walk("SELECT DISTINCT dst AS a, src AS b FROM e", 2, "SELECT DISTINCT dst AS node FROM e WHERE kind = 'holds'")
+GRAPH_CALLERS = f"WITH RECURSIVE {_EDGES}, {_INTO_LINES} SELECT seed, node, depth FROM near WHERE depth > 0"
 
 
 def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.subgraph(_seeds(spark, sf_dir, "src", "ordered"), _edges(spark, sf_dir), 2)
+    return graph.subgraph(_seeds(spark, sf_dir, "dst", "placed"), _edges(spark, sf_dir), 2)
 
 
-GRAPH_SUBGRAPH = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e', 2, "SELECT DISTINCT src AS node FROM e WHERE src LIKE 'p%' ORDER BY node LIMIT 3")} SELECT x.seed, src, dst, kind FROM e JOIN near x ON x.node = src JOIN near y ON y.node = dst AND y.seed = x.seed"""
+_AROUND_ORDERS = "SELECT DISTINCT dst AS node FROM e WHERE kind = 'placed'"
+GRAPH_SUBGRAPH = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e', 2, _AROUND_ORDERS)} SELECT x.seed, src, dst, kind FROM e JOIN near x ON x.node = src JOIN near y ON y.node = dst AND y.seed = x.seed"""
+
+#: Couplings of the kinds of edges here.
+COUPLED = {"holds": "callers", "follows": "concurrent"}
 
 
 def impact_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.impact(_seeds(spark, sf_dir, "dst", "ordered"), _edges(spark, sf_dir), 2).select("seed", "kind", "n")
+    return graph.impact(_seeds(spark, sf_dir, "dst", "holds"), _edges(spark, sf_dir), 2, COUPLED)
 
 
-IMPACT = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT DISTINCT dst AS a, src AS b FROM e', 2, "SELECT DISTINCT dst AS node FROM e WHERE kind = 'ordered'")} SELECT seed, node[1] AS kind, count(*) AS n FROM near WHERE depth > 0 GROUP BY seed, node[1]"""
+IMPACT = f"""WITH RECURSIVE {_EDGES}, {_INTO_LINES}, best AS (SELECT x.seed, x.node, min(CASE kind WHEN 'holds' THEN 'a callers' WHEN 'follows' THEN 'b concurrent' ELSE 'c other' END) AS c FROM near x JOIN e ON e.src = x.node JOIN near y ON y.node = e.dst AND y.seed = x.seed AND y.depth = x.depth - 1 WHERE x.depth > 0 GROUP BY ALL)
+SELECT seed, c[3:] AS category, count(*) AS n FROM best GROUP BY ALL"""
 
 
 def kind_limited_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(_seeds(spark, sf_dir, "src", "ordered"), _edges(spark, sf_dir), 2, kinds=("supplies",), direction="both").select("seed", "node", "depth")
+    return graph.reachable(_seeds(spark, sf_dir, "dst", "placed"), _edges(spark, sf_dir), 2, kinds=("placed",), direction="both").select("seed", "node", "depth")
 
 
-KIND_LIMITED = f"""WITH RECURSIVE {_EDGES}, {_walk("SELECT src AS a, dst AS b FROM e WHERE kind = 'supplies' UNION SELECT dst, src FROM e WHERE kind = 'supplies'", 2, "SELECT DISTINCT src AS node FROM e WHERE src LIKE 'p%' ORDER BY node LIMIT 10")} SELECT seed, node, depth FROM near WHERE depth > 0"""
+KIND_LIMITED = f"""WITH RECURSIVE {_EDGES}, {_walk("SELECT src AS a, dst AS b FROM e WHERE kind = 'placed' UNION SELECT dst, src FROM e WHERE kind = 'placed'", 2, _AROUND_ORDERS)} SELECT seed, node, depth FROM near WHERE depth > 0"""
 
 
 def step_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = rows(spark, "step string", *((s,) for s in "abcdefg"))
-    return graph.step_order(steps, rows(spark, "step string, needed string", ("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("f", "g"), ("g", "f")))
-
-
-STEP_ORDER = "SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2), ('e', 3), ('f', NULL), ('g', NULL)) t(step, level)"
+    """Suppliers as steps: each needs the one before it in its ten and the first of the ten before; the last two wait for each other."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    most = s.agg(F.max("k").alias("most"))
+    edges = s.join(F.broadcast(most), F.lit(True))
+    step = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    k, last = F.col("k"), F.col("most")
+    chain = edges.where(k % 10 != 0).select(step(k).alias("step"), step(k - 1).alias("needed"))
+    tens = edges.where((k >= 10) & (k % 10 == 0)).select(step(k).alias("step"), step(k - 10).alias("needed"))
+    ring = edges.where(k == last - 1).select(step(k).alias("step"), step(last).alias("needed"))
+    return graph.step_order(s.select(step(k).alias("step")), chain.unionByName(tens).unionByName(ring))
+
+
+STEP_ORDER = "SELECT 's' || k AS step, CASE WHEN k < m - 1 THEN k // 10 + k % 10 END::INT AS level FROM (SELECT s_suppkey AS k, max(s_suppkey) OVER () AS m FROM supplier)"
 
 
 def module_classify(spark: SparkSession, sf_dir: str) -> DataFrame:

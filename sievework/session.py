@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -25,3 +26,24 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -
     spark = SparkSession.builder.master(master).appName("sievework").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in this process (tests), one of our own."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not getattr(sc, "_sievework_folder", None):
+        sc._sievework_folder = tempfile.mkdtemp(prefix="sievework-")
+    return sc._sievework_folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

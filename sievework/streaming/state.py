@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.session import shared_folder
+
 
 def _fold(events: DataFrame) -> DataFrame:
     """Per user: events, failures, and the type of the event with the largest id. All three combine before the shuffle."""
@@ -18,17 +19,12 @@ def batch_states(events: DataFrame) -> DataFrame:
     return _fold(events)
 
 
-def state_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; where it has none set (tests), one of our own."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sievework-stream-")
-
-
 def stream_states(spark: SparkSession, path: str) -> DataFrame:
     """The fold over all files at path as a stream: micro-batches of a file until none is left, state in the shared folder.
 
     Every batch writes the keys that changed, with the batch's number; the result is each key's last version.
     """
-    base = f"{state_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)

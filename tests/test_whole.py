@@ -1,5 +1,6 @@
 """Queries cover whole inputs: held against brute force on small tables."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -7,10 +8,12 @@ from sievework.plans import checks, lifecycle, retrieval, scoring
 
 
 def lines(spark, path):
-    """Lines of 14 suppliers, 31 parts and 40 orders: few first lines, no part that 20 divides but one."""
+    """Edges of 9 customers, 40 orders and their 1 to 4 lines."""
     rows = [(o, 1 + (o * 7 + k * 5) % 31, 1 + (o * 3 + k * k) % 14, k) for o in range(1, 41) for k in range(1, 2 + o % 4)]
+    orders = [(o, o * o % 9) for o in range(1, 41)]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{path}/lineitem.parquet")
-    return {(f"s{s}", f"p{p}", "supplies") for _, p, s, _ in rows} | {(f"p{p}", f"o{o}", "ordered") for o, p, _, _ in rows}
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    return {(f"c{c}", f"o{o}", "placed") for o, c in orders} | {(f"o{o}", f"l{o}.{k}", "holds") for o, _, _, k in rows} | {(f"l{o}.{k - 1}", f"l{o}.{k}", "follows") for o, _, _, k in rows if k > 1}
 
 
 def walk(seeds, pairs, depth=2):
@@ -38,23 +41,76 @@ def three(df):
 def test_graph_of_all_lines(spark, tmp_path):
     edges, d = lines(spark, tmp_path), str(tmp_path)
     out, back = {(a, b) for a, b, _ in edges}, {(b, a) for a, b, _ in edges}
-    suppliers, parts = {a for a, _, k in edges if k == "supplies"}, {a for a, _, k in edges if k == "ordered"}
-    orders = {b for _, b, k in edges if k == "ordered"}
-    assert len(suppliers) > 5 and len(parts) > 10 and len(orders) > 20
+    customers, orders, items = ({a for a, _, k in edges if k == "placed"}, {b for _, b, k in edges if k == "placed"}, {b for _, b, k in edges if k == "holds"})
+    assert len(customers) > 3 and len(orders) == 40 and len(items) > 60
     flat = lambda near: {(s, n, x) for (s, n), x in near.items() if x}
 
-    want = flat(walk(suppliers, out))
+    want = flat(walk(customers, out))
     assert three(retrieval.graph_callees(spark, d)) == {r for r in want if sorted((x, n) for s, n, x in want if s == r[0]).index((r[2], r[1])) < 50}
-    callers = flat(walk(orders, back))
+    callers = flat(walk(items, back))
     assert three(retrieval.graph_callers(spark, d)) == callers
+    at = {(s, n): x for s, n, x in callers} | {(s, s): 0 for s in items}
     counts = defaultdict(int)
-    for s, n, _ in callers:
-        counts[s, n[0]] += 1
+    for s, n, x in callers:
+        kinds = {k for a, b, k in edges if a == n and at.get((s, b)) == x - 1}
+        counts[s, "callers" if "holds" in kinds else "concurrent" if "follows" in kinds else "other"] += 1
     assert three(retrieval.impact_by_category(spark, d)) == {(*k, n) for k, n in counts.items()}
-    near = walk(parts, out | back)
-    assert three(retrieval.graph_subgraph(spark, d)) == {(s, a, b, k) for s in parts for a, b, k in edges if (s, a) in near and (s, b) in near}
-    supplies = {(a, b) for a, b, k in edges if k == "supplies"}
-    assert three(retrieval.kind_limited_impact(spark, d)) == flat(walk(parts, supplies | {(b, a) for a, b in supplies}))
+    near = walk(orders, out | back)
+    assert three(retrieval.graph_subgraph(spark, d)) == {(s, a, b, k) for s in orders for a, b, k in edges if (s, a) in near and (s, b) in near}
+    placed = {(a, b) for a, b, k in edges if k == "placed"}
+    assert three(retrieval.kind_limited_impact(spark, d)) == flat(walk(orders, placed | {(b, a) for a, b in placed}))
+
+
+def test_long_chains_have_levels(spark):
+    from sievework.operators import graph
+
+    steps = spark.createDataFrame([(f"s{i}",) for i in range(20)] + [("x",), ("y",), ("z",)], "step string")
+    needs = spark.createDataFrame([(f"s{i}", f"s{i - 1}") for i in range(1, 20)] + [("x", "y"), ("y", "x"), ("z", "x"), ("s3", "s1"), ("s0", "elsewhere")], "step string, needed string")
+    got = dict(graph.step_order(steps, needs).collect())
+    assert got == {f"s{i}": i for i in range(20)} | {"x": None, "y": None, "z": None}
+
+
+def test_refused_transitions_leave_the_state(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import lifecycle
+
+    rng = random.Random(3)
+    allowed = {"A": ("B",), "B": ("A", "C"), "C": ("A",)}
+    rows = [(k, i, rng.choice("ABCZ"), rng.random() < 0.2) for k in (1, None) for i in range(400)]
+    events = spark.createDataFrame(rows, "k long, i long, to_state string, bad boolean")
+    lacks = F.when(F.col("bad"), F.array(F.lit("first"), F.lit("second")))
+    for run in (lifecycle.FOLD, 7):
+        monkeypatch.setattr(lifecycle, "FOLD", run)
+        got = {(r.k, r.i): (r.from_state, r.allowed, r.missing) for r in lifecycle.guarded(events, ["k"], [F.col("i")], allowed, "A", lacks).collect()}
+        for k in (1, None):
+            state = "A"
+            for _, i, to, bad in (r for r in rows if r[0] == k):
+                ok = to in allowed[state] and not bad
+                assert got[k, i] == (state, ok, ["first", "second"] if bad else [])
+                state = to if ok else state
+    one = spark.createDataFrame([(1, 1, "Z"), (1, 2, "B")], "k long, i long, to_state string")
+    assert [r.allowed for r in lifecycle.guarded(one, ["k"], [F.col("i")], {"A": ("B",)}, "A").orderBy("i").collect()] == [False, True]
+
+
+def test_numbers_past_a_thousand(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import lifecycle
+
+    got = [r.fail_id for r in lifecycle.numbered(spark.range(1, 1002).withColumn("k", F.lit(1)), ["k"], [F.col("id")]).orderBy("id").collect()]
+    assert (got[0], got[98], got[998], got[999], got[1000]) == ("fail-001", "fail-099", "fail-999", "fail-1000", "fail-1001") and len(set(got)) == 1001
+
+
+def test_control_characters_stay_in_spans(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators.spans import scan_and_filter
+
+    texts = ["password=abcdefgh\x01ijklmnop", "password=abcdefgh\x02\x01\x01ij\x02 end \x01", "\x01 password=abcdefgh", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r.filtered_text for r in scan_and_filter(docs, "text").orderBy("id").collect()]
+    assert got == ["[REDACTED:password_assignment]", "[REDACTED:password_assignment] end \x01", "\x01 [REDACTED:password_assignment]", "x"]
 
 
 def test_capped_walk_stops_early(spark):
