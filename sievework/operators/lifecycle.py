@@ -86,6 +86,17 @@ def cycles(events: DataFrame, keys: list[str], failed: Column, side_effect: Colu
     return events.groupBy(*keys).agg(F.count_if(failed).alias("cycles"), F.count_if(failed & side_effect).alias("side_effects"), (F.count_if(failed) >= most).alias("blocked"))
 
 
+def cycle_actions(failures: DataFrame, keys: list[str], order: list[Column], most: int, escalations: int = 1) -> DataFrame:
+    """Each failure with its number among its key's, and what follows: REENTER while fewer than `most`, then ESCALATE so many times, then BLOCKED."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return failures.withColumn("cycle", n).withColumn("action", F.when(F.col("cycle") < most, "REENTER").when(F.col("cycle") < most + escalations, "ESCALATE").otherwise("BLOCKED"))
+
+
+def commits_of(steps: Column) -> Column:
+    """Different commits of an array of steps, in order."""
+    return F.array_distinct(F.flatten(F.transform(steps, lambda s: F.coalesce(s["commits"], F.expr("cast(array() as array<string>)")))))
+
+
 def resume_points(steps: DataFrame, keys: list[str], step: str, status: str) -> DataFrame:
     """The first step of each key that isn't completed; null when all are."""
     return steps.groupBy(*keys).agg(F.min(F.when(F.col(status) != "completed", F.col(step))).alias("resume_at"))

@@ -84,8 +84,13 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return every.groupBy("query_id", "id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def within_budget(blocks: DataFrame, by: list[str], order: list[Column], size: Column, cap: int) -> DataFrame:
-    """Blocks of each group in order, up to the first whose running size passes the cap; used is the running size."""
+def within_budget(blocks: DataFrame, by: list[str], order: list[Column], size: Column, cap: int, distinct: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of each group in order, up to the first whose running size passes the cap; used is the running size.
+
+    Of blocks of a group that agree in the columns of `distinct` the first counts.
+    """
+    if distinct:
+        blocks = blocks.withColumn("_again", F.row_number().over(Window.partitionBy(*by, *distinct).orderBy(*order))).where("_again = 1").drop("_again")
     running = F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return blocks.withColumn("used", running).where(F.col("used") <= cap)
 

@@ -69,6 +69,13 @@ def recurring(failures: DataFrame, key: Column, id_col: str, least: int = 2) ->
     return failures.groupBy(key.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")).where(F.col("n") >= least)
 
 
+def recurring_ids(failures: DataFrame, key: Column, id_col: str, least: int = 2) -> DataFrame:
+    """pattern, n and a row for each id of the patterns of at least `least` failures: lists of any length stay rows."""
+    keyed = failures.select(key.alias("pattern"), id_col)
+    often = keyed.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return keyed.join(often, "pattern")
+
+
 def csv_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Text columns as the report has them: flags 0 or 1, nulls empty, lists joined by semicolons."""
     kinds = dict(df.dtypes)
