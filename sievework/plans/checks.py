@@ -70,7 +70,7 @@ def unregistered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.missing(docs, table(spark, sf_dir, "labels").select("doc_id").distinct(), ["doc_id"])
 
 
-UNREGISTERED = "SELECT doc_id FROM documents WHERE source <> 'src3' AND doc_id NOT IN (SELECT doc_id FROM labels)"
+UNREGISTERED = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 
 
 def oversized_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

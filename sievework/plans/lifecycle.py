@@ -143,13 +143,13 @@ SAFETY_FLAGS = """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id %
 
 
 def integrity_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o, n = (table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
+    c, o, n = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
     idle = integrity.missing(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")).distinct(), ["c_custkey"]).select(F.lit("no_orders").alias("problem"), F.col("c_custkey").cast("long").alias("key"))
-    lost = integrity.missing(c.select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey"), n.where("n_nationkey < 20").select("n_nationkey"), ["n_nationkey"]).select(F.lit("no_nation").alias("problem"), F.col("c_custkey").cast("long").alias("key"))
+    lost = integrity.missing(c.select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey"), n.select(F.col("s_nationkey").alias("n_nationkey")).distinct(), ["n_nationkey"]).select(F.lit("no_supplier").alias("problem"), F.col("c_custkey").cast("long").alias("key"))
     return idle.unionByName(lost)
 
 
-INTEGRITY = "SELECT 'no_orders' AS problem, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'no_nation', c_custkey FROM customer WHERE c_nationkey >= 20"
+INTEGRITY = "SELECT 'no_orders' AS problem, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'no_supplier', c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)"
 
 
 def pin_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,8 @@ def tool_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.missing(lines, known, ["tool"]).select("doc_id", "line_no", "tool")
 
 
-TOOL_REFERENCES = "SELECT doc_id, 2 AS line_no, 'mcp__srv__t' || (doc_id % 7) AS tool FROM documents WHERE doc_id % 7 >= 5"
+TOOL_REFERENCES = """WITH l AS (SELECT doc_id, string_split('a' || chr(10) || 'use mcp__srv__t' || (doc_id % 7) || ' now' || chr(10) || coalesce(text, ''), chr(10)) AS l FROM documents), r AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM l),
+t AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, 'mcp__[a-z]+__[a-z0-9_]+')) AS tool FROM r) SELECT doc_id, line_no, tool FROM t WHERE tool NOT IN ('mcp__srv__t0', 'mcp__srv__t1', 'mcp__srv__t2', 'mcp__srv__t3', 'mcp__srv__t4')"""
 
 
 def settings_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:

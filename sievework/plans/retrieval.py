@@ -106,7 +106,8 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.array_join(search_terms(F.col("p"), ("where", "does", "cite")), ",").alias("terms"), F.length(fts_safe(F.col("p"))).cast("long").alias("safe_chars"))
 
 
-QUERY_TERMS = "SELECT item_id, 'poolSize,getX' AS terms, length('Where does `poolSize` use ' || array_to_string(string_split(text, ' ')[1:3], ' ') || ' getX? Cite the exact file.') AS safe_chars FROM benchmark"
+#: Terms of whole texts are beyond SQL: tests hold them against a plain version.
+QUERY_TERMS = None
 
 
 def ticket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,4 +236,4 @@ _SQL = {
     module_classify: MODULE_CLASSIFY, transition_lookup: TRANSITION_LOOKUP,
 }
 QUERIES = {f.__name__: f for f in _SQL}
-ORACLE = {f.__name__: s for f, s in _SQL.items()}
+ORACLE = {f.__name__: s for f, s in _SQL.items() if s}

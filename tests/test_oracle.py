@@ -9,7 +9,7 @@ from sievework.plans.oracle import connect, differences
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
-PLANS = {k: (f, m.ORACLE[k]) for m in entry._plans() for k, f in m.QUERIES.items()}
+PLANS = {k: (f, m.ORACLE[k]) for m in entry._plans() for k, f in m.QUERIES.items() if k in m.ORACLE}
 
 
 @pytest.fixture(scope="module")
