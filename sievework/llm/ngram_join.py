@@ -39,6 +39,8 @@ HOT_MOST = 1 << 20
 BLOCK = 8192
 #: Least and most nodes in a block of a bundle: a sixteenth of the bundle between these.
 NODE_BLOCK = (512, 8192)
+#: Tasks over which the entries of one bundle are spread while they meet its number of blocks.
+SALTS = 16
 #: Elements of the sets of a block, 8 bytes each; only one larger set takes more.
 BLOCK_ELEMENTS = 1 << 22
 #: 64-bit words of the filter that tells which nodes' sets are wanted.
@@ -342,8 +344,10 @@ def parts_of_bundles(entries: DataFrame, nodes: DataFrame, node_block: tuple[int
     rows = F.least(F.greatest(F.ceil(F.col("k") / 16), F.lit(least)), F.lit(most))
     blocks = F.greatest(F.ceil(F.col("k") / rows), F.ceil(F.col("elements") / F.lit(BLOCK_ELEMENTS))).cast("long")
     large = size.where((F.col("k") > 2 * least) | (F.col("elements") > 2 * BLOCK_ELEMENTS)).select("bundle", F.greatest(blocks, F.lit(2)).alias("blocks"))
-    # nodes last: joined by bundle, they would stay together by bundle, parts and all
-    expanded = entries.join(large, "bundle", "left").join(nodes.select("grp", "node", "n", "sketch"), "grp")
+    # entries of one bundle meet its number of blocks in several tasks; nodes last: joined by bundle, they would stay together by bundle, parts and all
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    counted = entries.withColumn("salt", F.pmod(F.xxhash64("grp"), F.lit(SALTS))).join(salted, ["bundle", "salt"], "left").drop("salt")
+    expanded = counted.join(nodes.select("grp", "node", "n", "sketch"), "grp")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>"), lambda o: o != own))
     dealt = expanded.withColumn("own", own).select("bundle", "node", "n", "sketch", "own", F.explode(others).alias("other"))
