@@ -178,14 +178,26 @@ def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(F.col(id_col).cast("long").alias(id_col), html_col).mapInArrow(parse, ddl)
 
 
+#: A digest with more references than HOT_LEAST, and than one of HOT_SHARE of all, is dealt to several tasks.
+HOT_LEAST, HOT_SHARE = 1_024, 65_536
+
+
 def resolve(sequences: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
     """One row per media reference: id, pos, caption, digest and the media's columns (null where its digest is unknown).
 
-    media has one row per digest. A digest that many documents share is a skewed key, which adaptive execution splits.
+    media has one row per digest. Hot digests are counted first: their references are dealt out in parts by id, position and
+    source partition, and each part meets a copy of the media's row. There are fewer than HOT_SHARE hot digests, so their
+    list may be broadcast. References by URL alone have no digest to meet and are dealt out likewise.
     """
     refs = sequences.select(id_col, F.size("items").alias("n_items"), F.explode(F.expr("filter(items, i -> i.kind = 'media')")).alias("m"))
     flat = refs.select(id_col, "n_items", F.col("m.pos").alias("pos"), F.col("m.caption").alias("caption"), F.col("m.digest").alias("digest"))
-    return flat.join(media, "digest", "left")
+    bar = max(HOT_LEAST, flat.count() // HOT_SHARE)
+    counted = flat.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("_refs"))
+    hot = F.broadcast(counted.where(F.col("_refs") > bar).select("digest", F.ceil(F.col("_refs") / bar).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.when(F.col("digest").isNull(), HOT_SHARE).otherwise(1))
+    dealt = flat.join(hot, "digest", "left").withColumn("_part", F.pmod(F.xxhash64(id_col, "pos", F.spark_partition_id()), parts).cast("int"))
+    copies = media.join(hot, "digest", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_parts").join(copies.drop("_parts"), ["digest", "_part"], "left").drop("_part")
 
 
 def page_of(digest: str, title: str, text: str) -> str:

@@ -334,3 +334,17 @@ def test_fit_passes_a_target_that_is_nearer_above():
     assert fit([1000], [1], 999) == 1000 and fit([1000], [1], 499) == 0 and fit([1000], [1], 500) == 0
     assert fit([70_000], [3], 139_999) == 140_000 and abs(fit([1, 70_000], [1, 3], 139_999) - 139_999) <= 2
     assert fit([70_000], [3], 100_000) == 70_000 and abs(fit([3, 10**6], [5, 2], 10**6 + 2) - 10**6) <= 15
+
+
+def test_hot_media_meet_all_their_references(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT_LEAST", 4)
+    html = lambda d: f'<img src="{media.REFERENCE}{d}"><img src="u.png">'
+    rows = [(i if i % 2 else None, html("hot" if i % 3 else f"d{i}")) for i in range(60)]
+    table = spark.createDataFrame([("hot", 1), *((f"d{i}", 100 + i) for i in range(0, 60, 6))], "digest string, size long")
+    found = media.resolve(media.interleave(spark.createDataFrame(rows, "id long, html string"), "id", "html"), table, "id")
+    assert found.columns == ["digest", "id", "n_items", "pos", "caption", "size"]
+    got = sorted(((r.id, r.pos, r.digest, r.size) for r in found.collect()), key=str)
+    sizes = {"hot": 1} | {f"d{i}": 100 + i for i in range(0, 60, 6)}
+    name = lambda i: "hot" if i % 3 else f"d{i}"
+    want = [x for i in range(60) for x in ((i if i % 2 else None, 0, name(i), sizes.get(name(i))), (i if i % 2 else None, 1, None, None))]
+    assert got == sorted(want, key=str)
