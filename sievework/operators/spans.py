@@ -13,6 +13,8 @@ from sievework.functions.text import shannon_entropy
 _OPEN, _SHUT = "\u0001", "\u0002"
 #: What separates the tokens of the entropy detector.
 _GAP = jvm_regex(TOKEN).replace("[^", "[", 1)
+#: How many items arrays are worked on at a time.
+BLOCK = 256
 SPAN = "struct<pattern_id: string, action: string, first: int, last: int>"
 
 
@@ -26,74 +28,160 @@ def worth_searching(text: Column, low: Column, d: Detector) -> Column:
     return out
 
 
-def _match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """array<struct<first, last, piece>> of all leftmost matches (that keep holds for), in code points, ends exclusive.
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    Matches are set off by a mark that the text lacks and the text is split there, so that every second piece is a
-    match; lookarounds see the whole text. The mark is a run of a control character, longer than any in the text.
-    """
+
+def _blocks(values: Column) -> Column:
+    """The values in arrays of BLOCK, in order; one empty array if there are none."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of the integers, what add makes of those before it, from 0. An append copies an array, so it goes by blocks."""
+
+    def fold(xs: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(xs, first, lambda acc, v: F.struct(add(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    of = lambda blocks: F.flatten(F.zip_with(blocks, fold(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add)), F.lit(0)), fold))
+    return _let(values, lambda v: _let(_blocks(v), of))
+
+
+def _mark(text: Column) -> Column:
+    """What sets matches off: a run of a control character, longer than any in the text."""
     longest = F.aggregate(F.regexp_extract_all(text, F.lit(f"({_OPEN}+)"), F.lit(1)), F.lit(0), lambda n, x: F.greatest(n, F.length(x)))
-    mark = F.when(F.contains(text, F.lit(_OPEN)), F.concat(F.lit(_SHUT), F.repeat(F.lit(_OPEN), longest + 1), F.lit(_SHUT))).otherwise(F.lit(_OPEN))
-    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.expr("cast(array() as array<struct<first: int, last: int, piece: string>>)").alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p)).alias("at"),
-        (~acc["inside"]).alias("inside"),
-        F.when(acc["inside"] & keep(p) if keep else acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("first"), (acc["at"] + F.length(p)).alias("last"), p.alias("piece"))))).otherwise(acc["out"]).alias("out"),
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.expr("cast(array() as array<struct<first: int, last: int, piece: string>>)"))
+    return F.when(F.contains(text, F.lit(_OPEN)), F.concat(F.lit(_SHUT), F.repeat(F.lit(_OPEN), longest + 1), F.lit(_SHUT))).otherwise(F.lit(_OPEN))
 
 
-def _rule_spans(text: Column, low: Column, d: Detector) -> Column:
+def _secret(t: Column, d: Detector) -> Column:
+    """Whether a token is a finding of the entropy detector."""
+    fits = F.octet_length(t).between(d.min_length, d.max_length)
+    for x in d.exclude_patterns:
+        fits = fits & ~F.rlike(t, F.lit(jvm_regex(x)))
+    return fits & (shannon_entropy(t) >= d.threshold)
+
+
+def _long_tokens(text: Column, d: Detector) -> Column:
+    return F.filter(F.split(text, _GAP), lambda t: F.octet_length(t) >= d.min_length)
+
+
+def _pieces(text: Column, low: Column, mark: Column, d: Detector) -> Column:
+    """The text cut around a rule's leftmost matches, so that every second piece is one; empty if there are none.
+
+    Matches are set off by the mark in the whole text, which lookarounds see, and the text is split there.
+    """
     if d.type == "entropy":
-        # every byte length within bounds needs a quarter as many code points at least; maximal runs stay maximal
-        pattern = jvm_regex(TOKEN).removesuffix("+") + f"{{{-(-d.min_length // 4)},{d.max_length}}}+(?!{jvm_regex(TOKEN).removesuffix('+')})"
-
-        def secret(t: Column) -> Column:
-            fits = F.octet_length(t).between(d.min_length, d.max_length)
-            for x in d.exclude_patterns:
-                fits = fits & ~F.rlike(t, F.lit(jvm_regex(x)))
-            return fits & (shannon_entropy(t) >= d.threshold)
-
-        long = F.filter(F.split(text, _GAP), lambda t: F.octet_length(t) >= d.min_length)
-        none = F.expr("cast(array() as array<struct<first: int, last: int, piece: string>>)")
-        # positions are worked out only where some token is a finding
-        found = F.when(F.exists(long, secret), _match_spans(text, pattern, secret)).otherwise(none)
+        # every byte length within bounds needs a quarter as many code points at least; only whole tokens match
+        one = jvm_regex(TOKEN).removesuffix("+")
+        pattern = f"(?<!{one}){one}{{{-(-d.min_length // 4)},{d.max_length}}}+(?!{one})"
+        some = F.exists(_long_tokens(text, d), lambda t: _secret(t, d))  # places are worked out only where some token is a finding
     else:
-        none = F.expr("cast(array() as array<struct<first: int, last: int, piece: string>>)")
-        found = F.when(worth_searching(text, low, d), _match_spans(text, jvm_regex(d.regex))).otherwise(none)
-    return F.transform(found, lambda m: F.struct(F.lit(d.id).alias("pattern_id"), F.lit(d.action).alias("action"), m["first"].alias("first"), m["last"].alias("last")))
+        pattern = jvm_regex(d.regex)
+        some = worth_searching(text, low, d) & F.rlike(text, F.lit(pattern))
+    return F.when(some, F.split(F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def scan(text: Column, policy: Policy, low: Column | None = None) -> Column:
-    """array<SPAN>: of each rule in order, all its matches in order. low: the text in lower case, where it is at hand."""
+    """array<SPAN>: of each rule in order, all its matches in order, in code points, ends exclusive.
+
+    low: the text in lower case, where it is at hand.
+    """
     low = F.lower(text) if low is None else low
-    return F.concat(*(_rule_spans(text, low, d) for d in policy.detectors))
+
+    tokens = [d for d in policy.detectors if d.type == "entropy"]
+
+    def found(r: Column, piece: Column) -> Column:
+        out = F.lit(True)
+        for d in tokens:
+            out = F.when(r["pattern_id"] == d.id, _secret(piece, d)).otherwise(out)
+        return out
+
+    def placed(r: Column) -> Column:
+        at = _running(F.transform(r["pieces"], F.length), lambda n, v: n + v)
+        every = F.zip_with(r["pieces"], at, lambda x, a: F.struct(a.alias("first"), x.alias("piece")))
+        matches = F.filter(every, lambda x, i: (i % 2 == 1) & found(r, x["piece"]))
+        return F.transform(matches, lambda m: F.struct(r["pattern_id"].alias("pattern_id"), r["action"].alias("action"), m["first"].alias("first"), (m["first"] + F.length(m["piece"])).alias("last")))
+
+    def rules(mark: Column) -> Column:
+        return F.array(*(F.struct(F.lit(d.id).alias("pattern_id"), F.lit(d.action).alias("action"), _pieces(text, low, mark, d).alias("pieces")) for d in policy.detectors))
+
+    hit = F.filter(_let(_mark(text), rules), lambda r: F.size(r["pieces"]) > 0)
+    return F.flatten(F.transform(hit, placed))
 
 
 def outer_wins(spans: Column) -> Column:
     """Longest first, then leftmost; those that overlap one already kept are left out. Ordered by start.
 
-    Spans that don't overlap at all, the usual case, are just sorted.
+    Spans that don't overlap at all, the usual case, are just sorted. Others fall into clusters that no span leads out
+    of, and only spans of a cluster are held against each other.
     """
-    ranked = F.array_sort(F.transform(spans, lambda s: F.struct((s["first"] - s["last"]).alias("neg"), s["first"].alias("first"), s["last"].alias("last"), s["pattern_id"].alias("pattern_id"))))
-    empty = F.expr("cast(array() as array<struct<neg: int, first: int, last: int, pattern_id: string>>)")
-    kept = F.aggregate(ranked, empty, lambda acc, s: F.when(F.exists(acc, lambda k: (s["first"] < k["last"]) & (s["last"] > k["first"])), acc).otherwise(F.concat(acc, F.array(s))))
     plain = lambda a: F.array_sort(F.transform(a, lambda k: F.struct(k["first"].alias("first"), k["last"].alias("last"), k["pattern_id"].alias("pattern_id"))))
-    by_start = plain(spans)
-    more = F.greatest(F.size(spans) - 1, F.lit(0))
-    meet = F.exists(F.zip_with(F.slice(by_start, F.lit(1), more), F.slice(by_start, F.lit(2), more), lambda a, b: b["first"] < a["last"]), lambda x: x)
-    return F.when((F.size(spans) > 1) & meet, plain(kept)).otherwise(by_start)
+    empty = F.expr("cast(array() as array<struct<cluster: int, neg: int, first: int, last: int, pattern_id: string>>)")
+
+    def step(acc: Column, s: Column) -> Column:
+        rivals = F.when(acc["cluster"] == s["cluster"], acc["kept"]).otherwise(empty)
+        lost = F.exists(rivals, lambda k: (s["first"] < k["last"]) & (s["last"] > k["first"]))
+        more = lambda a: F.when(lost, a).otherwise(F.concat(a, F.array(s)))
+        return F.struct(s["cluster"].alias("cluster"), more(rivals).alias("kept"), more(acc["out"]).alias("out"))
+
+    def kept(by_start: Column) -> Column:
+        reach = _running(F.transform(by_start, lambda s: s["last"]), lambda n, v: F.greatest(n, v))
+        fresh = F.zip_with(by_start, reach, lambda s, r: (s["first"] >= r).cast("int"))
+        # a cluster's number: how many have begun, its own included
+        number = _let(fresh, lambda f: F.zip_with(_running(f, lambda n, v: n + v), f, lambda n, v: n + v))
+        ranked = F.array_sort(F.zip_with(by_start, number, lambda s, n: F.struct(n.alias("cluster"), (s["first"] - s["last"]).alias("neg"), s["first"].alias("first"), s["last"].alias("last"), s["pattern_id"].alias("pattern_id"))))
+        return plain(F.aggregate(ranked, F.struct(F.lit(0).alias("cluster"), empty.alias("kept"), empty.alias("out")), step, lambda acc: acc["out"]))
+
+    def chosen(by_start: Column) -> Column:
+        more = F.greatest(F.size(by_start) - 1, F.lit(0))
+        meet = F.exists(F.zip_with(F.slice(by_start, F.lit(1), more), F.slice(by_start, F.lit(2), more), lambda a, b: b["first"] < a["last"]), lambda x: x)
+        return F.when(meet, kept(by_start)).otherwise(by_start)
+
+    return _let(plain(spans), chosen)
 
 
 def redact(text: Column, spans: Column, policy: Policy) -> Column:
-    """The text with each kept span replaced by the policy's marker."""
+    """The text with each kept span replaced by the policy's marker.
+
+    A substring is found by walking from the start of its string, so each block of spans first cuts out its own part of the text.
+    """
     before, after = policy.replacement.split("{pattern_id}")
     mark = lambda s: F.concat(F.lit(before), s["pattern_id"], F.lit(after))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["last"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["first"] - acc["at"]), mark(s)).alias("out"))
-    done = F.aggregate(outer_wins(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+
+    def cut(block: Column, begin: Column) -> Column:
+        part = F.substring(text, begin + 1, F.element_at(block, -1)["last"] - begin)
+        since = lambda i: F.when(i == 0, begin).otherwise(F.get(block, i - 1)["last"])
+        return _let(part, lambda p: F.array_join(F.transform(block, lambda s, i: F.concat(F.substring(p, since(i) - begin + 1, s["first"] - since(i)), mark(s))), ""))
+
+    def done(kept: Column) -> Column:
+        begin = lambda b: F.when(b == 0, 0).otherwise(F.get(kept, b * BLOCK - 1)["last"])
+        parts = F.transform(_blocks(kept), lambda block, b: cut(block, begin(b)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(kept, -1)["last"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(outer_wins(spans), done))
+
+
+def scan_counts(df: DataFrame, text_col: str, policy: Policy | None = None) -> DataFrame:
+    """df with scan_result and redacted_count as scan_and_filter has them, without looking for places or redacting."""
+    policy = policy or Policy()
+    text, low = F.coalesce(F.col(text_col), F.lit("")), F.col("_low")
+
+    def n(d: Detector) -> Column:
+        if d.type == "entropy":
+            return F.size(F.filter(_long_tokens(text, d), lambda t: _secret(t, d)))
+        return F.when(worth_searching(text, low, d), F.regexp_count(text, F.lit(jvm_regex(d.regex)))).otherwise(0)
+
+    blocked, redacted = F.octet_length(text) > policy.max_scan_bytes, F.lit(0)
+    for d in policy.detectors:
+        if d.action == "block":
+            blocked = blocked | (n(d) > 0)
+        elif d.action == "redact":
+            redacted = redacted + n(d)
+    step = df.withColumn("_low", F.lower(text)).withColumn("_n", F.when(blocked, -1).otherwise(redacted))
+    result = F.when(F.col("_n") < 0, "BLOCKED").when(F.col("_n") > 0, "REDACTED").otherwise("CLEAN")
+    return step.select(*(F.col(f"`{c}`") for c in df.columns), result.alias("scan_result"), F.greatest("_n", F.lit(0)).cast("long").alias("redacted_count"))
 
 
 def scan_and_filter(df: DataFrame, text_col: str, policy: Policy | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.detectors import DETECTORS, MAX_SCAN_BYTES, TOKEN, Detector, Policy, jvm_regex
 from sievework.functions.text import shannon_entropy
 from sievework.operators.integrity import upsert
-from sievework.operators.spans import drop_blocked, merge_metadata, scan, scan_and_filter, worth_searching
+from sievework.operators.spans import drop_blocked, merge_metadata, scan, scan_and_filter, scan_counts, worth_searching
 from sievework.plans.common import INJECTED_SQL, injected, quoted, rows, table
 
 RULES = tuple(d for d in DETECTORS if d.type != "entropy")
@@ -66,7 +66,7 @@ FILTER_MATCH_COUNTS = "WITH " + INJECTED_SQL + " " + " UNION ALL ".join(f"SELECT
 
 
 def filter_rollup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_and_filter(injected(table(spark, sf_dir, "documents")), "text", POLICY)
+    found = scan_counts(injected(table(spark, sf_dir, "documents")), "text", POLICY)
     count = lambda r: F.count_if(F.col("scan_result") == r).alias(r.lower())
     return found.groupBy("source").agg(count("CLEAN"), count("REDACTED"), count("BLOCKED"), F.sum("redacted_count").alias("redacted_spans"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.detectors import DETECTORS, Detector, Policy, PolicyError, jvm_regex, overlaid, resolve_policy, validated
 from sievework.functions.text import shannon_entropy
-from sievework.operators.spans import merge_metadata, scan_and_filter
+from sievework.operators.spans import merge_metadata, outer_wins, scan, scan_and_filter, scan_counts
 
 
 def run(spark, *texts, policy=None):
@@ -92,3 +92,43 @@ def test_overlay_keeps_order(tmp_path):
 
 def test_translation():
     assert jvm_regex(r"(?i)a\s[^\s]\S") == r"(?iu)a[\t\n\f\r ][^\t\n\f\r ][^\t\n\f\r ]"
+
+
+def test_entropy_of_whole_tokens_only(spark):
+    token, long = "q7Zt1Xv9Lm3Kp5Wd8Rf2Yh6Bn4C", "q7Zt1Xv9Lm3Kp5Wd8Rf2Yh6Bn4C" * 9
+    entropy = next(d for d in DETECTORS if d.type == "entropy")
+    found = spark.createDataFrame([(f"{long} {token}",)], "text string").select(F.explode(scan(F.col("text"), Policy(detectors=(entropy,)))).alias("s")).select("s.first", "s.last").collect()
+    assert [tuple(r) for r in found] == [(len(long) + 1, len(long) + 1 + len(token))]
+
+
+def test_texts_of_many_findings(spark):
+    ip = [f"é 10.0.{i % 200}.7 \n" for i in range(8_000)]
+    url = [f"postgres://u:p@10.1.{i % 200}.1/ü " for i in range(4_000)]
+    texts = ["".join(ip), "".join(url), "".join(a + b for a, b in zip(ip[:700], url[:700], strict=True)), "", None, "plain 10.0.0.1"]
+    policy = Policy(max_scan_bytes=1 << 24)
+    found = run(spark, *texts, policy=policy)
+    assert found[0].filtered_text == "é [REDACTED:ip_address_internal] \n" * 8_000 and found[0].redacted_count == 8_000
+    assert found[1].filtered_text == "[REDACTED:db_connection_string] " * 4_000 and found[1].redacted_count == 8_000
+    assert found[2].filtered_text == "é [REDACTED:ip_address_internal] \n[REDACTED:db_connection_string] " * 700
+    df = spark.createDataFrame([(t,) for t in [*texts, "-----BEGIN PRIVATE KEY----- 10.0.0.1"]], "text string")
+    columns = ("text", "scan_result", "redacted_count")
+    assert sorted(map(str, scan_counts(df, "text", policy).select(*columns).collect())) == sorted(map(str, scan_and_filter(df, "text", policy).select(*columns).collect()))
+
+
+def test_outer_spans_against_a_plain_search(spark):
+    import random
+
+    rng = random.Random(5)
+    cases = [[(a := rng.randrange(200), a + rng.randrange(1, 30), rng.choice("pqr")) for _ in range(rng.randrange(0, 40))] for _ in range(60)]
+    cases.append([(3 * i, 3 * i + rng.randrange(1, 8), "p") for i in range(1_500)])
+
+    def plain(spans):
+        kept = []
+        for s in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+            if not any(s[0] < k[1] and s[1] > k[0] for k in kept):
+                kept.append(s)
+        return sorted(kept)
+
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, spans array<struct<first: int, last: int, pattern_id: string>>")
+    for r in df.select("i", outer_wins(F.col("spans")).alias("kept")).collect():
+        assert [tuple(k) for k in r.kept] == plain(cases[r.i])
