@@ -13,7 +13,7 @@ from sievework.functions.text import shannon_entropy
 _OPEN, _SHUT = "\u0001", "\u0002"
 #: What separates the tokens of the entropy detector.
 _GAP = jvm_regex(TOKEN).replace("[^", "[", 1)
-#: How many items arrays are worked on at a time.
+#: How many items arrays are worked on at a time; even, so that every second piece of a block is a match.
 BLOCK = 256
 SPAN = "struct<pattern_id: string, action: string, first: int, last: int>"
 
@@ -98,11 +98,20 @@ def scan(text: Column, policy: Policy, low: Column | None = None) -> Column:
             out = F.when(r["pattern_id"] == d.id, _secret(piece, d)).otherwise(out)
         return out
 
+    none = F.expr("cast(array() as array<struct<first: int, last: int>>)")
+    size = lambda n, p: n + F.length(p)
+
     def placed(r: Column) -> Column:
-        at = _running(F.transform(r["pieces"], F.length), lambda n, v: n + v)
-        every = F.zip_with(r["pieces"], at, lambda x, a: F.struct(a.alias("first"), x.alias("piece")))
-        matches = F.filter(every, lambda x, i: (i % 2 == 1) & found(r, x["piece"]))
-        return F.transform(matches, lambda m: F.struct(r["pattern_id"].alias("pattern_id"), r["action"].alias("action"), m["first"].alias("first"), (m["first"] + F.length(m["piece"])).alias("last")))
+        def step(acc: Column, p: Column) -> Column:
+            end = acc["at"] + F.length(p)
+            out = F.when(acc["inside"] & found(r, p), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("first"), end.alias("last"))))).otherwise(acc["out"])
+            return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), out.alias("out"))
+
+        def block(b: Column, at: Column) -> Column:
+            return F.aggregate(b, F.struct(at.alias("at"), F.lit(False).alias("inside"), none.alias("out")), step, lambda acc: acc["out"])
+
+        of = lambda blocks: F.flatten(F.zip_with(blocks, _running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), size)), lambda n, v: n + v), block))
+        return F.transform(_let(_blocks(r["pieces"]), of), lambda m: F.struct(r["pattern_id"].alias("pattern_id"), r["action"].alias("action"), m["first"].alias("first"), m["last"].alias("last")))
 
     def rules(mark: Column) -> Column:
         return F.array(*(F.struct(F.lit(d.id).alias("pattern_id"), F.lit(d.action).alias("action"), _pieces(text, low, mark, d).alias("pieces")) for d in policy.detectors))
