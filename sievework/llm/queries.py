@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.clusters import ORACLE_SQL as OP11_SQL
+from sievework.llm.clusters import cluster_vectors
+from sievework.llm.codebooks import ORACLE_SQL as OP13_SQL
+from sievework.llm.codebooks import compress_vectors
 from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.langid import predict_languages, train_languages
 from sievework.llm.media import media_facts, resolve, store_texts
@@ -97,6 +101,14 @@ def op8_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op11_weighted_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_gbt_quality": op2_gbt_quality,
@@ -108,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack_power_of_two": op8_pack_power_of_two,
     "op9_hierarchical_language": op9_hierarchical_language,
     "op10_subset_sum_mix": op10_subset_sum_mix,
+    "op11_weighted_centroids": op11_weighted_centroids,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE: dict[str, str] = {"op4_revisit_resolution": OP4_SQL, "op6_grace_exact_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_revisit_resolution": OP4_SQL, "op6_grace_exact_dedup": OP6_SQL, "op11_weighted_centroids": OP11_SQL, "op13_vector_codes": OP13_SQL}
