@@ -12,6 +12,7 @@ from sievework.llm.clusters import cluster_vectors
 from sievework.llm.codebooks import ORACLE_SQL as OP13_SQL
 from sievework.llm.codebooks import compress_vectors
 from sievework.llm.exact_dedup import exact_dedup
+from sievework.llm.imatch import fingerprint_with_neighbours
 from sievework.llm.langid import predict_languages, train_languages
 from sievework.llm.media import media_facts, resolve, store_texts
 from sievework.llm.mixing import mix_sources
@@ -105,6 +106,10 @@ def op11_weighted_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hierarchical_language": op9_hierarchical_language,
     "op10_subset_sum_mix": op10_subset_sum_mix,
     "op11_weighted_centroids": op11_weighted_centroids,
+    "op12_imatch_fingerprints": op12_imatch_fingerprints,
     "op13_vector_codes": op13_vector_codes,
 }
 

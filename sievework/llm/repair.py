@@ -204,6 +204,12 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     The bounds come from a scan of the ids alone. An id with more rows than a partition takes is dealt out over as
     many as it fills, by a hash of the text.
     """
+    placed = docs.withColumn("_part", order_part(docs, id_col, text_col, n)).repartitionById(n, "_part").drop("_part")
+    return placed.sortWithinPartitions(id_col, F.octet_length(text_col), text_col)
+
+
+def order_part(docs: DataFrame, id_col: str, text_col: str, n: int) -> Column:
+    """The partition, 0 to n - 1, in which `in_order` puts a row."""
     key = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("long"))
     shares = [k / n for k in range(1, n)]
     found = docs.select(F.percentile_approx(key, shares, 20 * n).alias("b")).first()["b"] if shares else None  # n - 1 numbers
@@ -219,10 +225,8 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
         whole = F.size(F.filter(firsts, test))
         return F.when(whole > 0, (whole - 1) * step + F.size(F.filter(F.get(runs, whole - 1), test))).otherwise(0)
 
-    below, upto = passed(lambda b: b < F.col("_key")), passed(lambda b: b <= F.col("_key"))
-    part = F.when(upto - below < 2, below).otherwise(below + F.pmod(F.xxhash64(text_col), upto - below).cast("int"))
-    placed = docs.withColumn("_key", key).withColumn("_part", part).drop("_key").repartitionById(n, "_part").drop("_part")
-    return placed.sortWithinPartitions(id_col, F.octet_length(text_col), text_col)
+    below, upto = passed(lambda b: b < key), passed(lambda b: b <= key)
+    return F.when(upto - below < 2, below).otherwise(below + F.pmod(F.xxhash64(text_col), upto - below).cast("int"))
 
 
 def read_token_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
