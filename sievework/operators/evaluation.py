@@ -13,27 +13,28 @@ STORED_ANSWER = 500  # code points of an answer that are stored
 
 
 def unsupported_counts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, citations, unsupported, and whether any verdict is partial: a symbol that only the text knows."""
-    partial = F.coalesce(F.bool_or(F.col("reason") == "symbol_in_text"), F.lit(False))
-    return verdicts.groupBy(*keys).agg(F.count(F.lit(1)).alias("citations"), F.count_if("is_unsupported").alias("unsupported"), partial.alias("is_partial"))
+    """keys, citations, unsupported, and whether any verdict is partial."""
+    return verdicts.groupBy(*keys).agg(F.count(F.lit(1)).alias("citations"), F.count_if("is_unsupported").alias("unsupported"), F.bool_or("is_partial").alias("is_partial"))
 
 
-def scored_cells(cells: DataFrame, questions: DataFrame, expected: DataFrame, files: DataFrame) -> DataFrame:
+def scored_cells(cells: DataFrame, questions: DataFrame, expected: DataFrame, files: DataFrame, symbols: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """One row per cell (cell_id, question_id, response, injected_tokens): parse mode, stored answer, location scores,
-    correctness, unsupported citations and information volume. questions: question_id, keywords; expected: question_id,
-    path, start_line, end_line; files: path. A cell whose question is unknown is scored against no expectations."""
+    correctness, unsupported citations, whether any was checked in part, and information volume. questions: question_id, keywords;
+    expected: question_id, path, start_line, end_line; files: path; symbols: name, from an index, None where there is none; words: name, from
+    the texts. Cells may say by index_up that the index couldn't be asked for them. A cell whose question is unknown is scored
+    against no expectations."""
     parsed = parse_responses(cells, "response")
-    cited = parsed.select("cell_id", F.posexplode("citations").alias("pos", "c")).select("cell_id", "pos", F.col("c.file").alias("path"), F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.lit(None).cast("string").alias("symbol"))
+    asked = ["index_up"] if "index_up" in cells.columns else []
+    cited = parsed.select("cell_id", *asked, F.posexplode("citations").alias("pos", "c")).select("cell_id", "pos", *asked, F.col("c.file").alias("path"), "c.start_line", "c.end_line", "c.symbol")
     wanted = cells.select("cell_id", "question_id").join(expected, "question_id").select("cell_id", "path", "start_line", "end_line")
     scores = location_scores(cells, cited, wanted, ["cell_id"])
-    none = files.sparkSession.createDataFrame([], "name string")
-    bad = unsupported_counts(reference_verdicts(cited, files, none, none), ["cell_id"])
+    said = words if words is not None else files.sparkSession.createDataFrame([], "name string")
+    bad = unsupported_counts(reference_verdicts(cited, files, symbols, said), ["cell_id"]).drop("citations")
     j = parsed.join(questions.select("question_id", "keywords"), "question_id", "left").join(scores, "cell_id").join(bad, "cell_id", "left")
     right = correct(F.col("answer"), F.col("recall"), F.coalesce("keywords", F.expr("cast(array() as array<string>)")), F.col("parse_mode") != "failed")
     return j.select(
-        "cell_id", "question_id", "parse_mode", F.substring("answer", 1, STORED_ANSWER).alias("answer"), "precision", "recall", "f1", right.alias("correctness"),
-        F.coalesce("citations", F.lit(0)).alias("citations") if "citations" not in parsed.columns else F.size(parsed["citations"]).cast("long").alias("citations"),
-        F.coalesce("unsupported", F.lit(0)).alias("unsupported"), info_volume(F.col("injected_tokens")).alias("info_volume"),
+        "cell_id", "question_id", "parse_mode", F.substring("answer", 1, STORED_ANSWER).alias("answer"), "precision", "recall", "f1", right.alias("correctness"), F.size("citations").cast("long").alias("citations"),
+        F.coalesce("unsupported", F.lit(0)).alias("unsupported"), F.coalesce("is_partial", F.lit(False)).alias("is_partial"), info_volume(F.col("injected_tokens")).alias("info_volume"),
     )
 
 

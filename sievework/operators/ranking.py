@@ -33,19 +33,21 @@ def keyword_scores(queries: DataFrame, index: DataFrame, sizes: DataFrame) -> Da
     return scored.select("query_id", "id", (F.col("hits") * 10 + F.coalesce(F.col("bonus"), F.lit(False)).cast("int")).alias("score"), "size")
 
 
-def bm25(queries: DataFrame, index: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, frequencies: DataFrame | None = None, totals: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score by Okapi BM25 over an index of (id, term, tf, dl); idf is log(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only terms that some query has are weighed; statistics are those of all documents with terms: sums over the index, in
-    which a document's frequencies add up to its length.
+    Only terms that some query has are weighed; statistics are those of all documents with terms: frequencies (term, df)
+    and totals (one row: n_docs, n_terms) of a stored index, else sums over the index, in which a document's frequencies
+    add up to its length.
     """
     wanted = queries.select("term").distinct()
-    stats = index.agg(F.sum(F.col("tf") / F.col("dl")).alias("n"), F.sum("tf").alias("terms")).select(F.round("n").cast("long").alias("n_docs"), (F.col("terms") / F.round("n")).alias("avg_dl"))
+    if totals is None:
+        totals = index.agg(F.round(F.sum(F.col("tf") / F.col("dl"))).cast("long").alias("n_docs"), F.sum("tf").alias("n_terms"))
     some = index.join(wanted, "term", "left_semi")
-    df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = some.join(df, "term").join(F.broadcast(stats), F.lit(True))  # one row of statistics
+    df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if frequencies is None else frequencies.join(wanted, "term", "left_semi")
+    weighed = some.join(df, "term").join(F.broadcast(totals), F.lit(True))  # one row of statistics
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.col("n_docs") / F.col("n_terms")))
     return weighed.select("id", "term", part.alias("part")).join(queries.select("query_id", "term").distinct(), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 

@@ -36,21 +36,27 @@ def correct(answer: Column, recall: Column, keywords: Column, parsed: Column) ->
     return F.coalesce(parsed & (F.trim(answer) != "") & (recall >= 0.5) & ((F.size(keywords) == 0) | said), F.lit(False))
 
 
-def reference_verdicts(citations: DataFrame, files: DataFrame, symbols: DataFrame, words: DataFrame) -> DataFrame:
-    """citations (id, path, symbol) with is_unsupported and reason.
+def reference_verdicts(citations: DataFrame, files: DataFrame, symbols: DataFrame | None, words: DataFrame) -> DataFrame:
+    """citations (id, path, symbol) with reason, is_unsupported and is_partial.
 
-    files: path; symbols: name, from an index; words: name, from the text. A citation of an unknown file is
-    unsupported, as is one whose checkable symbol is in neither table; line ranges don't matter.
+    files: path; symbols: name, from an index of definitions; words: name, whole words of the texts. A citation of an
+    unknown file is unsupported, and so is one whose checkable symbol neither the index nor the text knows; line ranges
+    don't matter, nor whether the symbol stands in the cited file. Where the index can't be asked (symbols is None, or citations
+    have a column index_up that isn't true) the text alone decides, and the verdict is partial.
     """
-    c = citations.withColumn("path", normal_path(F.col("path"))).withColumn("_name", F.when(checkable_symbol(F.col("symbol")), bare_symbol(F.col("symbol"))))
+    up = F.lit(False) if symbols is None else F.coalesce(F.col("index_up"), F.lit(False)) if "index_up" in citations.columns else F.lit(True)
+    named = F.when(checkable_symbol(F.col("symbol")), bare_symbol(F.col("symbol")))
+    c = citations.withColumn("path", normal_path(F.col("path"))).withColumn("_name", named).withColumn("_up", up)
     known = lambda df, name: df.select(F.col("name").alias("_name")).distinct().withColumn(name, F.lit(True))
     file = files.select(normal_path(F.col("path")).alias("path")).distinct().withColumn("_file", F.lit(True))
-    j = c.join(file, "path", "left").join(known(symbols, "_index"), "_name", "left").join(known(words, "_text"), "_name", "left")
+    j = c.join(file, "path", "left").join(known(words, "_text"), "_name", "left")
+    j = j.withColumn("_index", F.lit(False)) if symbols is None else j.join(known(symbols, "_index"), "_name", "left")
     reason = (
-        F.when(F.col("_file").isNull(), "file_missing").when(F.col("symbol").isNull(), "file_only").when(F.col("_name").isNull(), "symbol_not_checkable")
-        .when(F.col("_index"), "symbol_indexed").when(F.col("_text"), "symbol_in_text").otherwise("symbol_missing")
+        F.when(F.col("_file").isNull(), "file_missing").when(F.coalesce("symbol", F.lit("")) == "", "file_only").when(F.col("_name").isNull(), "symbol_not_checkable")
+        .when(F.col("_up") & F.col("_index"), "symbol_indexed").when(F.col("_text"), "symbol_in_text").otherwise("symbol_missing")
     )
-    return j.select(*citations.columns, reason.alias("reason"), reason.isin("file_missing", "symbol_missing").alias("is_unsupported"))
+    partial = F.col("_file").isNotNull() & F.col("_name").isNotNull() & ~F.col("_up")
+    return j.select(*citations.columns, reason.alias("reason"), reason.isin("file_missing", "symbol_missing").alias("is_unsupported"), partial.alias("is_partial"))
 
 
 def majority(yes: Column, no: Column) -> Column:

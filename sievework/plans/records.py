@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import failure_key, info_volume, safe_double, safe_long
 from sievework.operators import compositions, evaluation, gates, lifecycle, ranking, records, rollup
 from sievework.operators.parsing import paragraph_tree
+from sievework.plans import retrieval
 from sievework.plans.common import table
 from sievework.plans.lifecycle import BACKEND_POLICY
 from sievework.sources.readers import replay_key, upsert_latest
@@ -304,14 +305,21 @@ def rendered_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 RENDERED_PLANS = "WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation) SELECT n_regionkey, md5('# Region ' || n_regionkey || chr(10) || chr(10) || string_agg('## Step ' || i || ': ' || n_name, chr(10) ORDER BY i) || chr(10) || chr(10) || '```yaml' || chr(10) || 'steps:' || chr(10) || string_agg('  - ' || n_name, chr(10) ORDER BY i) || chr(10) || '```' || chr(10)) AS plan_md5, 1 AS blocks FROM n GROUP BY n_regionkey"
 
 
+#: Words as whole-word search sees them.
+_WORDS = "[A-Za-z0-9_]+"
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer for every document: strict JSON, a block in prose, prose with a citation, or none."""
+    """An answer for every document: strict JSON, a block in prose, prose with a citation, or none. Symbols of the first citation by
+    sixes: none, one of the index, a word of the document, an unknown one, no identifier, and a word while the index can't be asked."""
     k = F.col("doc_id")
-    cite = lambda a, b: F.concat(F.lit('{"file": "./src/f'), k % 5, F.lit('.go", "start_line": '), a, F.lit(', "end_line": '), b, F.lit("}"))
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z_][A-Za-z0-9_]*", 0)
+    symbol = F.element_at(F.array(F.lit(""), F.concat(F.lit("core.Brand_"), k % 5 + 1, k % 7 + 1, F.lit("()")), F.concat(F.lit("core."), word), F.concat(F.lit("pkg.NoSuch"), k), F.lit("no symbol"), word), (k % 6 + 1).cast("int"))
+    cite = lambda a, b, s=F.lit(""): F.concat(F.lit('{"file": "./src/f'), k % 5, F.lit('.go", "start_line": '), a, F.lit(', "end_line": '), b, F.lit(', "symbol": "'), s, F.lit('"}'))
     said = F.concat(F.lit("the Pool holds "), k)
-    body = F.concat(F.lit('{"answer": "'), said, F.lit('", "citations": ['), cite(k % 50 + 1, k % 50 + 9), F.lit(", "), cite(F.lit(900), F.lit(901)), F.lit("]}"))
+    body = F.concat(F.lit('{"answer": "'), said, F.lit('", "citations": ['), cite(k % 50 + 1, k % 50 + 9, symbol), F.lit(", "), cite(F.lit(900), F.lit(901)), F.lit("]}"))
     reply = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(F.lit("Well: "), body, F.lit(" so."))).when(k % 4 == 2, F.concat(F.lit("see src/f"), k % 5, F.lit(".go:"), k % 50 + 1, F.lit(" for the pool"))).otherwise("no idea")
-    return table(spark, sf_dir, "documents").select(k.alias("cell_id"), (k % 10).alias("question_id"), reply.alias("response"), F.col("n_chars").alias("injected_tokens"))
+    return table(spark, sf_dir, "documents").select(k.alias("cell_id"), (k % 10).alias("question_id"), reply.alias("response"), F.col("n_chars").alias("injected_tokens"), (k % 6 != 5).alias("index_up"))
 
 
 def _questions(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -322,8 +330,11 @@ def _questions(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def scored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = evaluation.scored_cells(_cells(spark, sf_dir), *_questions(spark))
-    return scored.select("cell_id", "question_id", "parse_mode", "answer", F.round("precision", 6).alias("precision"), "recall", F.round("f1", 6).alias("f1"), "correctness", "citations", "unsupported", F.col("info_volume").cast("long").alias("info_volume"))
+    """Symbols are looked up among the brands of parts, then among the words of all documents."""
+    names = table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("name"))
+    words = retrieval.built(spark, sf_dir, _WORDS, fold=False).frequencies.select(F.col("term").alias("name"))
+    scored = evaluation.scored_cells(_cells(spark, sf_dir), *_questions(spark), names, words)
+    return scored.select("cell_id", "question_id", "parse_mode", "answer", F.round("precision", 6).alias("precision"), "recall", F.round("f1", 6).alias("f1"), "correctness", "citations", "unsupported", "is_partial", F.col("info_volume").cast("long").alias("info_volume"))
 
 
 #: The kinds of answers by hand: of two citations the first may hit the question's range, the second never does; prose has one.
@@ -333,7 +344,11 @@ h AS (SELECT *, n > 0 AND question_id < 9 AND question_id % 5 = f AND a <= 30 AN
 p AS (SELECT *, CASE WHEN question_id = 9 THEN CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END WHEN hit THEN 1.0 / n ELSE 0.0 END AS precision, CASE WHEN question_id = 9 OR hit THEN 1.0 ELSE 0.0 END AS recall,
   CASE kind WHEN 0 THEN 'strict' WHEN 3 THEN 'failed' ELSE 'lenient' END AS parse_mode, CASE WHEN kind < 2 THEN 'the Pool holds ' || cell_id WHEN kind = 2 THEN 'see src/f' || f || '.go:' || a || ' for the pool' ELSE '' END AS answer FROM h),
 scored AS (SELECT *, CASE WHEN question_id = 9 THEN precision WHEN hit THEN 2 * precision / (precision + 1) ELSE 0.0 END AS f1, kind <> 3 AND recall >= 0.5 AND (question_id = 9 OR question_id % 3 <> 2) AS correctness, CASE WHEN f = 4 THEN n ELSE 0 END AS unsupported FROM p)"""
-SCORED_CELLS = f"WITH {_SCORED} SELECT cell_id, question_id, parse_mode, answer, round(precision, 6)::DOUBLE AS precision, recall::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1, correctness, n AS citations, unsupported, info_volume FROM scored"
+SCORED_CELLS = f"""WITH {_SCORED}, names AS (SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name FROM part), words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WORDS}')) AS name FROM documents),
+ first AS (SELECT doc_id AS cell_id, doc_id % 6 AS k, CASE doc_id % 6 WHEN 1 THEN 'Brand_' || (doc_id % 5 + 1) || (doc_id % 7 + 1) WHEN 3 THEN 'NoSuch' || doc_id ELSE regexp_extract(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*') END AS name FROM documents),
+ bad AS (SELECT cell_id, k = 5 AND name <> '' AS partial, CASE WHEN k IN (0, 4) OR name = '' THEN false WHEN name IN (SELECT name FROM words) THEN false WHEN k <> 5 AND name IN (SELECT name FROM names) THEN false ELSE true END AS missing FROM first)
+SELECT cell_id, question_id, parse_mode, answer, round(precision, 6)::DOUBLE AS precision, recall::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1, correctness, n AS citations,
+ CASE WHEN f <> 4 AND kind < 2 AND missing THEN 1 ELSE unsupported END AS unsupported, f <> 4 AND kind < 2 AND partial AS is_partial, info_volume FROM scored JOIN bad USING (cell_id)"""
 
 
 def macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from sievework.functions.text import fts_safe, line_range, search_terms, ticket_
 from sievework.operators import graph, ranking
 from sievework.operators.integrity import priority_lookup
 from sievework.plans.common import rows, table
+from sievework.session import shared_folder
+from sievework.sources.text_index import PATTERN, TextIndex, build_index, open_index, update_index
 
 K = 5
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')"
@@ -17,14 +22,26 @@ ix AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM w GROUP BY id,
 q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    index = ranking.terms_of(table(spark, sf_dir, "documents"), "doc_id", "text")
-    queries = ranking.terms_of(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("id").alias("query_id"), "term")
-    return queries, index
+def built(spark: SparkSession, sf_dir: str, pattern: str = PATTERN, fold: bool = True) -> TextIndex:
+    """The index of documents, built once a session for each state of the table's files."""
+    docs = table(spark, sf_dir, "documents")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    state = hashlib.sha256("|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)).encode()).hexdigest()[:32]
+    path = f"{shared_folder(spark)}/text-index-{spark.sparkContext.applicationId}-{state}-{hashlib.sha256(f'{pattern} {fold}'.encode()).hexdigest()[:8]}"
+    try:
+        return open_index(spark, path)
+    except FileNotFoundError:
+        build_index(docs, path, pattern=pattern, fold=fold)
+        return open_index(spark, path)
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.terms_of(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("id").alias("query_id"), "term")
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, index = _index(spark, sf_dir)
+    queries, index = _queries(spark, sf_dir), built(spark, sf_dir).postings
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("size"), F.substring_index(F.trim("text"), " ", 1).alias("name"))  # a text's first word stands in for a file's name
     return ranking.top_k(ranking.keyword_scores(queries, index, sizes), ["query_id"], [F.col("score").desc(), F.col("size"), F.col("id")], K)
 
@@ -38,14 +55,13 @@ _KEYWORD = f"""kw AS (SELECT query_id, id, score, rank FROM (SELECT *, row_numbe
 KEYWORD_TOPK = f"WITH {_INDEX}, {_KEYWORD} SELECT * FROM kw"
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, index = _index(spark, sf_dir)
-    scored = ranking.bm25(queries, index).withColumn("score", F.round("score", 6))
+def _bm25(queries: DataFrame, index: TextIndex) -> DataFrame:
+    scored = ranking.bm25(queries, index.postings, index.frequencies, index.totals).withColumn("score", F.round("score", 6))
     return ranking.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], K)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir).select("query_id", "id", "score", "rank")
+    return _bm25(_queries(spark, sf_dir), built(spark, sf_dir)).select("query_id", "id", "score", "rank")
 
 
 _BM25 = f"""st AS (SELECT count(*) AS n, avg(dl) AS av FROM (SELECT id, any_value(dl) AS dl FROM ix GROUP BY id)), dfs AS (SELECT term, count(*) AS df FROM ix GROUP BY term),
@@ -55,13 +71,51 @@ BM25_TOPK = f"WITH {_INDEX}, {_BM25} SELECT query_id, id, score, rank FROM bm"
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = ranking.reciprocal_rank_fusion([_keyword(spark, sf_dir), _bm25(spark, sf_dir)])
+    fused = ranking.reciprocal_rank_fusion([_keyword(spark, sf_dir), _bm25(_queries(spark, sf_dir), built(spark, sf_dir))])
     return fused.select("query_id", "id", F.round("score", 8).alias("score"))
 
 
 RRF = f"WITH {_INDEX}, {_KEYWORD}, {_BM25} SELECT query_id, id, round(sum(1.0 / (60 + rank)), 8) AS score FROM (SELECT query_id, id, rank FROM kw UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY query_id, id"
 
 
+def _before(docs: DataFrame) -> DataFrame:
+    """documents as they were: without every tenth, and another tenth with other texts."""
+    text = F.when(F.col("doc_id") % 10 == 2, F.concat(F.lit("stale wording "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    return docs.where("doc_id % 10 <> 1").withColumn("text", text)
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TextIndex]:
+    """Changes, and the index that is built of the documents as they were and brought to those of today, without a tenth that is gone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
+    build_index(_before(docs), path)
+    changes = update_index(docs.where("doc_id % 10 <> 3"), path)
+    return changes, open_index(spark, path)
+
+
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed documents by kind, and the statistics after the update."""
+    changes, index = _updated(spark, sf_dir)
+    terms = index.frequencies.agg(F.count(F.lit(1)).alias("n_different"), F.sum("df").alias("n_pairs"))
+    one = index.totals.join(F.broadcast(terms), F.lit(True))  # one row each
+    return changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(one), F.lit(True))
+
+
+_NOW = f"""w AS (SELECT doc_id AS id, unnest({_WORDS}) AS term, len({_WORDS}) AS dl FROM documents WHERE doc_id % 10 <> 3),
+ix AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM w GROUP BY id, term),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark)"""
+INDEX_UPDATE = f"""WITH {_NOW} SELECT change, n, n_docs, n_terms, n_different, n_pairs FROM (SELECT CASE doc_id % 10 WHEN 1 THEN 'added' WHEN 2 THEN 'changed' ELSE 'removed' END AS change, count(*) AS n FROM documents WHERE doc_id % 10 IN (1, 2, 3) GROUP BY 1),
+ (SELECT count(DISTINCT id) AS n_docs, sum(tf)::BIGINT AS n_terms, count(DISTINCT term) AS n_different, count(*) AS n_pairs FROM ix)"""
+
+
+def updated_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, over an index that has been updated."""
+    return _bm25(_queries(spark, sf_dir), _updated(spark, sf_dir)[1]).select("query_id", "id", "score", "rank")
+
+
+UPDATED_BM25 = f"WITH {_NOW}, {_BM25} SELECT query_id, id, score, rank FROM bm"
+
+
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     found = ranking.vector_top_k(v.where("vec_id % 100 = 0"), v, 3)
@@ -231,7 +285,7 @@ def transition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRANSITION_LOOKUP = "SELECT * FROM (VALUES ('in review', 'In review', 'Waiting', 'indeterminate', 2), ('DONE', 'Finish', 'Done', 'done', 3), ('indeterminate', 'Start', 'In Progress', 'indeterminate', 0), ('Start', 'Start', 'In Progress', 'indeterminate', 0), ('nowhere', NULL, NULL, NULL, NULL)) t(target, name, to_status, to_category, pos)"
 
 _SQL = {
-    keyword_topk: KEYWORD_TOPK, bm25_topk: BM25_TOPK, rrf_fusion: RRF, vector_topk: VECTOR_TOPK, budget_pack: BUDGET_PACK, budget_cut: BUDGET_CUT, keyword_fallback: KEYWORD_FALLBACK, query_terms: QUERY_TERMS, ticket_ids: TICKET_IDS,
+    keyword_topk: KEYWORD_TOPK, bm25_topk: BM25_TOPK, rrf_fusion: RRF, index_update: INDEX_UPDATE, updated_bm25_topk: UPDATED_BM25, vector_topk: VECTOR_TOPK, budget_pack: BUDGET_PACK, budget_cut: BUDGET_CUT, keyword_fallback: KEYWORD_FALLBACK, query_terms: QUERY_TERMS, ticket_ids: TICKET_IDS,
     text_ranges: TEXT_RANGES, graph_callees: GRAPH_CALLEES, graph_callers: GRAPH_CALLERS, graph_subgraph: GRAPH_SUBGRAPH, impact_by_category: IMPACT, kind_limited_impact: KIND_LIMITED, step_order: STEP_ORDER,
     module_classify: MODULE_CLASSIFY, transition_lookup: TRANSITION_LOOKUP,
 }

@@ -43,19 +43,19 @@ def citation_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(prose_citations(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
-CITATION_PROSE = """SELECT doc_id, 'core/f' || (doc_id % 7) || '.go' AS file, (doc_id + 1)::INT AS start_line, (doc_id + 9)::INT AS end_line FROM documents
-UNION ALL SELECT doc_id, 'pkg/m.py', nullif(doc_id % 5, 0)::INT, nullif(doc_id % 5, 0)::INT FROM documents"""
+CITATION_PROSE = """SELECT doc_id, 'core/f' || (doc_id % 7) || '.go' AS file, (doc_id + 1)::INT AS start_line, (doc_id + 9)::INT AS end_line, NULL::VARCHAR AS symbol FROM documents
+UNION ALL SELECT doc_id, 'pkg/m.py', nullif(doc_id % 5, 0)::INT, nullif(doc_id % 5, 0)::INT, NULL FROM documents"""
 
 
 def citation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.array(
-        F.struct(F.concat(F.lit("src/"), "o_orderstatus", F.lit(".go")).alias("file"), (F.col("o_orderkey") % 100).cast("string").alias("start_line"), (F.col("o_orderkey") % 100 + 5).alias("end_line")),
-        F.struct(F.lit("").alias("file"), F.lit("1").alias("start_line"), F.lit(2).cast("long").alias("end_line")),
+        F.struct(F.concat(F.lit("src/"), "o_orderstatus", F.lit(".go")).alias("file"), (F.col("o_orderkey") % 100).cast("string").alias("start_line"), (F.col("o_orderkey") % 100 + 5).alias("end_line"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("Status."), "o_orderstatus")).otherwise("").alias("symbol")),
+        F.struct(F.lit("").alias("file"), F.lit("1").alias("start_line"), F.lit(2).cast("long").alias("end_line"), F.lit("x").alias("symbol")),
     )).alias("j"))
     return orders.select("o_orderkey", F.explode(json_citations(F.col("j"))).alias("c")).select("o_orderkey", "c.*")
 
 
-CITATION_JSON = "SELECT o_orderkey, 'src/' || o_orderstatus || '.go' AS file, (o_orderkey % 100)::INT AS start_line, (o_orderkey % 100 + 5)::INT AS end_line FROM orders"
+CITATION_JSON = "SELECT o_orderkey, 'src/' || o_orderstatus || '.go' AS file, (o_orderkey % 100)::INT AS start_line, (o_orderkey % 100 + 5)::INT AS end_line, CASE WHEN o_orderkey % 3 <> 0 THEN 'Status.' || o_orderstatus END AS symbol FROM orders"
 
 
 def parse_mode_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,17 +100,17 @@ FROM conversations WHERE role = 'assistant'"""
 
 
 def symbol_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 9 == 0, F.lit("gone/x.go")).otherwise(F.lit("./src/parts.go")).alias("path"),
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7 != 0).alias("index_up"), F.when(F.col("p_partkey") % 9 == 0, F.lit("gone/x.go")).otherwise(F.lit("./src/parts.go")).alias("path"),
         F.when(F.col("p_partkey") % 5 == 0, F.lit("no symbol here")).when(F.col("p_partkey") % 5 == 1, None).otherwise(F.concat(F.lit("pkg."), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit("()"))).alias("symbol"))
     known = table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("name"))
     said = table(spark, sf_dir, "part").where("p_size = 1").select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("name"))
-    return scoring.reference_verdicts(parts, rows(spark, "path string", ("src/parts.go",)), known, said).select("id", "reason", "is_unsupported")
+    return scoring.reference_verdicts(parts, rows(spark, "path string", ("src/parts.go",)), known, said).select("id", "reason", "is_unsupported", "is_partial")
 
 
-SYMBOL_EXISTENCE = """WITH c AS (SELECT p_partkey AS id, p_partkey % 9 = 0 AS gone, p_partkey % 5 AS k, regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name FROM part),
+SYMBOL_EXISTENCE = """WITH c AS (SELECT p_partkey AS id, p_partkey % 9 = 0 AS gone, p_partkey % 5 AS k, p_partkey % 7 <> 0 AS up, regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name FROM part),
 x AS (SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name FROM part WHERE p_size % 2 = 0), w AS (SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name FROM part WHERE p_size = 1),
-v AS (SELECT id, CASE WHEN gone THEN 'file_missing' WHEN k = 1 THEN 'file_only' WHEN k = 0 THEN 'symbol_not_checkable' WHEN name IN (SELECT name FROM x) THEN 'symbol_indexed' WHEN name IN (SELECT name FROM w) THEN 'symbol_in_text' ELSE 'symbol_missing' END AS reason FROM c)
-SELECT id, reason, reason IN ('file_missing', 'symbol_missing') AS is_unsupported FROM v"""
+v AS (SELECT id, CASE WHEN gone THEN 'file_missing' WHEN k = 1 THEN 'file_only' WHEN k = 0 THEN 'symbol_not_checkable' WHEN up AND name IN (SELECT name FROM x) THEN 'symbol_indexed' WHEN name IN (SELECT name FROM w) THEN 'symbol_in_text' ELSE 'symbol_missing' END AS reason, NOT gone AND k > 1 AND NOT up AS is_partial FROM c)
+SELECT id, reason, reason IN ('file_missing', 'symbol_missing') AS is_unsupported, is_partial FROM v"""
 
 
 def symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:
