@@ -32,14 +32,14 @@ def _ids(action: str, prefix: str = "") -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN n_{d.id} > 0 THEN '{prefix}{d.id}' END" for d in some) + "], lambda x: x IS NOT NULL), ',')"
 
 
-def _redacted(text: str) -> str:
+def redacted_sql(text: str) -> str:
     """All redacting rules one after the other, the one that can hold others inside first."""
     for d in sorted((d for d in RULES if d.action == "redact"), key=lambda d: d.id != "db_connection_string"):
         text = f"regexp_replace({text}, {quoted(d.regex)}, '[REDACTED:{d.id}]', 'g')"
     return text
 
 
-def _scanned_sql(source: str, keep: str) -> str:
+def scanned_sql(source: str, keep: str) -> str:
     counts = ", ".join(f"{e} AS n_{k}" for k, e in _ALL_HITS.items())
     redact = " + ".join(f"n_{d.id}" for d in DETECTORS if d.action == "redact")
     block = " + ".join(f"n_{d.id}" for d in DETECTORS if d.action == "block")
@@ -71,7 +71,7 @@ def filter_rollup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source").agg(count("CLEAN"), count("REDACTED"), count("BLOCKED"), F.sum("redacted_count").alias("redacted_spans"))
 
 
-FILTER_ROLLUP = "WITH " + INJECTED_SQL + ", " + _scanned_sql("doc_inj", "doc_id, source") + """
+FILTER_ROLLUP = "WITH " + INJECTED_SQL + ", " + scanned_sql("doc_inj", "doc_id, source") + """
 SELECT source, count(*) FILTER (scan_result = 'CLEAN') AS clean, count(*) FILTER (scan_result = 'REDACTED') AS redacted,
        count(*) FILTER (scan_result = 'BLOCKED') AS blocked, sum(redacted_count)::BIGINT AS redacted_spans FROM filtered GROUP BY source"""
 
@@ -81,8 +81,8 @@ def filter_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "scan_result", F.length("filtered_text").cast("long").alias("n_chars"), F.md5(F.col("filtered_text").cast("binary")).alias("text_md5"), F.right("filtered_text", F.lit(40)).alias("tail"))
 
 
-FILTER_REDACTED = "WITH " + INJECTED_SQL + ", " + _scanned_sql("doc_inj", "doc_id, source") + f""",
-done AS (SELECT doc_id, scan_result, CASE WHEN blocks > 0 THEN '' ELSE {_redacted('text')} END AS t FROM filtered)
+FILTER_REDACTED = "WITH " + INJECTED_SQL + ", " + scanned_sql("doc_inj", "doc_id, source") + f""",
+done AS (SELECT doc_id, scan_result, CASE WHEN blocks > 0 THEN '' ELSE {redacted_sql('text')} END AS t FROM filtered)
 SELECT doc_id, scan_result, length(t) AS n_chars, md5(t) AS text_md5, right(t, 40) AS tail FROM done"""
 
 
@@ -91,7 +91,7 @@ def filter_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(found).select("doc_id", "scan_result", "redacted_count", "redacted_patterns", "blocked_patterns", "warnings")
 
 
-FILTER_METADATA = "WITH " + INJECTED_SQL + ", " + _scanned_sql("doc_inj", "doc_id, source") + " SELECT doc_id, scan_result, redacted_count::BIGINT AS redacted_count, redacted_patterns, blocked_patterns, warnings FROM filtered"
+FILTER_METADATA = "WITH " + INJECTED_SQL + ", " + scanned_sql("doc_inj", "doc_id, source") + " SELECT doc_id, scan_result, redacted_count::BIGINT AS redacted_count, redacted_patterns, blocked_patterns, warnings FROM filtered"
 
 
 def filter_drop_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +102,13 @@ def filter_drop_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(kept, "source", "left")
 
 
-FILTER_DROP = "WITH " + INJECTED_SQL + ", " + _scanned_sql("doc_inj", "doc_id, source") + f""",
+FILTER_DROP = "WITH " + INJECTED_SQL + ", " + scanned_sql("doc_inj", "doc_id, source") + f""",
 m AS (SELECT source, CASE max(CASE scan_result WHEN 'BLOCKED' THEN 2 WHEN 'REDACTED' THEN 1 ELSE 0 END) WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REDACTED' ELSE 'CLEAN' END AS scan_result,
              sum(redacted_count)::BIGINT AS redacted_count FROM filtered GROUP BY source),
 u AS (SELECT source, 'r' AS list, doc_id, string_split(redacted_patterns, ',') AS l FROM filtered UNION ALL SELECT source, 'b', doc_id, string_split(blocked_patterns, ',') FROM filtered UNION ALL SELECT source, 'w', doc_id, string_split(warnings, ',') FROM filtered),
 n AS (SELECT source, list, doc_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM u), f AS (SELECT source, list, name, min((doc_id, pos)) AS spot FROM n WHERE name <> '' GROUP BY ALL),
 p AS (SELECT source, coalesce(string_agg(name, ',' ORDER BY spot) FILTER (list = 'r'), '') AS redacted_patterns, coalesce(string_agg(name, ',' ORDER BY spot) FILTER (list = 'b'), '') AS blocked_patterns, coalesce(string_agg(name, ',' ORDER BY spot) FILTER (list = 'w'), '') AS warnings FROM f GROUP BY source),
-k AS (SELECT source, count(*) AS kept, sum(length({_redacted('text')}))::BIGINT AS kept_chars FROM filtered WHERE blocks = 0 GROUP BY source)
+k AS (SELECT source, count(*) AS kept, sum(length({redacted_sql('text')}))::BIGINT AS kept_chars FROM filtered WHERE blocks = 0 GROUP BY source)
 SELECT m.source, scan_result, redacted_count, coalesce(redacted_patterns, '') AS redacted_patterns, coalesce(blocked_patterns, '') AS blocked_patterns, coalesce(warnings, '') AS warnings, kept, kept_chars FROM m LEFT JOIN k USING (source) LEFT JOIN p USING (source)"""
 
 
@@ -119,7 +119,7 @@ def filter_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILTER_OVERSIZE = f"""WITH big AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN repeat('x', 2000000) ELSE text END AS text FROM documents),
 small AS (SELECT doc_id, text FROM big WHERE strlen(text) <= {MAX_SCAN_BYTES}),
-{_scanned_sql('small', 'doc_id')},
+{scanned_sql('small', 'doc_id')},
 r AS (SELECT scan_result, blocked_patterns AS reason FROM filtered UNION ALL SELECT 'BLOCKED', 'payload_too_large:' || strlen(text) FROM big WHERE strlen(text) > {MAX_SCAN_BYTES})
 SELECT scan_result, count(*) AS n, max(reason) AS reason FROM r GROUP BY scan_result"""
 
@@ -162,7 +162,7 @@ def conversation_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_metadata(found, "role").select("role", "scan_result", "redacted_count", F.array_join("warnings", ",").alias("warnings"))
 
 
-CONVERSATION_SANITIZE = "WITH " + _scanned_sql("(SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)", "conv_id, turn, role") + """,
+CONVERSATION_SANITIZE = "WITH " + scanned_sql("(SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)", "conv_id, turn, role") + """,
 w AS (SELECT role, unnest(string_split(warnings, ',')) AS x FROM filtered)
 SELECT f.role, CASE max(CASE scan_result WHEN 'BLOCKED' THEN 2 WHEN 'REDACTED' THEN 1 ELSE 0 END) WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REDACTED' ELSE 'CLEAN' END AS scan_result,
        sum(redacted_count)::BIGINT AS redacted_count, coalesce((SELECT array_to_string(list_sort(list_distinct(list(x))), ',') FROM w WHERE w.role = f.role AND x <> ''), '') AS warnings

@@ -491,27 +491,9 @@ def backend_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 BACKEND_HEALTH = "WITH n AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey), m AS (SELECT coalesce(string_agg('b' || n_regionkey, ',' ORDER BY 'b' || n_regionkey), '') AS missing FROM n WHERE n <= 5 AND n_regionkey >= 2) SELECT CASE WHEN missing = '' THEN 'ok' ELSE 'degraded' END AS status, missing FROM m"
 
 
-def targeted_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each nation its customers of the largest balance as hits, their orders around them, within the budget."""
-    from sievework.plans.retrieval import _edges
-
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("symbol"), "c_acctbal", "c_custkey")
-    hits = ranking.top_k(c, ["query_id"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 5)
-    edges = _edges(spark, sf_dir).where("kind = 'placed'")
-    place = lambda n, size: n.select("node", F.col("node").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), size.alias("size"))
-    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), "o_orderkey")
-    nodes = place(c.select(F.col("symbol").alias("node")), F.lit(1000)).unionByName(place(orders, (F.lit(500) + F.col("o_orderkey") % 5000).cast("int")))
-    return compositions.graph_context(hits, edges, nodes, "targeted").select("query_id", "node", "used")
-
-
-TARGETED = """WITH h AS (SELECT * FROM (SELECT c_nationkey AS query_id, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3),
-o AS (SELECT query_id, rank, 1 AS depth, 'o' || o_orderkey AS node, 500 + o_orderkey % 5000 AS size, row_number() OVER (PARTITION BY query_id, k ORDER BY 'o' || o_orderkey) AS n FROM h JOIN orders ON o_custkey = k),
-b AS (SELECT query_id, rank, 0 AS depth, 'c' || k AS node, 1000 AS size FROM h UNION ALL SELECT query_id, rank, depth, node, size FROM o WHERE n <= 200)
-SELECT query_id, node, used FROM (SELECT query_id, node, (sum(size) OVER (PARTITION BY query_id ORDER BY rank, depth, node ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM b) WHERE used <= 40000"""
-
 _SQL = {
     detection_rates: DETECTION_RATES, decision_counts: DECISION_COUNTS, recurring_ids: RECURRING_IDS, cycle_actions: CYCLE_ACTIONS, flattened_commits: FLATTENED_COMMITS, symbol_sites: SYMBOL_SITES, change_refs: CHANGE_REFS,
-    backend_health: BACKEND_HEALTH, targeted_context: TARGETED,
+    backend_health: BACKEND_HEALTH,
     issue_records: ISSUE_RECORDS, comments_since: COMMENTS_SINCE, issue_search: ISSUE_SEARCH, retry_outcomes: RETRY, pass_states: PASS_STATES, active_workspaces: ACTIVE, auto_continue: AUTO_CONTINUE, review_numbers: REVIEW_NUMBERS,
     last_activity: LAST_ACTIVITY, record_values: RECORD_VALUES, query_identifiers: QUERY_IDENTIFIERS, secret_literals: SECRET_LITERALS, failure_summaries: FAILURE_SUMMARIES, discovery_order: DISCOVERY, detected_paths: DETECTED_PATHS,
     allow_lists: ALLOW_LISTS, format_violations: FORMAT_VIOLATIONS, setup_checks: SETUP_CHECKS, run_identities: RUN_IDENTITIES, scoped_processes: SCOPED_PROCESSES, manifest_selection: MANIFEST, question_lookup: QUESTION_LOOKUP,

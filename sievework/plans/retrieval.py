@@ -17,8 +17,8 @@ from sievework.sources.text_index import PATTERN, TextIndex, build_index, open_i
 
 K = 5
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')"
-_INDEX = f"""w AS (SELECT doc_id AS id, unnest({_WORDS}) AS term, len({_WORDS}) AS dl FROM documents),
-ix AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM w GROUP BY id, term),
+INDEX_CTE = f"""w AS (SELECT doc_id AS id, unnest({_WORDS}) AS term, len({_WORDS}) AS dl FROM documents),
+ix AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM w GROUP BY id, term),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark)"""
 
 
@@ -36,14 +36,18 @@ def built(spark: SparkSession, sf_dir: str, pattern: str = PATTERN, fold: bool =
         return open_index(spark, path)
 
 
-def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.terms_of(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("id").alias("query_id"), "term")
 
 
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, index = _queries(spark, sf_dir), built(spark, sf_dir).postings
+def keyword_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, index = queries_of(spark, sf_dir), built(spark, sf_dir).postings
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("size"), F.substring_index(F.trim("text"), " ", 1).alias("name"))  # a text's first word stands in for a file's name
-    return ranking.top_k(ranking.keyword_scores(queries, index, sizes), ["query_id"], [F.col("score").desc(), F.col("size"), F.col("id")], K)
+    return ranking.keyword_scores(queries, index, sizes)
+
+
+def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_k(keyword_scored(spark, sf_dir), ["query_id"], [F.col("score").desc(), F.col("size"), F.col("id")], K)
 
 
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,30 +56,30 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEYWORD = f"""kw AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, size, id) AS rank FROM (SELECT query_id, id, 10 * count(*) + max(contains(lower(string_split(trim(d.text, ' '), ' ')[1]), term)::INT) AS score, any_value(length(d.text)) AS size
  FROM q JOIN ix USING (term) JOIN documents d ON d.doc_id = id GROUP BY query_id, id)) WHERE rank <= {K})"""
-KEYWORD_TOPK = f"WITH {_INDEX}, {_KEYWORD} SELECT * FROM kw"
+KEYWORD_TOPK = f"WITH {INDEX_CTE}, {_KEYWORD} SELECT * FROM kw"
 
 
-def _bm25(queries: DataFrame, index: TextIndex) -> DataFrame:
+def bm25_ranking(queries: DataFrame, index: TextIndex) -> DataFrame:
     scored = ranking.bm25(queries, index.postings, index.frequencies, index.totals).withColumn("score", F.round("score", 6))
     return ranking.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], K)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(_queries(spark, sf_dir), built(spark, sf_dir)).select("query_id", "id", "score", "rank")
+    return bm25_ranking(queries_of(spark, sf_dir), built(spark, sf_dir)).select("query_id", "id", "score", "rank")
 
 
-_BM25 = f"""st AS (SELECT count(*) AS n, avg(dl) AS av FROM (SELECT id, any_value(dl) AS dl FROM ix GROUP BY id)), dfs AS (SELECT term, count(*) AS df FROM ix GROUP BY term),
+BM25_CTE = f"""st AS (SELECT count(*) AS n, avg(dl) AS av FROM (SELECT id, any_value(dl) AS dl FROM ix GROUP BY id)), dfs AS (SELECT term, count(*) AS df FROM ix GROUP BY term),
 bs AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score FROM q JOIN ix USING (term) JOIN dfs USING (term), st GROUP BY query_id, id),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bs) WHERE rank <= {K})"""
-BM25_TOPK = f"WITH {_INDEX}, {_BM25} SELECT query_id, id, score, rank FROM bm"
+BM25_TOPK = f"WITH {INDEX_CTE}, {BM25_CTE} SELECT query_id, id, score, rank FROM bm"
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = ranking.reciprocal_rank_fusion([_keyword(spark, sf_dir), _bm25(_queries(spark, sf_dir), built(spark, sf_dir))])
+    fused = ranking.reciprocal_rank_fusion([_keyword(spark, sf_dir), bm25_ranking(queries_of(spark, sf_dir), built(spark, sf_dir))])
     return fused.select("query_id", "id", F.round("score", 8).alias("score"))
 
 
-RRF = f"WITH {_INDEX}, {_KEYWORD}, {_BM25} SELECT query_id, id, round(sum(1.0 / (60 + rank)), 8) AS score FROM (SELECT query_id, id, rank FROM kw UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY query_id, id"
+RRF = f"WITH {INDEX_CTE}, {_KEYWORD}, {BM25_CTE} SELECT query_id, id, round(sum(1.0 / (60 + rank)), 8) AS score FROM (SELECT query_id, id, rank FROM kw UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY query_id, id"
 
 
 def _before(docs: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOW = f"""w AS (SELECT doc_id AS id, unnest({_WORDS}) AS term, len({_WORDS}) AS dl FROM documents WHERE doc_id % 10 <> 3),
-ix AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM w GROUP BY id, term),
+ix AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM w GROUP BY id, term),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark)"""
 INDEX_UPDATE = f"""WITH {_NOW} SELECT change, n, n_docs, n_terms, n_different, n_pairs FROM (SELECT CASE doc_id % 10 WHEN 1 THEN 'added' WHEN 2 THEN 'changed' ELSE 'removed' END AS change, count(*) AS n FROM documents WHERE doc_id % 10 IN (1, 2, 3) GROUP BY 1),
  (SELECT count(DISTINCT id) AS n_docs, sum(tf)::BIGINT AS n_terms, count(DISTINCT term) AS n_different, count(*) AS n_pairs FROM ix)"""
@@ -110,10 +114,10 @@ INDEX_UPDATE = f"""WITH {_NOW} SELECT change, n, n_docs, n_terms, n_different, n
 
 def updated_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bm25_topk, over an index that has been updated."""
-    return _bm25(_queries(spark, sf_dir), _updated(spark, sf_dir)[1]).select("query_id", "id", "score", "rank")
+    return bm25_ranking(queries_of(spark, sf_dir), _updated(spark, sf_dir)[1]).select("query_id", "id", "score", "rank")
 
 
-UPDATED_BM25 = f"WITH {_NOW}, {_BM25} SELECT query_id, id, score, rank FROM bm"
+UPDATED_BM25 = f"WITH {_NOW}, {BM25_CTE} SELECT query_id, id, score, rank FROM bm"
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +200,7 @@ _EDGES = """e AS (SELECT DISTINCT * FROM (SELECT 'c' || o_custkey AS src, 'o' ||
  UNION ALL SELECT 'l' || l_orderkey || '.' || (l_linenumber - 1), 'l' || l_orderkey || '.' || l_linenumber, 'follows' FROM lineitem WHERE l_linenumber > 1))"""
 
 
-def _walk(hop: str, depth: int, seeds: str) -> str:
+def walk_sql(hop: str, depth: int, seeds: str) -> str:
     return f"seeds AS ({seeds}), hop AS ({hop}), b(seed, node, depth) AS (SELECT node, node, 0 FROM seeds UNION SELECT b.seed, h.b, b.depth + 1 FROM b JOIN hop h ON h.a = b.node WHERE b.depth < {depth}), near AS (SELECT seed, node, min(depth) AS depth FROM b GROUP BY seed, node)"
 
 
@@ -209,14 +213,14 @@ def graph_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(_seeds(spark, sf_dir, "src", "placed"), _edges(spark, sf_dir), 2, cap=50).select("seed", "node", "depth")
 
 
-GRAPH_CALLEES = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT DISTINCT src AS a, dst AS b FROM e', 2, "SELECT DISTINCT src AS node FROM e WHERE kind = 'placed'")} SELECT seed, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS n FROM near WHERE depth > 0) WHERE n <= 50"""
+GRAPH_CALLEES = f"""WITH RECURSIVE {_EDGES}, {walk_sql('SELECT DISTINCT src AS a, dst AS b FROM e', 2, "SELECT DISTINCT src AS node FROM e WHERE kind = 'placed'")} SELECT seed, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS n FROM near WHERE depth > 0) WHERE n <= 50"""
 
 
 def graph_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(_seeds(spark, sf_dir, "dst", "holds"), _edges(spark, sf_dir), 2, direction="in").select("seed", "node", "depth")
 
 
-_INTO_LINES = _walk("SELECT DISTINCT dst AS a, src AS b FROM e", 2, "SELECT DISTINCT dst AS node FROM e WHERE kind = 'holds'")
+_INTO_LINES = walk_sql("SELECT DISTINCT dst AS a, src AS b FROM e", 2, "SELECT DISTINCT dst AS node FROM e WHERE kind = 'holds'")
 GRAPH_CALLERS = f"WITH RECURSIVE {_EDGES}, {_INTO_LINES} SELECT seed, node, depth FROM near WHERE depth > 0"
 
 
@@ -225,7 +229,7 @@ def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AROUND_ORDERS = "SELECT DISTINCT dst AS node FROM e WHERE kind = 'placed'"
-GRAPH_SUBGRAPH = f"""WITH RECURSIVE {_EDGES}, {_walk('SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e', 2, _AROUND_ORDERS)} SELECT x.seed, src, dst, kind FROM e JOIN near x ON x.node = src JOIN near y ON y.node = dst AND y.seed = x.seed"""
+GRAPH_SUBGRAPH = f"""WITH RECURSIVE {_EDGES}, {walk_sql('SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e', 2, _AROUND_ORDERS)} SELECT x.seed, src, dst, kind FROM e JOIN near x ON x.node = src JOIN near y ON y.node = dst AND y.seed = x.seed"""
 
 #: Couplings of the kinds of edges here.
 COUPLED = {"holds": "callers", "follows": "concurrent"}
@@ -243,7 +247,7 @@ def kind_limited_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(_seeds(spark, sf_dir, "dst", "placed"), _edges(spark, sf_dir), 2, kinds=("placed",), direction="both").select("seed", "node", "depth")
 
 
-KIND_LIMITED = f"""WITH RECURSIVE {_EDGES}, {_walk("SELECT src AS a, dst AS b FROM e WHERE kind = 'placed' UNION SELECT dst, src FROM e WHERE kind = 'placed'", 2, _AROUND_ORDERS)} SELECT seed, node, depth FROM near WHERE depth > 0"""
+KIND_LIMITED = f"""WITH RECURSIVE {_EDGES}, {walk_sql("SELECT src AS a, dst AS b FROM e WHERE kind = 'placed' UNION SELECT dst, src FROM e WHERE kind = 'placed'", 2, _AROUND_ORDERS)} SELECT seed, node, depth FROM near WHERE depth > 0"""
 
 
 def step_order(spark: SparkSession, sf_dir: str) -> DataFrame:
