@@ -152,7 +152,7 @@ def evidence_pack(rankings: list[DataFrame], edges: DataFrame, texts: DataFrame,
     """query_id, pos, id, sources, size, scan_result, text, redacted_count: the evidence for each query, filtered by the policy.
 
     rankings (query_id, id, rank), such as by vectors and by BM25, and the neighbours in the graph (src, dst, kind of ids) of the
-    first of each, ranked by hops and id, are fused by reciprocal ranks; at most `citations` ids are taken in that order while
+    first of each, ranked by the best rank beside them and id, are fused by reciprocal ranks; at most `citations` ids are taken in that order while
     their texts (id, text) fit into `tokens`, at four characters each, up to the first that doesn't. sources says how many rankings have the id. Only what is packed is
     filtered: a blocked text is empty, another has its findings redacted.
     """

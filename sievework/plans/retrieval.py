@@ -36,6 +36,16 @@ def built(spark: SparkSession, sf_dir: str, pattern: str = PATTERN, fold: bool =
         return open_index(spark, path)
 
 
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index's own statistics; the first query of a session that asks for the index builds it."""
+    index = built(spark, sf_dir)
+    terms = index.frequencies.agg(F.count(F.lit(1)).alias("n_different"), F.sum("df").alias("n_pairs"))
+    return index.totals.join(F.broadcast(terms), F.lit(True))  # one row each
+
+
+INDEX_STATISTICS = f"WITH {INDEX_CTE} SELECT count(DISTINCT id) AS n_docs, sum(tf)::BIGINT AS n_terms, count(DISTINCT term) AS n_different, count(*) AS n_pairs FROM ix"
+
+
 def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.terms_of(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("id").alias("query_id"), "term")
 
@@ -289,7 +299,7 @@ def transition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRANSITION_LOOKUP = "SELECT * FROM (VALUES ('in review', 'In review', 'Waiting', 'indeterminate', 2), ('DONE', 'Finish', 'Done', 'done', 3), ('indeterminate', 'Start', 'In Progress', 'indeterminate', 0), ('Start', 'Start', 'In Progress', 'indeterminate', 0), ('nowhere', NULL, NULL, NULL, NULL)) t(target, name, to_status, to_category, pos)"
 
 _SQL = {
-    keyword_topk: KEYWORD_TOPK, bm25_topk: BM25_TOPK, rrf_fusion: RRF, index_update: INDEX_UPDATE, updated_bm25_topk: UPDATED_BM25, vector_topk: VECTOR_TOPK, budget_pack: BUDGET_PACK, budget_cut: BUDGET_CUT, keyword_fallback: KEYWORD_FALLBACK, query_terms: QUERY_TERMS, ticket_ids: TICKET_IDS,
+    index_statistics: INDEX_STATISTICS, keyword_topk: KEYWORD_TOPK, bm25_topk: BM25_TOPK, rrf_fusion: RRF, index_update: INDEX_UPDATE, updated_bm25_topk: UPDATED_BM25, vector_topk: VECTOR_TOPK, budget_pack: BUDGET_PACK, budget_cut: BUDGET_CUT, keyword_fallback: KEYWORD_FALLBACK, query_terms: QUERY_TERMS, ticket_ids: TICKET_IDS,
     text_ranges: TEXT_RANGES, graph_callees: GRAPH_CALLEES, graph_callers: GRAPH_CALLERS, graph_subgraph: GRAPH_SUBGRAPH, impact_by_category: IMPACT, kind_limited_impact: KIND_LIMITED, step_order: STEP_ORDER,
     module_classify: MODULE_CLASSIFY, transition_lookup: TRANSITION_LOOKUP,
 }
