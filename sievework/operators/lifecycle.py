@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,57 +27,52 @@ def progress(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(n("done").alias("done"), n("failed").alias("failed"), n("pending", "running").alias("open"), (n("pending", "running") == 0).alias("complete"))
 
 
-#: Events of one key that are folded at once.
-FOLD = 4096
+#: Events of a key that are folded at once, and runs of events, and groups of runs.
+FOLD = 512
 
 
 def guarded(events: DataFrame, keys: list[str], order: list[Column], allowed: dict[str, tuple[str, ...]], start: str, missing: Column | None = None) -> DataFrame:
     """Each event (to_state) with from_state, the state that the key is in, missing, and whether the transition is allowed.
 
     missing lists the preconditions that fail (none by default), in order. A transition is allowed if its pair is and nothing
-    is missing; a refused one leaves the state as it is. Keys may have any number of events: runs of FOLD of them are folded
-    for every state that could come before, and the runs of a key are chained by what each makes of each state.
+    is missing; a refused one leaves the state as it is. Keys may have any number of events: runs of FOLD of them become
+    maps of every state to the one that follows, runs of FOLD maps are composed again, and what is left of a key is chained; then
+    states are filled in from the top down. All of it are expressions on arrays.
     """
     none = F.expr("cast(array() as array<string>)")
     states = sorted({start, *allowed, *(b for bs in allowed.values() for b in bs)})
-    pairs = {(a, b) for a, bs in allowed.items() for b in bs}
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    rows = events.withColumn("missing", none if missing is None else F.coalesce(missing, none)).withColumn("_n", turn).withColumn("_run", F.floor((F.col("_n") - 1) / FOLD))
-
-    def after(state: str, targets: list, clear: list) -> list[str]:
-        """States before each event and after the last."""
-        out = [state]
-        for to, ok in zip(targets, clear, strict=True):
-            out.append(to if ok and (out[-1], to) in pairs else out[-1])
-        return out
-
-    def ends_of(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("_n")
-        ends = [after(s, run["to_state"].tolist(), run["_clear"].tolist())[-1] for s in states]
-        return run[[*keys, "_run"]].head(1).assign(_ends=[ends])
-
-    def starts_of(runs: pd.DataFrame) -> pd.DataFrame:
-        runs, state, out = runs.sort_values("_run"), start, []
-        for ends in runs["_ends"]:
-            out.append(state)
-            state = ends[states.index(state)]
-        return runs[[*keys, "_run"]].assign(_state=out)
-
-    def judged(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("_n")
-        return run[[*keys, "_n"]].assign(from_state=after(run["_state"].iloc[0], run["to_state"].tolist(), run["_clear"].tolist())[:-1])
-
-    types = {f.name: f.dataType.simpleString() for f in events.schema}
-    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    slim = rows.select(*keys, "_run", "_n", "to_state", (F.size("missing") == 0).alias("_clear"))
-    ends = slim.groupBy(*keys, "_run").applyInPandas(ends_of, f"{ddl}, _run long, _ends array<string>")
-    starts = ends.groupBy(*keys).applyInPandas(starts_of, f"{ddl}, _run long, _state string")
-    begun = slim.join(starts.select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), F.col("_run").alias("_r"), "_state"), [F.col("_run") == F.col("_r"), *(F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys))])
-    found = begun.groupBy(*keys, "_run").applyInPandas(judged, f"{ddl}, _n int, from_state string")
-    ok = F.array_contains(F.array(*(F.lit(f"{a}>{b}") for a, b in sorted(pairs))), F.concat_ws(">", "from_state", "to_state")) & (F.size("missing") == 0)
-    told = found.select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), F.col("_n").alias("_m"), "from_state")
-    judged_rows = rows.join(told, [F.col("_n") == F.col("_m"), *(F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys))])
-    return judged_rows.select(*events.columns, "missing", "from_state", ok.alias("allowed"))
+    sign = {s: chr(33 + k) for k, s in enumerate(states)}  # a state as one character, a map as those that its signs become
+    same = F.lit("".join(sign.values()))
+    names = F.array(*map(F.lit, states))
+    effect = F.array(*(F.lit("".join(sign[b if b in allowed.get(a, ()) else a] for a in states)) for b in states))
+    pairs = F.array(*(F.lit(sign[a] + sign[b]) for a, bs in allowed.items() for b in sorted(set(bs))))
+
+    def ends(items: str) -> Column:
+        """The map that the maps m of the items make up."""
+        return F.aggregate(items, same, lambda acc, x: F.call_function("translate", acc, same, x["m"]))
+
+    def along(items: str, first: Column) -> Column:
+        """The signs before each item and after the last."""
+        return F.aggregate(items, first, lambda acc, x: F.concat(acc, F.call_function("translate", F.right(acc, F.lit(1)), same, x["m"])))
+
+    turn = F.row_number().over(Window.partitionBy("_k").orderBy(*order)) - 1
+    rows = events.withColumn("missing", none if missing is None else F.coalesce(missing, none)).withColumn("_k", F.struct(*keys)).withColumn("_n", turn)
+    to = F.coalesce(F.array_position(names, F.col("to_state")), F.lit(0)).cast("int")
+    m = F.when((F.size("missing") == 0) & (to > 0), F.get(effect, to - 1)).otherwise(same)
+    event = F.struct("_n", m.alias("m"), F.struct(*events.columns, "missing").alias("row"))
+    listed = lambda c, name: F.sort_array(F.collect_list(c)).alias(name)
+    sign_at = lambda signs, i: F.substring(signs, i + 1, F.lit(1))
+    # numbers differ, so sorting looks at nothing else; a group has FOLD items at most
+    runs = rows.withColumn("_run", F.floor(F.col("_n") / FOLD)).groupBy("_k", "_run").agg(listed(event, "e"))
+    groups = runs.select("_k", "_run", ends("e").alias("m")).withColumn("_group", F.floor(F.col("_run") / FOLD)).groupBy("_k", "_group").agg(listed(F.struct("_run", "m"), "r"))
+    keyed = groups.select("_k", "_group", ends("r").alias("m")).groupBy("_k").agg(listed(F.struct("_group", "m"), "g"))
+    of_groups = keyed.withColumn("s", along("g", F.lit(sign[start]))).select("_k", "s", F.posexplode("g").alias("_i", "x")).select("_k", "x._group", sign_at("s", F.col("_i")).alias("s"))
+    of_runs = groups.join(of_groups, ["_k", "_group"]).withColumn("s", along("r", F.col("s"))).select("_k", "s", F.posexplode("r").alias("_i", "x")).select("_k", "x._run", sign_at("s", F.col("_i")).alias("s"))
+    filled = runs.join(of_runs, ["_k", "_run"]).withColumn("s", along("e", F.col("s"))).select("s", F.posexplode("e").alias("_i", "x")).select("x.row.*", sign_at("s", F.col("_i")).alias("_s"))
+    state = F.get(names, F.array_position(F.array(*map(F.lit, sign.values())), F.col("_s")).cast("int") - 1)
+    done = F.get(F.array(*map(F.lit, sign.values())), F.coalesce(F.array_position(names, F.col("to_state")), F.lit(0)).cast("int") - 1)
+    ok = (F.size("missing") == 0) & F.coalesce(F.array_contains(pairs, F.concat("_s", done)), F.lit(False))
+    return filled.select(*events.columns, "missing", state.alias("from_state"), ok.alias("allowed"))
 
 
 def cycles(events: DataFrame, keys: list[str], failed: Column, side_effect: Column, most: int) -> DataFrame:

@@ -63,13 +63,15 @@ def active(workspaces: DataFrame, state: str, newest: list[Column], most: int =
     return workspaces.where((F.col(state) != "") & ~F.col(state).isin(*ENDED)).orderBy(*newest).limit(most)
 
 
-def to_continue(workspaces: DataFrame, now: Column, stale_s: int = 3600) -> DataFrame:
+def to_continue(workspaces: DataFrame, now: Column, stale_s: int = 3600, again: Column | None = None) -> DataFrame:
     """The newest workspace (ticket, state, mode, cycle, max_cycles, touched) that should go on by itself: fresh, open, in mode
-    auto and within its cycles; no cycle counts as the first, no bound as three."""
+    auto and within its cycles; no cycle counts as the first, no bound as three. again: whether this stop was held up once
+    already, after which it is let through."""
     fresh = F.timestamp_diff("SECOND", F.col("touched"), now) <= stale_s
     within = F.coalesce(F.nullif("cycle", F.lit(0)), F.lit(1)) <= F.coalesce(F.nullif("max_cycles", F.lit(0)), F.lit(3))
     open_ = (F.col("state") != "") & ~F.col("state").isin(*ENDED, "BLOCKED")
-    return workspaces.where(fresh & open_ & (F.col("mode") == "auto") & within).orderBy(F.col("touched").desc(), "ticket").limit(1)
+    first = F.lit(True) if again is None else ~F.coalesce(again, F.lit(False))
+    return workspaces.where(first & fresh & open_ & (F.col("mode") == "auto") & within).orderBy(F.col("touched").desc(), "ticket").limit(1)
 
 
 def next_number(keys: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -99,13 +101,14 @@ def identifiers(text: Column, stopwords: tuple[str, ...], most: int = 6) -> Colu
     return F.slice(F.array_distinct(F.filter(found, lambda t: ~F.lower(t).isin(*stopwords))), 1, most)
 
 
-#: Names that tell of a secret, assigned a literal of 16 or more characters, on an added line (fixed value).
-SECRET_LITERAL = r"""(?im)^\+.*?\b([A-Za-z_]*(?:secret|password|token|key|credential)[A-Za-z_0-9]*)\s*(?::=|[:=])\s*["']([^"'\n]{16,})["']"""
+#: A name that tells of a secret, assigned a literal of 16 or more characters.
+SECRET_LITERAL = r"""(?i)\b([A-Za-z_]*(?:secret|password|token|key|credential)[A-Za-z_0-9]*)\s*(?::=|[:=])\s*["']([^"'\n]{16,})["']"""
 
 
 def secret_literals(diff: Column) -> Column:
-    """Names that an added line of a diff assigns a long literal to and that tell of a secret."""
-    return F.regexp_extract_all(diff, F.lit(SECRET_LITERAL), F.lit(1))
+    """Names, in order, that added lines of a diff assign a long literal to and that tell of a secret; headings of files don't count."""
+    added = F.filter(F.split(diff, "\n"), lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++ ")))
+    return F.flatten(F.transform(added, lambda x: F.regexp_extract_all(x, F.lit(SECRET_LITERAL), F.lit(1))))
 
 
 def failure_summary(failures: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
@@ -189,24 +192,43 @@ def with_question(cells: DataFrame, questions: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(lost, "failed").otherwise(F.col("status"))).withColumn("error", F.when(lost, F.concat(F.lit("question "), F.col("question_id").cast("string"), F.lit(" not in index")))).drop("_known")
 
 
-def newest_matching(commits: DataFrame, workspaces: DataFrame, touched: str) -> DataFrame:
-    """Each commit (commit_id, ticket) with the newest workspace of its ticket, else with all workspaces' newest."""
+def logged_to(commits: DataFrame, workspaces: DataFrame, touched: str) -> DataFrame:
+    """commit_id, ticket, workspace: each commit (commit_id, ticket) goes to the newest workspace (ticket, workspace, state) of its
+    ticket, one without any to every workspace that has a state, and to none if there is none.
+
+    Those copies are what the log holds; a repository's workspaces are few. Commits and workspaces meet by ticket otherwise.
+    """
     last = workspaces.groupBy("ticket").agg(F.max_by("workspace", F.struct(touched, "workspace")).alias("workspace"))
-    any_ = workspaces.agg(F.max_by("workspace", F.struct(touched, "workspace")).alias("_any"))  # one row
-    return commits.join(last, "ticket", "left").join(F.broadcast(any_), F.lit(True)).select("commit_id", "ticket", F.coalesce("workspace", "_any").alias("workspace"))
+    own = commits.join(last, "ticket", "left").select("commit_id", "ticket", "workspace")
+    live = workspaces.where(F.coalesce("state", F.lit("")) != "").agg(F.array_sort(F.collect_set("workspace")).alias("_all"))
+    lost = own.where("workspace is null").drop("workspace").join(live, F.lit(True))
+    return own.where("workspace is not null").unionByName(lost.select("commit_id", "ticket", F.explode("_all").alias("workspace")))
+
 
+#: What a prompt without a recording gets where that is no error (fixed values).
+PLACEHOLDER, PLACEHOLDER_TOKENS = '{"answer": "REPLAY_PLACEHOLDER", "citations": []}', (100, 20)
 
-def replayed(prompts: DataFrame, fixtures: DataFrame, strict: bool = True) -> DataFrame:
-    """Prompts (id, system, user) with the recorded answer: by the key of both texts in full, else by its first 16 digits; a miss is an
-    error, or a placeholder where not strict. fixtures: key (full or 16 digits), response."""
+
+def replayed(prompts: DataFrame, fixtures: DataFrame, index: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """Prompts (id, system, user) with the recorded response, input_tokens and output_tokens, and an error.
+
+    fixtures: name, response, input_tokens, output_tokens; index: key, name. By the key of both texts, the recording is the one that
+    the index names, if it is there, else the one named by the key's first 16 digits, else by all of it. A miss is an error,
+    or a placeholder where not strict.
+    """
     from sievework.sources.readers import replay_key
 
-    p = prompts.withColumn("_key", replay_key(F.col("system"), F.col("user"))).withColumn("_short", F.substring("_key", 1, 16))
-    by = fixtures.groupBy("key").agg(F.min("response").alias("response"))
-    full, short = by.select(F.col("key").alias("_key"), F.col("response").alias("_full")), by.select(F.col("key").alias("_short"), F.col("response").alias("_part"))
-    j = p.join(full, "_key", "left").join(short, "_short", "left")
-    found = F.coalesce("_part", "_full")
-    return j.select("id", F.coalesce(found, F.lit(None if strict else "[no recorded answer]").cast("string")).alias("response"), F.when(found.isNull() & F.lit(strict), F.concat(F.lit("no recorded answer for "), "_short")).alias("error"))
+    p = prompts.withColumn("_key", replay_key(F.col("system"), F.col("user")))
+    named = p.withColumn("_name", F.lit(None).cast("string")) if index is None else p.join(index.groupBy(F.col("key").alias("_key")).agg(F.min("name").alias("_name")), "_key", "left")
+    tries = F.array(F.col("_name"), F.substring("_key", 1, 16), F.col("_key"))
+    answer = F.struct("response", "input_tokens", "output_tokens")
+    by = fixtures.groupBy(F.col("name").alias("_tried")).agg(F.min(answer).alias("_answer"))
+    hits = named.select("id", "_key", F.posexplode(tries).alias("_at", "_tried")).join(by, "_tried").groupBy("id", "_key").agg(F.min_by("_answer", "_at").alias("_answer"))
+    j = named.join(hits, ["id", "_key"], "left")
+    lost = F.col("_answer").isNull()
+    fill = lambda c, v: F.when(lost, F.lit(None if strict else v)).otherwise(F.col("_answer")[c]).alias(c)
+    miss = F.when(lost & F.lit(strict), F.concat(F.lit("no recorded answer for "), F.substring("_key", 1, 16))).alias("error")
+    return j.select("id", fill("response", PLACEHOLDER), fill("input_tokens", PLACEHOLDER_TOKENS[0]), fill("output_tokens", PLACEHOLDER_TOKENS[1]), miss)
 
 
 #: Where a fenced YAML block starts and ends (fixed value).

@@ -102,10 +102,10 @@ def auto_continue(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _workspaces(spark, sf_dir)
     now = w.agg(F.max("touched").alias("now"))  # one row
     both = w.join(F.broadcast(now), F.lit(True))
-    return records.to_continue(both, F.col("now"), 7 * 86_400).select("ticket", "state")
+    return records.to_continue(both, F.col("now"), 7 * 86_400, F.col("user_id") % 11 < 5).select("ticket", "state")
 
 
-AUTO_CONTINUE = f"WITH {_WORKSPACES} SELECT ticket, state FROM w WHERE touched >= (SELECT max(touched) FROM w) - INTERVAL 7 DAY AND state NOT IN ('', 'COMPLETED', 'COMPLETION', 'BLOCKED') AND mode = 'auto' AND greatest(cycle, 1) <= CASE max_cycles WHEN 0 THEN 3 ELSE max_cycles END ORDER BY touched DESC, ticket LIMIT 1"
+AUTO_CONTINUE = f"WITH {_WORKSPACES} SELECT ticket, state FROM w WHERE touched >= (SELECT max(touched) FROM w) - INTERVAL 7 DAY AND state NOT IN ('', 'COMPLETED', 'COMPLETION', 'BLOCKED') AND mode = 'auto' AND user_id % 11 >= 5 AND greatest(cycle, 1) <= CASE max_cycles WHEN 0 THEN 3 ELSE max_cycles END ORDER BY touched DESC, ticket LIMIT 1"
 
 
 def review_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +154,11 @@ QUERY_IDENTIFIERS = f"WITH t AS (SELECT item_id, list_filter(regexp_extract_all(
 def secret_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A diff that adds every part's name as a literal, under names that tell of secrets or not."""
     name = _pick(("apiToken", "db_password", "title", "PRIVATE_KEY_PEM", "tokenless"), F.col("p_partkey"))
-    diff = F.concat(F.lit("+++ b/x.go\n-oldSecret = \"0123456789abcdef\"\n+  "), name, F.lit(" := \""), F.col("p_name"), F.lit("\"\n+secret: 'short'\n"))
+    diff = F.concat(F.lit("+++ b/x.go\n-oldSecret = \"0123456789abcdef\"\n+  "), name, F.lit(" := \""), F.col("p_name"), F.lit("\"; other_key = '"), F.col("p_type"), F.lit("' + x\n+secret: 'short'\n"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(records.secret_literals(diff), ",").alias("names"))
 
 
-SECRET_LITERALS = "SELECT p_partkey, CASE WHEN length(p_name) >= 16 AND p_partkey % 5 <> 2 THEN ['apiToken', 'db_password', 'title', 'PRIVATE_KEY_PEM', 'tokenless'][p_partkey % 5 + 1] ELSE '' END AS names FROM part"
+SECRET_LITERALS = "SELECT p_partkey, concat_ws(',', CASE WHEN length(p_name) >= 16 AND p_partkey % 5 <> 2 THEN ['apiToken', 'db_password', 'title', 'PRIVATE_KEY_PEM', 'tokenless'][p_partkey % 5 + 1] END, CASE WHEN length(p_type) >= 16 THEN 'other_key' END) AS names FROM part"
 
 
 def failure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,23 +263,28 @@ QUESTION_LOOKUP = "SELECT l.doc_id AS question_id, source, CASE WHEN d.doc_id IS
 
 
 def commit_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_custkey").alias("ticket"))
-    w = table(spark, sf_dir, "events").select(F.col("user_id").alias("ticket"), F.col("event_id").alias("workspace"), "ts")
-    return records.newest_matching(c, w, "ts")
+    """Orders as commits; nations as workspaces of twenty tickets, of which every other one has a state."""
+    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), (F.col("o_custkey") % 22).alias("ticket"))
+    k = F.col("n_nationkey")
+    w = table(spark, sf_dir, "nation").select((k % 20).cast("long").alias("ticket"), F.col("n_name").alias("workspace"), F.when(k % 2 == 0, "OPEN").alias("state"), (k % 3).alias("touched"))
+    return records.logged_to(c, w, "touched")
 
 
-COMMIT_WORKSPACES = "WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS m FROM events) SELECT o_orderkey AS commit_id, o_custkey AS ticket, coalesce(w.event_id, (SELECT event_id FROM w WHERE m = 1)) AS workspace FROM orders LEFT JOIN w ON w.user_id = o_custkey AND n = 1"
+COMMIT_WORKSPACES = """WITH w AS (SELECT n_nationkey % 20 AS ticket, n_name AS workspace, n_nationkey % 2 = 0 AS live, row_number() OVER (PARTITION BY n_nationkey % 20 ORDER BY n_nationkey % 3 DESC, n_name DESC) AS n FROM nation)
+SELECT o_orderkey AS commit_id, o_custkey % 22 AS ticket, workspace FROM orders JOIN w ON (o_custkey % 22 < 20 AND w.ticket = o_custkey % 22 AND n = 1) OR (o_custkey % 22 >= 20 AND live)"""
 
 
 def replayed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as prompts; three in four are recorded, every other one of those by the first 16 digits of its key."""
-    c = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.concat(F.lit("role "), "role").alias("system"), F.concat("conv_id", F.lit(" "), "turn", F.lit(" "), "text").alias("user"), (F.col("conv_id") + F.col("turn")).alias("k"))
+    """Turns as prompts: by fours not recorded, recorded by the full key, by its first 16 digits, or by the index, for which a second recording under the digits doesn't count."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.concat(F.lit("role "), F.coalesce("role", F.lit(""))).alias("system"), F.concat("conv_id", F.lit(" "), "turn", F.lit(" "), F.coalesce("text", F.lit(""))).alias("user"), (F.col("conv_id") + F.col("turn")).alias("k"))
     key = replay_key(F.col("system"), F.col("user"))
-    fixtures = c.where("k % 4 <> 0").select(F.when(F.col("k") % 2 == 0, F.substring(key, 1, 16)).otherwise(key).alias("key"), F.concat(F.lit("answer "), "id").alias("response"))
-    return records.replayed(c, fixtures).select("id", "response", F.col("error").isNotNull().alias("missed"))
+    fixture = lambda where, name, said: c.where(where).select(name.alias("name"), F.concat(F.lit(said), "id").alias("response"), F.col("k").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
+    named = F.concat(F.lit("f-"), "id")
+    fixtures = fixture("k % 4 = 1", key, "answer ").unionByName(fixture("k % 4 = 2", F.substring(key, 1, 16), "answer ")).unionByName(fixture("k % 4 = 3", named, "answer ")).unionByName(fixture("k % 4 = 3", F.substring(key, 1, 16), "other "))
+    return records.replayed(c, fixtures, c.where("k % 4 = 3").select(key.alias("key"), named.alias("name")), strict=False).drop("error")
 
 
-REPLAYED = "SELECT conv_id || '/' || turn AS id, CASE WHEN (conv_id + turn) % 4 <> 0 THEN 'answer ' || conv_id || '/' || turn END AS response, (conv_id + turn) % 4 = 0 AS missed FROM conversations WHERE text IS NOT NULL"
+REPLAYED = """SELECT conv_id || '/' || turn AS id, CASE WHEN (conv_id + turn) % 4 <> 0 THEN 'answer ' || conv_id || '/' || turn ELSE '{"answer": "REPLAY_PLACEHOLDER", "citations": []}' END AS response, CASE WHEN (conv_id + turn) % 4 <> 0 THEN conv_id + turn ELSE 100 END AS input_tokens, CASE WHEN (conv_id + turn) % 4 <> 0 THEN 1 ELSE 20 END AS output_tokens FROM conversations"""
 
 
 def contract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
