@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions.yaml_text import yaml_to_json
+
 #: States of a pipeline that count as passed, failed, and as ended (fixed values).
 PASSED, FAILED, ENDED = ("EVALUATION_PASS", "COMPLETED", "COMPLETION"), ("EVALUATION_FAIL", "BLOCKED"), ("COMPLETED", "COMPLETION")
 
@@ -231,21 +237,33 @@ def replayed(prompts: DataFrame, fixtures: DataFrame, index: DataFrame | None =
     return j.select("id", fill("response", PLACEHOLDER), fill("input_tokens", PLACEHOLDER_TOKENS[0]), fill("output_tokens", PLACEHOLDER_TOKENS[1]), miss)
 
 
-#: Where a fenced YAML block starts and ends (fixed value).
-FENCE = r"(?s)```ya?ml[ \t]*\n(.*?)\n```"
+#: A fenced YAML block (fixed value).
+FENCE = re.compile(r"```ya?ml\s*\n(.*?)\n```", re.DOTALL)
 
 
 def yaml_blocks(text: Column) -> Column:
-    """Fenced YAML blocks that are mappings: whose first line that isn't blank, a comment or --- starts with a key."""
-    blocks = F.regexp_extract_all(text, F.lit(FENCE), F.lit(1))
-    return F.filter(blocks, lambda b: F.rlike(b, F.lit(r"\A(?:[ \t]*(?:#[^\n]*)?\n|---[ \t]*\n)*[\w\"'][^\n:]*:(?:[ \t]|\n|\z)")))
+    """Fenced YAML blocks that are mappings, in order, as JSON; those that can't be read don't count.
+
+    No SQL function reads YAML, so this runs in Arrow batches.
+    """
+
+    @F.pandas_udf("array<string>")
+    def fenced(texts: pd.Series) -> pd.Series:
+        return pd.Series([[j for m in FENCE.finditer(t or "") if (j := yaml_to_json(m[1])) and j[0] == "{"] for t in texts])
+
+    return fenced(text)
+
+
+def contract_block(blocks: Column, lists: tuple[str, ...], keys: tuple[str, ...] = ()) -> Column:
+    """The first of an array of blocks with a list under one of `lists`, or with one of `keys`, at its top level; null without one."""
 
+    def test(b: Column) -> Column:
+        own = F.json_object_keys(b)
+        a_list = [F.coalesce(F.startswith(F.get_json_object(b, f"$.{k}"), F.lit("[")) & F.try_variant_get(F.try_parse_json(b), f"$.{k}", "array<variant>").isNotNull(), F.lit(False)) for k in lists]
+        there = [F.array_contains(own, k) for k in keys]
+        return reduce(lambda x, y: x | y, [*a_list, *there])
 
-def contract_block(text: Column, lists: tuple[str, ...], keys: tuple[str, ...] = ()) -> Column:
-    """The first YAML block with a list under one of `lists`, or with one of `keys`, at its top level; null without one."""
-    a_list = lambda k: rf"(?m)^{k}:[ \t]*(?:\[|(?:#[^\n]*)?\n(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*-[ \t\n])"
-    test = lambda b: F.rlike(b, F.lit("|".join([*(a_list(k) for k in lists), *(rf"(?m)^{k}:" for k in keys)])))
-    return F.get(F.filter(yaml_blocks(text), test), F.lit(0))
+    return F.get(F.filter(blocks, test), F.lit(0))
 
 
 def plan_markdown(title: Column, steps: Column) -> Column:

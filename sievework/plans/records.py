@@ -288,17 +288,26 @@ REPLAYED = """SELECT conv_id || '/' || turn AS id, CASE WHEN (conv_id + turn) %
 
 
 def contract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan of each kind for every part."""
+    """A plan for every order, whose steps are its lines: as a block, in flow style, with a quoted key and comments, behind a block
+    that is no YAML, without a list, or none."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("steps"))
+    each = lambda form, between: F.array_join(F.transform("steps", lambda s: F.format_string(form, s["n"], s["p"])), between)
     plans = (
-        "text\n```yaml\n# c\nsteps:\n  - a\n  - b\n```\n", "```yaml\n- a\n- b\n```\n```yml\nsteps: [x]\nn: 1\n```", "```yaml\nsteps: none\n```\n", "```yaml\nderived_state: sum\nsites:\n- s\n```\n```yaml\nsteps:\n- t\n```", "no block",
+        F.concat(F.lit("text\n```yaml\n# c\nsteps:\n"), each("  - id: %d\n    part: %d", "\n"), F.lit("\n```\n")),
+        F.concat(F.lit("```yaml\n- a\n- b\n```\n```yml\n{steps: ["), each("{id: %d, part: %d}", ", "), F.lit("], n: 1}\n```")),
+        F.concat(F.lit('```yaml\n"steps": # c\n'), each("- {id: %d, part: %d} # x", "\n"), F.lit("\n```\n")),
+        F.concat(F.lit("```yaml\nsteps: [1\n```\n```yaml\nderived_state: sum\nsites:\n- s\n```\n```yaml\nsteps:\n"), each("- id: %d\n  part: %d", "\n"), F.lit("\n```")),
+        F.lit("```yaml\nsteps: none\n```\n"), F.lit("no block"),
     )
-    p = table(spark, sf_dir, "part").select("p_partkey", _pick(plans, F.col("p_partkey")).alias("t"))
+    blocks = records.yaml_blocks(F.element_at(F.array(*plans), (F.pmod("l_orderkey", F.lit(6)) + 1).cast("int"))).alias("blocks")
     first = lambda c: F.md5(F.encode(c, "UTF-8"))
-    return p.select("p_partkey", F.size(records.yaml_blocks(F.col("t"))).alias("blocks"), first(records.contract_block(F.col("t"), ("steps",))).alias("plan_md5"), first(records.contract_block(F.col("t"), ("sites",), ("derived_state",))).alias("sites_md5"))
+    found = o.select("l_orderkey", blocks)
+    return found.select("l_orderkey", F.size("blocks").alias("blocks"), first(records.contract_block(F.col("blocks"), ("steps",))).alias("plan_md5"), first(records.contract_block(F.col("blocks"), ("sites",), ("derived_state",))).alias("sites_md5"))
 
 
-CONTRACT_BLOCKS = """SELECT p_partkey, [1, 1, 1, 2, 0][k] AS blocks, md5([concat('# c', chr(10), 'steps:', chr(10), '  - a', chr(10), '  - b'), concat('steps: [x]', chr(10), 'n: 1'), NULL, concat('steps:', chr(10), '- t'), NULL][k]) AS plan_md5,
- CASE WHEN k = 4 THEN md5(concat('derived_state: sum', chr(10), 'sites:', chr(10), '- s')) END AS sites_md5 FROM (SELECT p_partkey, p_partkey % 5 + 1 AS k FROM part)"""
+CONTRACT_BLOCKS = """WITH o AS (SELECT l_orderkey, l_orderkey % 6 AS k, '{"steps":[' || string_agg('{"id":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS j FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, [1, 1, 1, 2, 1, 0][k + 1] AS blocks, CASE WHEN k IN (0, 2, 3) THEN md5(j || '}') WHEN k = 1 THEN md5(j || ',"n":1}') END AS plan_md5, CASE WHEN k = 3 THEN md5('{"derived_state":"sum","sites":["s"]}') END AS sites_md5 FROM o"""
 
 
 def rendered_plans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-import re
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.yaml_text import parse_yaml, yaml_to_json
+
 
 def safe_json_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
     """Records of a column of JSON lines; blank and malformed lines, such as a last one cut short, are skipped."""
@@ -37,42 +39,19 @@ def typed_scalar(v: Column) -> Column:
 
 
 def read_yaml(path: str | Path) -> object:
-    """A small configuration document: with PyYAML where it is installed, else the subset of flat keys and lists of scalars."""
-    text = Path(path).read_text()
-    try:
-        import yaml
-    except ImportError:
-        return _flat_yaml(text)
-    return yaml.safe_load(text)
-
-
-def _scalar(v: str) -> object:
-    v = v.strip().strip("\"'")
-    if v.lower() in ("", "null", "~"):
-        return None
-    if v.lower() in ("true", "false"):
-        return v.lower() == "true"
-    for kind in (int, float):
-        try:
-            return kind(v)
-        except ValueError:
-            continue
-    return v
-
-
-def _flat_yaml(text: str) -> dict:
-    out: dict[str, object] = {}
-    key = None
-    for line in text.splitlines():
-        line = re.sub(r"(^|\s)#.*$", "", line).rstrip()
-        if m := re.match(r"^\s*-\s+(.*)$", line):
-            if key is not None:
-                held = out.get(key)
-                out[key] = [*(held if isinstance(held, list) else []), _scalar(m[1])]
-        elif m := re.match(r"^(\w[\w-]*):\s*(.*)$", line):
-            key = m[1]
-            out[key] = _scalar(m[2])
-    return out
+    """A small configuration document."""
+    return parse_yaml(Path(path).read_text())
+
+
+def read_yaml_documents(spark: SparkSession, glob: str) -> DataFrame:
+    """path, json: one row per YAML file, as JSON; null where it can't be read."""
+
+    @F.pandas_udf("string")
+    def as_json(texts: pd.Series) -> pd.Series:
+        return texts.map(yaml_to_json)
+
+    texts = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return texts.select("path", as_json("value").alias("json"))
 
 
 def write_cells(df: DataFrame, path: str, keys: list[str]) -> None:

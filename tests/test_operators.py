@@ -109,7 +109,7 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_flat_yaml():
-    assert readers._flat_yaml("a: 1\nb:\n  - x\n  - 'y'  # note\nc: ~\nd: true\n") == {"a": 1, "b": ["x", "y"], "c": None, "d": True}
+    assert readers.parse_yaml("a: 1\nb:\n  - x\n  - 'y'  # note\nc: ~\nd: true\n") == {"a": 1, "b": ["x", "y"], "c": None, "d": True}
 
 
 def test_replay_key(spark):
