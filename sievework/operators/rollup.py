@@ -29,13 +29,15 @@ def cost_status(status: Column) -> Column:
 
 
 def mode_rollup(cells: DataFrame) -> DataFrame:
-    """Per mode: cells, evaluated, correct and its rate (null if none was evaluated), tokens, cost, latency of cells that have one."""
+    """Per mode: cells, evaluated, correct and its rate (null if none was evaluated), tokens, cost, latency of cells that have one,
+    safety flags, bug cycles and side effects. cells: mode, correct, tokens, cost, latency, cost_status, flags, bug_cycles, side_effects."""
     n = F.count(F.lit(1))
     evaluated, right = F.count("correct"), F.count_if(F.col("correct"))
     return cells.groupBy("mode").agg(
         n.alias("cells"), evaluated.alias("evaluated"), right.alias("correct"), F.when(evaluated > 0, F.round(right / evaluated, 4)).alias("correct_rate"),
         F.sum("tokens").alias("total_tokens"), F.round(F.sum("tokens") / n, 1).alias("avg_tokens"), F.round(F.sum("cost") / n, 6).cast("double").alias("avg_cost"),
-        F.round(F.avg("latency"), 2).alias("avg_latency"), cost_status(F.col("cost_status")).alias("cost_status"),
+        F.round(F.avg("latency"), 2).alias("avg_latency"), F.sum("flags").alias("safety_flags"), F.sum("bug_cycles").alias("bug_cycles"), F.round(F.sum("bug_cycles") / n, 2).alias("avg_bug_cycles"),
+        F.sum("side_effects").alias("side_effects"), cost_status(F.col("cost_status")).alias("cost_status"),
     )
 
 

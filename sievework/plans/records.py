@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import failure_key, info_volume, safe_double, safe_long
-from sievework.operators import compositions, evaluation, gates, lifecycle, ranking, records, rollup
+from sievework.operators import compositions, evaluation, gates, lifecycle, ranking, records, rollup, runs
 from sievework.operators.parsing import paragraph_tree
 from sievework.plans import retrieval
-from sievework.plans.common import table
+from sievework.plans.common import rows, table
 from sievework.plans.lifecycle import BACKEND_POLICY
 from sievework.sources.readers import replay_key, upsert_latest
 
@@ -393,6 +393,55 @@ def collected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLLECTED = "SELECT 'c' || o_orderkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN 'own' WHEN o_orderkey % 3 <> 0 THEN 't' END AS task, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS mode, o_orderstatus AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 5 <> 0"
 
 
+_AGENTS = (("planner", "deep"), ("coder", "exec"))
+_TIERS = (("deep", "m-deep"), ("exec", "m-exec"))
+_PRICES = (("m-deep", "15", "75", "18.75", "1.5"), ("m-exec", "3", "15", "3.75", "0.3"))
+
+
+def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cells whose files are made of them and their lines: two in seven leave no state, one in nine no meta, every third cell
+    has a session, one in eleven is listed without files."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    cell = F.concat(F.lit("c"), k)
+    at = lambda s: F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T10:"), F.lpad((k % s).cast("string"), 2, "0"), F.lit(":00Z"))
+    meta = F.to_json(F.struct(F.when(k % 5 != 0, F.concat(F.lit("t"), "o_custkey")).alias("task"), F.col("o_orderpriority").alias("mode"), F.when(k % 2 == 0, at(10)).alias("started_at"), F.when(k % 2 == 0, at(50)).alias("ended_at")))
+    failure = F.struct(F.lit("EVALUATION").alias("state"), F.struct(F.when(k % 4 == 3, "Data RACE in pool").otherwise("unit").alias("summary")).alias("actual_outcome"))
+    other = F.struct(F.lit("DESIGN").alias("state"), F.struct(F.lit("panic").alias("summary")).alias("actual_outcome"))
+    log = F.transform(F.sequence(F.lit(0), k % 4), lambda i: F.when(i == 0, other).otherwise(failure))
+    results = F.struct(F.struct(F.when(k % 3 == 0, "FAIL").otherwise("PASS").alias("status"), (k % 6 == 0).alias("race_detected")).alias("unit_test"), F.when(k % 8 == 0, "FAIL").otherwise("PASS").alias("security"))
+    intake = F.struct(F.struct(F.when(k % 10 == 0, "BLOCKED").when(k % 10 == 1, "REDACTED").otherwise("CLEAN").alias("result")).alias("sensitive_check"))
+    state = F.to_json(F.struct(F.concat(F.lit("s"), k).alias("ticket_id"), _pick(_STATES, k).alias("current_state"), F.struct(intake.alias("TICKET_INTAKE"), F.struct(results.alias("results")).alias("EVALUATION")).alias("states"), log.alias("failure_log"), at(20).alias("created_at"), at(40).alias("updated_at")))
+    left = o.where(k % 11 != 0)
+    files = left.select(cell.alias("cell"), F.when(k % 9 != 0, meta).otherwise("{cut").alias("meta"), F.when(k % 7 > 1, state).alias("state"))
+    listed = o.select(k.cast("int").alias("pos"), cell.alias("cell"), F.when(k % 13 == 0, "told").otherwise("").alias("task"), F.lit(None).cast("string").alias("mode"), F.when(k % 2 == 0, "done").alias("status"))
+    li, n = table(spark, sf_dir, "lineitem").where("l_orderkey % 11 <> 0"), F.col("l_linenumber")
+    of = F.concat(F.lit("c"), "l_orderkey").alias("cell")
+    said = F.to_json(F.struct(F.when(n % 3 == 0, "planner").when(n % 3 == 1, "coder").alias("subagent_type"), (F.col("l_partkey") % 1000).alias("prompt_chars"), n.alias("response_chars")))
+    used = F.to_json(F.struct(F.struct(F.when(n % 2 == 0, "m-deep").when(n == 7, "m-none").alias("model"), F.struct(F.col("l_partkey").alias("input_tokens"), n.alias("output_tokens")).alias("usage")).alias("message")))
+    spend = runs.run_usage(
+        li.select(of, said.alias("line")), li.where("l_orderkey % 3 = 0").select(of, used.alias("line")),
+        rows(spark, "agent string, tier string", *_AGENTS), rows(spark, "tier string, model string", *_TIERS), rows(spark, "model string, input string, output string, cache_write string, cache_read string", *_PRICES), "m-exec",
+    )
+    found = runs.collected_runs(listed, files, spend)
+    shown = F.array_join(F.transform(F.sort_array(F.map_entries("detail")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return found.select("cell", "task", "mode", "status", "pipeline_state", "correct", shown.alias("detail"), "bug_cycles", "side_effects", F.array_join("safety_flags", ",").alias("flags"), "latency_s", "input", "output", "tokens", F.col("cost").cast("double").alias("cost"), "cost_status", "usage_source", F.array_join("models", ",").alias("models"))
+
+
+EXPERIMENT_RUNS = f"""WITH l AS (SELECT l_orderkey AS k, l_orderkey % 3 = 0 AS exact, CASE WHEN l_orderkey % 3 = 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'm-deep' WHEN l_linenumber = 7 THEN 'm-none' ELSE 'm-exec' END WHEN l_linenumber % 3 = 0 THEN 'm-deep' ELSE 'm-exec' END AS model,
+ CASE WHEN l_orderkey % 3 = 0 THEN l_partkey ELSE (l_partkey % 1000 + 3) // 4 END AS i, CASE WHEN l_orderkey % 3 = 0 THEN l_linenumber ELSE (l_linenumber + 3) // 4 END AS o FROM lineitem WHERE l_orderkey % 11 <> 0),
+m AS (SELECT k, exact, model, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o, round(CASE model WHEN 'm-deep' THEN (sum(i) * 15 + sum(o) * 75)::DECIMAL(30,6) WHEN 'm-exec' THEN (sum(i) * 3 + sum(o) * 15)::DECIMAL(30,6) ELSE 0 END / 1000000, 6) AS c FROM l GROUP BY k, exact, model),
+u AS (SELECT k, sum(i)::BIGINT AS input, sum(o)::BIGINT AS output, sum(i + o)::BIGINT AS tokens, sum(c)::DOUBLE AS cost, CASE WHEN NOT bool_and(exact) THEN 'estimated' WHEN bool_and(model = 'm-none') THEN 'unknown' WHEN bool_or(model = 'm-none') THEN 'mixed' ELSE 'actual' END AS cost_status,
+ CASE WHEN bool_and(exact) THEN 'session_jsonl' ELSE 'char_estimate' END AS usage_source, string_agg(model, ',' ORDER BY model) AS models FROM m GROUP BY k),
+f AS (SELECT o_orderkey AS k, o_custkey, o_orderpriority AS p, o_orderkey % 11 <> 0 AS l, o_orderkey % 11 <> 0 AND o_orderkey % 9 <> 0 AS meta, o_orderkey % 11 <> 0 AND o_orderkey % 7 > 1 AS st, {_list(_STATES)}[o_orderkey % 7 + 1] AS s FROM orders)
+SELECT 'c' || k AS cell, CASE WHEN k % 13 = 0 THEN 'told' WHEN meta AND k % 5 <> 0 THEN 't' || o_custkey WHEN st THEN 's' || k ELSE 'c' || k END AS task, CASE WHEN meta THEN p ELSE 'unknown' END AS mode, CASE WHEN k % 2 = 0 OR st THEN 'done' ELSE 'incomplete' END AS status,
+ CASE WHEN st THEN s END AS pipeline_state, CASE WHEN NOT st THEN NULL WHEN s IN ('EVALUATION_PASS', 'COMPLETED', 'COMPLETION') THEN true WHEN s IN ('EVALUATION_FAIL', 'BLOCKED') THEN false END AS correct,
+ CASE WHEN NOT l THEN NULL WHEN st THEN 'security=' || CASE WHEN k % 8 = 0 THEN 'FAIL' ELSE 'PASS' END || ',unit_test=' || CASE WHEN k % 3 = 0 THEN 'FAIL' ELSE 'PASS' END ELSE '' END AS detail,
+ CASE WHEN st THEN k % 4 ELSE 0 END AS bug_cycles, CASE WHEN st AND k % 4 = 3 THEN 3 ELSE 0 END AS side_effects,
+ CASE WHEN st THEN concat_ws(',', CASE k % 10 WHEN 0 THEN 'sensitive_blocked' WHEN 1 THEN 'sensitive_redacted' END, CASE WHEN k % 8 = 0 THEN 'security_fail' END, CASE WHEN k % 6 = 0 THEN 'race_detected' END) ELSE '' END AS flags,
+ CASE WHEN meta AND k % 2 = 0 THEN greatest(0, k % 50 - k % 10) * 60.0 WHEN st THEN greatest(0, k % 40 - k % 20) * 60.0 END::DOUBLE AS latency_s,
+ coalesce(input, 0) AS input, coalesce(output, 0) AS output, coalesce(tokens, 0) AS tokens, coalesce(cost, 0) AS cost, coalesce(cost_status, 'unknown') AS cost_status, coalesce(usage_source, 'char_estimate') AS usage_source, coalesce(models, '') AS models FROM f LEFT JOIN u USING (k)"""
+
+
 def surfaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     path = lambda d, n: F.concat(F.lit(d), n.cast("string"), F.lit(".go"))
@@ -511,7 +560,7 @@ _SQL = {
     issue_records: ISSUE_RECORDS, comments_since: COMMENTS_SINCE, issue_search: ISSUE_SEARCH, retry_outcomes: RETRY, pass_states: PASS_STATES, active_workspaces: ACTIVE, auto_continue: AUTO_CONTINUE, review_numbers: REVIEW_NUMBERS,
     last_activity: LAST_ACTIVITY, record_values: RECORD_VALUES, query_identifiers: QUERY_IDENTIFIERS, secret_literals: SECRET_LITERALS, failure_summaries: FAILURE_SUMMARIES, discovery_order: DISCOVERY, detected_paths: DETECTED_PATHS,
     allow_lists: ALLOW_LISTS, format_violations: FORMAT_VIOLATIONS, setup_checks: SETUP_CHECKS, run_identities: RUN_IDENTITIES, scoped_processes: SCOPED_PROCESSES, manifest_selection: MANIFEST, question_lookup: QUESTION_LOOKUP,
-    commit_workspaces: COMMIT_WORKSPACES, replayed_answers: REPLAYED, contract_blocks: CONTRACT_BLOCKS, rendered_plans: RENDERED_PLANS, scored_cells: SCORED_CELLS, macro_scores: MACRO, rescored_cells: RESCORED, collected_cells: COLLECTED,
+    commit_workspaces: COMMIT_WORKSPACES, replayed_answers: REPLAYED, contract_blocks: CONTRACT_BLOCKS, rendered_plans: RENDERED_PLANS, scored_cells: SCORED_CELLS, macro_scores: MACRO, rescored_cells: RESCORED, collected_cells: COLLECTED, experiment_runs: EXPERIMENT_RUNS,
     surfaced_files: SURFACED, assembled_contexts: ASSEMBLED, fixture_upsert: FIXTURE_UPSERT, review_union: REVIEW_UNION,
 }
 QUERIES = {f.__name__: f for f in _SQL}

@@ -159,13 +159,14 @@ def mode_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     correct = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
     status = F.when(F.col("o_orderpriority").startswith("1"), "actual").when(F.col("o_orderkey") % 97 == 0, "estimated").when(F.col("o_orderpriority").startswith("2"), "unknown").otherwise("actual")
     return rollup.mode_rollup(o.select(F.col("o_orderpriority").alias("mode"), correct.alias("correct"), (F.col("o_orderkey") % 5000).alias("tokens"), (F.col("o_orderkey") % 100).cast("decimal(18,6)").alias("cost"),
-        F.when(F.col("o_custkey") % 3 == 0, (F.col("o_orderkey") % 60).cast("double")).alias("latency"), status.alias("cost_status")))
+        F.when(F.col("o_custkey") % 3 == 0, (F.col("o_orderkey") % 60).cast("double")).alias("latency"), status.alias("cost_status"),
+        (F.col("o_orderkey") % 3).alias("flags"), (F.col("o_orderkey") % 4).alias("bug_cycles"), (F.col("o_orderkey") % 2).alias("side_effects")))
 
 
-MODE_AGGREGATE = """WITH c AS (SELECT o_orderpriority AS mode, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS ok, o_orderkey % 5000 AS tokens, o_orderkey % 100 AS cost, CASE WHEN o_custkey % 3 = 0 THEN (o_orderkey % 60)::DOUBLE END AS latency,
+MODE_AGGREGATE = """WITH c AS (SELECT o_orderpriority AS mode, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS ok, o_orderkey % 5000 AS tokens, o_orderkey % 100 AS cost, o_orderkey % 3 AS flags, o_orderkey % 4 AS cycles, o_orderkey % 2 AS side, CASE WHEN o_custkey % 3 = 0 THEN (o_orderkey % 60)::DOUBLE END AS latency,
  CASE WHEN o_orderpriority LIKE '1%' THEN 'actual' WHEN o_orderkey % 97 = 0 THEN 'estimated' WHEN o_orderpriority LIKE '2%' THEN 'unknown' ELSE 'actual' END AS st FROM orders)
 SELECT mode, count(*) AS cells, count(ok) AS evaluated, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / nullif(count(ok), 0), 4) AS correct_rate, sum(tokens)::BIGINT AS total_tokens, round(sum(tokens) / count(*), 1) AS avg_tokens,
- round(sum(cost)::DECIMAL(28,6) / count(*), 6)::DOUBLE AS avg_cost, round(avg(latency), 2) AS avg_latency,
+ round(sum(cost)::DECIMAL(28,6) / count(*), 6)::DOUBLE AS avg_cost, round(avg(latency), 2) AS avg_latency, sum(flags)::BIGINT AS safety_flags, sum(cycles)::BIGINT AS bug_cycles, round(sum(cycles) / count(*), 2) AS avg_bug_cycles, sum(side)::BIGINT AS side_effects,
  CASE WHEN bool_and(st = 'actual') THEN 'actual' WHEN bool_or(st = 'estimated') THEN 'estimated' WHEN bool_and(st = 'unknown') THEN 'unknown' ELSE 'mixed' END AS cost_status FROM c GROUP BY mode"""
 
 

@@ -17,6 +17,11 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _path(spark, path)
+    return fs.exists(where)
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Sorted names of what is published in a folder; none where the folder isn't there."""
     where, fs = _path(spark, path)

@@ -10,18 +10,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.yaml_text import parse_yaml, yaml_to_json
+from sievework.sources.files import exists
 
 
-def safe_json_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
-    """Records of a column of JSON lines; blank and malformed lines, such as a last one cut short, are skipped."""
+def safe_json_lines(lines: DataFrame, column: str, schema: str, *keys: str) -> DataFrame:
+    """Records of a column of JSON lines, with the keys of their rows; blank and malformed lines, such as a last one cut short, are skipped."""
     good = lines.where((F.trim(column) != "") & F.try_parse_json(F.col(column)).isNotNull())
-    return good.select(F.from_json(column, schema).alias("_r")).select("_r.*")
+    return good.select(*keys, F.from_json(column, schema).alias("_r")).select(*keys, "_r.*")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return safe_json_lines(spark.read.text(path), "value", schema)
 
 
+def texts_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """path, value: whole texts of all files of a name below a folder; none where there is no folder."""
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("ignoreMissingFiles", "true")
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "path string, value string")
+    return found.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def read_documents(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """One row per JSON file, with its path; unreadable ones have nulls in all columns of the schema."""
     texts = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("_r"))
