@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions.text import ranges_overlap
+
 
 def validate_ranges(expected: DataFrame, files: DataFrame) -> DataFrame:
     """expected (id, path, start_line, end_line) with problem: the file is missing, or a line lies outside its n_lines; null if fine."""
@@ -14,10 +16,30 @@ def validate_ranges(expected: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def suffix_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of paths of which one ends with the other: an equi-join on the last segment, then the test."""
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    pairs = left.select(F.col("path").alias("a"), name("path").alias("_n")).join(right.select(F.col("path").alias("b"), name("path").alias("_n")), "_n")
-    return pairs.where(F.endswith("a", F.col("b")) | F.endswith("b", F.col("a"))).select("a", "b")
+    """Different pairs (a, b) of paths of left and right of which one ends with the other.
+
+    A path meets those that are as long as one of its endings by that whole ending, so a last segment that many paths share
+    is no common key. Endings are taken at the lengths that the other side has, of which there are no more than characters in its longest path.
+    """
+
+    def ends_with(long: DataFrame, short: DataFrame) -> DataFrame:
+        sizes = short.agg(F.collect_set(F.length("path")).alias("_sizes"))  # one row
+        cut = F.explode(F.transform(F.filter("_sizes", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.length("path") - n + 1, n)))
+        endings = long.join(F.broadcast(sizes), F.lit(True)).select(F.col("path").alias("long"), cut.alias("short"))
+        return endings.join(short.select(F.col("path").alias("short")), "short").select("long", "short")
+
+    l, r = (x.select("path").where("path <> ''").distinct() for x in (left, right))
+    return ends_with(l, r).select(F.col("long").alias("a"), F.col("short").alias("b")).union(ends_with(r, l).select(F.col("short").alias("a"), F.col("long").alias("b"))).distinct()
+
+
+def suffix_locations(cited: DataFrame, known: DataFrame) -> DataFrame:
+    """cited (id, path, start_line, end_line) with found: whether any place of known (path, start_line, end_line) overlaps it in a file
+    whose path ends with the cited one, or the other way round."""
+    pairs = suffix_matches(cited, known)
+    k = known.select(F.col("path").alias("b"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
+    near = cited.join(pairs, cited["path"] == pairs["a"]).join(k, "b").where(ranges_overlap(F.col("start_line"), F.col("end_line"), F.col("_s"), F.col("_e")))
+    hit = near.select("id").distinct().withColumn("_hit", F.lit(True))
+    return cited.join(hit, "id", "left").select(*(cited[c] for c in cited.columns), F.coalesce("_hit", F.lit(False)).alias("found"))
 
 
 def next_sibling(files: DataFrame) -> DataFrame:

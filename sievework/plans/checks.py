@@ -26,7 +26,19 @@ def path_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PATH_SUFFIXES = """WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS a FROM pages), q AS (SELECT DISTINCT regexp_extract(a, '^[^/]*/(.*)$', 1) AS b FROM p WHERE regexp_extract(a, '^[^/]*/(.*)$', 1) <> '')
-SELECT a, b FROM p, q WHERE string_split(a, '/')[-1] = string_split(b, '/')[-1] AND (ends_with(a, b) OR ends_with(b, a))"""
+SELECT a, b FROM p, q WHERE a <> '' AND (ends_with(a, b) OR ends_with(b, a))"""
+
+
+def suffix_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as cited by their path alone, on lines that depend on their number, among the places of all whole addresses."""
+    path = F.regexp_replace("url", "^[a-z]+://|[?#].*$", "")
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    cited = p.select(k.alias("id"), F.regexp_extract(path, "^[^/]*/(.*)$", 1).alias("path"), (k % 40).alias("start_line"), (k % 40 + 3).alias("end_line"))
+    return checks.suffix_locations(cited, p.select(path.alias("path"), (k % 60 + 10).alias("start_line"), (k % 60 + 12).alias("end_line")))
+
+
+SUFFIX_PLACES = """WITH p AS (SELECT page_id AS k, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS a, regexp_extract(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), '^[^/]*/(.*)$', 1) AS c FROM pages)
+SELECT k AS id, c AS path, k % 40 AS start_line, k % 40 + 3 AS end_line, EXISTS (SELECT 1 FROM p q WHERE p.c <> '' AND q.a <> '' AND (ends_with(q.a, p.c) OR ends_with(p.c, q.a)) AND p.k % 40 <= q.k % 60 + 12 AND q.k % 60 + 10 <= p.k % 40 + 3) AS found FROM p"""
 
 
 def sibling_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +198,7 @@ def stage_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE_DISPATCH = "WITH s AS (SELECT l_orderkey, l_linenumber, max(l_quantity) > 20 AS w FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT l_orderkey, nullif(count(*) FILTER (w), 0) AS runs, count(*) FILTER (NOT w) AS skipped FROM s GROUP BY l_orderkey"
 
 _SQL = {
-    range_validation: RANGE_VALIDATION, path_suffixes: PATH_SUFFIXES, sibling_files: SIBLINGS, setting_states: SETTING_STATES, settings_merge: SETTINGS_MERGE, issue_remedies: REMEDIES, unregistered_documents: UNREGISTERED, oversized_steps: OVERSIZED,
+    range_validation: RANGE_VALIDATION, path_suffixes: PATH_SUFFIXES, suffix_places: SUFFIX_PLACES, sibling_files: SIBLINGS, setting_states: SETTING_STATES, settings_merge: SETTINGS_MERGE, issue_remedies: REMEDIES, unregistered_documents: UNREGISTERED, oversized_steps: OVERSIZED,
     unfixed_sites: UNFIXED, red_green: RED_GREEN, stage_verdicts: STAGE_VERDICTS, squash_bodies: SQUASH, command_rules: COMMAND_RULES, index_refresh: INDEX_REFRESH, error_envelopes: ERROR_ENVELOPES, step_progress: STEP_PROGRESS,
     idempotent_init: IDEMPOTENT_INIT, merged_timeline: TIMELINE, stage_dispatch: STAGE_DISPATCH,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import failure_key, masked
-from sievework.operators import gates, integrity, lifecycle, parsing, rollup
+from sievework.operators import gates, integrity, lifecycle, parsing, rollup, tickets
 from sievework.operators.spans import scan_and_filter
 from sievework.functions.detectors import Policy
 from sievework.plans.common import injected, rows, table
@@ -252,12 +252,49 @@ d AS (SELECT *, CASE WHEN health = 'serviceable' THEN 'CLEAN' ELSE 'BLOCKED' END
 SELECT concat_ws('|', health, c1, o1, c2, o2) AS id, before, after, before = 'CLEAN' AND shaky AS silent_before, after = 'CLEAN' AND lost <> '' AS silent_after, health = 'serviceable' AND lost = '' AND after <> 'CLEAN' AS over_block, lost AS missing_after FROM d"""
 
 
+def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ticket for every document, by fives: a stated feature, a bug by its words, a review with criteria, a release, and a bare text."""
+    k = F.col("doc_id")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[#*\\n-]", " ")
+    bodies = F.array(
+        F.concat(F.lit("## Work Type: New Feature\n## Background\n"), text, F.lit("\n### Scope\n- Module: a"), k, F.lit(", b ,\n- note\n## AC\n- [ ] one\n- [x] two: three\n")),
+        F.concat(F.lit("bug, and its fix\n## Steps to  Reproduce\n- a\n* b\n## EXPECTED\nfine\n## Other\n"), text),
+        F.concat(F.lit("**작업 유형**: 코드 리뷰\n## 리뷰 대상\n- core/"), k, F.lit("\n## 수용 기준\n"), text),
+        F.concat(F.lit("## Type: Release\n## Version\nv2\n## Checklist\n- [X] ChainBench "), k, F.lit("\n## Changes\n"), F.when(k % 2 == 0, "- X-1: y").otherwise("")), text,
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(k % 3 == 0, F.concat(F.lit("ticket "), k)).alias("summary"), F.element_at(bodies, (k % 5 + 1).cast("int")).alias("description"))
+
+
 def ticket_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "id int, text string", (1, "intro\n## Background\nwhy\n- a\n- [x] b\n### Acceptance criteria\n- [ ] c\n- [X] d"), (2, "## Summary\nonly"), (3, "no headings"))
-    return parsing.sections(t, "text", {"context": ("background", "context"), "acceptance": ("acceptance criteria", "done when")}).select("id", "pos", "key", "body", "bullets", "checked")
+    t = _tickets(spark, sf_dir).select("doc_id", F.posexplode(tickets.ticket_sections(F.col("description"))).alias("pos", "s"))
+    boxes = F.array_join(F.transform("s.checklist", lambda x: F.concat_ws("=", x["text"], x["checked"])), "|")
+    pairs = F.array_join(F.transform("s.pairs", lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["values"], "+"))), "|")
+    return t.select("doc_id", "pos", "s.key", F.md5(F.encode("s.body", "UTF-8")).alias("body_md5"), boxes.alias("checklist"), F.array_join("s.bullets", "|").alias("bullets"), pairs.alias("pairs"))
+
+
+_TICKETS = "t AS (SELECT doc_id, doc_id % 5 AS k, CASE WHEN doc_id % 3 = 0 THEN 'ticket ' || doc_id ELSE '' END AS summary, regexp_replace(coalesce(text, ''), '[#*' || chr(10) || '-]', ' ', 'g') AS x FROM documents)"
+TICKET_SECTIONS = f"""WITH {_TICKETS}, s AS (SELECT doc_id, unnest(CASE k
+ WHEN 0 THEN [{{'pos': 0, 'key': 'work type: new feature', 'body': '', 'c': '', 'b': '', 'p': ''}}, {{'pos': 1, 'key': 'background', 'body': x, 'c': '', 'b': '', 'p': ''}}, {{'pos': 2, 'key': 'scope', 'body': '- Module: a' || doc_id || ', b ,' || chr(10) || '- note', 'c': '', 'b': 'Module: a' || doc_id || ', b ,|note', 'p': 'modules=a' || doc_id || '+b'}}, {{'pos': 3, 'key': 'acceptance_criteria', 'body': '- [ ] one' || chr(10) || '- [x] two: three', 'c': 'one=false|two: three=true', 'b': '', 'p': ''}}]
+ WHEN 1 THEN [{{'pos': 0, 'key': 'steps_to_reproduce', 'body': '- a' || chr(10) || '* b', 'c': '', 'b': 'a|b', 'p': ''}}, {{'pos': 1, 'key': 'expected', 'body': 'fine', 'c': '', 'b': '', 'p': ''}}, {{'pos': 2, 'key': 'other', 'body': x, 'c': '', 'b': '', 'p': ''}}]
+ WHEN 2 THEN [{{'pos': 0, 'key': 'review_target', 'body': '- core/' || doc_id, 'c': '', 'b': 'core/' || doc_id, 'p': ''}}, {{'pos': 1, 'key': 'acceptance_criteria', 'body': x, 'c': '', 'b': '', 'p': ''}}]
+ WHEN 3 THEN [{{'pos': 0, 'key': 'type: release', 'body': '', 'c': '', 'b': '', 'p': ''}}, {{'pos': 1, 'key': 'version', 'body': 'v2', 'c': '', 'b': '', 'p': ''}}, {{'pos': 2, 'key': 'checklist', 'body': '- [X] ChainBench ' || doc_id, 'c': 'ChainBench ' || doc_id || '=true', 'b': '', 'p': ''}},
+  {{'pos': 3, 'key': 'changes', 'body': CASE WHEN doc_id % 2 = 0 THEN '- X-1: y' ELSE '' END, 'c': '', 'b': CASE WHEN doc_id % 2 = 0 THEN 'X-1: y' ELSE '' END, 'p': CASE WHEN doc_id % 2 = 0 THEN 'x-1=y' ELSE '' END}}]
+ ELSE [] END) AS s FROM t)
+SELECT doc_id, s.pos, s.key, md5(trim(s.body, ' ' || chr(9) || chr(13) || chr(10))) AS body_md5, s.c AS checklist, s.b AS bullets, s.p AS pairs FROM s"""
+
+
+def parsed_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tickets.parsed_tickets(_tickets(spark, sf_dir))
+    return t.select("doc_id", "work_type", "stated", "pipeline_variant", F.size("sections").alias("sections"), F.array_join("missing_fields", ",").alias("missing"), F.size("warnings").alias("warnings"))
 
 
-TICKET_SECTIONS = "SELECT id, pos, key, replace(body, '~', chr(10)) AS body, bullets, checked FROM (VALUES (1, 0, 'context', 'why~- a~- [x] b', 2, 1), (1, 1, 'acceptance', '- [ ] c~- [X] d', 2, 1), (2, 0, 'summary', 'only', 0, 0)) t(id, pos, key, body, bullets, checked)"
+PARSED_TICKETS = f"""WITH {_TICKETS}, g AS (SELECT *, lower(summary || chr(10) || x) AS low FROM t),
+w AS (SELECT *, CASE k WHEN 0 THEN 'feature' WHEN 1 THEN 'bugfix' WHEN 2 THEN 'code_review' WHEN 3 THEN 'release' ELSE CASE WHEN len(regexp_extract_all(low, 'fix|bug|에러|버그|수정')) >= 2 THEN 'bugfix' WHEN regexp_matches(low, 'review|리뷰|검토') THEN 'code_review' WHEN regexp_matches(low, 'v1\.|release|릴리즈|태그') THEN 'release' WHEN trim(low, ' ' || chr(10)) = '' THEN 'unknown' ELSE 'feature' END END AS work_type FROM g)
+SELECT doc_id, work_type, k IN (0, 2, 3) AS stated, CASE work_type WHEN 'code_review' THEN 'review_only' WHEN 'release' THEN 'release' ELSE 'full' END AS pipeline_variant, [4, 3, 2, 4, 0][k + 1] AS sections,
+ CASE k WHEN 0 THEN concat_ws(',', CASE WHEN summary = '' THEN 'summary' END, CASE WHEN trim(x, ' ' || chr(9) || chr(13)) = '' THEN 'requirements' END) WHEN 1 THEN concat_ws(',', CASE WHEN summary = '' THEN 'summary' END, 'actual', 'scope.modules')
+  WHEN 2 THEN CASE WHEN summary = '' THEN 'summary' ELSE '' END WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'changes' END
+  ELSE CASE work_type WHEN 'feature' THEN concat_ws(',', CASE WHEN summary = '' THEN 'summary' END, 'requirements', 'scope.modules') WHEN 'bugfix' THEN concat_ws(',', CASE WHEN summary = '' THEN 'summary' END, 'steps_to_reproduce', 'expected', 'actual', 'scope.modules') WHEN 'code_review' THEN concat_ws(',', CASE WHEN summary = '' THEN 'summary' END, 'review_target.files_or_modules') WHEN 'release' THEN 'version,changes' ELSE '' END END AS missing,
+ CASE WHEN work_type = 'unknown' THEN 1 WHEN k = 2 AND trim(x, ' ' || chr(9) || chr(13)) <> '' THEN 1 WHEN k = 4 AND work_type = 'release' THEN 1 ELSE 0 END AS warnings FROM w"""
 
 
 REPLIES = (
@@ -387,7 +424,7 @@ STREAM_STATE = "SELECT user_id, count(*) AS events, count(*) FILTER (event_type
 _SQL = {
     cell_state_latest: CELL_STATE, progress_counts: PROGRESS, resume_batch: RESUME_BATCH, resume_point: RESUME_POINT, transition_guard: TRANSITION_GUARD, bug_cycles: BUG_CYCLES, recurring_failures: RECURRING, numbered_failures: NUMBERED,
     latency_by_task: LATENCY, monitor_window: MONITOR, comment_distribution: COMMENT_DISTRIBUTION, newest_per_key: NEWEST, safety_flags: SAFETY_FLAGS, integrity_antijoin: INTEGRITY, pin_drift: PIN_DRIFT, tool_references: TOOL_REFERENCES,
-    settings_resolution: SETTINGS, merge_preconditions: MERGE, severity_gate: SEVERITY, contract_detection: CONTRACT_DETECTION, backend_policy: BACKEND_POLICY, ticket_sections: TICKET_SECTIONS, reply_parsing: REPLY_PARSING, log_tally: LOG_TALLY,
+    settings_resolution: SETTINGS, merge_preconditions: MERGE, severity_gate: SEVERITY, contract_detection: CONTRACT_DETECTION, backend_policy: BACKEND_POLICY, ticket_sections: TICKET_SECTIONS, parsed_tickets: PARSED_TICKETS, reply_parsing: REPLY_PARSING, log_tally: LOG_TALLY,
     tree_markdown: TREE_MARKDOWN, paragraph_trees: PARAGRAPH_TREES, json_locations: JSON_LOCATIONS, event_lines: EVENT_LINES, scalar_types: SCALAR_TYPES, event_fan_out: FAN_OUT, stream_state: STREAM_STATE, stream_state_batch: STREAM_STATE,
 }
 QUERIES = {f.__name__: f for f in _SQL}

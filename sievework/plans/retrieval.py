@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import fts_safe, line_range, search_terms, ticket_id
-from sievework.operators import graph, ranking
+from sievework.operators import diffs, domains, graph, ranking
 from sievework.operators.integrity import priority_lookup
 from sievework.plans.common import rows, table
 from sievework.session import shared_folder
@@ -276,18 +276,59 @@ def step_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEP_ORDER = "SELECT 's' || k AS step, CASE WHEN k < m - 1 THEN k // 10 + k % 10 END::INT AS level FROM (SELECT s_suppkey AS k, max(s_suppkey) OVER () AS m FROM supplier)"
 
 
+#: Parts of a path, the first that it contains decides.
+RULES = (("/en/", "english"), ("/de/", "german"), ("/fr/", "romance"), ("/es/", "romance"), ("/a", "letters"), ("example", "sample"), ("/", "other"))
+SENSITIVE = ("german",)
+
+
 def module_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    module = F.when(F.contains("url", F.lit("/en/")), "english").when(F.contains("url", F.lit("/de/")), "german").when(F.rlike("url", F.lit("/(fr|es)/")), "romance").otherwise("other")
-    host = F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)
-    by = table(spark, sf_dir, "pages").groupBy(host.alias("host"), module.alias("module")).agg(F.count(F.lit(1)).alias("n"))
-    top = ranking.top_k(by, ["host"], [F.col("n").desc(), F.col("module")], 1)
-    spread = by.groupBy("host").agg(F.count(F.lit(1)).alias("modules"))
-    return top.join(spread, "host").select("host", "module", "n", F.when(F.col("modules") >= 3, "complex").when(F.col("n") > 3, "medium").otherwise("simple").alias("complexity"))
+    """Hosts as changes, whose files are their pages; a host's summary is its name and what its number of pages says."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("id"), F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("path"))
+    ruled = domains.classified(p, rows(spark, "pos int, part string, module string", *((i, *r) for i, r in enumerate(RULES))))
+    n = p.groupBy("id").agg(F.count(F.lit(1)).alias("pages"))
+    summary = F.concat_ws(" ", "id", F.when(F.col("pages") % 5 == 0, "HardFork"), F.when(F.col("pages") % 3 == 0, "a Mutex"))
+    found = domains.domains_of(ruled).join(n, "id")
+    return found.select("id", "primary_domain", F.array_join("domains", ",").alias("domains"), "confidence", domains.complexity(F.col("domains"), summary, SENSITIVE).alias("complexity"))
+
+
+MODULE_CLASSIFY = f"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS id, regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM pages),
+r AS (SELECT DISTINCT id, path, CASE {" ".join(f"WHEN contains(path, '{part}') THEN '{m}'" for part, m in RULES)} END AS module FROM p), n AS (SELECT id, module, count(*) AS n FROM r WHERE module IS NOT NULL GROUP BY id, module),
+d AS (SELECT id, list(module ORDER BY n DESC, module) AS m, max(n) AS top, sum(n) AS total FROM n GROUP BY id), s AS (SELECT id, lower(id) || CASE WHEN count(*) % 5 = 0 THEN ' hardfork' ELSE '' END || CASE WHEN count(*) % 3 = 0 THEN ' mutex' ELSE '' END AS s FROM p GROUP BY id),
+l AS (SELECT s.id, coalesce(m, []) AS m, top, total, s, CASE WHEN coalesce(len(m), 0) >= 3 OR list_contains(coalesce(m, []), 'german') OR regexp_matches(s, 'genesis|hardfork|system contract') THEN 2 WHEN len(m) = 2 THEN 1 ELSE 0 END AS level FROM s LEFT JOIN d USING (id))
+SELECT id, m[1] AS primary_domain, array_to_string(m, ',') AS domains, CASE WHEN len(m) = 1 THEN 'high' WHEN top * 2 >= total THEN 'medium' ELSE 'low' END AS confidence,
+ ['simple', 'moderate', 'complex'][least(2, level + CASE WHEN regexp_matches(s, 'goroutine|race|mutex|concurrent') THEN 1 ELSE 0 END) + 1] AS complexity FROM l"""
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diff for every document: its first half of lines goes from one file, a line is added to it, and all lines make up a new file."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[\r@]", " "), "\n").alias("l"))
+    half = F.floor((F.size("l") + 1) / 2).cast("int")
+    each = lambda sign, lines: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(sign), x)), "\n")
+    old = F.concat(F.lit("diff --git a/x b/x\nindex 1..2\n--- a/src/f"), "doc_id", F.lit(".go\n+++ b/src/f"), "doc_id", F.lit(".go\n@@ -3,"), half, F.lit(" +3 @@ func\n"), each("-", F.slice("l", F.lit(1), half)), F.lit("\n+added wording "), "doc_id")
+    new = F.concat(F.lit("\n--- /dev/null\n+++ b/new/f"), "doc_id", F.lit(".go\n@@ -0,0 +1,"), F.size("l"), F.lit(" @@\n"), each("+", F.col("l")))
+    return d.select("doc_id", F.concat(old, new).alias("diff"))
+
+
+def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diffs.hunks(_diffs(spark, sf_dir), "doc_id", "diff")
+    md5 = lambda c: F.md5(F.encode(c, "UTF-8")).alias(f"{c}_md5")
+    return found.select(F.col("id").alias("doc_id"), "file", "pos", "old_start", "old_lines", "new_start", "new_lines", md5("added"), md5("removed"))
+
+
+_HUNKS = """d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\r@]', ' ', 'g'), chr(10)) AS l FROM documents), d2 AS (SELECT *, (len(l) + 1) // 2 AS half FROM d),
+hunk AS (SELECT doc_id, 'src/f' || doc_id || '.go' AS file, 0 AS pos, 3 AS old_start, half::INT AS old_lines, 3 AS new_start, 1 AS new_lines, 'added wording ' || doc_id AS added, array_to_string(l[1:half], chr(10)) AS removed FROM d2
+ UNION ALL SELECT doc_id, 'new/f' || doc_id || '.go', 1, 0, 0, 1, len(l)::INT, array_to_string(l, chr(10)), '' FROM d2)"""
+DIFF_HUNKS = f"WITH {_HUNKS} SELECT doc_id, file, pos, old_start, old_lines, new_start, new_lines, md5(added) AS added_md5, md5(removed) AS removed_md5 FROM hunk"
+
+
+def change_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hunks that the items of the benchmark are about."""
+    found = diffs.ranked_hunks(queries_of(spark, sf_dir), diffs.hunks(_diffs(spark, sf_dir), "doc_id", "diff"), K)
+    return found.select("query_id", F.col("id").alias("doc_id"), "file", "pos", "score", "rank")
 
 
-MODULE_CLASSIFY = """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, CASE WHEN contains(url, '/en/') THEN 'english' WHEN contains(url, '/de/') THEN 'german' WHEN regexp_matches(url, '/(fr|es)/') THEN 'romance' ELSE 'other' END AS module FROM pages),
-b AS (SELECT host, module, count(*) AS n FROM p GROUP BY host, module), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, module) AS k, count(*) OVER (PARTITION BY host) AS modules FROM b)
-SELECT host, module, n, CASE WHEN modules >= 3 THEN 'complex' WHEN n > 3 THEN 'medium' ELSE 'simple' END AS complexity FROM r WHERE k = 1"""
+CHANGE_HUNKS = f"""WITH {_HUNKS}, hw AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(added || chr(10) || removed), '[a-z]{{4,}}')) AS term FROM hunk), ix AS MATERIALIZED (SELECT doc_id * 2 + pos AS id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY doc_id, pos) AS dl FROM hw GROUP BY doc_id, pos, term),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark), {BM25_CTE} SELECT query_id, id // 2 AS doc_id, CASE id % 2 WHEN 0 THEN 'src/f' ELSE 'new/f' END || (id // 2) || '.go' AS file, (id % 2)::INT AS pos, score, rank FROM bm"""
 
 
 def transition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +342,7 @@ TRANSITION_LOOKUP = "SELECT * FROM (VALUES ('in review', 'In review', 'Waiting',
 _SQL = {
     index_statistics: INDEX_STATISTICS, keyword_topk: KEYWORD_TOPK, bm25_topk: BM25_TOPK, rrf_fusion: RRF, index_update: INDEX_UPDATE, updated_bm25_topk: UPDATED_BM25, vector_topk: VECTOR_TOPK, budget_pack: BUDGET_PACK, budget_cut: BUDGET_CUT, keyword_fallback: KEYWORD_FALLBACK, query_terms: QUERY_TERMS, ticket_ids: TICKET_IDS,
     text_ranges: TEXT_RANGES, graph_callees: GRAPH_CALLEES, graph_callers: GRAPH_CALLERS, graph_subgraph: GRAPH_SUBGRAPH, impact_by_category: IMPACT, kind_limited_impact: KIND_LIMITED, step_order: STEP_ORDER,
-    module_classify: MODULE_CLASSIFY, transition_lookup: TRANSITION_LOOKUP,
+    module_classify: MODULE_CLASSIFY, diff_hunks: DIFF_HUNKS, change_hunks: CHANGE_HUNKS, transition_lookup: TRANSITION_LOOKUP,
 }
 QUERIES = {f.__name__: f for f in _SQL}
 ORACLE = {f.__name__: s for f, s in _SQL.items() if s}
