@@ -40,7 +40,7 @@ NEEDED = {
     "release": ("version", "changes"),
 }
 #: Names of keys in "- key: a, b" lines.
-PAIRS = {"modules": ("모듈", "module", "modules"), "expected_files": ("예상변경파일", "expectedfiles", "files"), "severity": ("심각도", "severity"), "files_or_modules": ("파일", "대상", "files", "modules", "filesormodules", "filesandmodules")}
+PAIRS = {"modules": ("모듈", "module", "modules"), "expected_files": ("예상변경파일", "expectedfiles", "files"), "severity": ("심각도", "severity")}
 STATED = r"(?im)^(?:##[ \t]+(?:작업 유형|work type|타입|type)[ \t]*:|\*\*(?:작업 유형|work type)\*\*[ \t]*:)[ \t]*([^\n]*?)[ \t]*$"
 
 
@@ -85,7 +85,7 @@ def parsed_tickets(tickets: DataFrame) -> DataFrame:
     """
     said = F.regexp_extract(F.coalesce("description", F.lit("")), STATED, 1)
     text = F.lower(F.concat_ws("\n", "summary", "description"))
-    guess = F.when(F.trim(text) == "", "unknown").otherwise("feature")
+    guess = F.when(F.trim(text, F.lit(" \t\r\n")) == "", "unknown").otherwise("feature")
     for kind, words, least in reversed(HINTS):
         guess = F.when(F.regexp_count(text, F.lit(words)) >= least, kind).otherwise(guess)
     known = F.try_element_at(_lookup(KINDS), _plain(said))
@@ -100,8 +100,9 @@ def parsed_tickets(tickets: DataFrame) -> DataFrame:
             return there(a) | there(b)
         if "." in field:
             section, key = field.split(".")
-            named = F.exists("sections", lambda s: (s["key"] == section) & F.exists(s["pairs"], lambda p: (p["key"] == key) & (F.size(p["values"]) > 0)))
-            return named | F.exists("sections", lambda s: (s["key"] == section) & (F.size(s["bullets"]) > 0)) if key == "files_or_modules" else named
+            if key == "files_or_modules":  # whatever is listed
+                return F.exists("sections", lambda s: (s["key"] == section) & (F.size(s["bullets"]) > 0))
+            return F.exists("sections", lambda s: (s["key"] == section) & F.exists(s["pairs"], lambda p: (p["key"] == key) & (F.size(p["values"]) > 0)))
         filled = F.exists("sections", lambda s: (s["key"] == field) & (s["body"] != ""))
         return filled | (F.trim(F.coalesce("summary", F.lit(""))) != "") if field == "summary" else filled
 
