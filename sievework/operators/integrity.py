@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(base: DataFrame, custom: DataFrame, key: str, pos: str, values: tuple[str, ...]) -> DataFrame:
-    """Rows of custom replace those of base by key, in place; new ones follow in their order. pos is numbered anew from 0."""
+def upsert(base: DataFrame, custom: DataFrame, key: str, pos: str, values: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of custom replace those of base by key, in place; new ones follow in their order. pos is numbered anew from 0, within
+    each group of `by`; without groups the list is one, and short."""
     b, c = base.alias("b"), custom.alias("c")
-    both = b.join(c, key, "full")
-    order = Window.orderBy(F.col(f"b.{pos}").asc_nulls_last(), F.col(f"c.{pos}"))
+    both = b.join(c, [*by, key], "full")
+    order = Window.partitionBy(*by).orderBy(F.col(f"b.{pos}").asc_nulls_last(), F.col(f"c.{pos}"))
     pick = [F.when(F.col(f"c.{pos}").isNotNull(), F.col(f"c.{v}")).otherwise(F.col(f"b.{v}")).alias(v) for v in values]
-    return both.select(key, *pick, (F.row_number().over(order) - 1).cast("long").alias(pos))
+    return both.select(*by, key, *pick, (F.row_number().over(order) - 1).cast("long").alias(pos))
 
 
 def override(base: DataFrame, other: DataFrame, key: str, values: tuple[str, ...]) -> DataFrame:

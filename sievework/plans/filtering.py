@@ -135,18 +135,16 @@ ENTROPY_TOKENS = "WITH " + INJECTED_SQL + f", tok AS (SELECT doc_id, unnest({_TO
 
 
 def policy_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = rows(spark, "id string, regex string, action string", *((d.id, d.regex, d.action) for d in DETECTORS))
-    custom = rows(spark, "id string, regex string, action string", ("email_address", "[a-z]+@corp", "redact"), ("badge_number", "B-[0-9]{6}", "warn"), ("case_number", "C-[0-9]{4}", "block"))
-    ordered = lambda df, names: df.join(rows(spark, "id string, pos int", *((n, i) for i, n in enumerate(names))), "id")
-    return upsert(ordered(base, [d.id for d in DETECTORS]), ordered(custom, ["email_address", "badge_number", "case_number"]), "id", "pos", ("regex", "action"))
-
-
-POLICY_UPSERT = (
-    "WITH b(id, regex, action, pos) AS (VALUES " + ", ".join(f"('{d.id}', {quoted(d.regex)}, '{d.action}', {i})" for i, d in enumerate(DETECTORS))
-    + "), c(id, regex, action, pos) AS (VALUES ('email_address', '[a-z]+@corp', 'redact', 0), ('badge_number', 'B-[0-9]{6}', 'warn', 1), ('case_number', 'C-[0-9]{4}', 'block', 2)) "
-    "SELECT coalesce(b.id, c.id) AS id, CASE WHEN c.id IS NULL THEN b.regex ELSE c.regex END AS regex, CASE WHEN c.id IS NULL THEN b.action ELSE c.action END AS action, "
-    "row_number() OVER (ORDER BY b.pos NULLS LAST, c.pos) - 1 AS pos FROM b FULL JOIN c USING (id)"
-)
+    """The rules of every order: its first four lines as they come, and those from the third on as its own, in reverse, for the rules one further up."""
+    li, n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus")), F.col("l_linenumber")
+    rule = lambda k: F.concat(F.lit("rule_"), k).alias("id")
+    base = li.where(n <= 4).select("l_orderkey", rule(n), F.col("l_returnflag").alias("action"), n.cast("int").alias("pos"))
+    own = li.where(n >= 3).select("l_orderkey", rule(n - 1), F.concat(F.lit("own_"), "l_linestatus").alias("action"), (10 - n).cast("int").alias("pos"))
+    return upsert(base, own, "id", "pos", ("action",), by=("l_orderkey",))
+
+
+POLICY_UPSERT = """WITH li AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, 'rule_' || l_linenumber AS id, l_returnflag AS action, l_linenumber AS pos FROM li WHERE l_linenumber <= 4), c AS (SELECT l_orderkey, 'rule_' || (l_linenumber - 1) AS id, 'own_' || l_linestatus AS action, 10 - l_linenumber AS pos FROM li WHERE l_linenumber >= 3)
+SELECT l_orderkey, id, CASE WHEN c.pos IS NULL THEN b.action ELSE c.action END AS action, row_number() OVER (PARTITION BY l_orderkey ORDER BY b.pos NULLS LAST, c.pos) - 1 AS pos FROM b FULL JOIN c USING (l_orderkey, id)"""
 
 
 def email_warnings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,12 +153,14 @@ INTEGRITY = "SELECT 'no_orders' AS problem, c_custkey AS key FROM customer WHERE
 
 
 def pin_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = rows(spark, "agent string, body string", ("planner", "---\nmodel: deep\n---"), ("solver", "name: x\nmodel:   exec\n"), ("writer", "no pin"), ("extra", "model: fast"))
-    pinned = files.select("agent", parsing.pinned_model(F.col("body")).alias("model"))
-    return integrity.drift(rows(spark, "agent string, model string", ("planner", "deep"), ("solver", "deep"), ("writer", "exec"), ("lost", "exec")), pinned, "agent", "model")
+    """Customers as agents: by fives their file has no pin, another one, or theirs; one in seven isn't expected, one in eleven has no file."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    body = F.when(k % 5 == 0, "no pin").when(k % 5 == 1, "name: x\nmodel:   other\n").otherwise(F.concat(F.lit("---\nmodel: "), "c_mktsegment", F.lit("\n---")))
+    pinned = c.where(k % 11 != 0).select("c_custkey", parsing.pinned_model(body).alias("model"))
+    return integrity.drift(c.where(k % 7 != 0).select("c_custkey", F.col("c_mktsegment").alias("model")), pinned, "c_custkey", "model")
 
 
-PIN_DRIFT = "SELECT * FROM (VALUES ('solver', 'differs'), ('writer', 'differs'), ('lost', 'missing'), ('extra', 'unexpected')) t(agent, problem)"
+PIN_DRIFT = """SELECT c_custkey, problem FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'unexpected' WHEN c_custkey % 5 < 2 THEN 'differs' END AS problem FROM customer) WHERE problem IS NOT NULL"""
 
 
 def tool_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,28 +230,27 @@ CONTRACT_DETECTION = "SELECT category, mutants * n AS mutants, before * n AS det
 HEALTH, CALLS, OUTCOMES = ("serviceable", "degraded", "down"), ("get_for_task", "find_callers", "impact_analysis", "concurrency_impact", "semantic_search"), ("ok", "transient", "persistent")
 
 
-def _scenarios(spark: SparkSession) -> DataFrame:
-    """Every health with every outcome of every two calls."""
-    each = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
-    s = spark.range(1).select(each("health", HEALTH))
-    for name, values in (("c1", CALLS), ("o1", OUTCOMES), ("c2", CALLS), ("o2", OUTCOMES)):
-        s = s.select("*", each(name, values))
-    s = s.where("c1 < c2")
-    return s.select(F.concat_ws("|", "health", "c1", "o1", "c2", "o2").alias("id"), "health", F.create_map("c1", "o1", "c2", "o2").alias("calls"))
+def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as runs: their events are calls, of which the last of each kind counts; errors of a high value last."""
+    e, k = _events(spark, sf_dir), F.col("event_id")
+    call = F.element_at(F.array(*map(F.lit, CALLS)), (k % len(CALLS) + 1).cast("int"))
+    outcome = F.when(F.col("event_type") != "error", "ok").when(F.col("value") > 40, "persistent").otherwise("transient")
+    last = e.select("user_id", call.alias("call"), outcome.alias("outcome"), k).groupBy("user_id", "call").agg(F.max_by("outcome", "event_id").alias("outcome"))
+    runs = last.groupBy("user_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("call", "outcome")))).alias("calls"))  # as many as kinds of calls
+    health = F.element_at(F.array(*map(F.lit, HEALTH)), F.when(F.col("user_id") % 9 == 0, 3).when(F.col("user_id") % 9 == 1, 2).otherwise(1))
+    return runs.select(F.col("user_id").alias("id"), health.alias("health"), "calls")
 
 
 def backend_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = gates.backend_decisions(_scenarios(spark))
+    s = gates.backend_decisions(_scenarios(spark, sf_dir))
     return s.select("id", "before", "after", "silent_before", "silent_after", "over_block", F.array_join("missing_after", ",").alias("missing_after"))
 
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
-BACKEND_POLICY = f"""WITH h AS (SELECT unnest({_LIST(HEALTH)}) AS health), c AS (SELECT unnest({_LIST(CALLS)}) AS c), o AS (SELECT unnest({_LIST(OUTCOMES)}) AS o),
-s AS (SELECT health, x.c AS c1, p.o AS o1, y.c AS c2, q.o AS o2 FROM h, c x, o p, c y, o q WHERE x.c < y.c),
-m AS (SELECT *, concat_ws(',', CASE WHEN o1 = 'persistent' AND c1 <> 'semantic_search' THEN c1 END, CASE WHEN o2 = 'persistent' AND c2 <> 'semantic_search' THEN c2 END) AS lost,
- (o1 <> 'ok' AND c1 <> 'semantic_search') OR (o2 <> 'ok' AND c2 <> 'semantic_search') AS shaky FROM s),
-d AS (SELECT *, CASE WHEN health = 'serviceable' THEN 'CLEAN' ELSE 'BLOCKED' END AS before, CASE WHEN health <> 'serviceable' OR contains(lost, 'get_for_task') THEN 'BLOCKED' WHEN lost <> '' THEN 'DEGRADED' ELSE 'CLEAN' END AS after FROM m)
-SELECT concat_ws('|', health, c1, o1, c2, o2) AS id, before, after, before = 'CLEAN' AND shaky AS silent_before, after = 'CLEAN' AND lost <> '' AS silent_after, health = 'serviceable' AND lost = '' AND after <> 'CLEAN' AS over_block, lost AS missing_after FROM d"""
+BACKEND_POLICY = f"""WITH e AS (SELECT user_id, {_LIST(CALLS)}[event_id % 5 + 1] AS c, arg_max(CASE WHEN event_type <> 'error' THEN 'ok' WHEN value > 40 THEN 'persistent' ELSE 'transient' END, event_id) AS o FROM events GROUP BY 1, 2),
+m AS (SELECT user_id AS id, user_id % 9 > 1 AS up, coalesce(string_agg(c, ',' ORDER BY c) FILTER (o = 'persistent' AND c <> 'semantic_search'), '') AS lost, coalesce(bool_or(o <> 'ok') FILTER (c <> 'semantic_search'), false) AS shaky FROM e GROUP BY user_id),
+d AS (SELECT *, CASE WHEN up THEN 'CLEAN' ELSE 'BLOCKED' END AS before, CASE WHEN NOT up OR contains(lost, 'get_for_task') THEN 'BLOCKED' WHEN lost <> '' THEN 'DEGRADED' ELSE 'CLEAN' END AS after FROM m)
+SELECT id, before, after, before = 'CLEAN' AND shaky AS silent_before, after = 'CLEAN' AND lost <> '' AS silent_after, up AND lost = '' AND after <> 'CLEAN' AS over_block, lost AS missing_after FROM d"""
 
 
 def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,11 +320,18 @@ REPLY_PARSING = """SELECT item_id, said, relevant_ids, rpc, relevant, sufficient
 
 
 def log_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "id int, log string", (1, "--- PASS: TestA\n--- FAIL: TestB\ncoverage: 71.5% of statements"), (2, "--- PASS: A\n--- SKIP: B\n"), (3, "WARNING: DATA RACE"), (4, ""))
-    return t.select("id", parsing.test_tally(F.col("log")).alias("t")).select("id", "t.*")
+    """A test log for every order, with a line for each of its lines."""
+    li, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    word = F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "SKIP").otherwise("PASS")
+    line = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "    ").otherwise(""), F.lit("--- "), word, F.lit(": Test"), "l_linenumber", F.lit(" (0.01s)"))
+    logs = li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("log"))
+    extra = F.concat("log", F.when(k % 13 == 0, "\nWARNING: DATA RACE").otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("\ncoverage: "), k % 100, F.lit(".5% of statements"))).otherwise(""))
+    return logs.select("l_orderkey", parsing.test_tally(extra).alias("t")).select("l_orderkey", "t.*")
 
 
-LOG_TALLY = "SELECT * FROM (VALUES (1, 1, 1, 0, false, 71.5::DOUBLE, 'FAIL'), (2, 1, 0, 1, false, NULL, 'PASS'), (3, 0, 0, 0, true, NULL, 'FAIL'), (4, 0, 0, 0, false, NULL, 'UNKNOWN')) t(id, passed, failed, skipped, race, coverage, status)"
+LOG_TALLY = """WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag NOT IN ('R', 'A')) AS passed, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_returnflag = 'A') AS skipped FROM lineitem GROUP BY l_orderkey)
+SELECT *, l_orderkey % 13 = 0 AS race, CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey % 100 + 0.5 END::DOUBLE AS coverage, CASE WHEN failed > 0 OR l_orderkey % 13 = 0 THEN 'FAIL' WHEN passed > 0 THEN 'PASS' ELSE 'UNKNOWN' END AS status FROM c"""
+
 
 def _node(kind: str, *children: object, **attrs: object) -> dict:
     return {"type": kind, "content": list(children)} | ({"attrs": attrs} if attrs else {})
@@ -380,11 +388,17 @@ PARAGRAPH_TREES = "SELECT item_id, md5(trim(text, ' ')) AS text_md5 FROM benchma
 
 
 def json_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "id int, j string", (1, '{"hits": [{"file": "a", "start_line": 1, "end_line": 2, "more": {"file": "b"}}], "x": {"file": "c", "start_line": 9}}'), (2, "not json"))
-    return parsing.collected_locations(t, "id", "j")
+    """Hits for every order, one for each line with another place inside; one order in ten has no JSON."""
+    li = table(spark, sf_dir, "lineitem")
+    inner = F.struct(F.array(F.struct(F.concat(F.lit("s"), "l_suppkey").alias("file"), F.lit("x").alias("start_line"))).alias("near"))
+    hit = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("p"), "l_partkey").alias("file"), F.col("l_linenumber").alias("start_line"), F.when(F.col("l_linenumber") != 2, F.col("l_linenumber") + 5).alias("end_line"), inner.alias("more"))
+    o = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    text = F.when(F.col("l_orderkey") % 10 == 0, "not json").otherwise(F.to_json(F.struct("hits", F.lit(1).alias("x"))))
+    return parsing.collected_locations(o.select("l_orderkey", text.alias("j")), "l_orderkey", "j")
 
 
-JSON_LOCATIONS = "SELECT * FROM (VALUES (1, 0, 'a', 1, 2), (1, 1, 'b', NULL, NULL), (1, 2, 'c', 9, NULL)) t(id, pos, file, start_line, end_line)"
+JSON_LOCATIONS = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey, 's' || l_suppkey) - 1 AS i FROM lineitem WHERE l_orderkey % 10 <> 0)
+SELECT l_orderkey, (2 * i)::INT AS pos, 'p' || l_partkey AS file, l_linenumber AS start_line, CASE WHEN l_linenumber <> 2 THEN l_linenumber + 5 END AS end_line FROM l UNION ALL SELECT l_orderkey, (2 * i + 1)::INT, 's' || l_suppkey, NULL, NULL FROM l"""
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,11 +410,14 @@ EVENT_LINES = "SELECT (props->>'k')::INT AS k, count(*) AS n FROM events WHERE e
 
 
 def scalar_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rows(spark, "id int, v string", (1, "null"), (2, "~"), (3, "True"), (4, "12"), (5, "1.5"), (6, "abc"), (7, ""))
-    return t.select("id", typed_scalar(F.col("v")).alias("t")).select("id", "t.*")
+    """By sevens a word for nothing, a flag, a whole number, another number, a text, or nothing, of every order."""
+    k = F.col("o_orderkey")
+    v = F.element_at(F.array(F.lit("null"), F.lit("~"), F.when(k % 2 == 0, "True").otherwise("false"), k.cast("string"), F.concat(k % 100, F.lit(".5")), F.col("o_orderpriority"), F.lit("")), (k % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", typed_scalar(v).alias("t")).select("o_orderkey", "t.*")
 
 
-SCALAR_TYPES = "SELECT id, kind, b, i::BIGINT AS i, d, s FROM (VALUES (1, 'null', NULL, NULL, NULL, NULL), (2, 'null', NULL, NULL, NULL, NULL), (3, 'bool', true, NULL, NULL, NULL), (4, 'int', NULL, 12, NULL, NULL), (5, 'float', NULL, NULL, 1.5::DOUBLE, NULL), (6, 'str', NULL, NULL, NULL, 'abc'), (7, 'null', NULL, NULL, NULL, NULL)) t(id, kind, b, i, d, s)"
+SCALAR_TYPES = """SELECT o_orderkey, ['null', 'null', 'bool', 'int', 'float', 'str', 'null'][o_orderkey % 7 + 1] AS kind, CASE WHEN o_orderkey % 7 = 2 THEN o_orderkey % 2 = 0 END AS b, CASE WHEN o_orderkey % 7 = 3 THEN o_orderkey END AS i,
+ CASE WHEN o_orderkey % 7 = 4 THEN o_orderkey % 100 + 0.5 END::DOUBLE AS d, CASE WHEN o_orderkey % 7 = 5 THEN o_orderpriority END AS s FROM orders"""
 
 
 def event_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -494,7 +494,7 @@ DETECTION_RATES = "SELECT * FROM (VALUES ('clean', 0.0, 0.0, 0.0, 0), ('hard', 0
 def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.plans.lifecycle import _scenarios
 
-    return gates.decision_counts(gates.backend_decisions(_scenarios(spark)))
+    return gates.decision_counts(gates.backend_decisions(_scenarios(spark, sf_dir)))
 
 
 DECISION_COUNTS = f"SELECT count(*) AS scenarios, count(*) FILTER (silent_before) AS silent_before, count(*) FILTER (silent_after) AS silent_after, count(*) FILTER (after = 'BLOCKED') AS blocked_after, count(*) FILTER (after = 'DEGRADED') AS degraded_after, count(*) FILTER (over_block) AS over_block FROM ({BACKEND_POLICY})"

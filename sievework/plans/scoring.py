@@ -23,8 +23,10 @@ RESPONSES = (
 PRICES = (("deep", "15", "75", "18.75", "1.50"), ("exec", "3", "15", "3.75", "0.30"))
 
 
-def _responses(spark: SparkSession) -> DataFrame:
-    return parse_responses(rows(spark, "id int, text string", *RESPONSES), "text")
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of the replies for every document."""
+    reply = F.element_at(F.array(*(F.lit(t) for _, t in RESPONSES)), (F.pmod("doc_id", F.lit(len(RESPONSES))) + 1).cast("int"))
+    return parse_responses(table(spark, sf_dir, "documents").select("doc_id", reply.alias("text")), "text")
 
 
 def page_url_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +62,12 @@ CITATION_JSON = "SELECT o_orderkey, 'src/' || o_orderstatus || '.go' AS file, (o
 
 def parse_mode_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.transform("citations", lambda c: F.concat_ws(":", c["file"], c["start_line"], c["end_line"]))
-    return _responses(spark).select("id", "parse_mode", F.coalesce("answer", F.lit("")).alias("answer"), F.array_join(shown, ",").alias("cited"))
+    return _responses(spark, sf_dir).select("doc_id", "parse_mode", F.coalesce("answer", F.lit("")).alias("answer"), F.array_join(shown, ",").alias("cited"))
 
 
-PARSE_MODE_MIX = """SELECT * FROM (VALUES (1, 'strict', 'In the pool.', 'core/pool.go:12:20'), (2, 'lenient', 'See below', 'core/tx/list.go:45:67'),
+PARSE_MODE_MIX = """SELECT doc_id, parse_mode, answer, cited FROM documents JOIN (VALUES (1, 'strict', 'In the pool.', 'core/pool.go:12:20'), (2, 'lenient', 'See below', 'core/tx/list.go:45:67'),
 (3, 'lenient', 'It is in consensus/core/round.go:45 and eth/handler.go lines 7-9, consensus/core/round.go:45 again', 'consensus/core/round.go:45:45,eth/handler.go:7:9'),
-(4, 'failed', '', ''), (5, 'failed', '', ''), (6, 'lenient', 'x', ''), (7, 'lenient', '} {"citations": [{"file": "a/b.py", "start_line": 3}]}', 'a/b.py'), (8, 'failed', '', '')) t(id, parse_mode, answer, cited)"""
+(4, 'failed', '', ''), (5, 'failed', '', ''), (6, 'lenient', 'x', ''), (7, 'lenient', '} {"citations": [{"file": "a/b.py", "start_line": 3}]}', 'a/b.py'), (8, 'failed', '', '')) t(id, parse_mode, answer, cited) ON doc_id % 8 + 1 = id"""
 
 
 def location_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,11 +238,16 @@ USAGE_FALLBACK = """SELECT conv_id, sum(CASE WHEN conv_id % 3 = 0 THEN length(co
 
 
 def price_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = rows(spark, "model string, input string, output string, cache_write string, cache_read string", ("exec", "4", "16", "5", "0.4"), ("fast", "1", "5", "1.25", "0.10"), ("_comment", "0", "0", "0", "0"))
-    return integrity.override(_prices(spark), other, "model", usage.BUCKETS)
+    """A price list with an entry for each part; every third one has another, every fifth of these is new, and some are comments."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    price = lambda x: [(x + i).cast("string").alias(b) for i, b in enumerate(usage.BUCKETS)]
+    base = p.where(k % 15 != 0).select(F.concat(F.lit("m"), k).alias("model"), *price(k))
+    name = F.when(k % 4 == 1, F.concat(F.lit("_m"), k)).otherwise(F.concat(F.lit("m"), k)).alias("model")
+    return integrity.override(base, p.where(k % 3 == 0).select(name, *price(F.col("p_size"))), "model", usage.BUCKETS)
 
 
-PRICE_OVERRIDE = "SELECT * FROM (VALUES ('deep', '15', '75', '18.75', '1.50'), ('exec', '4', '16', '5', '0.4'), ('fast', '1', '5', '1.25', '0.10')) t(model, input, output, cache_write, cache_read)"
+PRICE_OVERRIDE = """WITH x AS (SELECT *, p_partkey % 3 = 0 AND p_partkey % 4 <> 1 AS other FROM part WHERE p_partkey % 15 <> 0 OR p_partkey % 4 <> 1), y AS (SELECT p_partkey, CASE WHEN other THEN p_size ELSE p_partkey END AS v FROM x)
+SELECT 'm' || p_partkey AS model, v::VARCHAR AS input, (v + 1)::VARCHAR AS output, (v + 2)::VARCHAR AS cache_write, (v + 3)::VARCHAR AS cache_read FROM y"""
 
 
 def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
