@@ -130,11 +130,17 @@ def error_envelope(code: Column, message: Column) -> Column:
     return F.struct(code.alias("error"), message.alias("message"), (code != "AUTH_FAILED").alias("recoverable"))
 
 
-def step_progress(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Per step: when it started first and was completed last, and its commits, each once and sorted."""
+def step_progress(events: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Per step: when it started first and was completed last, and its commits, each once and sorted; with an order, also its
+    status and last checkpoint, which completion clears (events: kind, at, commit, checkpoint)."""
+    more = []
+    if order:
+        at = F.struct(*order)
+        told = F.col("checkpoint").isNotNull() | (F.col("kind") == "completed")
+        more = [F.max_by("kind", at).alias("status"), F.max_by("checkpoint", F.when(told, at)).alias("checkpoint")]
     return events.groupBy(*keys).agg(
         F.min(F.when(F.col("kind") == "started", F.col("at"))).alias("started"), F.max(F.when(F.col("kind") == "completed", F.col("at"))).alias("completed"),
-        F.array_join(F.sort_array(F.collect_set("commit")), ",").alias("commits"),
+        F.array_join(F.sort_array(F.collect_set("commit")), ",").alias("commits"), *more,
     )
 
 

@@ -166,11 +166,12 @@ ERROR_ENVELOPES = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'AUTH_FAILED
 
 def step_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    e = li.select("l_orderkey", F.when(F.col("l_linestatus") == "F", "completed").otherwise("started").alias("kind"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"), F.concat(F.lit("c"), F.col("l_suppkey") % 3).alias("commit"))
-    return checks.step_progress(e, ["l_orderkey"])
+    e = li.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linestatus") == "F", "completed").otherwise("started").alias("kind"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"), F.concat(F.lit("c"), F.col("l_suppkey") % 3).alias("commit"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("at "), "l_partkey")).alias("checkpoint"))
+    return checks.step_progress(e, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("kind"), F.col("at")])
 
 
-STEP_PROGRESS = """SELECT l_orderkey, min(strftime(l_shipdate, '%Y-%m-%d')) FILTER (l_linestatus <> 'F') AS started, max(strftime(l_shipdate, '%Y-%m-%d')) FILTER (l_linestatus = 'F') AS completed, array_to_string(list_sort(list_distinct(list('c' || (l_suppkey % 3)))), ',') AS commits FROM lineitem GROUP BY l_orderkey"""
+STEP_PROGRESS = """WITH e AS (SELECT *, l_linestatus = 'F' AS done, strftime(l_shipdate, '%Y-%m-%d') AS day, {'n': l_linenumber, 'p': l_partkey, 'k': CASE WHEN l_linestatus = 'F' THEN 'completed' ELSE 'started' END, 'a': strftime(l_shipdate, '%Y-%m-%d')} AS o, CASE WHEN l_suppkey % 2 = 0 THEN 'at ' || l_partkey ELSE '' END AS c FROM lineitem)
+SELECT l_orderkey, min(day) FILTER (NOT done) AS started, max(day) FILTER (done) AS completed, array_to_string(list_sort(list_distinct(list('c' || (l_suppkey % 3)))), ',') AS commits, arg_max(o.k, o) AS status, nullif(arg_max(c, o) FILTER (c <> '' OR done), '') AS checkpoint FROM e GROUP BY l_orderkey"""
 
 
 def idempotent_init(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from sievework.functions.detectors import DETECTORS, MAX_SCAN_BYTES, TOKEN, Dete
 from sievework.functions.text import shannon_entropy
 from sievework.operators.integrity import upsert
 from sievework.operators.spans import drop_blocked, merge_metadata, scan, scan_and_filter, scan_counts, worth_searching
-from sievework.plans.common import INJECTED_SQL, injected, quoted, rows, table
+from sievework.plans.common import INJECTED_SQL, injected, quoted, table
 
 RULES = tuple(d for d in DETECTORS if d.type != "entropy")
 ENTROPY = next(d for d in DETECTORS if d.type == "entropy")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from sievework.operators import gates, integrity, lifecycle, parsing, rollup, ti
 from sievework.operators.spans import scan_and_filter
 from sievework.functions.detectors import Policy
 from sievework.plans.common import injected, rows, table
+from sievework.session import shared_folder
 from sievework.sources.readers import safe_json_lines, typed_scalar
-from sievework.streaming.state import batch_states, stream_states
+from sievework.streaming.failures import batch_failure_log, stream_failure_log
+from sievework.streaming.state import batch_states, files_stream, stream_states
 
 STATUS = {"view": "pending", "click": "running", "purchase": "done", "error": "failed", "signup": "running"}
 ALLOWED = {"view": ("view", "click"), "click": ("view", "purchase", "error"), "purchase": ("view",), "error": ("click", "signup"), "signup": ("view",)}
@@ -96,10 +99,49 @@ RECURRING = """SELECT 'user <n> at <hex> type <n>' || CASE WHEN event_id % 3 = 0
 
 
 def numbered_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.numbered(_events(spark, sf_dir).where("event_type = 'error'").withColumn("log", F.lit("all")), ["log"], [F.col("ts"), F.col("event_id")]).select("event_id", "fail_id")
+    return lifecycle.numbered(_events(spark, sf_dir).where("event_type = 'error'"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("event_id", "fail_id")
 
 
-NUMBERED = "SELECT event_id, 'fail-' || repeat('0', greatest(0, 3 - length(n::VARCHAR))::INT) || n AS fail_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error')"
+NUMBERED = "SELECT event_id, 'fail-' || repeat('0', greatest(0, 3 - length(n::VARCHAR))::INT) || n AS fail_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error')"
+
+
+def _failures(events: DataFrame) -> DataFrame:
+    summary = F.concat(F.lit("Nil pointer in pool.go:"), F.col("event_id") % 1000, F.when(F.col("event_id") % 3 == 0, " at 0xAB12").when(F.col("event_id") % 3 == 1, " again"))
+    return events.where("event_type IN ('error', 'click')").select(F.col("user_id").cast("string").alias("ticket"), "event_id", F.when(F.col("value") > 40, "EVALUATION").otherwise("DESIGN").alias("state"), F.col("event_type").alias("kind"), summary.alias("summary"))
+
+
+def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_failure_log(_failures(_events(spark, sf_dir)))
+
+
+def streamed_failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log, from a stream of the table's files."""
+    stream = files_stream(spark, f"{sf_dir}/events.parquet")
+    return stream_failure_log(spark, _failures(stream), f"{shared_folder(spark)}/failures-{uuid.uuid4().hex}")
+
+
+FAILURE_LOG = """WITH f AS (SELECT user_id::VARCHAR AS ticket, event_id, CASE WHEN value > 40 THEN 'EVALUATION' ELSE 'DESIGN' END AS state, event_type AS kind, CASE event_id % 3 WHEN 0 THEN 'nil pointer in pool.go:<n> at <hex>' WHEN 1 THEN 'nil pointer in pool.go:<n> again' ELSE '' END AS pattern FROM events WHERE event_type IN ('error', 'click')),
+n AS (SELECT *, row_number() OVER (PARTITION BY ticket ORDER BY event_id) AS total, row_number() OVER (PARTITION BY ticket, pattern ORDER BY event_id) AS occurrences, row_number() OVER (PARTITION BY ticket, state ORDER BY event_id) AS in_state, row_number() OVER (PARTITION BY ticket, kind ORDER BY event_id) AS of_kind FROM f)
+SELECT ticket, event_id, 'fail-' || repeat('0', greatest(0, 3 - length(total::VARCHAR))::INT) || total AS fail_id, pattern, occurrences, occurrences > 1 AS recurring, in_state, of_kind, total FROM n"""
+
+
+def resume_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as workspaces: their lines are steps, files and stages."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    state = F.element_at(F.array(*map(F.lit, ("IMPLEMENTATION", "ANALYSIS", "PLANNING", "DESIGN", "EVALUATION", "BLOCKED"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    key = F.col("l_orderkey").alias("ticket")
+    steps = li.select(key, F.col("l_linenumber").alias("step_id"), F.when(F.col("l_linestatus") == "F", "completed").otherwise("in_progress").alias("status"), F.concat(F.lit("at "), "l_partkey").alias("checkpoint"))
+    name = F.element_at(F.array(*map(F.lit, ("analysis.md", "plan.md", "design-v2.md", "design-changelog.md", "notes.md"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    stage = F.element_at(F.array(*map(F.lit, lifecycle.EVALUATION_STAGES)), (F.col("l_partkey") % 4 + 1).cast("int"))
+    found = lifecycle.resume_details(o.select(F.col("o_orderkey").alias("ticket"), state.alias("state")), steps, li.select(key, name.alias("name")), li.where("l_linenumber > 4").select(key, stage.alias("stage")))
+    return found
+
+
+RESUME_DETAILS = """WITH w AS (SELECT o_orderkey AS ticket, ['IMPLEMENTATION', 'ANALYSIS', 'PLANNING', 'DESIGN', 'EVALUATION', 'BLOCKED'][o_orderkey % 6 + 1] AS state FROM orders), s AS (SELECT l_orderkey AS ticket, min({'i': l_linenumber, 'c': 'at ' || l_partkey}) AS s FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1),
+a AS (SELECT l_orderkey AS ticket, bool_or(l_partkey % 5 = 0) AS a, bool_or(l_partkey % 5 = 1) AS p, bool_or(l_partkey % 5 = 2) AS d, bool_or(l_partkey % 5 = 3) AS r FROM lineitem GROUP BY 1), e AS (SELECT l_orderkey AS ticket, max(l_partkey % 4 + 1) AS e FROM lineitem WHERE l_linenumber > 4 GROUP BY 1)
+SELECT w.ticket, state, CASE WHEN state = 'IMPLEMENTATION' THEN s.s.i END AS step_id, CASE WHEN state = 'IMPLEMENTATION' THEN s.s.c END AS checkpoint,
+ CASE state WHEN 'ANALYSIS' THEN CASE WHEN a THEN 'partial' ELSE 'fresh' END WHEN 'PLANNING' THEN CASE WHEN p THEN 'partial' ELSE 'fresh' END WHEN 'DESIGN' THEN CASE WHEN d AND NOT r THEN 'review_pending' WHEN d THEN 'partial' ELSE 'fresh' END END AS sub_status,
+ CASE WHEN state = 'EVALUATION' THEN ['unit_test', 'lint', 'security', 'chainbench'][e] END AS last_stage, CASE WHEN state = 'EVALUATION' THEN ['unit_test', 'lint', 'security', 'chainbench'][coalesce(e, 0) + 1] END AS next_stage FROM w LEFT JOIN s USING (ticket) LEFT JOIN a USING (ticket) LEFT JOIN e USING (ticket)"""
 
 
 def latency_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,7 +481,7 @@ def stream_state_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_STATE = "SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS failures, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id"
 
 _SQL = {
-    cell_state_latest: CELL_STATE, progress_counts: PROGRESS, resume_batch: RESUME_BATCH, resume_point: RESUME_POINT, transition_guard: TRANSITION_GUARD, bug_cycles: BUG_CYCLES, recurring_failures: RECURRING, numbered_failures: NUMBERED,
+    cell_state_latest: CELL_STATE, progress_counts: PROGRESS, resume_batch: RESUME_BATCH, resume_point: RESUME_POINT, transition_guard: TRANSITION_GUARD, bug_cycles: BUG_CYCLES, recurring_failures: RECURRING, numbered_failures: NUMBERED, failure_log: FAILURE_LOG, streamed_failure_log: FAILURE_LOG, resume_details: RESUME_DETAILS,
     latency_by_task: LATENCY, monitor_window: MONITOR, comment_distribution: COMMENT_DISTRIBUTION, newest_per_key: NEWEST, safety_flags: SAFETY_FLAGS, integrity_antijoin: INTEGRITY, pin_drift: PIN_DRIFT, tool_references: TOOL_REFERENCES,
     settings_resolution: SETTINGS, merge_preconditions: MERGE, severity_gate: SEVERITY, contract_detection: CONTRACT_DETECTION, backend_policy: BACKEND_POLICY, ticket_sections: TICKET_SECTIONS, parsed_tickets: PARSED_TICKETS, reply_parsing: REPLY_PARSING, log_tally: LOG_TALLY,
     tree_markdown: TREE_MARKDOWN, paragraph_trees: PARAGRAPH_TREES, json_locations: JSON_LOCATIONS, event_lines: EVENT_LINES, scalar_types: SCALAR_TYPES, event_fan_out: FAN_OUT, stream_state: STREAM_STATE, stream_state_batch: STREAM_STATE,

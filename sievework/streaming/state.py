@@ -19,19 +19,23 @@ def batch_states(events: DataFrame) -> DataFrame:
     return _fold(events)
 
 
+def files_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a Parquet table, a file or a folder, as a stream: a file a micro-batch."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)
+    if files.getFileStatus(where).isFile():  # a stream watches a folder
+        return reader.option("pathGlobFilter", where.getName()).parquet(str(where.getParent()))
+    return reader.parquet(path)
+
+
 def stream_states(spark: SparkSession, path: str) -> DataFrame:
     """The fold over all files at path as a stream: micro-batches of a file until none is left, state in the shared folder.
 
     Every batch writes the keys that changed, with the batch's number; the result is each key's last version.
     """
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)
-    if files.getFileStatus(where).isFile():  # a stream watches a folder
-        stream = reader.option("pathGlobFilter", where.getName()).parquet(str(where.getParent()))
-    else:
-        stream = reader.parquet(path)
+    stream = files_stream(spark, path)
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("version", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
