@@ -3,7 +3,7 @@
 A source's target is whole epochs plus a rest. The rest is fitted on the histogram of
 its documents' lengths alone: a proportional number of documents of each length, then
 longer ones until a bounded budget is left, to which bounded-knapsack dynamic
-programming finds the nearest sum, below or above. Which documents of a length are
+programming finds the nearest sum, below or above; where that misses, over more or all documents. Which documents of a length are
 taken is decided by a seeded hash.
 """
 
@@ -61,23 +61,38 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 def fit(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
     """How many documents of each size to take so that their sizes sum to rest, or as near to it as can be found.
 
-    A proportional number of each size and then longer ones first leave a gap. If it is over KNAPSACK, every document
-    left is longer than the gap, and the nearest is none or one of the shortest. Else all sums of the others up to
-    twice the gap are known to the dynamic programme; no sum beyond that is nearer than none. Of two sums as near,
-    the smaller is taken.
+    A proportional number of each size is taken, and the nearest sum of the others added. Where that misses rest, more
+    are kept for the sums: all documents where rest, or what is left out, is KNAPSACK words at most, so that the result is
+    the nearest of all sums; else the proportional part ends half of KNAPSACK before rest. Of two sums as near, the smaller is taken.
     """
-    taken = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
     if rest <= 0 or total <= 0:
-        return taken
+        return np.zeros(len(sizes), np.int64)
     if rest >= total:
         return counts.copy()
-    taken = counts * rest // total if total < 2**31 else np.array([int(c) * rest // total for c in counts.tolist()], np.int64)
-    taken[sizes == 0] = 0
+    some = np.where(sizes > 0, counts, 0)
+    sum_of = lambda taken: int((sizes * taken).sum())
+    found = [proportional(sizes, some, rest, rest)]
+    if sum_of(found[0]) != rest:
+        if rest <= KNAPSACK:
+            found.append(nearest_sum(sizes, some, rest))
+        elif total - rest <= KNAPSACK:
+            found.append(some - nearest_sum(sizes, some, total - rest, larger=True))
+        else:
+            found.append(proportional(sizes, some, rest, rest - KNAPSACK // 2))
+    return min(found, key=lambda taken: (abs(sum_of(taken) - rest), sum_of(taken)))
+
+
+def proportional(sizes: np.ndarray, counts: np.ndarray, rest: int, first: int) -> np.ndarray:
+    """Shares of each size for the sum first, then longer ones until KNAPSACK is left at most, then the nearest sum of the others.
+
+    If every document left is longer than a gap over KNAPSACK, the nearest is none or one of the shortest.
+    """
+    total = int((sizes * counts).sum())
+    taken = counts * first // total if total < 2**31 else np.array([int(c) * first // total for c in counts.tolist()], np.int64)
     left = rest - int((sizes * taken).sum())
-    spare = np.where(sizes > 0, counts - taken, 0)
-    longest_first = np.argsort(-sizes, kind="stable").tolist()
-    for i in longest_first:
+    spare = counts - taken
+    for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
         if left <= KNAPSACK or not s:
             break
@@ -89,16 +104,25 @@ def fit(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
         shortest = int(np.flatnonzero(spare > 0)[np.argmin(sizes[spare > 0])])  # rest < total: some are left
         taken[shortest] += int(sizes[shortest]) - left < left
         return taken
-    most = 2 * left
+    return taken + nearest_sum(sizes, spare, left)
+
+
+def nearest_sum(sizes: np.ndarray, counts: np.ndarray, goal: int, larger: bool = False) -> np.ndarray:
+    """Numbers of documents of each size, up to counts, whose sum is nearest to goal; of two as near the smaller, or the larger.
+
+    Bounded-knapsack dynamic programming over all sums up to twice the goal: no sum beyond is nearer than none.
+    """
+    taken = np.zeros(len(sizes), np.int64)
+    most = 2 * goal
     by = np.full(most + 1, -1, np.int32)  # the item that first reached a sum
     reach = np.zeros(most + 1, bool)
     reach[0] = True
     items: list[tuple[int, int]] = []
-    for i in longest_first:
-        s, k = int(sizes[i]), int(spare[i])
-        if not k or s > most:
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        s, k = int(sizes[i]), int(counts[i])
+        if not k or not s or s > most:
             continue
-        if reach[left]:
+        if reach[goal]:
             break
         k, step = min(k, most // s), 1
         while k > 0:  # 1, 2, 4, ... copies: any number up to k is a sum of these
@@ -109,7 +133,8 @@ def fit(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
             reach[new] = True
             items.append((i, n))
     sums = np.flatnonzero(reach)
-    at = int(sums[np.argmin(np.abs(sums - left))])
+    off = np.abs(sums - goal)
+    at = int(sums[np.flatnonzero(off == off.min())[-1 if larger else 0]])
     while at:
         i, n = items[by[at]]
         taken[i] += n
@@ -155,7 +180,8 @@ def mix_sources(
     plan, _ = stored(fitted, "mix-plan")
     # documents of one source and size in about as many buckets of the hash as a bucket has documents
     chance = F.xxhash64(F.lit(seed), F.col("id"))
-    joined = sized.join(plan, same(sized, plan, "source", "size")).select(sized["id"], sized["source"], sized["size"], sized["tag"], "n", "source_size", "target", "epochs", "extra").withColumn("chance", chance)
+    # no broadcast: the plan has a row for each source and size, which grow with the documents
+    joined = sized.join(plan.hint("merge"), same(sized, plan, "source", "size")).select(sized["id"], sized["source"], sized["size"], sized["tag"], "n", "source_size", "target", "epochs", "extra").withColumn("chance", chance)
     buckets = F.when(F.col("n") > 64, F.ceil(F.sqrt("n"))).otherwise(1).cast("long")
     spread = joined.withColumn("bucket", F.pmod(F.shiftrightunsigned("chance", 11), buckets)).repartition(partitions(spark), "source", "size", "bucket")
     in_bucket = Window.partitionBy("source", "size", "bucket").orderBy("chance", F.col("id").asc_nulls_last(), "tag")
@@ -165,7 +191,7 @@ def mix_sources(
     counts = per_bucket.select("source", "size", "bucket", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
     copies = F.col("epochs") + F.when(F.col("rank") + F.col("before") <= F.col("extra"), 1).otherwise(0)
     return (
-        ranked.join(counts, same(ranked, counts, "source", "size", "bucket"))
+        ranked.join(counts.hint("merge"), same(ranked, counts, "source", "size", "bucket"))
         .select(ranked["id"].alias(id_col), ranked["source"].alias(source_col), ranked["size"], "source_size", "target", copies.cast("int").alias("copies"), "tag")
         .withColumn("taken", F.col("size") * F.col("copies"))
     )

@@ -308,12 +308,9 @@ def test_mix_of_equal_lengths_and_nothing(spark):
 
 
 def nearest(sizes, counts, rest):
-    """Distance to rest of the best sum: a proportional start, then all subset sums of the others."""
-    total = int((sizes * counts).sum())
-    start = counts * rest // total
-    start[sizes == 0] = 0
-    reach = {int((sizes * start).sum())}
-    for s, c in zip(sizes.tolist(), (counts - start).tolist(), strict=True):
+    """Distance to rest of the best of all subset sums."""
+    reach = {0}
+    for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
         reach = {r + k * s for r in reach for k in range(c + 1)}
     return min(abs(r - rest) for r in reach)
 
@@ -329,6 +326,26 @@ def test_fit_is_a_best_subset_sum(histogram, share):
     assert abs(int((sizes * taken).sum()) - rest) == (nearest(sizes, counts, rest) if rest else 0)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 12), min_size=1, max_size=8), st.integers(1, 99), st.integers(5, 60))
+def test_fit_beyond_the_programme(histogram, share, most):
+    """With a small budget for sums: the best where rest or what is left out fits into it, and never worse than by proportional numbers."""
+    sizes, counts = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)])
+    total = int((sizes * counts).sum())
+    rest, full = total * share // 100, mixing.KNAPSACK
+    mixing.KNAPSACK = most
+    try:
+        taken = mixing.fit(sizes, counts, rest)
+        off = abs(int((sizes * taken).sum()) - rest)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        if rest and min(rest, total - rest) <= most:
+            assert off == nearest(sizes, counts, rest)
+        elif rest:
+            assert off <= abs(int((sizes * mixing.proportional(sizes, counts, rest, rest)).sum()) - rest)
+    finally:
+        mixing.KNAPSACK = full
+
+
 def test_fit_passes_a_target_that_is_nearer_above():
     fit = lambda sizes, counts, rest: int((np.array(sizes) * mixing.fit(np.array(sizes), np.array(counts), rest)).sum())
     assert fit([1000], [1], 999) == 1000 and fit([1000], [1], 499) == 0 and fit([1000], [1], 500) == 0
