@@ -67,6 +67,11 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, st
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written() -> set[str]:
+    """Paths of the tables that `stored` has written and nothing has removed."""
+    return set(_written)
+
+
 _owner: list[str] = []
 _held: list[Callable[[], None]] = []
 

@@ -3,11 +3,15 @@
 import random
 import sys
 import zlib
+from collections import Counter
 
 import corpus_pipeline as cp
+import numpy as np
+from sievework.llm import common
 from sievework.llm.quality import score_quality, train_quality
 from tests.llm.helpers import DDL, ROWS, components, documents, words
 from tests.llm.test_classifiers import quality_rows
+from tests.llm.test_tokens import library
 
 
 def corpus():
@@ -30,6 +34,15 @@ def packed(t):
     return "".join((t or "").split(" ")).translate({9: None, 10: None, 11: None, 12: None, 13: None})
 
 
+def pieces_of(doc, text):
+    """Pieces of a document, as the library gives its ids: as many of 2048 as fit, then smaller powers of two."""
+    ids, start = library("word_bpe_49k.json")(text, 1), 0
+    n = len(ids)
+    for size in [2048] * (n // 2048) + [1 << b for b in range(10, -1, -1) if n % 2048 >> b & 1]:
+        yield doc, start, size, zlib.crc32(np.array(ids[start : start + size], "<u4").tobytes()), n
+        start += size
+
+
 def test_stages(spark, tmp_path):
     sf = str(tmp_path)
     rows = write(spark, sf)
@@ -60,11 +73,13 @@ def test_stages(spark, tmp_path):
             assert abs(sum(len(words(r[1])) for r in after) - 1.5 * size) < 10
             assert max(after.count(r) for r in after) <= 2 * max(before.count(r) for r in before)
         else:
-            tokens = sum(r[columns_of(out, "length")] for r in after)
-            assert tokens > 0 and len({r[columns_of(out, "sequence_id")] for r in after}) == len(after)
+            assert len({r[columns_of(out, "sequence_id")] for r in after}) == len(after)
+            assert Counter(r[:5] for r in map(tuple, out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) == Counter(p for r in before for p in pieces_of(r[0], r[1]))
         docs = out
     pieces = [c for c in docs.columns if c != "sequence_id"]  # which tells the files' places too
+    others = common.written()
     again = cp.run(spark, sf)
+    assert len(common.written() - others) == 1  # what the last stage reads
     assert sorted(map(str, docs.select(*pieces).collect())) == sorted(map(str, again.select(*pieces).collect()))
     assert again.select("sequence_id").distinct().count() == len(after)
 
