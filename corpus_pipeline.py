@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import stored
+from sievework.llm.common import remove, stored, written
 from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.mixing import mix_sources
 from sievework.llm.ngram_join import ngram_jaccard_join
@@ -74,10 +74,14 @@ STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next. Once a stage's table is there, those that it was
+    made of go: the last stage's input is all that stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = written()
     for name, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        for done in written() - others - {path}:
+            remove(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
