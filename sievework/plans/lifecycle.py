@@ -332,7 +332,7 @@ def parsed_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARSED_TICKETS = f"""WITH {_TICKETS}, g AS (SELECT *, lower(summary || chr(10) || x) AS low FROM t),
-w AS (SELECT *, CASE k WHEN 0 THEN 'feature' WHEN 1 THEN 'bugfix' WHEN 2 THEN 'code_review' WHEN 3 THEN 'release' ELSE CASE WHEN len(regexp_extract_all(low, 'fix|bug|에러|버그|수정')) >= 2 THEN 'bugfix' WHEN regexp_matches(low, 'review|리뷰|검토') THEN 'code_review' WHEN regexp_matches(low, 'v1\.|release|릴리즈|태그') THEN 'release' WHEN trim(low, ' ' || chr(10)) = '' THEN 'unknown' ELSE 'feature' END END AS work_type FROM g)
+w AS (SELECT *, CASE k WHEN 0 THEN 'feature' WHEN 1 THEN 'bugfix' WHEN 2 THEN 'code_review' WHEN 3 THEN 'release' ELSE CASE WHEN len(regexp_extract_all(low, 'fix|bug|에러|버그|수정')) >= 2 THEN 'bugfix' WHEN regexp_matches(low, 'review|리뷰|검토') THEN 'code_review' WHEN regexp_matches(low, 'v1[.]|release|릴리즈|태그') THEN 'release' WHEN trim(low, ' ' || chr(10)) = '' THEN 'unknown' ELSE 'feature' END END AS work_type FROM g)
 SELECT doc_id, work_type, k IN (0, 2, 3) AS stated, CASE work_type WHEN 'code_review' THEN 'review_only' WHEN 'release' THEN 'release' ELSE 'full' END AS pipeline_variant, [4, 3, 2, 4, 0][k + 1] AS sections,
  CASE k WHEN 0 THEN concat_ws(',', CASE WHEN summary = '' THEN 'summary' END, CASE WHEN trim(x, ' ' || chr(9) || chr(13)) = '' THEN 'requirements' END) WHEN 1 THEN concat_ws(',', CASE WHEN summary = '' THEN 'summary' END, 'actual', 'scope.modules')
   WHEN 2 THEN CASE WHEN summary = '' THEN 'summary' ELSE '' END WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'changes' END

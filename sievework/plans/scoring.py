@@ -42,11 +42,11 @@ SELECT page_id, rtrim(ltrim(replace(path, '\\', '/'), './'), '/') AS path, regex
 
 def citation_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see core/f"), F.col("doc_id") % 7, F.lit(".go:"), F.col("doc_id") + 1, F.lit("-"), F.col("doc_id") + 9, F.lit(" and pkg/m.py line "), F.col("doc_id") % 5, F.lit(", notes.md:4. "), F.coalesce("text", F.lit(""))).alias("text"))
-    return docs.select("doc_id", F.explode(prose_citations(F.col("text"))).alias("c")).select("doc_id", "c.*")
+    return docs.select("doc_id", F.explode(prose_citations(F.col("text"))).alias("c")).select("doc_id", "c.file", "c.start_line", "c.end_line")
 
 
-CITATION_PROSE = """SELECT doc_id, 'core/f' || (doc_id % 7) || '.go' AS file, (doc_id + 1)::INT AS start_line, (doc_id + 9)::INT AS end_line, NULL::VARCHAR AS symbol FROM documents
-UNION ALL SELECT doc_id, 'pkg/m.py', nullif(doc_id % 5, 0)::INT, nullif(doc_id % 5, 0)::INT, NULL FROM documents"""
+CITATION_PROSE = """SELECT doc_id, 'core/f' || (doc_id % 7) || '.go' AS file, (doc_id + 1)::INT AS start_line, (doc_id + 9)::INT AS end_line FROM documents
+UNION ALL SELECT doc_id, 'pkg/m.py', nullif(doc_id % 5, 0)::INT, nullif(doc_id % 5, 0)::INT FROM documents"""
 
 
 def citation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
