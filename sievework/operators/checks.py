@@ -63,10 +63,52 @@ def merge_settings(old: DataFrame, new: DataFrame, force: bool) -> DataFrame:
     return o.join(n, "key", "full").select("key", F.when(take, F.col("_n")).otherwise(F.col("_o")).alias("value"), take.alias("written"))
 
 
-def remedies(issues: DataFrame, fixes: DataFrame, default: str) -> DataFrame:
-    """kind, fix, n: each kind of issue (kind, pos) once, at its first place, with its fix."""
-    kinds = issues.groupBy("kind").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    return kinds.join(fixes, "kind", "left").select("kind", "pos", "n", F.coalesce("fix", F.lit(default)).alias("fix"))
+def remedies(issues: DataFrame, fixes: DataFrame, default: str, advisories: DataFrame | None = None) -> DataFrame:
+    """kind, pos, n, fix: each kind of issue (kind, pos) once, at its first place, with its fix; then each kind of advice that is no
+    issue (kind, pos), after all issues in its own order."""
+    rows = issues.select("kind", F.lit(0).alias("_g"), F.col("pos").cast("long").alias("pos"))
+    if advisories is not None:
+        rows = rows.unionByName(advisories.select("kind", F.lit(1).alias("_g"), F.col("pos").cast("long").alias("pos")))
+    first = rows.groupBy("kind").agg(F.min(F.struct("_g", "pos")).alias("at"), F.count(F.lit(1)).alias("n"))
+    return first.join(fixes, "kind", "left").select("kind", F.col("at.pos").alias("pos"), (F.col("at._g") == 1).alias("advice"), "n", F.coalesce("fix", F.lit(default)).alias("fix"))
+
+
+def advice(settings: DataFrame, allowed: Column | None = None, own: tuple[str, ...] = ()) -> DataFrame:
+    """kind, pos, detail: what to do about settings (key, status, secret): those that need a restart, that are unset, secrets that are,
+    and, where nothing is allowed, the permissions. Names are listed in order; keys of `own` have an issue already."""
+    kind = (
+        F.when(F.col("status") == "restart_needed", F.struct(F.lit("restart_needed").alias("kind"), F.lit(0).alias("pos")))
+        .when((F.col("status") == "unset") & ~F.col("secret") & ~F.col("key").isin(*own), F.struct(F.lit("env_unset").alias("kind"), F.lit(1).alias("pos")))
+        .when((F.col("status") == "unset") & F.col("secret"), F.struct(F.lit("env_secret_unset").alias("kind"), F.lit(2).alias("pos")))
+    )
+    by = settings.withColumn("_k", kind).where("_k is not null").groupBy("_k.kind", "_k.pos").agg(F.array_join(F.sort_array(F.collect_set("key")), ", ").alias("detail"))  # a set-up's keys
+    if allowed is None:
+        return by
+    one = settings.agg(F.bool_or(allowed).alias("_any")).where("not coalesce(_any, false)")
+    return by.unionByName(one.select(F.lit("permissions_unset").alias("kind"), F.lit(3).alias("pos"), F.lit("").alias("detail")))
+
+
+#: Files and lines of a step from which on it should be split (fixed values).
+STEP_FILES, STEP_LINES = 10, 500
+
+
+def oversized(steps: DataFrame, files: int = STEP_FILES, lines: int = STEP_LINES) -> DataFrame:
+    """Steps (files, lines, any more) that are over a limit."""
+    return steps.where((F.col("files") > files) | (F.col("lines") > lines))
+
+
+def pack_problems(packs: DataFrame, files: DataFrame, required: tuple[str, ...], references: tuple[str, ...], key: str) -> DataFrame:
+    """id, problem: of packs (id, doc: JSON, in a folder named by the id) and their files (id, name): no JSON, a required key that
+    isn't there, an own id (under key) that is another, and a file that a key refers to and that isn't there."""
+    v = F.try_parse_json("doc")
+    keys = F.coalesce(F.json_object_keys("doc"), F.expr("cast(array() as array<string>)"))
+    own = F.get_json_object("doc", f"$.{key}")
+    checks = [F.when(v.isNull(), F.lit("invalid JSON")), *(F.when(v.isNotNull() & ~F.array_contains(keys, k), F.lit(f"missing key {k}")) for k in required)]
+    checks.append(F.when(own.isNotNull() & (own != F.col("id")), F.concat(F.lit(f"{key} "), own, F.lit(" is not the folder"))))
+    found = packs.select("id", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    named = F.array(*(F.struct(F.lit(r).alias("ref"), F.get_json_object("doc", f"$.{r}").alias("name")) for r in references))
+    lost = packs.select("id", F.explode(named).alias("r")).select("id", "r.ref", "r.name").where("name <> ''").join(files.select("id", "name").distinct(), ["id", "name"], "left_anti")
+    return found.unionByName(lost.select("id", F.concat("ref", F.lit(" -> "), "name", F.lit(" not found")).alias("problem")))
 
 
 def red_then_green(runs: DataFrame) -> DataFrame:

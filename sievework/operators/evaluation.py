@@ -38,13 +38,25 @@ def scored_cells(cells: DataFrame, questions: DataFrame, expected: DataFrame, fi
     )
 
 
-def rescored(cells: DataFrame, questions: DataFrame) -> DataFrame:
-    """Stored cells (answer, recall, parse_mode, correctness) with correctness worked out anew, and whether it changed; an
-    unknown question has no keywords."""
-    j = cells.join(questions.select("question_id", "keywords"), "question_id", "left")
-    none = F.expr("cast(array() as array<string>)")
-    new = correct(F.coalesce("answer", F.lit("")), F.coalesce("recall", F.lit(0.0)), F.coalesce("keywords", none), F.col("parse_mode") != "failed")
-    return j.withColumn("_new", new).withColumn("changed", ~F.col("_new").eqNullSafe(F.col("correctness"))).withColumn("correctness", F.col("_new")).drop("_new", "keywords")
+def rescored(cells: DataFrame, questions: DataFrame, counts: DataFrame | None = None, metrics: tuple[str, ...] = ("correctness",)) -> DataFrame:
+    """Stored cells (answer, recall, parse_mode, correctness, unsupported) with the chosen metrics worked out anew, and whether any changed.
+
+    correctness: an unknown question has no keywords. unsupported: counts (cell_id, unsupported) as checked now, 0 for a cell without
+    citations; of two that can't be told apart none has changed.
+    """
+    out, changed = cells, F.lit(False)
+    if "correctness" in metrics:
+        none = F.expr("cast(array() as array<string>)")
+        new = correct(F.coalesce("answer", F.lit("")), F.coalesce("recall", F.lit(0.0)), F.coalesce("keywords", none), F.col("parse_mode") != "failed")
+        out = out.join(questions.select("question_id", "keywords"), "question_id", "left").withColumn("_correct", new).drop("keywords")
+        changed = changed | ~F.col("_correct").eqNullSafe(F.col("correctness"))
+    if "unsupported" in metrics:
+        out = out.join(counts.select("cell_id", F.col("unsupported").alias("_bad")), "cell_id", "left").withColumn("_bad", F.coalesce("_bad", F.lit(0)))
+        changed = changed | ~F.col("_bad").eqNullSafe(F.col("unsupported"))
+    out = out.withColumn("changed", changed)
+    for name, new in (("correctness", "_correct"), ("unsupported", "_bad")):
+        out = out.withColumn(name, F.col(new)).drop(new) if new in out.columns else out
+    return out
 
 
 def collected(listed: DataFrame, found: DataFrame) -> DataFrame:

@@ -97,3 +97,39 @@ def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     cell = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)) if kinds[c] == "double" else F.col(c).cast("string"), F.lit("—"))
     filled = [F.when(F.col(c).isNull(), "—").otherwise(cell(c)) for c in columns]
     return df.select(*df.columns, F.concat(F.lit("| "), F.concat_ws(" | ", *filled), F.lit(" |")).alias("line"))
+
+
+def report_table(df: DataFrame, order: DataFrame, key: str, columns: list[str], headings: list[str] | None = None) -> DataFrame:
+    """pos, line: a Markdown table: headings, a rule, and a line for each key in the caller's order (key, pos), with dashes where df has none."""
+    head = headings or columns
+    lines = markdown_rows(order.select(key, F.col("pos").cast("long").alias("pos")).join(df.drop("pos"), key, "left"), columns).select("pos", "line")
+    top = df.sparkSession.createDataFrame([(-2, "| " + " | ".join(head) + " |"), (-1, "|" + "---|" * len(head))], "pos long, line string")
+    return top.unionByName(lines)
+
+
+def report_rows(df: DataFrame, order: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """pos and the columns as a CSV report has them, a row for each key in the caller's order (key, pos); blanks where df has none."""
+    joined = order.select(key, F.col("pos").cast("long").alias("pos")).join(df.drop("pos"), key, "left")
+    return csv_columns(joined, columns).select(*columns) if "pos" in columns else csv_columns(joined, ["pos", *columns]).withColumn("pos", F.col("pos").cast("long"))
+
+
+def report_sections(*sections: tuple[str, DataFrame]) -> DataFrame:
+    """section, pos, line: titled tables of lines (pos, line) one after the other; a section without lines says so."""
+    every = None
+    for n, (title, lines) in enumerate(sections):
+        body = lines.select(F.lit(n).alias("section"), "pos", "line")
+        empty = lines.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(F.lit(n).alias("section"), F.lit(0).cast("long").alias("pos"), F.lit("_not available_").alias("line"))
+        head = lines.sparkSession.createDataFrame([(n, -9, f"## {title}")], "section int, pos long, line string")
+        part = head.unionByName(body).unionByName(empty)
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def delta_lines(found: DataFrame) -> DataFrame:
+    """pos, line: a table of what `delta` gives, with signs; no line if it gives nothing."""
+    signed = lambda c, form: F.format_string(form, F.col(c).cast("double"))
+    cells = F.array(
+        F.lit("| metric | value |"), F.lit("|---|---|"), F.concat(F.lit("| baseline | "), "baseline", F.lit(" |")), F.concat(F.lit("| target | "), "target", F.lit(" |")),
+        F.concat(F.lit("| delta_correct_rate | "), signed("delta_correct_rate", "%+.4f"), F.lit(" |")), F.concat(F.lit("| token_reduction_pct | "), signed("token_reduction_pct", "%+.1f"), F.lit(" |")),
+    )
+    return found.select(F.posexplode(cells).alias("pos", "line")).select(F.col("pos").cast("long").alias("pos"), "line")

@@ -70,11 +70,44 @@ SETTINGS_MERGE = """SELECT 'K' || n_nationkey AS key, CASE WHEN n_nationkey % 2
 
 
 def issue_remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("pos"))
-    return checks.remedies(e, rows(spark, "kind string, fix string", ("error", "retry"), ("view", "ignore")), "ask")
+    """Events as issues, and advice on settings made of customers; the advice on what is unset comes with a kind that is an issue too."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'signup'").select(F.col("event_type").alias("kind"), F.col("event_id").alias("pos"))
+    told = checks.advice(_settings(spark, sf_dir), F.lit(False)).select("kind", "pos").unionByName(rows(spark, "kind string, pos int", ("error", 9), ("signup", 10)))
+    return checks.remedies(e, rows(spark, "kind string, fix string", ("error", "retry"), ("view", "ignore"), ("env_unset", "setup")), "ask", told)
 
 
-REMEDIES = "SELECT event_type AS kind, min(event_id) AS pos, count(*) AS n, CASE event_type WHEN 'error' THEN 'retry' WHEN 'view' THEN 'ignore' ELSE 'ask' END AS fix FROM events GROUP BY event_type"
+REMEDIES = """WITH a AS (SELECT * FROM (VALUES ('restart_needed', 0), ('env_unset', 1), ('env_secret_unset', 2), ('permissions_unset', 3), ('error', 9), ('signup', 10)) t(kind, pos)), r AS (SELECT event_type AS kind, 0 AS g, event_id AS pos FROM events WHERE event_type <> 'signup' UNION ALL SELECT kind, 1, pos FROM a),
+m AS (SELECT kind, min({'g': g, 'pos': pos}) AS x, count(*) AS n FROM r GROUP BY kind)
+SELECT kind, x.pos AS pos, x.g = 1 AS advice, n, CASE kind WHEN 'error' THEN 'retry' WHEN 'view' THEN 'ignore' WHEN 'env_unset' THEN 'setup' ELSE 'ask' END AS fix FROM m"""
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    status = F.when(k % 5 == 0, "restart_needed").when(k % 5 == 1, "ok").otherwise("unset")
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("K"), k % 40).alias("key"), status.alias("status"), (k % 3 == 0).alias("secret"))
+
+
+def setup_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.advice(_settings(spark, sf_dir), F.lit(False), ("K7",))
+
+
+SETUP_ADVICE = """WITH s AS (SELECT 'K' || (c_custkey % 40) AS key, CASE c_custkey % 5 WHEN 0 THEN 'restart_needed' WHEN 1 THEN 'ok' ELSE 'unset' END AS status, c_custkey % 3 = 0 AS secret FROM customer),
+k AS (SELECT key, CASE WHEN status = 'restart_needed' THEN 'restart_needed' WHEN status = 'unset' AND secret THEN 'env_secret_unset' WHEN status = 'unset' AND key <> 'K7' THEN 'env_unset' END AS kind FROM s)
+SELECT kind, CASE kind WHEN 'restart_needed' THEN 0 WHEN 'env_unset' THEN 1 ELSE 2 END AS pos, string_agg(DISTINCT key, ', ' ORDER BY key) AS detail FROM k WHERE kind IS NOT NULL GROUP BY kind UNION ALL SELECT 'permissions_unset', 3, ''"""
+
+
+def domain_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as packs: one in nine is no JSON, keys are missing by sevens, every fifth has another id, every fourth a lost file."""
+    k = F.col("c_custkey")
+    pid = F.concat(F.lit("p"), k)
+    doc = F.to_json(F.struct(F.when(k % 5 == 0, "other").otherwise(pid).alias("project_id"), F.when(k % 7 != 1, F.lit(1)).alias("version"), F.when(k % 7 != 2, F.concat(F.lit("inv"), k % 4, F.lit(".md"))).alias("invariants")))
+    packs = table(spark, sf_dir, "customer").select(pid.alias("id"), F.when(k % 9 == 0, "{no").otherwise(doc).alias("doc"))
+    files = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 3").select(pid.alias("id"), F.concat(F.lit("inv"), k % 4, F.lit(".md")).alias("name"))
+    return checks.pack_problems(packs, files, ("project_id", "version", "invariants"), ("invariants",), "project_id")
+
+
+DOMAIN_PACKS = """WITH c AS (SELECT c_custkey AS k, 'p' || c_custkey AS id, c_custkey % 9 = 0 AS bad FROM customer) SELECT id, 'invalid JSON' AS problem FROM c WHERE bad UNION ALL SELECT id, 'missing key version' FROM c WHERE NOT bad AND k % 7 = 1 UNION ALL SELECT id, 'missing key invariants' FROM c WHERE NOT bad AND k % 7 = 2
+UNION ALL SELECT id, 'project_id other is not the folder' FROM c WHERE NOT bad AND k % 5 = 0 UNION ALL SELECT id, 'invariants -> inv3.md not found' FROM c WHERE NOT bad AND k % 4 = 3 AND k % 7 <> 2"""
 
 
 def unregistered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +119,13 @@ UNREGISTERED = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id
 
 
 def oversized_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("files"), F.sum("l_quantity").cast("long").alias("lines"))
-    return by.where("files > 6 or lines > 200").select("l_orderkey", "files", "lines")
+    """Customers as steps, whose orders' parts are files and quantities lines."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    by = li.groupBy("o_custkey").agg(F.countDistinct("l_partkey").alias("files"), F.sum("l_quantity").cast("long").alias("lines"))
+    return checks.oversized(by)
 
 
-OVERSIZED = "SELECT l_orderkey, count(DISTINCT l_partkey) AS files, sum(l_quantity)::BIGINT AS lines FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) > 6 OR sum(l_quantity)::BIGINT > 200"
+OVERSIZED = "SELECT o_custkey, count(DISTINCT l_partkey) AS files, sum(l_quantity)::BIGINT AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey HAVING count(DISTINCT l_partkey) > 10 OR sum(l_quantity)::BIGINT > 500"
 
 
 def unfixed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +234,7 @@ def stage_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE_DISPATCH = "WITH s AS (SELECT l_orderkey, l_linenumber, max(l_quantity) > 20 AS w FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT l_orderkey, nullif(count(*) FILTER (w), 0) AS runs, count(*) FILTER (NOT w) AS skipped FROM s GROUP BY l_orderkey"
 
 _SQL = {
-    range_validation: RANGE_VALIDATION, path_suffixes: PATH_SUFFIXES, suffix_places: SUFFIX_PLACES, sibling_files: SIBLINGS, setting_states: SETTING_STATES, settings_merge: SETTINGS_MERGE, issue_remedies: REMEDIES, unregistered_documents: UNREGISTERED, oversized_steps: OVERSIZED,
+    range_validation: RANGE_VALIDATION, path_suffixes: PATH_SUFFIXES, suffix_places: SUFFIX_PLACES, sibling_files: SIBLINGS, setting_states: SETTING_STATES, settings_merge: SETTINGS_MERGE, issue_remedies: REMEDIES, setup_advice: SETUP_ADVICE, domain_packs: DOMAIN_PACKS, unregistered_documents: UNREGISTERED, oversized_steps: OVERSIZED,
     unfixed_sites: UNFIXED, red_green: RED_GREEN, stage_verdicts: STAGE_VERDICTS, squash_bodies: SQUASH, command_rules: COMMAND_RULES, index_refresh: INDEX_REFRESH, error_envelopes: ERROR_ENVELOPES, step_progress: STEP_PROGRESS,
     idempotent_init: IDEMPOTENT_INIT, merged_timeline: TIMELINE, stage_dispatch: STAGE_DISPATCH,
 }

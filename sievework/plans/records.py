@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import failure_key, info_volume, safe_double, safe_long
 from sievework.operators import compositions, evaluation, gates, lifecycle, ranking, records, rollup, runs
 from sievework.operators.parsing import paragraph_tree
+from sievework.operators.scoring import reference_verdicts
 from sievework.plans import retrieval
 from sievework.plans.common import rows, table
 from sievework.plans.lifecycle import BACKEND_POLICY
@@ -374,12 +375,16 @@ MACRO = f"WITH {_SCORED} SELECT question_id, count(*) AS n, round(avg(precision)
 
 
 def rescored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells stored as wrong or right by turns, scored anew."""
-    stored = evaluation.scored_cells(_cells(spark, sf_dir), *_questions(spark)).withColumn("correctness", F.when(F.col("cell_id") % 5 != 0, F.col("cell_id") % 2 == 0))
-    return evaluation.rescored(stored, _questions(spark)[0]).select("cell_id", "correctness", "changed")
+    """Cells stored as wrong or right by turns, and with one unsupported citation each, scored anew."""
+    found = evaluation.scored_cells(_cells(spark, sf_dir), *_questions(spark))
+    old = found.withColumn("correctness", F.when(F.col("cell_id") % 5 != 0, F.col("cell_id") % 2 == 0)).withColumn("unsupported", F.lit(1).cast("long"))
+    files = _questions(spark)[2]
+    cited = _cells(spark, sf_dir).where("cell_id % 4 = 2").select("cell_id", F.lit(0).alias("pos"), F.concat(F.lit("src/f"), F.col("cell_id") % 5, F.lit(".go")).alias("path"), F.lit(None).cast("string").alias("symbol"))
+    counts = evaluation.unsupported_counts(reference_verdicts(cited, files, None, spark.createDataFrame([], "name string")), ["cell_id"])
+    return evaluation.rescored(old, _questions(spark)[0], counts, ("correctness", "unsupported")).select("cell_id", "correctness", "unsupported", "changed")
 
 
-RESCORED = f"WITH {_SCORED} SELECT cell_id, correctness, (CASE WHEN cell_id % 5 <> 0 THEN cell_id % 2 = 0 END) IS DISTINCT FROM correctness AS changed FROM scored"
+RESCORED = f"WITH {_SCORED}, n AS (SELECT *, CASE WHEN kind = 2 AND f = 4 THEN 1 ELSE 0 END AS bad FROM scored) SELECT cell_id, correctness, bad AS unsupported, bad <> 1 OR (CASE WHEN cell_id % 5 <> 0 THEN cell_id % 2 = 0 END) IS DISTINCT FROM correctness AS changed FROM n"
 
 
 def collected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

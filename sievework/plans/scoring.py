@@ -265,6 +265,38 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPORT_MARKDOWN = f"WITH {_CELLS}, {_ROLLUP}, m(method) AS (VALUES {', '.join(f'({quoted(m)})' for m in METHODS)}) SELECT method, '| ' || method || ' | ' || coalesce(n, 0) || ' | ' || coalesce(printf('%.4f', loc_p), '—') || ' | ' || coalesce(unsupported::VARCHAR, '—') || ' |' AS line FROM m LEFT JOIN roll USING (method)"
 
 
+#: The caller's order of methods.
+REPORTED = ("view", "absent", "purchase", "click")
+_COLUMNS = ("method", "n", "loc_p", "loc_r", "loc_f1", "correct_rate", "unsupported", "avg_tokens")
+
+
+def _order(spark: SparkSession) -> DataFrame:
+    return rows(spark, "method string, pos int", *((m, i) for i, m in enumerate(REPORTED)))
+
+
+def rollup_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = method_rollup(spark, sf_dir).where("n > 0")
+    return rollup.report_rows(found, _order(spark), "method", list(_COLUMNS))
+
+
+_IN_ORDER = f"o(method, pos) AS (VALUES {', '.join(f'({quoted(m)}, {i})' for i, m in enumerate(REPORTED))})"
+ROLLUP_CSV = f"WITH {_CELLS}, {_ROLLUP}, {_IN_ORDER} SELECT pos, method, " + ", ".join(f"coalesce({c}::VARCHAR, '') AS {c}" for c in _COLUMNS[1:]) + " FROM o LEFT JOIN roll USING (method)"
+
+
+def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup in the caller's order, the change between two methods, and that between two of which one has no cells."""
+    found = method_rollup(spark, sf_dir)
+    columns = ["method", "n", "loc_p", "correct_rate", "unsupported"]
+    change = lambda a, b: rollup.delta_lines(rollup.delta(found, a, b))
+    return rollup.report_sections(("Rollup", rollup.report_table(found.where("n > 0"), _order(spark), "method", columns)), ("Change", change("click", "view")), ("No change", change("click", "absent")))
+
+
+REPORT_DOCUMENT = f"""WITH {_CELLS}, {_ROLLUP}, {_IN_ORDER}, d AS (SELECT round(t.correct_rate - b.correct_rate, 4) AS c, CASE WHEN b.avg_tokens > 0 THEN round(100 * (1 - t.avg_tokens / b.avg_tokens), 1) ELSE 0 END AS r FROM roll b, roll t WHERE b.method = 'click' AND t.method = 'view')
+SELECT * FROM (VALUES (0, -9, '## Rollup'), (1, -9, '## Change'), (2, -9, '## No change'), (0, -2, '| method | n | loc_p | correct_rate | unsupported |'), (0, -1, '|---|---|---|---|---|'), (1, 0, '| metric | value |'), (1, 1, '|---|---|'), (1, 2, '| baseline | click |'), (1, 3, '| target | view |'), (2, 0, '_not available_')) t(section, pos, line)
+UNION ALL SELECT 0, pos, '| ' || method || ' | ' || coalesce(n::VARCHAR, '—') || ' | ' || coalesce(printf('%.4f', loc_p), '—') || ' | ' || coalesce(printf('%.4f', correct_rate), '—') || ' | ' || coalesce(unsupported::VARCHAR, '—') || ' |' FROM o LEFT JOIN roll USING (method)
+UNION ALL SELECT 1, 4, '| delta_correct_rate | ' || printf('%+.4f', c::DOUBLE) || ' |' FROM d UNION ALL SELECT 1, 5, '| token_reduction_pct | ' || printf('%+.1f', r::DOUBLE) || ' |' FROM d"""
+
+
 def estimated_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(estimated_tokens(F.col("text"))).alias("tokens"))
 
@@ -274,7 +306,7 @@ ESTIMATED_TOKENS = "SELECT lang, sum(length(text) // 4)::BIGINT AS tokens FROM d
 _SQL = {
     page_url_norm: PAGE_URL_NORM, citation_prose: CITATION_PROSE, citation_json: CITATION_JSON, parse_mode_mix: PARSE_MODE_MIX, location_prf: LOCATION_PRF, correctness: CORRECTNESS, symbol_existence: SYMBOL_EXISTENCE, symbol_names: SYMBOL_NAMES,
     method_rollup: METHOD_ROLLUP, question_method_matrix: QUESTION_MATRIX, delta_table: DELTA, mode_aggregate: MODE_AGGREGATE, retrieval_rollup: RETRIEVAL_ROLLUP, majority_vote: MAJORITY, usage_by_agent: USAGE_BY_AGENT,
-    cost_by_model: COST_BY_MODEL, usage_fallback: USAGE_FALLBACK, price_override: PRICE_OVERRIDE, report_csv: REPORT_CSV, report_markdown: REPORT_MARKDOWN, estimated_token_counts: ESTIMATED_TOKENS,
+    cost_by_model: COST_BY_MODEL, usage_fallback: USAGE_FALLBACK, price_override: PRICE_OVERRIDE, report_csv: REPORT_CSV, report_markdown: REPORT_MARKDOWN, rollup_csv: ROLLUP_CSV, report_document: REPORT_DOCUMENT, estimated_token_counts: ESTIMATED_TOKENS,
 }
 QUERIES = {f.__name__: f for f in _SQL}
 ORACLE = {f.__name__: s for f, s in _SQL.items()}
