@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,23 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return top_k(pairs, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a path glob: ** is anything, * and ? stay within a segment."""
+    parts = re.split(r"(\*\*/?|\*|\?)", glob)
+    meaning = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(meaning.get(p) or re.escape(p) for p in parts) + "$"
+
+
+def semantic_search(queries: DataFrame, vectors: DataFrame, k: int, language: str | None = None, path_glob: str | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """vector_top_k among the vectors (vec_id, embedding, language, path, kind) of a language, of paths that a glob fits, and of some kinds.
+
+    The filters come before the vectors are compared, so each query has k answers where that many fit.
+    """
+    v = vectors if language is None else vectors.where(F.col("language") == language)
+    v = v if path_glob is None else v.where(F.rlike("path", F.lit(glob_pattern(path_glob))))
+    return vector_top_k(queries, v.where(F.col("kind").isin(*kinds)) if kinds else v, k)
+
+
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     """query_id, id, score: the sum of 1 / (k + rank) over rankings (query_id, id, rank)."""
     every = rankings[0].select("query_id", "id", "rank")

@@ -140,6 +140,18 @@ VECTOR_TOPK = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddi
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 3"""
 
 
+def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with the language and source of the document of their number as language and kind."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("language"), F.concat(F.lit("src/p"), F.floor(F.col("doc_id") / 4), F.lit("/d"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".go")).alias("path"), F.coalesce("source", F.lit("none")).alias("kind"))
+    v = table(spark, sf_dir, "embeddings")
+    found = ranking.semantic_search(v.where("vec_id % 100 = 0").select("vec_id", "embedding"), v.join(d, "vec_id"), 3, "en", "src/**/d?*.go")
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
+FILTERED_SEARCH = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT v.* FROM v JOIN documents ON doc_id = vec_id WHERE lang = 'en' AND doc_id % 3 <> 0), s AS (SELECT q.vec_id AS query_id, f.vec_id, list_cosine_similarity(q.e, f.e) AS score FROM v q, f WHERE q.vec_id % 100 = 0 AND q.vec_id <> f.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 3"""
+
+
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
     return ranking.within_budget(docs, ["source"], [F.col("doc_id")], F.col("size"), 40_000).select("source", "doc_id", "used")
@@ -342,7 +354,7 @@ TRANSITION_LOOKUP = """SELECT o_orderkey, t.* FROM orders JOIN (VALUES ('in revi
  ON ['in review', 'DONE', 'indeterminate', 'Start', 'nowhere'][o_orderkey % 5 + 1] = target"""
 
 _SQL = {
-    index_statistics: INDEX_STATISTICS, keyword_topk: KEYWORD_TOPK, bm25_topk: BM25_TOPK, rrf_fusion: RRF, index_update: INDEX_UPDATE, updated_bm25_topk: UPDATED_BM25, vector_topk: VECTOR_TOPK, budget_pack: BUDGET_PACK, budget_cut: BUDGET_CUT, keyword_fallback: KEYWORD_FALLBACK, query_terms: QUERY_TERMS, ticket_ids: TICKET_IDS,
+    index_statistics: INDEX_STATISTICS, keyword_topk: KEYWORD_TOPK, bm25_topk: BM25_TOPK, rrf_fusion: RRF, index_update: INDEX_UPDATE, updated_bm25_topk: UPDATED_BM25, vector_topk: VECTOR_TOPK, filtered_search: FILTERED_SEARCH, budget_pack: BUDGET_PACK, budget_cut: BUDGET_CUT, keyword_fallback: KEYWORD_FALLBACK, query_terms: QUERY_TERMS, ticket_ids: TICKET_IDS,
     text_ranges: TEXT_RANGES, graph_callees: GRAPH_CALLEES, graph_callers: GRAPH_CALLERS, graph_subgraph: GRAPH_SUBGRAPH, impact_by_category: IMPACT, kind_limited_impact: KIND_LIMITED, step_order: STEP_ORDER,
     module_classify: MODULE_CLASSIFY, diff_hunks: DIFF_HUNKS, change_hunks: CHANGE_HUNKS, transition_lookup: TRANSITION_LOOKUP,
 }
