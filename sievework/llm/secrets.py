@@ -28,6 +28,7 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Lengths in hex digits of common digests (fixed values: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_DATE = re.compile(rb"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_.-]?[0-9]{2}(?:[-._]?[0-9]{2}){0,2}(?:[-._+][0-9]{1,9})*)?Z?")
 _IDENTIFIER = re.compile(rb"[_./=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_./=+-]+|\Z))+|(?:[A-Z]{0,4}+[a-z]{3,}+)+|[0-9_./=+-]+")
 _WORD = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
 #: What a run is taken apart into: UUIDs, stretches without separators, separators.
@@ -58,13 +59,18 @@ def _digest(body: bytes) -> bool:
     return bool((hexed and len(body) in _DIGEST_LENGTHS) or _UUID.fullmatch(body))
 
 
+def _in_order(body: bytes) -> bool:
+    """Whether four in five characters are neighbours of the one before them, as in an alphabet or a count."""
+    return len(body) > 1 and float((np.abs(np.diff(np.frombuffer(body, np.uint8).astype(np.int16))) == 1).mean()) >= 0.8
+
+
 def known(run: bytes, vocabulary: str | None = None, most: float = 2.0) -> bool:
-    """Whether a run is a digest of a known length, a UUID, or an identifier of words and short numbers.
+    """Whether a run is a digest of a known length, a UUID, a date, characters in order, or an identifier of words and short numbers.
 
     A word of an identifier has at most three letters, or at least `most` characters a token.
     """
     body = run.strip(b"=+/._-")
-    if _digest(body):
+    if _digest(body) or _DATE.fullmatch(body) or _in_order(body):
         return True
     if not _IDENTIFIER.fullmatch(body):
         return False

@@ -133,6 +133,9 @@ def test_known_runs():
     yes = ["d41d8cd98f00b204e9800998ecf8427e", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "123e4567-e89b-12d3-a456-426614174000", "some_long_identifier_name", "camelCaseIdentifierName", "2024-01-01.12345"]
     assert all(known(x.encode()) for x in yes)
     assert not known(RANDOM.encode()) and not known(b"d41d8cd98f00b204e9800998ecf8427eab")
+    dates = ["2024-01-15T10-30-00-000", "2024-01-15_103000Z", "2024-01-15.10-30-00.123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "zyxwvutsrqponmlkjihgfedcba"]
+    assert all(known(x.encode()) for x in dates)
+    assert not known(b"2024-01-15aZ3kQ9vX1pL7mB5nR2tY") and not known(b"acegikmoqsuwybdfhjlnprtvxz")
     assert not known(b"a" * 20_000 + b"1" * 20 + b"B" * 3)  # in linear time
 
 
