@@ -35,11 +35,11 @@ def change_history(wanted: DataFrame, changes: DataFrame, order: list[Column], m
     return top_k(changes.join(wanted.select("symbol").distinct(), "symbol"), ["symbol"], order, most)
 
 
-def health(backends: DataFrame) -> DataFrame:
-    """One row: down without an index, degraded without an embedder or with any backend that fails, else ok; what is missing."""
+def health(backends: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each group of backends (name, up): down without an index, degraded without an embedder or with any backend that fails, else ok; what is missing."""
     up = lambda name: F.coalesce(F.bool_or((F.col("name") == name) & F.col("up")), F.lit(False))
     lost = F.array_sort(F.collect_set(F.when(~F.col("up"), F.col("name"))))  # names of backends: they are few
-    return backends.agg(F.when(~up("index"), "down").when(~up("embedder") | ~F.bool_and("up"), "degraded").otherwise("ok").alias("status"), lost.alias("missing"))
+    return backends.groupBy(*by).agg(F.when(~up("index"), "down").when(~up("embedder") | ~F.bool_and("up"), "degraded").otherwise("ok").alias("status"), lost.alias("missing"))
 
 
 def ordered_places(hits: DataFrame, definitions: DataFrame, edges: DataFrame, places: DataFrame, method: str, direction: str = "both") -> DataFrame:

@@ -246,18 +246,18 @@ VERBS = ("add", "remove", "evict", "rebuild")
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A case for each region: the state it keeps, with its nations as the sites that must maintain it."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
-    verb = F.element_at(F.array(*map(F.lit, VERBS)), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    state = F.initcap("r_name")
+    """A case for each order of two parts or more: the state it keeps, with its parts as the sites that must maintain it."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    verb = F.element_at(F.array(*map(F.lit, VERBS)), (F.col("l_partkey") % 4 + 1).cast("int"))
+    state = F.concat(F.lit("Order"), "l_orderkey")
     test = F.concat(F.lit("Test"), state, F.when(verb == "evict", "Pressure").otherwise("Sum"))
     action = F.when(verb.isin("remove", "evict"), "sub").otherwise(verb)
-    site = F.struct("n_nationkey", F.struct(F.concat(F.lower("n_name"), F.lit("."), verb).alias("site"), action.alias("action"), test.alias("covered_by_test")).alias("s"))
-    by = n.groupBy("r_name").agg(F.transform(F.array_sort(F.collect_list(site)), lambda x: x["s"]).alias("sites"))  # a region's nations
-    steps = F.transform(F.sequence(F.lit(1), F.size("sites")), lambda i: F.concat(F.lit("## Step "), i.cast("string"), F.lit(": keep "), F.lower("r_name")))
+    site = F.struct("l_partkey", F.struct(F.concat(F.lit("part"), "l_partkey", F.lit("."), verb).alias("site"), action.alias("action"), test.alias("covered_by_test")).alias("s"))
+    by = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(site)), lambda x: x["s"]).alias("sites")).where(F.size("sites") > 1)  # an order's parts
+    steps = F.transform(F.sequence(F.lit(1), F.size("sites")), lambda i: F.concat(F.lit("## Step "), i.cast("string"), F.lit(": keep "), "l_orderkey"))
     tests = [F.concat(F.lit("Test"), state, F.lit(x)) for x in ("Sum", "Pressure")]
     return by.select(
-        F.lower("r_name").alias("case_id"), "sites", tests[0].alias("invariant_test"), tests[1].alias("adversarial_test"), steps.alias("prose_steps"), F.size("sites").alias("contract_steps"),
+        F.lower(state).alias("case_id"), "sites", tests[0].alias("invariant_test"), tests[1].alias("adversarial_test"), steps.alias("prose_steps"), F.size("sites").alias("contract_steps"),
         F.transform("sites", lambda s: s["site"]).alias("maintained"), F.array(*tests).alias("existing"),
     )
 
@@ -267,7 +267,7 @@ def contract_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Of each case: six hard mutants, two of which lose a test, which the old rules see too; a plan without its block; an undeclared site, which no rule sees.
-CONTRACT_DETECTION = "SELECT category, mutants * n AS mutants, before * n AS detected_before, after * n AS detected_after, before * n AS flagged_before, after * n AS flagged_after FROM (VALUES ('clean', 1, 0, 0), ('hard', 6, 2, 6), ('soft', 1, 0, 1), ('residual', 1, 0, 0)) t(category, mutants, before, after), (SELECT count(DISTINCT n_regionkey) AS n FROM nation)"
+CONTRACT_DETECTION = "SELECT category, mutants * n AS mutants, before * n AS detected_before, after * n AS detected_after, before * n AS flagged_before, after * n AS flagged_after FROM (VALUES ('clean', 1, 0, 0), ('hard', 6, 2, 6), ('soft', 1, 0, 1), ('residual', 1, 0, 0)) t(category, mutants, before, after), (SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) > 1))"
 
 HEALTH, CALLS, OUTCOMES = ("serviceable", "degraded", "down"), ("get_for_task", "find_callers", "impact_analysis", "concurrency_impact", "semantic_search"), ("ok", "transient", "persistent")
 

@@ -312,12 +312,14 @@ SELECT l_orderkey, [1, 1, 1, 2, 1, 0][k + 1] AS blocks, CASE WHEN k IN (0, 2, 3)
 
 
 def rendered_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("steps"))
-    shown = records.plan_markdown(F.concat(F.lit("Region "), F.col("n_regionkey")), F.col("steps"))
-    return n.select("n_regionkey", F.md5(F.encode(shown, "UTF-8")).alias("plan_md5"), F.size(records.yaml_blocks(shown)).alias("blocks"))
+    """A plan for every order, with its parts as steps."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("part "), "l_partkey"))).alias("steps"))
+    shown = records.plan_markdown(F.concat(F.lit("Order "), "l_orderkey"), F.col("steps"))
+    return n.select("l_orderkey", F.md5(F.encode(shown, "UTF-8")).alias("plan_md5"), F.size(records.yaml_blocks(shown)).alias("blocks"))
 
 
-RENDERED_PLANS = "WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation) SELECT n_regionkey, md5('# Region ' || n_regionkey || chr(10) || chr(10) || string_agg('## Step ' || i || ': ' || n_name, chr(10) ORDER BY i) || chr(10) || chr(10) || '```yaml' || chr(10) || 'steps:' || chr(10) || string_agg('  - ' || n_name, chr(10) ORDER BY i) || chr(10) || '```' || chr(10)) AS plan_md5, 1 AS blocks FROM n GROUP BY n_regionkey"
+RENDERED_PLANS = """WITH d AS (SELECT DISTINCT l_orderkey, 'part ' || l_partkey AS p FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p) AS i FROM d)
+SELECT l_orderkey, md5('# Order ' || l_orderkey || chr(10) || chr(10) || string_agg('## Step ' || i || ': ' || p, chr(10) ORDER BY i) || chr(10) || chr(10) || '```yaml' || chr(10) || 'steps:' || chr(10) || string_agg('  - ' || p, chr(10) ORDER BY i) || chr(10) || '```' || chr(10)) AS plan_md5, 1 AS blocks FROM n GROUP BY l_orderkey"""
 
 
 #: Words as whole-word search sees them.
@@ -550,13 +552,14 @@ CHANGE_REFS = "SELECT symbol, ref, rank FROM (SELECT o_custkey AS symbol, o_orde
 
 
 def backend_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as backends: the index is there, one that serves fewer than six nations isn't."""
-    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
-    b = n.select(F.when(F.col("n_regionkey") == 0, "index").when(F.col("n_regionkey") == 1, "embedder").otherwise(F.concat(F.lit("b"), "n_regionkey")).alias("name"), ((F.col("n") > 5) | (F.col("n_regionkey") < 2)).alias("up"))
-    return compositions.health(b).select("status", F.array_join("missing", ",").alias("missing"))
+    """Lines as backends of their order: the first is the index, the second the embedder; what was returned is down."""
+    n = F.col("l_linenumber")
+    b = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(n == 1, "index").when(n == 2, "embedder").otherwise(F.concat(F.lit("b"), n)).alias("name"), (F.col("l_returnflag") != "R").alias("up"))
+    return compositions.health(b, ("l_orderkey",)).select("l_orderkey", "status", F.array_join("missing", ",").alias("missing"))
 
 
-BACKEND_HEALTH = "WITH n AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey), m AS (SELECT coalesce(string_agg('b' || n_regionkey, ',' ORDER BY 'b' || n_regionkey), '') AS missing FROM n WHERE n <= 5 AND n_regionkey >= 2) SELECT CASE WHEN missing = '' THEN 'ok' ELSE 'degraded' END AS status, missing FROM m"
+BACKEND_HEALTH = """WITH b AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'index' WHEN 2 THEN 'embedder' ELSE 'b' || l_linenumber END AS name, l_returnflag <> 'R' AS up FROM lineitem)
+SELECT l_orderkey, CASE WHEN NOT coalesce(bool_or(up) FILTER (name = 'index'), false) THEN 'down' WHEN NOT coalesce(bool_or(up) FILTER (name = 'embedder'), false) OR NOT bool_and(up) THEN 'degraded' ELSE 'ok' END AS status, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (NOT up), '') AS missing FROM b GROUP BY l_orderkey"""
 
 
 _SQL = {
