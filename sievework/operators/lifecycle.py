@@ -98,12 +98,13 @@ def resume_points(steps: DataFrame, keys: list[str], step: str, status: str) ->
     return steps.groupBy(*keys).agg(F.min(F.when(F.col(status) != "completed", F.col(step))).alias("resume_at"))
 
 
-#: Files that a stage leaves before it has ended, and one whose absence beside them means that a review is due (fixed values).
+#: Files that a stage leaves before it has ended, and one whose absence beside them means that a review is due (fixed values); stages of an
+#: evaluation in order, of which the last is a test bench by whatever name.
 ARTIFACTS = {"ANALYSIS": ("analysis.md", "related-code.json"), "PLANNING": ("plan.md",), "DESIGN": ("design-v",)}
-REVIEWED, EVALUATION_STAGES = "design-changelog.md", ("unit_test", "lint", "security", "chainbench")
+REVIEWED, EVALUATION_STAGES = "design-changelog.md", ("unit_test", "lint", "security", "bench")
 
 
-def resume_details(workspaces: DataFrame, steps: DataFrame, artifacts: DataFrame, stages: DataFrame) -> DataFrame:
+def resume_details(workspaces: DataFrame, steps: DataFrame, artifacts: DataFrame, stages: DataFrame, stage_order: tuple[str, ...] = EVALUATION_STAGES) -> DataFrame:
     """ticket, state, step_id, checkpoint, sub_status, last_stage, next_stage: where each workspace (ticket, state) goes on.
 
     In IMPLEMENTATION at the first step (ticket, step_id, status, checkpoint) that isn't completed; in ANALYSIS, PLANNING and DESIGN
@@ -113,7 +114,7 @@ def resume_details(workspaces: DataFrame, steps: DataFrame, artifacts: DataFrame
     open_ = steps.where("status <> 'completed'").groupBy("ticket").agg(F.min(F.struct("step_id", "checkpoint")).alias("step"))
     there = lambda names: reduce(lambda a, b: a | b, (F.startswith("name", F.lit(n)) if n.endswith("-v") else F.col("name") == n for n in names))
     found = artifacts.groupBy("ticket").agg(*(F.bool_or(there(names)).alias(f"_{s}") for s, names in ARTIFACTS.items()), F.bool_or(F.col("name") == REVIEWED).alias("_reviewed"))
-    at = F.array_position(F.array(*map(F.lit, EVALUATION_STAGES)), F.col("stage"))
+    at = F.array_position(F.array(*map(F.lit, stage_order)), F.col("stage"))
     last = stages.groupBy("ticket").agg(F.max(at).alias("_done"))
     j = workspaces.select("ticket", "state").join(open_, "ticket", "left").join(found, "ticket", "left").join(last, "ticket", "left")
     state, yes = F.col("state"), lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -121,7 +122,7 @@ def resume_details(workspaces: DataFrame, steps: DataFrame, artifacts: DataFrame
     for s in ARTIFACTS:
         sub = sub.when((state == s) & yes(f"_{s}"), "partial").when(state == s, "fresh")
     done = F.when(state == "EVALUATION", F.coalesce("_done", F.lit(0)))
-    stage = lambda i: F.get(F.array(*map(F.lit, EVALUATION_STAGES)), i.cast("int"))
+    stage = lambda i: F.get(F.array(*map(F.lit, stage_order)), i.cast("int"))
     building = state == "IMPLEMENTATION"
     return j.select("ticket", "state", F.when(building, F.col("step.step_id")).alias("step_id"), F.when(building, F.col("step.checkpoint")).alias("checkpoint"), sub.alias("sub_status"), F.when(done > 0, stage(done - 1)).alias("last_stage"), stage(done).alias("next_stage"))
 

@@ -13,9 +13,9 @@ from sievework.operators.rollup import cost_status
 from sievework.operators.usage import BUCKETS, costs, models_of, usage_from_chars, usage_from_sessions
 from sievework.sources.readers import safe_json_lines
 
-#: Stages of an evaluation, and words of a summary that tell of a side effect (fixed values).
-STAGES = ("unit_test", "lint", "security", "chainbench")
-SIDE_EFFECTS = ("chainbench", "race", "regression", "derived state", "derived-state", "panic", "data race")
+#: Stages of an evaluation, of which the last is a test bench by whatever name, and words of a summary that tell of a side effect.
+STAGES = ("unit_test", "lint", "security", "bench")
+SIDE_EFFECTS = ("bench", "race", "regression", "derived state", "derived-state", "panic", "data race")
 TRANSCRIPT = "subagent_type string, prompt_chars long, response_chars long"
 SESSION = "message struct<model: string, usage: struct<input_tokens: long, output_tokens: long, cache_creation_input_tokens: long, cache_read_input_tokens: long>>"
 
@@ -38,7 +38,7 @@ def _stage(state: Column, name: str) -> Column:
     return F.when(_is(own, "OBJECT"), F.try_variant_get(own, "$.status", "string")).when(_is(own, "STRING"), own.cast("string"))
 
 
-def run_facts(files: DataFrame) -> DataFrame:
+def run_facts(files: DataFrame, stage_names: tuple[str, ...] = STAGES, side_effects: tuple[str, ...] = SIDE_EFFECTS) -> DataFrame:
     """files (cell, meta, state: texts of JSON, or null) with what these two say. What is no JSON object counts as empty.
 
     task, mode, status, pipeline_state, correct (null if never evaluated), detail (map of stages), bug_cycles and side_effects (of the
@@ -50,13 +50,13 @@ def run_facts(files: DataFrame) -> DataFrame:
     now = _at(s, "current_state")
     failures = F.filter(F.coalesce(_at(s, "failure_log", "array<variant>"), F.expr("cast(array() as array<variant>)")), lambda e: F.coalesce(F.try_variant_get(e, "$.state", "string") == "EVALUATION", F.lit(False)))
     summary = lambda e: F.lower(F.coalesce(F.try_variant_get(e, "$.actual_outcome.summary", "string"), F.lit("")))
-    harm = lambda e: reduce(lambda a, b: a | b, (F.contains(summary(e), F.lit(w)) for w in SIDE_EFFECTS))
+    harm = lambda e: reduce(lambda a, b: a | b, (F.contains(summary(e), F.lit(w)) for w in side_effects))
     checked = _at(s, "states.TICKET_INTAKE.sensitive_check.result")
     raced = F.lower(F.coalesce(_at(s, "states.EVALUATION.results.unit_test.race_detected"), F.lit("")))
     flags = F.array_compact(F.array(
         F.when(checked.isin("REDACTED", "BLOCKED"), F.concat(F.lit("sensitive_"), F.lower(checked))), F.when(_stage(s, "security") == "FAIL", "security_fail"), F.when(~raced.isin("", "false", "0", "null"), "race_detected"),
     ))
-    stages = F.array(*(F.struct(F.lit(k).alias("key"), _stage(s, k).alias("value")) for k in STAGES))
+    stages = F.array(*(F.struct(F.lit(k).alias("key"), _stage(s, k).alias("value")) for k in stage_names))
     start, end = (iso_time(_filled(_at(m, a), _at(s, b))) for a, b in (("started_at", "created_at"), ("ended_at", "updated_at")))
     return f.select(
         "cell", _filled(_at(m, "task"), _at(s, "ticket_id"), F.col("cell")).alias("task"), _filled(_at(m, "mode"), F.lit("unknown")).alias("mode"),
@@ -86,10 +86,10 @@ def run_usage(transcripts: DataFrame, sessions: DataFrame, agents: DataFrame, ti
     return by
 
 
-def collected_runs(listed: DataFrame, files: DataFrame, usage: DataFrame) -> DataFrame:
+def collected_runs(listed: DataFrame, files: DataFrame, usage: DataFrame, stage_names: tuple[str, ...] = STAGES) -> DataFrame:
     """A row for each cell: of those listed (pos, cell, task, mode, status), whether they left files or not, with what the list says of
     task, mode and status before what the files say; without a list of all that left files, by name."""
-    facts = run_facts(files).withColumn("_left", F.lit(True))
+    facts = run_facts(files, stage_names).withColumn("_left", F.lit(True))
     told = listed.select("pos", "cell", *(F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in ("task", "mode", "status")), F.lit(True).alias("_said"))
     any_listed = listed.select(F.lit(1)).limit(1).agg((F.count(F.lit(1)) > 0).alias("_any"))  # one row
     j = told.join(facts, "cell", "full").join(F.broadcast(any_listed), F.lit(True)).where(F.coalesce("_said", F.lit(False)) | ~F.col("_any"))

@@ -109,7 +109,7 @@ def parsed_tickets(tickets: DataFrame) -> DataFrame:
     missing = F.expr("cast(array() as array<string>)")
     for kind, fields in NEEDED.items():
         missing = F.when(F.col("work_type") == kind, F.array_compact(F.array(*(F.when(~there(f), f.split("|")[0]) for f in fields)))).otherwise(missing)
-    checked = F.exists("sections", lambda s: (s["key"] == "checklist") & F.contains(F.lower(s["body"]), F.lit("chainbench")))
+    checked = F.exists("sections", lambda s: (s["key"] == "checklist") & F.contains(F.lower(s["body"]), F.lit("bench")))
     warnings = F.array_compact(F.array(
         F.when(F.col("work_type") == "unknown", "kind not stated"), F.when((F.col("work_type") == "code_review") & there("acceptance_criteria"), "a review with acceptance criteria"),
         F.when((F.col("work_type") == "release") & ~checked, "a release without its bench checklist"),

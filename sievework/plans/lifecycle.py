@@ -141,7 +141,7 @@ RESUME_DETAILS = """WITH w AS (SELECT o_orderkey AS ticket, ['IMPLEMENTATION', '
 a AS (SELECT l_orderkey AS ticket, bool_or(l_partkey % 5 = 0) AS a, bool_or(l_partkey % 5 = 1) AS p, bool_or(l_partkey % 5 = 2) AS d, bool_or(l_partkey % 5 = 3) AS r FROM lineitem GROUP BY 1), e AS (SELECT l_orderkey AS ticket, max(l_partkey % 4 + 1) AS e FROM lineitem WHERE l_linenumber > 4 GROUP BY 1)
 SELECT w.ticket, state, CASE WHEN state = 'IMPLEMENTATION' THEN s.s.i END AS step_id, CASE WHEN state = 'IMPLEMENTATION' THEN s.s.c END AS checkpoint,
  CASE state WHEN 'ANALYSIS' THEN CASE WHEN a THEN 'partial' ELSE 'fresh' END WHEN 'PLANNING' THEN CASE WHEN p THEN 'partial' ELSE 'fresh' END WHEN 'DESIGN' THEN CASE WHEN d AND NOT r THEN 'review_pending' WHEN d THEN 'partial' ELSE 'fresh' END END AS sub_status,
- CASE WHEN state = 'EVALUATION' THEN ['unit_test', 'lint', 'security', 'chainbench'][e] END AS last_stage, CASE WHEN state = 'EVALUATION' THEN ['unit_test', 'lint', 'security', 'chainbench'][coalesce(e, 0) + 1] END AS next_stage FROM w LEFT JOIN s USING (ticket) LEFT JOIN a USING (ticket) LEFT JOIN e USING (ticket)"""
+ CASE WHEN state = 'EVALUATION' THEN ['unit_test', 'lint', 'security', 'bench'][e] END AS last_stage, CASE WHEN state = 'EVALUATION' THEN ['unit_test', 'lint', 'security', 'bench'][coalesce(e, 0) + 1] END AS next_stage FROM w LEFT JOIN s USING (ticket) LEFT JOIN a USING (ticket) LEFT JOIN e USING (ticket)"""
 
 
 def latency_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +303,7 @@ def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("## Work Type: New Feature\n## Background\n"), text, F.lit("\n### Scope\n- Module: a"), k, F.lit(", b ,\n- note\n## AC\n- [ ] one\n- [x] two: three\n")),
         F.concat(F.lit("bug, and its fix\n## Steps to  Reproduce\n- a\n* b\n## EXPECTED\nfine\n## Other\n"), text),
         F.concat(F.lit("**작업 유형**: 코드 리뷰\n## 리뷰 대상\n- core/"), k, F.lit("\n## 수용 기준\n"), text),
-        F.concat(F.lit("## Type: Release\n## Version\nv2\n## Checklist\n- [X] ChainBench "), k, F.lit("\n## Changes\n"), F.when(k % 2 == 0, "- X-1: y").otherwise("")), text,
+        F.concat(F.lit("## Type: Release\n## Version\nv2\n## Checklist\n- [X] Bench "), k, F.lit("\n## Changes\n"), F.when(k % 2 == 0, "- X-1: y").otherwise("")), text,
     )
     return table(spark, sf_dir, "documents").select("doc_id", F.when(k % 3 == 0, F.concat(F.lit("ticket "), k)).alias("summary"), F.element_at(bodies, (k % 5 + 1).cast("int")).alias("description"))
 
@@ -320,7 +320,7 @@ TICKET_SECTIONS = f"""WITH {_TICKETS}, s AS (SELECT doc_id, unnest(CASE k
  WHEN 0 THEN [{{'pos': 0, 'key': 'work type: new feature', 'body': '', 'c': '', 'b': '', 'p': ''}}, {{'pos': 1, 'key': 'background', 'body': x, 'c': '', 'b': '', 'p': ''}}, {{'pos': 2, 'key': 'scope', 'body': '- Module: a' || doc_id || ', b ,' || chr(10) || '- note', 'c': '', 'b': 'Module: a' || doc_id || ', b ,|note', 'p': 'modules=a' || doc_id || '+b'}}, {{'pos': 3, 'key': 'acceptance_criteria', 'body': '- [ ] one' || chr(10) || '- [x] two: three', 'c': 'one=false|two: three=true', 'b': '', 'p': ''}}]
  WHEN 1 THEN [{{'pos': 0, 'key': 'steps_to_reproduce', 'body': '- a' || chr(10) || '* b', 'c': '', 'b': 'a|b', 'p': ''}}, {{'pos': 1, 'key': 'expected', 'body': 'fine', 'c': '', 'b': '', 'p': ''}}, {{'pos': 2, 'key': 'other', 'body': x, 'c': '', 'b': '', 'p': ''}}]
  WHEN 2 THEN [{{'pos': 0, 'key': 'review_target', 'body': '- core/' || doc_id, 'c': '', 'b': 'core/' || doc_id, 'p': ''}}, {{'pos': 1, 'key': 'acceptance_criteria', 'body': x, 'c': '', 'b': '', 'p': ''}}]
- WHEN 3 THEN [{{'pos': 0, 'key': 'type: release', 'body': '', 'c': '', 'b': '', 'p': ''}}, {{'pos': 1, 'key': 'version', 'body': 'v2', 'c': '', 'b': '', 'p': ''}}, {{'pos': 2, 'key': 'checklist', 'body': '- [X] ChainBench ' || doc_id, 'c': 'ChainBench ' || doc_id || '=true', 'b': '', 'p': ''}},
+ WHEN 3 THEN [{{'pos': 0, 'key': 'type: release', 'body': '', 'c': '', 'b': '', 'p': ''}}, {{'pos': 1, 'key': 'version', 'body': 'v2', 'c': '', 'b': '', 'p': ''}}, {{'pos': 2, 'key': 'checklist', 'body': '- [X] Bench ' || doc_id, 'c': 'Bench ' || doc_id || '=true', 'b': '', 'p': ''}},
   {{'pos': 3, 'key': 'changes', 'body': CASE WHEN doc_id % 2 = 0 THEN '- X-1: y' ELSE '' END, 'c': '', 'b': CASE WHEN doc_id % 2 = 0 THEN 'X-1: y' ELSE '' END, 'p': CASE WHEN doc_id % 2 = 0 THEN 'x-1=y' ELSE '' END}}]
  ELSE [] END) AS s FROM t)
 SELECT doc_id, s.pos, s.key, md5(trim(s.body, ' ' || chr(9) || chr(13) || chr(10))) AS body_md5, s.c AS checklist, s.b AS bullets, s.p AS pairs FROM s"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators.runs import collected_runs, run_usage
+from sievework.operators.runs import STAGES, collected_runs, run_usage
 from sievework.sources.files import names
 from sievework.sources.readers import texts_of
 
@@ -21,7 +21,7 @@ def listed_cells(spark: SparkSession, folder: str) -> DataFrame:
     return cells.select("pos", name.alias("cell"), "c.task", "c.mode", "c.status")
 
 
-def collect_experiment(spark: SparkSession, folder: str, prices: DataFrame, agents: DataFrame, tiers: DataFrame, fallback: str, sessions: DataFrame | None = None) -> DataFrame:
+def collect_experiment(spark: SparkSession, folder: str, prices: DataFrame, agents: DataFrame, tiers: DataFrame, fallback: str, sessions: DataFrame | None = None, stage_names: tuple[str, ...] = STAGES) -> DataFrame:
     """A row for each cell of an experiment; see `collected_runs`. sessions: cell, path of a session's JSON lines.
 
     Files that can't be read count as absent, and a folder without any is a cell all the same. All texts are read by Spark, a
@@ -39,4 +39,4 @@ def collect_experiment(spark: SparkSession, folder: str, prices: DataFrame, agen
         paths = [r["path"] for r in sessions.select("path").distinct().collect()]  # what the caller listed
         texts = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")) if paths else spark.createDataFrame([], "file string, line string")
         said = texts.join(sessions, F.endswith(F.url_decode("file"), F.col("path"))).select("cell", "line")
-    return collected_runs(listed_cells(spark, folder), files, run_usage(lines, said, agents, tiers, prices, fallback))
+    return collected_runs(listed_cells(spark, folder), files, run_usage(lines, said, agents, tiers, prices, fallback), stage_names)

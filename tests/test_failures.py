@@ -71,10 +71,10 @@ def test_where_to_resume(spark):
     spaces = frame("ticket string, state string", ("i", "IMPLEMENTATION"), ("a", "ANALYSIS"), ("p", "PLANNING"), ("d", "DESIGN"), ("r", "DESIGN"), ("e", "EVALUATION"), ("f", "EVALUATION"), ("b", "BLOCKED"), ("n", "EVALUATION"))
     steps = frame("ticket string, step_id int, status string, checkpoint string", ("i", 1, "completed", None), ("i", 3, "pending", None), ("i", 2, "in_progress", "wip"))
     files = frame("ticket string, name string", ("a", "related-code.json"), ("p", "analysis.md"), ("d", "design-v3.md"), ("r", "design-v1.md"), ("r", "design-changelog.md"))
-    stages = frame("ticket string, stage string", ("e", "unit_test"), ("e", "lint"), ("f", "chainbench"))
+    stages = frame("ticket string, stage string", ("e", "unit_test"), ("e", "lint"), ("f", "bench"))
     got = {r.ticket: (r.step_id, r.checkpoint, r.sub_status, r.last_stage, r.next_stage) for r in resume_details(spaces, steps, files, stages).collect()}
     none = (None,) * 5
     assert got == {
         "i": (2, "wip", None, None, None), "a": (None, None, "partial", None, None), "p": (None, None, "fresh", None, None), "d": (None, None, "review_pending", None, None), "r": (None, None, "partial", None, None),
-        "e": (None, None, None, "lint", "security"), "f": (None, None, None, "chainbench", None), "b": none, "n": (None, None, None, None, "unit_test"),
+        "e": (None, None, None, "lint", "security"), "f": (None, None, None, "bench", None), "b": none, "n": (None, None, None, None, "unit_test"),
     }

@@ -41,7 +41,7 @@ def test_kinds(spark):
 
 def test_missing_fields_and_warnings(spark):
     full = "## Type: Bug\n## Repro\n- a\n## Expected\nx\n## Actual\ny\n## Scope\n- modules: core"
-    rows = parse(spark, ("s", full), (None, "## Type: feature\n## Background\nwhy"), ("s", "## Type: review\n## Target\n- core/\n## AC\n- [ ] x"), ("s", "## Type: release\n## Version\n1\n## Changes\n\n## Checklist\n- [ ] ChainBench run"), ("", ""), ("s", "## Type: release"))
+    rows = parse(spark, ("s", full), (None, "## Type: feature\n## Background\nwhy"), ("s", "## Type: review\n## Target\n- core/\n## AC\n- [ ] x"), ("s", "## Type: release\n## Version\n1\n## Changes\n\n## Checklist\n- [ ] Bench run"), ("", ""), ("s", "## Type: release"))
     assert [r.missing_fields for r in rows] == [[], ["summary", "scope.modules"], [], ["changes"], [], ["version", "changes"]]
     assert [len(r.warnings) for r in rows] == [0, 0, 1, 0, 1, 1]
 
