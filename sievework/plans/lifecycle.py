@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from sievework.functions.text import failure_key, masked
 from sievework.operators import gates, integrity, lifecycle, parsing, rollup, tickets
 from sievework.operators.spans import scan_and_filter
-from sievework.functions.detectors import Policy
-from sievework.plans.common import injected, rows, table
+from sievework.functions.detectors import MAX_SCAN_BYTES, Policy
+from sievework.plans.common import INJECTED_SQL, injected, rows, table
+from sievework.plans.filtering import scanned_sql
 from sievework.session import shared_folder
 from sievework.sources.readers import safe_json_lines, typed_scalar
 from sievework.streaming.failures import batch_failure_log, stream_failure_log
@@ -181,7 +182,9 @@ def safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", F.array_join(flags, ";").alias("flags"))
 
 
-SAFETY_FLAGS = """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 8 = 2 THEN 'sensitive_blocked' WHEN doc_id % 8 IN (0, 1, 3, 4, 5) THEN 'sensitive_redacted' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 0 THEN 'low_quality' END], lambda x: x IS NOT NULL), ';') AS flags FROM documents LEFT JOIN labels USING (doc_id)"""
+#: A text is blocked by a blocking rule or its size, redacted by any other that redacts: whatever it says itself, besides what was appended.
+SAFETY_FLAGS = "WITH " + INJECTED_SQL + ", " + scanned_sql("doc_inj", "doc_id") + f""", s AS (SELECT doc_id, CASE WHEN strlen(text) > {MAX_SCAN_BYTES} THEN 'BLOCKED' ELSE scan_result END AS scan_result FROM filtered)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN scan_result <> 'CLEAN' THEN 'sensitive_' || lower(scan_result) END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 0 THEN 'low_quality' END], lambda x: x IS NOT NULL), ';') AS flags FROM s LEFT JOIN labels USING (doc_id)"""
 
 
 def integrity_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
