@@ -138,9 +138,15 @@ def latency(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / 1e6).alias("latency_s"))
 
 
-def monitor(samples: DataFrame, ts: str, value: Column, width: str, most: float) -> DataFrame:
-    """Per window: samples, mean, largest, those over `most`, and whether it passes."""
-    by = samples.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("samples"), F.avg(value).alias("mean"), F.max(value).alias("largest"), F.count_if(value > most).alias("violations"))
+def monitor(samples: DataFrame, ts: str, value: Column, width: str, most: float, digits: int = 4) -> DataFrame:
+    """Per window: samples, mean, largest, those over `most`, and whether it passes. Samples without a time are in no window.
+
+    The mean is rounded, halves away from zero, from the exact sum of the values' micro-units, so it doesn't depend on the order
+    of rows; where a value isn't finite or passes twelve digits, from the average of doubles.
+    """
+    exact = value.try_cast("decimal(18,6)")
+    mean = F.when(F.count(exact) == F.count(value), F.round(F.try_divide(F.sum(exact), F.count(exact)), digits).cast("double")).otherwise(F.round(F.avg(value), digits))
+    by = samples.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("samples"), mean.alias("mean"), F.max(value).alias("largest"), F.count_if(value > most).alias("violations"))
     return by.select(F.col("w.start").alias("start"), "samples", "mean", "largest", "violations", (F.col("violations") == 0).alias("passes"))
 
 

@@ -168,3 +168,16 @@ def test_flags_of_texts_own_secrets(spark, tmp_path):
     got = lifecycle.safety_flags(spark, str(tmp_path))
     assert {r.doc_id: r.flags for r in got.collect()} == {0: "sensitive_redacted", 2: "sensitive_blocked", 6: "sensitive_redacted", 7: "sensitive_redacted;toxic", 14: "sensitive_blocked", 15: "low_quality", 22: "", 23: "sensitive_blocked"}
     assert differences(got, connect(str(tmp_path)), lifecycle.SAFETY_FLAGS) == ([], [], [])
+
+
+def test_windows_and_means_are_exact(spark, tmp_path):
+    import pandas as pd
+
+    from sievework.plans.oracle import connect, differences
+
+    at = ["2024-01-01 23:59:59.700", "2024-01-01 10:00:00", "2024-01-02 00:00:00", *["2024-01-04 00:00:01"] * 8, "2024-01-06 05:00:00", None, "2024-01-08 05:00:00"]
+    value = [1.0, 2.0, 4.0, *[0.0] * 7, 1.0004, -0.00005, 9.0, None]
+    pd.DataFrame({"ts": pd.to_datetime(at, format="ISO8601").astype("datetime64[us]"), "value": value}).to_parquet(f"{tmp_path}/events.parquet")
+    got = lifecycle.monitor_window(spark, str(tmp_path))
+    assert {r.start[:10]: (r.samples, r["mean"]) for r in got.collect()} == {"2023-12-31": (2, 1.5), "2024-01-02": (1, 4.0), "2024-01-04": (8, 0.1251), "2024-01-06": (1, -0.0001), "2024-01-08": (1, None)}
+    assert differences(got, connect(str(tmp_path)), lifecycle.MONITOR) == ([], [], [])
