@@ -72,21 +72,29 @@ def impact(seeds: DataFrame, edges: DataFrame, depth: int, couplings: dict[str,
 def step_order(steps: DataFrame, needs: DataFrame) -> DataFrame:
     """step, level: the longest chain of needs (step, needed) below each step; null for steps that lie on or behind a cycle.
 
-    Each round takes the steps whose needs all have levels, one level a round, until none is left to take; a plan's levels are
-    few. Lineage is cut by checkpoints, so chains may be long. Needs that are no step count as done before.
+    A need is a link with a length. Each round, every link to a step that has just one link is led on to where that one goes, so
+    links along chains double in length, and of a step's links to the same place the longest stays: rounds grow with the logarithm
+    of chains, and with the number of steps with several needs that lie on one path. Links never become more. One that comes back
+    to its step, or is longer than there are steps, is on or behind a cycle. Lineage is cut by checkpoints. Needs that are no step
+    count as done before.
     """
     every = steps.select("step").distinct()
-    pending = needs.select("step", "needed").distinct().join(every.withColumnRenamed("step", "needed"), "needed", "left_semi").join(every, "step", "left_semi").select("step", "needed")
-    open_ = every
-    done = None
-    level = 0
-    while True:
-        ready = checkpointed(open_.join(pending.select("step").distinct(), "step", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        open_ = checkpointed(open_.join(ready, "step", "left_anti"))
-        pending = checkpointed(pending.join(ready.select(F.col("step").alias("needed")), "needed", "left_anti").select("step", "needed"))
-        level += 1
-    stuck = open_.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+    most = every.count()
+    known = needs.select("step", "needed").distinct().join(every.withColumnRenamed("step", "needed"), "needed", "left_semi").join(every, "step", "left_semi")
+    # needed is null where a link ends, length where it ends in a cycle
+    links = known.select("step", "needed", F.lit(1).cast("long").alias("length")).unionByName(every.join(known, "step", "left_anti").select("step", F.lit(None).cast("string").alias("needed"), F.lit(0).cast("long").alias("length")))
+    n = F.count(F.lit(1)).over(Window.partitionBy("step")).alias("n")
+    links = checkpointed(links.select("step", "needed", "length", n))
+    moving = True
+    while moving:
+        only = links.where("n = 1").select(F.col("step").alias("needed"), F.col("needed").alias("_on"), F.col("length").alias("_more"), F.lit(True).alias("_led"))
+        led = F.col("_led").isNotNull()
+        step = links.where("needed is not null").join(only, "needed", "left").select("step", F.when(led, F.col("_on")).otherwise(F.col("needed")).alias("needed"), F.when(led, F.col("length") + F.col("_more")).otherwise(F.col("length")).alias("length"), led.alias("led"))
+        loop = F.coalesce((F.col("needed") == F.col("step")) | (F.col("length") > most), F.lit(False))
+        cut = step.select("step", F.when(~loop, F.col("needed")).alias("needed"), F.when(~loop, F.col("length")).alias("length"), "led")
+        both = cut.unionByName(links.where("needed is null").select("step", "needed", "length", F.lit(False).alias("led")))
+        longest = F.when(F.count("length") == F.count(F.lit(1)), F.max("length")).alias("length")
+        links = checkpointed(both.groupBy("step", "needed").agg(longest, F.bool_or("led").alias("led")).select("step", "needed", "length", "led", n))
+        moving = not links.where("led").isEmpty()
+    level = F.when(F.count("needed") + F.count_if(F.col("length").isNull()) == 0, F.max("length")).cast("int")
+    return links.groupBy("step").agg(level.alias("level"))

@@ -70,6 +70,32 @@ def test_long_chains_have_levels(spark):
     assert got == {f"s{i}": i for i in range(20)} | {"x": None, "y": None, "z": None}
 
 
+def test_levels_of_long_chains_take_few_rounds(spark, monkeypatch):
+    from sievework.operators import graph
+
+    n, rounds, cut = 300, [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(1) or cut(df))
+    needs = [(f"s{i}", f"s{i - 1}") for i in range(1, n)] + [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("b0", "r3"), ("b1", "b0"), ("b1", "s5")]
+    steps = sorted({s for pair in needs for s in pair})
+    got = dict(graph.step_order(spark.createDataFrame([(s,) for s in steps], "step string"), spark.createDataFrame(needs, "step string, needed string")).collect())
+    assert got == {s: int(s[1:]) if s[0] == "s" else None for s in steps}
+    assert len(rounds) < 20
+
+
+def test_levels_of_any_needs(spark):
+    from sievework.operators import graph
+
+    rng = random.Random(11)
+    needs = {(f"{g}{rng.randrange(30)}", f"{g}{rng.randrange(30)}") for g in "abc" for _ in range(35)} | {(f"d{i}", f"d{j}") for i in range(40) for j in rng.sample(range(40), 2) if j < i}
+    steps = sorted({f"{g}{i}" for g in "abc" for i in range(30)} | {f"d{i}" for i in range(40)})
+    want, more = {}, True
+    while more:
+        ready = {s: max((want[b] + 1 for a, b in needs if a == s), default=0) for s in steps if s not in want and all(b in want for a, b in needs if a == s)}
+        want, more = want | ready, bool(ready)
+    rows = graph.step_order(spark.createDataFrame([(s,) for s in steps], "step string"), spark.createDataFrame(sorted(needs), "step string, needed string")).collect()
+    assert len(rows) == len(steps) and dict(rows) == {s: want.get(s) for s in steps} and None in dict(rows).values() and max(want.values()) > 5
+
+
 def test_refused_transitions_leave_the_state(spark, monkeypatch):
     from pyspark.sql import functions as F
 
