@@ -207,3 +207,30 @@ def test_windows_and_means_are_exact(spark, tmp_path):
     got = lifecycle.monitor_window(spark, str(tmp_path))
     assert {r.start[:10]: (r.samples, r["mean"]) for r in got.collect()} == {"2023-12-31": (2, 1.5), "2024-01-02": (1, 4.0), "2024-01-04": (8, 0.1251), "2024-01-06": (1, -0.0001), "2024-01-08": (1, None)}
     assert differences(got, connect(str(tmp_path)), lifecycle.MONITOR) == ([], [], [])
+
+
+def test_nearest_vectors_in_parts(spark, monkeypatch):
+    import math
+
+    from sievework.operators import ranking
+
+    for name, n in (("QUERY_BLOCK", 5), ("VECTOR_PART", 30), ("TILE", 3)):
+        monkeypatch.setattr(ranking, name, n)
+    rng = random.Random(5)
+    seen = [[rng.choice((-1.0, 0.5, 2.0)) for _ in range(3)] for _ in range(40)]
+    rows = [(i, rng.choice(seen)) for i in range(200)] + [(200, None), (201, [1.0, None, 2.0]), (202, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def unit(e):
+        n = math.sqrt(e[0] * e[0] + e[1] * e[1] + e[2] * e[2])
+        return [x / n for x in e]
+
+    want, units = {}, {i: unit(e) for i, e in rows[:200]}
+    for i in range(0, 200, 17):
+        a = units[i]
+        scored = sorted((-(a[0] * b[0] + a[1] * b[1] + a[2] * b[2]), j) for j, b in units.items() if j != i)
+        want |= {(i, r): (j, -s) for r, (s, j) in enumerate(scored[:4], 1)}
+    found = ranking.vector_top_k(v.where("vec_id % 17 = 0 and vec_id < 200"), v, 4)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()} == want
+    few = ranking.vector_top_k(v.where("vec_id = 0"), v.where("vec_id in (0, 1, 200, 201, 202)"), 9).collect()
+    assert [(r.vec_id, r.score is None) for r in sorted(few, key=lambda r: r["rank"])] == [(1, False), (200, True), (201, True), (202, True)]
