@@ -9,7 +9,7 @@ from sievework.operators import compositions, ranking
 from sievework.operators.compositions import CUT_MARK, FULL_GRAPH, KEYWORD_CHARS, KEYWORD_FILES, METHODS
 from sievework.plans.common import INJECTED_SQL, injected, table
 from sievework.plans.filtering import POLICY, redacted_sql, scanned_sql
-from sievework.plans.retrieval import BM25_CTE, INDEX_CTE, bm25_ranking, built, keyword_scored, queries_of, walk_sql
+from sievework.plans.retrieval import BM25_CTE, INDEX_CTE, bm25_ranking, built, keyword_ranking, queries_of, walk_sql
 
 CITATIONS, TOKENS = 8, 6_000
 
@@ -153,7 +153,7 @@ SELECT query_id, count(*) AS files, md5(string_agg(part, chr(10) ORDER BY k, pos
 def keyword_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best files of a keyword search, within the budget."""
     files = _files(spark, sf_dir)
-    top = ranking.top_k(keyword_scored(spark, sf_dir), ["query_id"], [F.col("score").desc(), F.col("size"), F.col("id")], KEYWORD_FILES)
+    top = keyword_ranking(spark, sf_dir, KEYWORD_FILES)
     chosen = top.select("query_id", F.col("rank").alias("pos"), "id").join(files.select("id", "file"), "id")
     found = compositions.file_context(chosen, files, KEYWORD_CHARS)
     return found.select("query_id", "files", F.length("context").cast("long").alias("n_chars"), F.md5(F.encode("context", "UTF-8")).alias("context_md5"))

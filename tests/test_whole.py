@@ -234,3 +234,23 @@ def test_nearest_vectors_in_parts(spark, monkeypatch):
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()} == want
     few = ranking.vector_top_k(v.where("vec_id = 0"), v.where("vec_id in (0, 1, 200, 201, 202)"), 9).collect()
     assert [(r.vec_id, r.score is None) for r in sorted(few, key=lambda r: r["rank"])] == [(1, False), (200, True), (201, True), (202, True)]
+
+
+def test_documents_ranked_in_groups(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import ranking
+
+    for name, n in (("DOC_PART", 20), ("QUERY_BLOCK", 12), ("TILE", 7)):
+        monkeypatch.setattr(ranking, name, n)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    index = spark.createDataFrame([(d, t, n, 9) for d in range(150) for t, n in {rng.choice(words): 1 + rng.randrange(3) for _ in range(1 + d % 5)}.items()], "id long, term string, tf long, dl long")
+    sizes = spark.createDataFrame([(d, d % 4, rng.choice(words)) for d in range(150)], "id long, size long, name string")
+    queries = spark.createDataFrame([(f"q{i}", t) for i in range(10) for t in rng.sample([*words, "none"], 4)], "query_id string, term string")
+    plain = lambda scored, *by: {tuple(r) for r in ranking.top_k(scored, ["query_id"], [F.col("score").desc(), *by], 6).select("query_id", "id", F.round("score", 6), "rank").collect()}
+    mine = lambda df: {tuple(r) for r in df.select("query_id", "id", "score", "rank").collect()}
+    found = mine(ranking.best_documents(queries, ranking.keyword_parts(queries, index, sizes), ["id"], ["size"], 6, 150))
+    assert found == plain(ranking.keyword_scores(queries, index, sizes), F.col("size"), F.col("id"))
+    scored = ranking.bm25(queries, index).withColumn("score", F.round("score", 6))
+    assert mine(ranking.best_documents(queries, ranking.bm25_parts(queries.select("term").distinct(), index), ["id"], [], 6, 150, 6)) == plain(scored, F.col("id"))
