@@ -8,37 +8,55 @@ from pyspark.sql import functions as F
 from sievework.session import checkpointed
 
 
+#: What couples a dependent to what it depends on, the closest first (fixed values).
+COUPLINGS = ("callers", "interface", "type_users", "distributed", "concurrent", "other")
+#: More than there are ranks of couplings.
+_RANKS = len(COUPLINGS) + 1
+
+
+def _walk(seeds: DataFrame, hop: DataFrame, depth: int, cap: int | None = None) -> DataFrame:
+    """seed, node, at: nodes within depth hops (a, b, rank) of each seed (node), seeds left out; at is _RANKS times the least depth, plus the
+    least rank of a hop that leads there from a node one nearer.
+
+    Each hop joins the nodes of the level before with the hops by key; a node found again stays at its least depth, which is a minimum over
+    all rows found, so that no level is held against those before it.
+    """
+    hop = hop.where(~F.col("a").eqNullSafe(F.col("b")))
+    found, last = None, None
+    for d in range(1, depth + 1):
+        at = (F.lit(d * _RANKS) + F.col("rank")).alias("at")
+        if last is None:  # a seed's own hops lie with it
+            step = hop.join(seeds.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("seed"), F.col("b").alias("node"), at)
+        else:
+            step = last.join(hop, "a").where(~F.col("seed").eqNullSafe(F.col("b"))).select("seed", F.col("b").alias("node"), at)
+        found = (step if found is None else found.unionByName(step)).groupBy("seed", "node").agg(F.min("at").alias("at"))
+        last = found.where(F.col("at") >= d * _RANKS).select("seed", F.col("node").alias("a"))
+        if cap is not None and d < depth:
+            full = found.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cap)
+            last = last.join(full, "seed", "left_anti")
+    return found
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, depth: int, kinds: tuple[str, ...] | None = None, direction: str = "out", cap: int | None = None) -> DataFrame:
     """seed, node, depth: nodes within depth hops of each seed (node), at their least depth, seeds left out.
 
     direction: 'out' along edges, 'in' against them, 'both'. With cap, the first cap nodes of a seed by (depth, node).
-    Each hop joins the frontier, minus what was seen, with the edges by key; depth is a small constant. A seed that
-    has cap nodes goes no further: what lies deeper comes after them.
+    Depth is a small constant. A seed that has cap nodes goes no further: what lies deeper comes after them.
     """
     e = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
     out, back = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    hop = {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
-    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = frontier.join(hop, frontier["node"] == hop["a"]).select("seed", F.col("b").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
-        if cap is not None and d < depth:
-            full = seen.where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cap)
-            frontier = frontier.join(full, "seed", "left_anti")
-    found = seen.where("depth > 0")
+    hop = {"out": out, "in": back, "both": out.union(back)}[direction].withColumn("rank", F.lit(0))
+    found = _walk(seeds, hop, depth, cap).select("seed", "node", F.expr(f"cast(at div {_RANKS} as int)").alias("depth"))
     if cap is None:
         return found
     return found.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))).where(F.col("_n") <= cap).drop("_n")
 
 
-def subgraph(seeds: DataFrame, edges: DataFrame, depth: int, cap: int | None = None) -> DataFrame:
-    """seed, src, dst, kind: edges between nodes within depth hops, whatever their direction.
+def _within(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """seed, src, dst, kind: edges both of whose ends are among a seed's nodes (seed, node).
 
     Each edge meets the seeds of that end which fewer seeds have, then the other end is looked up.
     """
-    nodes = reachable(seeds, edges, depth, direction="both", cap=cap).select("seed", "node").unionByName(seeds.select(F.col("node").alias("seed"), "node").distinct())
     a, b = nodes.select("seed", F.col("node").alias("src")), nodes.select("seed", F.col("node").alias("dst"))
     n = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     e = edges.join(n.select(F.col("node").alias("src"), F.col("n").alias("_src")), "src").join(n.select(F.col("node").alias("dst"), F.col("n").alias("_dst")), "dst")
@@ -47,8 +65,29 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int, cap: int | None = N
     return by_src.select("seed", "src", "dst", "kind").unionByName(by_dst.select("seed", "src", "dst", "kind"))
 
 
-#: What couples a dependent to what it depends on, the closest first (fixed values).
-COUPLINGS = ("callers", "interface", "type_users", "distributed", "concurrent", "other")
+def subgraph(seeds: DataFrame, edges: DataFrame, depth: int, cap: int | None = None) -> DataFrame:
+    """seed, src, dst, kind: edges between nodes within depth hops, whatever their direction.
+
+    An edge at a node less than depth hops away has both ends within depth hops: the hops of the walk are such edges. Each counts from its
+    nearer end, between nodes of one level from src. Edges between nodes that lie depth hops away are looked up by both ends; with cap, all are.
+    """
+    if cap is not None:
+        nodes = reachable(seeds, edges, depth, direction="both", cap=cap).select("seed", "node")
+        return _within(nodes.unionByName(seeds.select(F.col("node").alias("seed"), "node").distinct()), edges)
+    edges = edges.where("src is not null and dst is not null")
+    hop = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("out"), "kind").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("out"), "kind"))
+    ends = (F.when(F.col("out"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("out"), F.col("b")).otherwise(F.col("a")).alias("dst"))
+    first = hop.join(seeds.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("seed"), "a", "b", "out", "kind")
+    found = first.where(~F.col("a").eqNullSafe(F.col("b")) | F.col("out")).select("seed", *ends, "kind")
+    last = first.where("a <> b").select("seed", F.col("b").alias("node")).distinct()
+    seen = last.withColumn("depth", F.lit(1))
+    for d in range(2, depth + 1):
+        step = last.withColumnRenamed("node", "a").join(hop, "a").where("b <> seed").select("seed", "a", "b", "out", "kind")
+        placed = step.join(seen.select("seed", F.col("node").alias("b"), F.col("depth").alias("_at")), ["seed", "b"], "left")
+        found = found.unionByName(placed.where(F.col("_at").isNull() | ((F.col("_at") == d - 1) & F.col("out"))).select("seed", *ends, "kind"))
+        last = placed.where("_at is null").select("seed", F.col("b").alias("node")).distinct()
+        seen = seen.unionByName(last.withColumn("depth", F.lit(d)))
+    return found.unionByName(_within(last, edges))
 
 
 def impact(seeds: DataFrame, edges: DataFrame, depth: int, couplings: dict[str, str] | None = None) -> DataFrame:
@@ -57,15 +96,11 @@ def impact(seeds: DataFrame, edges: DataFrame, depth: int, couplings: dict[str,
     couplings: category of an edge's kind, 'other' without one. A node counts once for each seed, by the closest coupling
     among the edges that lead it one hop nearer.
     """
-    found = reachable(seeds, edges, depth, direction="in")
-    near = found.unionByName(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
     rank = F.lit(len(COUPLINGS))
     for kind, category in (couplings or {}).items():
         rank = F.when(F.col("kind") == kind, COUPLINGS.index(category) + 1).otherwise(rank)
-    hop = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), rank.alias("rank")).distinct()
-    back = near.select("seed", F.col("node").alias("to"), (F.col("depth") + 1).alias("depth"))
-    by = found.join(hop, "node").join(back, ["seed", "to", "depth"]).groupBy("seed", "node").agg(F.min("rank").alias("rank"))
-    name = F.element_at(F.array(*map(F.lit, COUPLINGS)), F.col("rank"))
+    by = _walk(seeds, edges.where("src is not null").select(F.col("dst").alias("a"), F.col("src").alias("b"), rank.alias("rank")), depth)
+    name = F.element_at(F.array(*map(F.lit, COUPLINGS)), F.col("at") % _RANKS)
     return by.groupBy("seed", name.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -254,3 +254,30 @@ def test_documents_ranked_in_groups(spark, monkeypatch):
     assert found == plain(ranking.keyword_scores(queries, index, sizes), F.col("size"), F.col("id"))
     scored = ranking.bm25(queries, index).withColumn("score", F.round("score", 6))
     assert mine(ranking.best_documents(queries, ranking.bm25_parts(queries.select("term").distinct(), index), ["id"], [], 6, 150, 6)) == plain(scored, F.col("id"))
+
+
+def test_walks_of_graphs_with_loops_and_equal_edges(spark):
+    from sievework.operators import graph
+
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", rng.choice("xyz")) for _ in range(45)] + [("n1", "n1", "x"), ("n2", "n3", "x"), ("n2", "n3", "y"), ("n3", "n2", "x")]
+    edges = sorted(set(rows))
+    out, back = {(a, b) for a, b, _ in edges}, {(b, a) for a, b, _ in edges}
+    e, starts = spark.createDataFrame(edges, "src string, dst string, kind string"), [f"n{i}" for i in range(0, 30, 2)]
+    seeds = spark.createDataFrame([(s,) for s in starts], "node string")
+    for depth in (1, 2, 3):
+        near = walk(starts, out | back, depth)
+        found = graph.subgraph(seeds, e, depth)
+        assert three(found) == {(s, a, b, k) for s in starts for a, b, k in edges if (s, a) in near and (s, b) in near}
+        at = walk(starts, back, depth)
+        assert three(graph.reachable(seeds, e, depth, direction="in")) == {(s, n, x) for (s, n), x in at.items() if x}
+        counts, rank = defaultdict(int), {"x": 0, "y": 4}
+        for (s, n), x in at.items():
+            if x:
+                kinds = [rank.get(k, 5) for a, b, k in edges if a == n and at.get((s, b)) == x - 1]
+                counts[s, graph.COUPLINGS[min(kinds)]] += 1
+        impact = graph.impact(seeds, e, depth, {"x": "callers", "y": "concurrent"})
+        assert three(impact) == {(*k, n) for k, n in counts.items()}
+        # an edge that leads nearer is known from the walk, no level is held against those before it
+        assert impact._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 4 * depth
+    assert graph.impact(seeds, e, 2)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
