@@ -220,27 +220,32 @@ def scan_and_filter(df: DataFrame, text_col: str, policy: Policy | None = None)
     )
 
 
-def merge_metadata(filtered: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
-    """Worst result, sum of counts, and unions of the pattern lists in order of first appearance, by keys.
+def merge_metadata(filtered: DataFrame, *keys: str, order: Column | None = None, **sums: Column) -> DataFrame:
+    """Worst result, sum of counts, and unions of the pattern lists in order of first appearance, by keys; sums are added up beside them.
 
-    order: what rows of a key are ordered by; without it lists are sorted.
+    order: what rows of a key are ordered by; without it lists are sorted. All in one pass: texts are scanned once.
     """
     rank = F.when(F.col("scan_result") == "BLOCKED", 2).when(F.col("scan_result") == "REDACTED", 1).otherwise(0)
     lists = ("redacted_patterns", "blocked_patterns", "warnings")
-    worst = filtered.groupBy(*keys).agg(F.element_at(F.array(*map(F.lit, ("CLEAN", "REDACTED", "BLOCKED"))), F.max(rank) + 1).alias("scan_result"), F.sum("redacted_count").alias("redacted_count"))
+    spot = "struct<list: string, name: string, pos: int>"
     placed = lambda c: F.transform(c, lambda x, i: F.struct(F.lit(c).alias("list"), x.alias("name"), i.alias("pos")))
-    each = F.explode_outer(F.flatten(F.array(*map(placed, lists))))
+    # a row itself, without a name, then the names of its lists
+    each = F.explode(F.concat(F.array(F.lit(None).cast(spot)), F.flatten(F.array(*map(placed, lists))))).alias("_e")
     at = (F.lit(0) if order is None else order).alias("_at")
+    rows = filtered.select(*keys, at, rank.alias("_rank"), "redacted_count", *(c.alias(n) for n, c in sums.items()), each).select("*", F.col("_e.list").alias("_list"), F.col("_e.name").alias("_name"), F.col("_e.pos").alias("_pos"))
+    own = lambda c: F.sum(F.when(F.col("_e").isNull(), F.col(c))).alias(c)
+    pos = F.col("_pos") if order is not None else F.lit(0).alias("_pos")
     # a name's first place is kept of each, so rows shrink to the rules, which are few, before they are shuffled
-    named = filtered.select(*keys, at, each.alias("_e")).where("_e is not null").select(*keys, "_at", "_e.*")
-    first = named.groupBy(*keys, "list", "name").agg(F.min(F.struct("_at", F.col("pos") if order is not None else F.lit(0).alias("pos"))).alias("first"))
-    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == c, F.struct("first", "name")))), lambda s: s["name"]).alias(c)
-    names = first.groupBy(*keys).agg(*map(of, lists))
-    empty = F.expr("cast(array() as array<string>)")
-    same = [worst[k].eqNullSafe(names[k]) for k in keys]
-    return worst.join(names, same, "left").select(*(worst[k] for k in keys), "scan_result", "redacted_count", *(F.coalesce(c, empty).alias(c) for c in lists))
+    first = rows.groupBy(*keys, "_list", "_name").agg(F.max("_rank").alias("_rank"), own("redacted_count"), *map(own, sums), F.min(F.when(F.col("_e").isNotNull(), F.struct("_at", pos))).alias("first"))
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("_list") == c, F.struct("first", "_name")))), lambda s: s["_name"]).alias(c)
+    worst = F.element_at(F.array(*map(F.lit, ("CLEAN", "REDACTED", "BLOCKED"))), F.max("_rank") + 1).alias("scan_result")
+    return first.groupBy(*keys).agg(worst, F.sum("redacted_count").alias("redacted_count"), *map(of, lists), *(F.sum(n).alias(n) for n in sums))
+
+
+#: Whether a row may leave.
+MAY_LEAVE = "scan_result <> 'BLOCKED'"
 
 
 def drop_blocked(filtered: DataFrame) -> DataFrame:
     """Rows that may leave; their metadata is to be merged beforehand, from all rows."""
-    return filtered.where("scan_result <> 'BLOCKED'")
+    return filtered.where(MAY_LEAVE)

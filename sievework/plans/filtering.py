@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.detectors import DETECTORS, MAX_SCAN_BYTES, TOKEN, Detector, Policy, jvm_regex
 from sievework.functions.text import shannon_entropy
 from sievework.operators.integrity import upsert
-from sievework.operators.spans import drop_blocked, merge_metadata, scan, scan_and_filter, scan_counts, worth_searching
+from sievework.operators.spans import MAY_LEAVE, merge_metadata, scan, scan_and_filter, scan_counts, worth_searching
 from sievework.plans.common import INJECTED_SQL, injected, quoted, table
 
 RULES = tuple(d for d in DETECTORS if d.type != "entropy")
@@ -96,10 +96,9 @@ FILTER_METADATA = "WITH " + INJECTED_SQL + ", " + scanned_sql("doc_inj", "doc_id
 
 def filter_drop_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_and_filter(injected(table(spark, sf_dir, "documents")), "text", POLICY)
-    kept = drop_blocked(found).groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("filtered_text")).alias("kept_chars"))
-    names = ("redacted_patterns", "blocked_patterns", "warnings")
-    merged = merge_metadata(found, "source", order=F.col("doc_id")).select("source", "scan_result", "redacted_count", *(F.array_join(c, ",").alias(c) for c in names))
-    return merged.join(kept, "source", "left")
+    may = F.expr(MAY_LEAVE)
+    merged = merge_metadata(found, "source", order=F.col("doc_id"), kept=F.when(may, 1), kept_chars=F.when(may, F.length("filtered_text")))
+    return _joined(merged).select("source", "scan_result", "redacted_count", "redacted_patterns", "blocked_patterns", "warnings", "kept", "kept_chars")
 
 
 FILTER_DROP = "WITH " + INJECTED_SQL + ", " + scanned_sql("doc_inj", "doc_id, source") + f""",
