@@ -269,7 +269,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.detection_summary(gates.findings(gates.mutants(_cases(spark, sf_dir))))
+    return gates.detection_summary(gates.mutant_findings(_cases(spark, sf_dir)))
 
 
 #: Of each case: six hard mutants, two of which lose a test, which the old rules see too; a plan without its block; an undeclared site, which no rule sees.

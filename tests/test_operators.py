@@ -122,3 +122,26 @@ def test_mode_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([("m", True, None)], "m string, ok boolean, x double")
     readers.write_report_csv(rollup.csv_columns(df, ["m", "ok", "x"]), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).first()["ok"] == "1"
+
+
+def test_findings_of_mutants_without_their_columns(spark):
+    from sievework.operators import gates
+
+    site = lambda n, a, t: (n, a, t)
+    cases = [
+        ("a", [site("x.add", "add", "TSum"), site("y.evict", "sub", "TPress"), site("z.read", "read", None)], "TSum", "TPress", ["## Step 1: a", "## Step 2: b"], 2, ["x.add", "y.evict"], ["TSum", "TPress"]),
+        ("b", [site("x.add", "add", "TSum"), site("y", "rebuild", None)], "TSum", None, ["## Step 1: a", None, "text"], 1, None, ["TSum", ""]),
+        ("c", None, "TSum", "TPress", ["## Step 1: a"], 2, ["x"], ["TSum", "TPress"]),
+        ("d", [], "", "T", [], 0, [], None),
+        ("e", [site("x", None, "T"), site(None, "add", "T"), site("x", "add", "T"), site("x", "sub", "")], "T", "T", None, 1, ["x"], ["T"]),
+    ]
+    rows = spark.createDataFrame(cases, gates.CASE)
+    cols = ("case_id", "mutant", "category", "expect_before", "expect_after", "found_before", "found_after")
+    got = sorted(gates.mutant_findings(rows).select(*cols).collect(), key=str)
+    assert got == sorted(gates.findings(gates.mutants(rows)).select(*cols).collect(), key=str) and len(got) == 9 * len(cases)
+    found = {(r.case_id, r.mutant): r.found_after for r in got}
+    assert found["a", "clean"] == [] and found["a", "uncover_blank"] == ["covered"] and found["a", "drop_invariant_test"] == ["invariant", "covered"]
+    assert found["a", "plan_malformed_heading"] == ["plan"] and found["a", "impl_drop_site"] == ["maintained"] and found["c", "clean"] == ["plan"]
+    # headings are counted for the case and for the mutant that changes one, not for each mutant
+    plan = gates.mutant_findings(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Step") <= 3
