@@ -71,3 +71,13 @@ def test_yaml_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     found = {r.path.rsplit("/", 1)[1]: r.json and json.loads(r.json) for r in read_yaml_documents(spark, str(tmp_path / "*.yaml")).collect()}
     assert found == {"a.yaml": {"x": [1, 2]}, "b.yaml": None}
+
+
+def test_one_plan_is_made_for_an_order(spark, tmp_path):
+    from sievework.plans.records import contract_blocks
+
+    spark.createDataFrame([(o, 1 + k, 10 * o + k) for o in range(12) for k in range(2)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = contract_blocks(spark, str(tmp_path))
+    assert [r.blocks for r in found.orderBy("l_orderkey").collect()] == [1, 1, 1, 2, 1, 0] * 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "element_at(array(concat(" not in plan
