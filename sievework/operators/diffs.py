@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.ranking import bm25, top_k
-from sievework.sources.text_index import postings_of
+from sievework.sources.text_index import PATTERN, postings_of
 
 
 def hunks(diffs: DataFrame, id_col: str, diff_col: str) -> DataFrame:
@@ -37,6 +37,9 @@ def ranked_hunks(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """query_id, id, file, pos, score, rank of the k hunks whose added and removed lines are most about each query (query_id, term), by BM25."""
     keyed = found.withColumn("key", F.struct("id", "pos"))
     texts = keyed.select(F.col("key").alias("id"), F.concat_ws("\n", "added", "removed").alias("text"))
-    scored = bm25(queries, postings_of(texts)).withColumn("score", F.round("score", 6))
+    # statistics of all hunks need no postings of them; only terms that are asked for are grouped
+    length = texts.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({PATTERN})"), F.lit(1))).alias("dl"))
+    totals = length.agg(F.count_if(F.col("dl") > 0).alias("n_docs"), F.sum("dl").alias("n_terms"))
+    scored = bm25(queries, postings_of(texts), totals=totals).withColumn("score", F.round("score", 6))
     best = top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k).withColumnRenamed("id", "key")
     return best.join(keyed.select("key", "file"), "key").select("query_id", "key.id", "file", "key.pos", "score", "rank")
