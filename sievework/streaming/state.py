@@ -19,18 +19,22 @@ def batch_states(events: DataFrame) -> DataFrame:
     return _fold(events)
 
 
-def files_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a Parquet table, a file or a folder, as a stream: a file a micro-batch."""
+#: Bytes of files that a micro-batch takes; a larger file is one of its own.
+BATCH_BYTES = 256 << 20
+
+
+def files_stream(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The rows of a Parquet table, a file or a folder, as a stream. A micro-batch opens and commits the state of every partition, so it takes as many files as batch_bytes allows."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes)
     if files.getFileStatus(where).isFile():  # a stream watches a folder
         return reader.option("pathGlobFilter", where.getName()).parquet(str(where.getParent()))
     return reader.parquet(path)
 
 
 def stream_states(spark: SparkSession, path: str) -> DataFrame:
-    """The fold over all files at path as a stream: micro-batches of a file until none is left, state in the shared folder.
+    """The fold over all files at path as a stream: micro-batches of files until none is left, state in the shared folder.
 
     Every batch writes the keys that changed, with the batch's number; the result is each key's last version.
     """
