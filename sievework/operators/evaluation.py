@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import drop_dot_slash, info_volume, is_test_file
 from sievework.operators.parsing import parse_responses
 from sievework.operators.scoring import correct, location_scores, reference_verdicts
+from sievework.session import checkpointed
 
 STORED_ANSWER = 500  # code points of an answer that are stored
 
@@ -23,7 +24,7 @@ def scored_cells(cells: DataFrame, questions: DataFrame, expected: DataFrame, fi
     expected: question_id, path, start_line, end_line; files: path; symbols: name, from an index, None where there is none; words: name, from
     the texts. Cells may say by index_up that the index couldn't be asked for them. A cell whose question is unknown is scored
     against no expectations."""
-    parsed = parse_responses(cells, "response")
+    parsed = checkpointed(parse_responses(cells, "response").drop("response"))  # joined four times below, by what Python workers and patterns make of a text
     asked = ["index_up"] if "index_up" in cells.columns else []
     cited = parsed.select("cell_id", *asked, F.posexplode("citations").alias("pos", "c")).select("cell_id", "pos", *asked, F.col("c.file").alias("path"), "c.start_line", "c.end_line", "c.symbol")
     wanted = cells.select("cell_id", "question_id").join(expected, "question_id").select("cell_id", "path", "start_line", "end_line")

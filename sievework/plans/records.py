@@ -9,10 +9,10 @@ from sievework.functions.text import failure_key, info_volume, safe_double, safe
 from sievework.operators import compositions, evaluation, gates, lifecycle, ranking, records, rollup, runs
 from sievework.operators.parsing import paragraph_tree
 from sievework.operators.scoring import reference_verdicts
-from sievework.plans import retrieval
 from sievework.plans.common import rows, table
 from sievework.plans.lifecycle import BACKEND_POLICY
 from sievework.sources.readers import replay_key, upsert_latest
+from sievework.sources.text_index import words_of
 
 _STATES = ("TICKET_INTAKE", "EVALUATION_PASS", "EVALUATION_FAIL", "BLOCKED", "COMPLETED", "COMPLETION", "")
 
@@ -352,7 +352,7 @@ def _questions(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 def scored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols are looked up among the brands of parts, then among the words of all documents."""
     names = table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("name"))
-    words = retrieval.built(spark, sf_dir, _WORDS, fold=False).frequencies.select(F.col("term").alias("name"))
+    words = words_of(table(spark, sf_dir, "documents"), "text", _WORDS)
     scored = evaluation.scored_cells(_cells(spark, sf_dir), *_questions(spark), names, words)
     return scored.select("cell_id", "question_id", "parse_mode", "answer", F.round("precision", 6).alias("precision"), "recall", F.round("f1", 6).alias("f1"), "correctness", "citations", "unsupported", "is_partial", F.col("info_volume").cast("long").alias("info_volume"))
 

@@ -5,6 +5,7 @@ import json
 from sievework.operators.evaluation import scored_cells
 from sievework.operators.parsing import parse_responses
 from sievework.operators.scoring import reference_verdicts
+from sievework.sources.text_index import words_of
 
 FILES = ["core/set.go", "core/timer.go"]
 
@@ -66,3 +67,9 @@ def test_cells_count_unknown_symbols(spark):
         frame(spark, "path string", [(f,) for f in FILES]), frame(spark, "name string", [("QuorumSize",)]), frame(spark, "name string", [("newTimer",)]),
     )
     assert {r.cell_id: (r.citations, r.unsupported, r.is_partial, r.correctness) for r in found.collect()} == {1: (2, 1, False, True), 2: (1, 0, False, True), 3: (2, 1, True, True), 4: (0, 0, False, False)}
+    assert "EvalPython" not in found._jdf.queryExecution().toString()  # answers have been parsed, once for all that is joined
+
+
+def test_words_are_all_words(spark):
+    texts = frame(spark, "doc_id long, text string", [(1, "One two one, One_2"), (2, None), (3, ""), (4, "two--\u00e9t\u00e9 THREE"), (5, "--")])
+    assert sorted(r.name for r in words_of(texts, "text", "[A-Za-z0-9_]+").collect()) == ["One", "One_2", "THREE", "one", "t", "two"]
