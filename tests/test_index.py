@@ -51,6 +51,25 @@ def test_update_equals_rebuild(spark, tmp_path):
     assert state(open_index(spark, path))[:2] == (set(), Counter())
 
 
+def test_terms_are_counted_within_their_text(spark):
+    rows = [(i, " ".join("wxyz"[j * j % 4] * (4 + (i * j) % 5) for j in range(i))) for i in range(40)] + [(90, None), (91, ""), (92, "abc"), (93, "Zeta alpha ZETA zeta"), (94, "once")]
+    found = text_index.postings_of(docs(spark, rows).withColumnRenamed("doc_id", "id"))
+    got = found.collect()
+    assert {(r.id, r.term, r.tf, r.dl) for r in got} == plain(rows)[0] and len(got) == len(plain(rows)[0])
+    assert {(r.id, r.term) for r in got if r.lead} == {(i, ws[0]) for i, t in rows for ws in (re.findall("[a-z]{4,}", (t or "").lower()),) if ws}
+    plan = found._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_postings_lie_in_order(spark, tmp_path):
+    rows = [(i, "alpha " + "beta " * (i % 3) + "gamma" * (i % 2)) for i in range(300)]
+    build_index(docs(spark, rows), str(tmp_path / "index"))
+    assert state(open_index(spark, str(tmp_path / "index"))) == plain(rows)
+    for file in (tmp_path / "index" / "segments" / "00000000-base" / "postings").glob("*.parquet"):
+        keys = [(r.term, r.id) for r in spark.read.parquet(str(file)).coalesce(1).collect()]
+        assert keys == sorted(keys)
+
+
 def test_only_changes_are_tokenised(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "index")
     build_index(docs(spark, BEFORE), path)
