@@ -47,10 +47,13 @@ def reference_verdicts(citations: DataFrame, files: DataFrame, symbols: DataFram
     up = F.lit(False) if symbols is None else F.coalesce(F.col("index_up"), F.lit(False)) if "index_up" in citations.columns else F.lit(True)
     named = F.when(checkable_symbol(F.col("symbol")), bare_symbol(F.col("symbol")))
     c = citations.withColumn("path", normal_path(F.col("path"))).withColumn("_name", named).withColumn("_up", up)
+    nameless = c.where(F.col("_name").isNull()).withColumn("_text", F.lit(None).cast("boolean")).withColumn("_index", F.lit(None).cast("boolean"))  # a join would send them all to one task
+    c = c.where(F.col("_name").isNotNull())
     known = lambda df, name: df.select(F.col("name").alias("_name")).distinct().withColumn(name, F.lit(True))
     file = files.select(normal_path(F.col("path")).alias("path")).distinct().withColumn("_file", F.lit(True))
-    j = c.join(file, "path", "left").join(known(words, "_text"), "_name", "left")
+    j = c.join(known(words, "_text"), "_name", "left")
     j = j.withColumn("_index", F.lit(False)) if symbols is None else j.join(known(symbols, "_index"), "_name", "left")
+    j = j.unionByName(nameless).join(file, "path", "left")
     reason = (
         F.when(F.col("_file").isNull(), "file_missing").when(F.coalesce("symbol", F.lit("")) == "", "file_only").when(F.col("_name").isNull(), "symbol_not_checkable")
         .when(F.col("_up") & F.col("_index"), "symbol_indexed").when(F.col("_text"), "symbol_in_text").otherwise("symbol_missing")

@@ -1,6 +1,9 @@
 """Citations with symbols, and cells that cite them."""
 
 import json
+import time
+
+from pyspark.sql import functions as F
 
 from sievework.operators.evaluation import scored_cells
 from sievework.operators.parsing import parse_responses
@@ -73,3 +76,47 @@ def test_cells_count_unknown_symbols(spark):
 def test_words_are_all_words(spark):
     texts = frame(spark, "doc_id long, text string", [(1, "One two one, One_2"), (2, None), (3, ""), (4, "two--\u00e9t\u00e9 THREE"), (5, "--")])
     assert sorted(r.name for r in words_of(texts, "text", "[A-Za-z0-9_]+").collect()) == ["One", "One_2", "THREE", "one", "t", "two"]
+
+
+def test_prose_is_read_only_where_it_counts(spark):
+    long = "a" * 100_000  # the pattern of prose citations takes its square
+    own = [{"file": "a/b.go", "start_line": 1, "end_line": 2, "symbol": None}]
+    strict, block = json.dumps({"answer": long, "citations": []}), "Well: " + json.dumps({"answer": long, "citations": own})
+    bare = 'See a/c.go:3. {"answer": "x", "citations": []}'
+    start = time.monotonic()
+    found = parse_responses(frame(spark, "id int, text string", [(1, strict), (2, block), (3, bare), (4, "a/d.py"), (5, "none"), (6, None)]), "text")
+    got = {r.id: (r.parse_mode, len(r.answer), [tuple(c) for c in r.citations]) for r in found.collect()}
+    assert got == {
+        1: ("strict", len(long), []), 2: ("lenient", len(long), [("a/b.go", 1, 2, None)]), 3: ("lenient", 1, [("a/c.go", 3, 3, None)]),
+        4: ("lenient", 6, [("a/d.py", None, None, None)]), 5: ("failed", 0, []), 6: ("failed", 0, []),
+    }
+    assert time.monotonic() - start < 20
+
+
+def test_citations_without_a_name_are_dealt(spark):
+    cited = spark.range(0, 4000, 1, 8).select("id", F.concat(F.lit("f"), F.col("id") % 97, F.lit(".go")).alias("path"), F.when(F.col("id") % 10 == 0, "newTimer").otherwise("no name").alias("symbol"))
+    files = cited.select("path").distinct()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = reference_verdicts(cited, files, frame(spark, "name string", [("x",)]), frame(spark, "name string", [("newTimer",)]))
+        dealt = found.groupBy("reason", F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = {reason: [r["count"] for r in dealt if r.reason == reason] for reason in ("symbol_in_text", "symbol_not_checkable")}
+    assert {k: sum(v) for k, v in rows.items()} == {"symbol_in_text": 400, "symbol_not_checkable": 3600}
+    assert max(rows["symbol_not_checkable"]) < 1800
+
+
+def test_words_of_broken_texts_and_of_many_batches(spark):
+    texts = spark.range(0, 3000, 1, 3).select(F.when(F.col("id") % 7 != 0, F.concat(F.lit("one w"), F.col("id") % 50, F.lit("-\U0001f600x_"), F.col("id") % 2)).alias("text"))
+    broken = spark.sql("SELECT cast(X'6F6E65FF74776F' AS string) AS text")  # one, a byte that is no UTF-8, two
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        found = [r.name for r in words_of(texts.union(broken), "text", "[A-Za-z0-9_]+").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(found) == sorted({"one", "two", "x_0", "x_1", *(f"w{i}" for i in range(50))})
