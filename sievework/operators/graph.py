@@ -65,29 +65,64 @@ def _within(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by_src.select("seed", "src", "dst", "kind").unionByName(by_dst.select("seed", "src", "dst", "kind"))
 
 
+def _between(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """_within for edges that are all different: nodes, a long plan, stand in it half as often."""
+    n = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    ends = edges.select("src", "dst", "kind", F.explode(F.array("src", "dst")).alias("node")).join(n, "node")
+    both = ends.groupBy("src", "dst", "kind").agg(F.min_by("node", "n").alias("node"), F.count(F.lit(1)).alias("_n")).where("_n = 2")
+    met = both.withColumn("other", F.when(F.col("node") == F.col("src"), F.col("dst")).otherwise(F.col("src"))).join(nodes, "node")
+    return met.select("seed", "other", "src", "dst", "kind").join(nodes.withColumnRenamed("node", "other"), ["seed", "other"]).select("seed", "src", "dst", "kind")
+
+
+def _dealt(edges: DataFrame) -> DataFrame:
+    """a, b, out, kind: edges with two ends, equal ones once, from both ends (a), out of a or into it; dealt by a.
+
+    A window, unlike distinct(), needs all columns and lets no filter below it but those on a, so every join by a asks for the same rows and Spark
+    deals them once. It looks back at plain columns: of an expression, a copy would be dealt too.
+    """
+    whole = edges.where("src is not null and dst is not null")
+    ways = [whole.select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(a == "src").alias("out"), "kind") for a, b in (("src", "dst"), ("dst", "src"))]
+    w = Window.partitionBy("a").orderBy("b", "out", "kind")
+    before = [F.lag(c).over(w).alias(f"_{c}") for c in ("b", "out", "kind")]  # all null before the first; out is not null elsewhere
+    return ways[0].unionByName(ways[1]).select("*", *before).where("not (b <=> _b and out <=> _out and kind <=> _kind)").drop("_b", "_out", "_kind")
+
+
 def subgraph(seeds: DataFrame, edges: DataFrame, depth: int, cap: int | None = None) -> DataFrame:
-    """seed, src, dst, kind: edges between nodes within depth hops, whatever their direction.
+    """seed, src, dst, kind: edges between nodes within depth hops, whatever their direction. Without cap, equal edges count once.
 
-    An edge at a node less than depth hops away has both ends within depth hops: the hops of the walk are such edges. Each counts from its
-    nearer end, between nodes of one level from src. Edges between nodes that lie depth hops away are looked up by both ends; with cap, all are.
+    Nodes less than depth hops away are inner ones, and an edge at one has both ends within depth hops: it counts from src where that is inner,
+    else from dst. Edges between two nodes that lie depth hops away are looked up by both ends; with cap, all are.
     """
     if cap is not None:
         nodes = reachable(seeds, edges, depth, direction="both", cap=cap).select("seed", "node")
         return _within(nodes.unionByName(seeds.select(F.col("node").alias("seed"), "node").distinct()), edges)
-    edges = edges.where("src is not null and dst is not null")
-    hop = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("out"), "kind").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("out"), "kind"))
-    ends = (F.when(F.col("out"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("out"), F.col("b")).otherwise(F.col("a")).alias("dst"))
-    first = hop.join(seeds.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("seed"), "a", "b", "out", "kind")
-    found = first.where(~F.col("a").eqNullSafe(F.col("b")) | F.col("out")).select("seed", *ends, "kind")
-    last = first.where("a <> b").select("seed", F.col("b").alias("node")).distinct()
-    seen = last.withColumn("depth", F.lit(1))
-    for d in range(2, depth + 1):
-        step = last.withColumnRenamed("node", "a").join(hop, "a").where("b <> seed").select("seed", "a", "b", "out", "kind")
-        placed = step.join(seen.select("seed", F.col("node").alias("b"), F.col("depth").alias("_at")), ["seed", "b"], "left")
-        found = found.unionByName(placed.where(F.col("_at").isNull() | ((F.col("_at") == d - 1) & F.col("out"))).select("seed", *ends, "kind"))
-        last = placed.where("_at is null").select("seed", F.col("b").alias("node")).distinct()
-        seen = seen.unionByName(last.withColumn("depth", F.lit(d)))
-    return found.unionByName(_within(last, edges))
+    hop = _dealt(edges)
+    starts = seeds.where("node is not null").select("node").distinct().select(F.col("node").alias("seed"), F.col("node").alias("a"))
+    found, last = None, starts
+    for d in range(1, depth):
+        step = last.join(hop, "a").where("seed <> b").select("seed", "b", F.lit(d).alias("at"))
+        # dealt by both, so that what looks pairs up and what goes on from them read the same rows
+        found = (step if found is None else found.unionByName(step)).repartition("seed", "b").groupBy("seed", "b").agg(F.min("at").alias("at"))
+        last = found.where(F.col("at") == d).select("seed", F.col("b").alias("a"))
+    inner = starts if found is None else starts.unionByName(found.select("seed", F.col("b").alias("a")))
+    outside = lambda rows: rows if found is None else rows.join(found, ["seed", "b"], "left_anti")
+    near = inner.join(hop, "a")
+    leaving = near.where("out").select("seed", F.col("a").alias("src"), F.col("b").alias("dst"), "kind")
+    coming = outside(near.where("not out and seed <> b")).select("seed", F.col("b").alias("src"), F.col("a").alias("dst"), "kind")
+
+    # Pairs of a seed and a node depth hops away are most rows of a walk, and few of these nodes may have an edge to another. So first come the nodes that
+    # lie there for some seed, without the pairs: those next to a node that is inner for several seeds (and maybe inner for all of them themselves),
+    # and those next to one that is inner for a single seed but not inner for it. Pairs are made for the ends of edges between two of them only.
+    w = Window.partitionBy("a")
+    each = inner.select("seed", "a", F.min("seed").over(w).alias("least"), F.max("seed").over(w).alias("most")).where("seed = least")
+    each = each.where("least <> most or seed <> a") if depth > 1 else each
+    single = each.select("a", F.when(F.col("least") == F.col("most"), F.col("seed")).alias("seed"))
+    some = outside(single.join(hop, "a").where("seed is null or seed <> b")).select("b").distinct()
+    edge = hop.where("not out").join(some.select(F.col("b").alias("a")), "a").join(some, "b").select(F.col("b").alias("src"), F.col("a").alias("dst"), "kind").distinct()
+    ends = edge.select(F.explode(F.array("src", "dst")).alias("a")).distinct()
+    back = hop.join(ends, "a").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs = outside(inner.join(back, "a").where("seed <> b")).select("seed", F.col("b").alias("node")).distinct()
+    return leaving.unionByName(coming).unionByName(_between(pairs, edge))
 
 
 def impact(seeds: DataFrame, edges: DataFrame, depth: int, couplings: dict[str, str] | None = None) -> DataFrame:

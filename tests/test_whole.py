@@ -281,3 +281,27 @@ def test_walks_of_graphs_with_loops_and_equal_edges(spark):
         # an edge that leads nearer is known from the walk, no level is held against those before it
         assert impact._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 4 * depth
     assert graph.impact(seeds, e, 2)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written for others."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_subgraph_deals_fewer_rows_than_pairs_of_distant_nodes(spark):
+    from sievework.operators import graph
+
+    # each hub leads to sixty seeds, each seed to a leaf; seeds of a hub are two hops apart, and no edge lies between two of them
+    hubs, each = 20, 60
+    edges = [(f"h{h}", f"s{h}.{i}", "x") for h in range(hubs) for i in range(each)] + [(f"s{h}.{i}", f"t{h}.{i}", "y") for h in range(hubs) for i in range(each)]
+    e, seeds = spark.createDataFrame(edges, "src string, dst string, kind string"), spark.createDataFrame([(b,) for _, b, k in edges if k == "x"], "node string")
+    before = shuffled(spark)
+    assert three(graph.subgraph(seeds, e, 2)) == {(f"s{h}.{i}", *r) for h in range(hubs) for i in range(each) for r in [(f"h{h}", f"s{h}.{j}", "x") for j in range(each)] + [(f"s{h}.{i}", f"t{h}.{i}", "y")]}
+    assert shuffled(spark) - before < hubs * each * (each - 1) / 2
+    # two seeds whose leaves are joined: edges between nodes two hops away are all there
+    across = [("a", "b", "x"), ("b", "c", "x"), ("a", "d", "y"), ("d", "e", "y"), ("e", "c", "z"), ("c", "c", "z"), ("c", "f", "z")]
+    found = graph.subgraph(spark.createDataFrame([("a",), ("a",), (None,)], "node string"), spark.createDataFrame([*across, *across, (None, "a", "x"), ("a", None, "x")], "src string, dst string, kind string"), 2)
+    assert three(found) == {("a", *r) for r in across[:-1]}
