@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.detectors import Policy
 from sievework.functions.text import bare_symbol, estimated_tokens, line_range
 from sievework.operators.graph import reachable, subgraph
-from sievework.operators.ranking import reciprocal_rank_fusion, top_k, within_budget
+from sievework.operators.ranking import reciprocal_rank_fusion, together, top_k, within_budget
 from sievework.operators.spans import scan_and_filter
 
 #: What each method takes (fixed values): hits of a query, of which the first `leading` may give seeds, at most `seeds` of them; whether
@@ -156,20 +156,14 @@ def evidence_pack(rankings: list[DataFrame], edges: DataFrame, texts: DataFrame,
     their texts (id, text) fit into `tokens`, at four characters each, up to the first that doesn't. sources says how many rankings have the id. Only what is packed is
     filtered: a blocked text is empty, another has its findings redacted.
     """
-    seeds = rankings[0].select("query_id", "id", "rank")
-    for r in rankings[1:]:
-        seeds = seeds.unionByName(r.select("query_id", "id", "rank"))
-    seeds = seeds.where(F.col("rank") <= graph_seeds).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    seeds = together(rankings).where(F.col("rank") <= graph_seeds).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
     names = seeds.select(F.col("id").alias("node")).distinct()
     near = reachable(names, edges, 1, direction="both").select(F.col("seed").alias("id"), F.col("node").alias("near"))
     around = seeds.join(near, "id").groupBy("query_id", "near").agg(F.min("rank").alias("by")).select("query_id", F.col("near").alias("id"), "by")
     graph = top_k(around, ["query_id"], [F.col("by"), F.col("id")], fused).select("query_id", "id", "rank")
     every = [*rankings, graph]
     scored = reciprocal_rank_fusion(every)
-    has = every[0].select("query_id", "id")
-    for r in every[1:]:
-        has = has.unionByName(r.select("query_id", "id"))
-    counted = has.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("sources"))
+    counted = together(every).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("sources"))
     best = top_k(scored.withColumn("score", F.round("score", 9)), ["query_id"], [F.col("score").desc(), F.col("id")], citations)
     sized = best.join(texts.select("id", F.coalesce("text", F.lit("")).alias("text")), "id").withColumn("size", estimated_tokens(F.col("text")))
     kept = within_budget(sized, ["query_id"], [F.col("rank")], F.col("size"), tokens)

@@ -305,3 +305,17 @@ def test_subgraph_deals_fewer_rows_than_pairs_of_distant_nodes(spark):
     across = [("a", "b", "x"), ("b", "c", "x"), ("a", "d", "y"), ("d", "e", "y"), ("e", "c", "z"), ("c", "c", "z"), ("c", "f", "z")]
     found = graph.subgraph(spark.createDataFrame([("a",), ("a",), (None,)], "node string"), spark.createDataFrame([*across, *across, (None, "a", "x"), ("a", None, "x")], "src string, dst string, kind string"), 2)
     assert three(found) == {("a", *r) for r in across[:-1]}
+
+
+def test_rankings_dealt_alike_are_dealt_anew_for_fusion(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from sievework.operators import ranking
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id")).cast("long")
+    made = [spark.createDataFrame([(q, q * k % 5) for q in range(12)], "query_id long, id long").withColumn("rank", rank) for k in (2, 3)]
+    fused = ranking.reciprocal_rank_fusion(made)
+    # without it Spark 4.1 relies on how it takes a union to be dealt
+    assert re.search(r"Exchange hashpartitioning\(query_id#\d+L, id#\d+L", fused._jdf.queryExecution().executedPlan().toString())
+    assert {(r.query_id, r.id): round(r.score, 9) for r in fused.collect()} == {(q, q * k % 5): round((1 + (q * 2 % 5 == q * 3 % 5)) / 61, 9) for q in range(12) for k in (2, 3)}
